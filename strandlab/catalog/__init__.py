@@ -1,6 +1,6 @@
 """Registered queries: one or more per operator, most with a check query."""
 
 from strandlab.catalog.base import CHECKS, QUERIES
-from strandlab.catalog import comparing, preparing  # noqa: F401
+from strandlab.catalog import comparing, features, preparing  # noqa: F401
 
 __all__ = ["CHECKS", "QUERIES"]
