@@ -29,7 +29,7 @@ READINGS = {
     "graded": """graded AS (SELECT 'Q' || (doc_id % 3) AS dataset_name, quality AS label, toxic AS prediction FROM labels)""",
     "log": """log AS (SELECT 'T' || o_orderstatus AS dataset_name, o_orderpriority AS model_name,
         CAST((year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 AS BIGINT) AS epoch,
-        round(avg(sqrt(o_totalprice)) / 400, 6) AS train_loss, round(avg(o_totalprice) / 100000, 6) AS val_loss
+        round(avg(sqrt(o_totalprice)) / 400, 6) AS train_loss, round(avg(o_totalprice) / 99991, 6) AS val_loss
         FROM orders GROUP BY 1, 2, 3)""",
     "batched": """placed AS (SELECT *, row_number() OVER (PARTITION BY dataset_name ORDER BY series_id) AS place FROM ser),
         batched AS (SELECT *, (place - 1) // 8 AS batch_id FROM placed)""",
@@ -123,7 +123,7 @@ def training_log(spark: SparkSession, folder: str) -> DataFrame:
         )
         .agg(
             F.round(F.avg(F.sqrt("o_totalprice")) / 400, 6).alias("train_loss"),
-            F.round(F.avg("o_totalprice") / 100000, 6).alias("val_loss"),
+            F.round(F.avg("o_totalprice") / 99991, 6).alias("val_loss"),
         )
     )
 

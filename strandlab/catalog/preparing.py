@@ -193,10 +193,9 @@ def u04(spark, d):
     return prep.union_results(first, second)
 
 
-@query("u05_name_difference", "", """SELECT DISTINCT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+@query("u05_name_difference", "", """SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
 def u05(spark, d):
-    ordered = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return prep.name_difference(table(spark, d, "customer"), ordered, "c_custkey")
+    return prep.name_difference(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id")
 
 
 @query("u06_distinct_values", "", "SELECT DISTINCT p_brand, p_type FROM part")

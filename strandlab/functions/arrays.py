@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row; inside a lambda it would be computed per element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def total(c: str | Column) -> Column:
     return F.aggregate(_col(c), F.lit(0.0), lambda s, x: s + x)
 
@@ -79,13 +86,13 @@ def last_state(c: str | Column) -> Column:
 
 def l2_normalise(c: str | Column, eps: float = 1e-12) -> Column:
     length = F.greatest(F.sqrt(dot(c, c)), F.lit(eps))
-    return F.transform(_col(c), lambda x: x / length)
+    return let(length, lambda n: F.transform(_col(c), lambda x: x / n))
 
 
 def log_softmax(c: str | Column) -> Column:
-    top = F.array_max(_col(c))
-    log_sum = F.log(F.aggregate(_col(c), F.lit(0.0), lambda s, x: s + F.exp(x - top)))
-    return F.transform(_col(c), lambda x: x - top - log_sum)
+    log_sum = lambda v, top: F.log(F.aggregate(v, F.lit(0.0), lambda s, x: s + F.exp(x - top)))
+    shifted = lambda v, top: let(log_sum(v, top), lambda ls: F.transform(v, lambda x: x - top - ls))
+    return let(_col(c), lambda v: let(F.array_max(v), lambda top: shifted(v, top)))
 
 
 def soft_cross_entropy(logits: str | Column, targets: str | Column) -> Column:

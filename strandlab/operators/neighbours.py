@@ -49,6 +49,8 @@ def distance_sums(df: DataFrame, tile_rows: int = TILE_ROWS, key: str = DATASET,
     across = F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))
     left = rows.withColumn("_i", line).withColumn("_j", across).drop("_tiles")
     right = rows.withColumn("_j", line).withColumn("_i", across).drop("_tiles")
+    # new column identities, since both sides come from the same rows
+    right = right.select(*[F.col(c).alias(c) for c in left.columns])
     schema = f"{key} string, {SERIES_ID} bigint, cluster bigint, other bigint, total double"
 
     def tile(keys: tuple, a: pa.Table, b: pa.Table) -> pa.Table:

@@ -50,10 +50,10 @@ def merge_ranges(*fits: DataFrame, keys: Sequence[str] = (DATASET, "channel")) -
     return merged.groupBy(*keys).agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
 
-def _as_arrays(fit: DataFrame, keys: Sequence[str], pos: str, stats: Sequence[str]) -> DataFrame:
-    """One row per data set with one array per statistic, ordered by position (as long as one series)."""
-    packed = fit.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(pos, *stats))).alias("_fit"))
-    return packed.select(*keys, *[F.col("_fit")[s].alias("_" + s) for s in stats])
+def _packed(fit: DataFrame, keys: Sequence[str], pos: str) -> DataFrame:
+    """One row per data set with its fit as an array in position order (as long as one series)."""
+    stats = [c for c in fit.columns if c not in (*keys, pos)]
+    return fit.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(pos, *stats))).alias("_fit"))
 
 
 def _min_max(x: Column, low: Column, high: Column, lo: float, hi: float) -> Column:
@@ -65,34 +65,31 @@ def scale_steps(
     df: DataFrame, fit: DataFrame, lo: float = 0.0, hi: float = 1.0, keys: Sequence[str] = (DATASET,), series: str = SERIES
 ) -> DataFrame:
     """Min-max scale every step to ``[lo, hi]`` with fitted ranges; no clipping, a constant step gives ``lo``."""
-    joined = df.join(_as_arrays(fit, keys, "pos", ["low", "high"]), list(keys))
-    bounds = F.arrays_zip(F.col("_low").alias("low"), F.col("_high").alias("high"))
-    scaled = F.zip_with(series, bounds, lambda x, b: _min_max(x, b["low"], b["high"], lo, hi))
-    return joined.withColumn(series, scaled).drop("_low", "_high")
+    joined = df.join(_packed(fit, keys, "pos"), list(keys))
+    scaled = F.zip_with(series, "_fit", lambda x, b: _min_max(x, b["low"], b["high"], lo, hi))
+    return joined.withColumn(series, scaled).drop("_fit")
 
 
 def scale_channels(
     df: DataFrame, fit: DataFrame, lo: float = 0.0, hi: float = 1.0, keys: Sequence[str] = (DATASET,), nested: str = "steps"
 ) -> DataFrame:
     """Min-max scale every channel of nested series."""
-    joined = df.join(_as_arrays(fit, keys, "channel", ["low", "high"]), list(keys))
-    bounds = F.arrays_zip(F.col("_low").alias("low"), F.col("_high").alias("high"))
+    joined = df.join(_packed(fit, keys, "channel"), list(keys))
     scaled = F.transform(
-        nested, lambda step: F.zip_with(step, bounds, lambda x, b: _min_max(x, b["low"], b["high"], lo, hi))
+        nested, lambda step: F.zip_with(step, F.col("_fit"), lambda x, b: _min_max(x, b["low"], b["high"], lo, hi))
     )
-    return joined.withColumn(nested, scaled).drop("_low", "_high")
+    return joined.withColumn(nested, scaled).drop("_fit")
 
 
 def standardise_steps(
     df: DataFrame, fit: DataFrame, keys: Sequence[str] = (DATASET,), series: str = SERIES
 ) -> DataFrame:
     """``(x - mean) / std`` per step with the population deviation; a constant step gives 0."""
-    joined = df.join(_as_arrays(fit, keys, "pos", ["mean", "std"]), list(keys))
-    moments = F.arrays_zip(F.col("_mean").alias("mean"), F.col("_std").alias("std"))
+    joined = df.join(_packed(fit, keys, "pos"), list(keys))
     scaled = F.zip_with(
-        series, moments, lambda x, m: (x - m["mean"]) / F.when(m["std"] == 0, F.lit(1.0)).otherwise(m["std"])
+        series, "_fit", lambda x, m: (x - m["mean"]) / F.when(m["std"] == 0, F.lit(1.0)).otherwise(m["std"])
     )
-    return joined.withColumn(series, scaled).drop("_mean", "_std")
+    return joined.withColumn(series, scaled).drop("_fit")
 
 
 def make_normaliser(
