@@ -8,6 +8,7 @@ from strandlab.catalog.base import graded, long_series, parts, predictions, quer
 from strandlab.operators import cluster, metrics, neighbours, prep
 from strandlab.operators.blocks import dataset_sizes
 from strandlab.plans import evaluate
+from strandlab.session import materialise
 
 # --- external ----------------------------------------------------------------------------------
 
@@ -212,7 +213,7 @@ def c11_scores(spark, d):
     FROM nk JOIN ext USING (dataset_name) JOIN ch USING (dataset_name) JOIN db USING (dataset_name) JOIN ss USING (dataset_name)""")
 def c10(spark, d):
     rows = series(spark, d)
-    clustered = neighbours.nearest_centre(rows, cluster.lloyd_steps(rows, _start(rows), 3))
+    clustered = materialise(neighbours.nearest_centre(rows, cluster.lloyd_steps(rows, _start(rows), 3)), "clustered")
     return rounded(evaluate.clustering_scores(clustered), "ari", "nmi", "fmi", "chs", "dbs", "ss")
 
 

@@ -42,3 +42,8 @@ def compose(*steps: TableFn | None) -> TableFn:
     """One step out of many, applied right to left; ``None`` steps are left out."""
     kept = [s for s in steps if s is not None]
     return lambda df: reduce(lambda acc, s: acc.transform(s), reversed(kept), df)
+
+
+def hint_loss(states: str, teacher: str) -> Column:
+    """Mean squared gap between the last student state and the teacher vector, over all rows."""
+    return F.sum(arrays.squared_distance(arrays.last_state(states), teacher)) / F.sum(F.size(teacher))

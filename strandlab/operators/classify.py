@@ -26,6 +26,7 @@ from strandlab.operators import scaling
 from strandlab.operators.blocks import apply_with_parameters, list_column, matrix
 from strandlab.operators.gram import gram_rows, whole
 from strandlab.operators.logs import best_setting
+from strandlab.session import materialise
 from strandlab.operators.prep import DATASET, LABEL, PART, SERIES, SERIES_ID
 
 # The grid of the regularisation parameter.
@@ -164,7 +165,9 @@ def rbf_linear_svc(
     train: DataFrame, c: float = 1.0, seed: int = CLASSIFIER_SEED, n_features: int = 64, max_iter: int = 10
 ) -> PipelineModel:
     """Hinge-loss one-versus-rest machine on Fourier features of prepared rows of one data set."""
-    rows = train.withColumn("features", array_to_vector(fourier_column(seed, n_features)(SERIES, F.col("gamma"))))
+    features = array_to_vector(fourier_column(seed, n_features)(SERIES, F.col("gamma")))
+    # every class fits on the same features, so they are written once
+    rows = materialise(train.select(LABEL, features.alias("features")), "fourier")
     n = rows.count()
     svc = LinearSVC(maxIter=max_iter, regParam=1.0 / (n * c), standardization=False)
     index = StringIndexer(inputCol=LABEL, outputCol="label_index", stringOrderType="alphabetAsc")

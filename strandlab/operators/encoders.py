@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandlab.operators.blocks import matrix
 from strandlab.operators.prep import SERIES
@@ -85,10 +86,11 @@ def _dense(layers: Layers, x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _map_series(df: DataFrame, name: str, dtype: str, fn, series: str = SERIES) -> DataFrame:
+def _map_series(df: DataFrame, name: str, fn, nested: bool = False, series: str = SERIES) -> DataFrame:
     """Append ``name`` computed from batches of equal-length series; the rows stay where they are."""
-    schema = df.schema.add(name, dtype)
-    out_type = pa.list_(pa.float64()) if dtype == "array<double>" else pa.list_(pa.list_(pa.float64()))
+    vector = T.ArrayType(T.DoubleType())
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(vector) if nested else vector)])
+    out_type = pa.list_(pa.list_(pa.float64())) if nested else pa.list_(pa.float64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,9 +108,9 @@ def encode_recurrent(df: DataFrame, weights: DataFrame, cell: str = "lstm", stat
     held = df.sparkSession.sparkContext.broadcast(load_weights(weights))
     kind = cell.lower()
     if states:
-        df = _map_series(df, "states", "array<array<double>>", lambda x: _recurrent(kind, held.value, x[:, :, None]), series)
+        df = _map_series(df, "states", lambda x: _recurrent(kind, held.value, x[:, :, None]), True, series)
         return df.withColumn("repr", F.element_at("states", -1))
-    return _map_series(df, "repr", "array<double>", lambda x: _recurrent(kind, held.value, x[:, :, None])[:, -1], series)
+    return _map_series(df, "repr", lambda x: _recurrent(kind, held.value, x[:, :, None])[:, -1], False, series)
 
 
 def reconstruct_recurrent(
@@ -124,7 +126,7 @@ def reconstruct_recurrent(
         states = _recurrent(kind, enc, x[:, :, None])[:, ::-1]
         return (_recurrent(kind, dec, states) @ out[0]["w"].T + out[0]["b"].reshape(-1))[:, :, 0]
 
-    return _map_series(df, "decoded", "array<double>", run, series)
+    return _map_series(df, "decoded", run, False, series)
 
 
 def encode_dense(df: DataFrame, weights: DataFrame, head: DataFrame | None = None, series: str = SERIES) -> DataFrame:
@@ -143,10 +145,22 @@ def encode_dense(df: DataFrame, weights: DataFrame, head: DataFrame | None = Non
         h = _dense(encoder, x)
         return h if projection is None else _dense(projection, h)
 
-    return _map_series(df, "repr", "array<double>", run, series)
+    return _map_series(df, "repr", run, False, series)
 
 
 def pool_series(steps: DataFrame, keys: list[str], vector: str = "vector") -> DataFrame:
     """Whole-series pooling: greatest value over time of every dimension, as long rows ``dim, value``."""
     long = steps.select(*keys, F.posexplode(vector).alias("dim", "_v"))
     return long.groupBy(*keys, "dim").agg(F.max("_v").alias("value"))
+
+
+def centre_taps(weights: DataFrame, kernel_sizes: list[int]) -> DataFrame:
+    """Dense weights of convolutions on a single position.
+
+    The rows named ``w`` of layer ``i`` hold ``[input][tap]`` flattened; only the middle tap of
+    ``kernel_sizes[i]`` is kept. Layers without a kernel size are dense already.
+    """
+    size = F.get(F.array(*[F.lit(k) for k in kernel_sizes]), F.col("layer"))
+    kept = F.filter("weights", lambda w, i: i % size == F.floor(size / 2))
+    is_conv = (F.col("name") == "w") & size.isNotNull()
+    return weights.withColumn("weights", F.when(is_conv, kept).otherwise(F.col("weights")))
