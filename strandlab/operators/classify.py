@@ -171,7 +171,7 @@ def rbf_linear_svc(
     n = rows.count()
     svc = LinearSVC(maxIter=max_iter, regParam=1.0 / (n * c), standardization=False)
     index = StringIndexer(inputCol=LABEL, outputCol="label_index", stringOrderType="alphabetAsc")
-    machine = OneVsRest(classifier=svc, labelCol="label_index", featuresCol="features", predictionCol="index")
+    machine = OneVsRest(classifier=svc, labelCol="label_index", featuresCol="features", predictionCol="index", parallelism=8)
     return Pipeline(stages=[index, machine]).fit(rows)
 
 
