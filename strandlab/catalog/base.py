@@ -24,7 +24,7 @@ READINGS = {
         ELSE 'test' END AS part FROM ser)""",
     "steps": """steps AS (SELECT dataset_name, series_id, label, unnest(range(0, len(series))) AS pos, unnest(series) AS value FROM ser)""",
     "cells": """cells AS (SELECT 'S' || l_suppkey AS dataset_name, 'A' || l_linenumber AS algorithm,
-        CAST(l_quantity AS BIGINT) % 5 AS run, round(avg(l_extendedprice), 6) AS value FROM lineitem GROUP BY 1, 2, 3)""",
+        CAST(l_quantity AS BIGINT) % 5 AS run, round(avg(l_extendedprice / 0.99991::DOUBLE), 4) AS value FROM lineitem GROUP BY 1, 2, 3)""",
     "pred": """pred AS (SELECT 'L' || l_linenumber AS dataset_name, l_returnflag AS label, l_linestatus AS cluster FROM lineitem)""",
     "graded": """graded AS (SELECT 'Q' || (doc_id % 3) AS dataset_name, quality AS label, toxic AS prediction FROM labels)""",
     "log": """log AS (SELECT 'T' || o_orderstatus AS dataset_name, o_orderpriority AS model_name,
@@ -80,7 +80,10 @@ def parts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cells(spark: SparkSession, folder: str) -> DataFrame:
-    """Line items as a metric table: suppliers are data sets, line numbers are algorithms."""
+    """Line items as a metric table: suppliers are data sets, line numbers are algorithms.
+
+    Prices are divided by a number that keeps their means off rounding ties, where engines differ.
+    """
     return (
         table(spark, folder, "lineitem")
         .groupBy(
@@ -88,7 +91,7 @@ def cells(spark: SparkSession, folder: str) -> DataFrame:
             F.concat(F.lit("A"), F.col("l_linenumber")).alias("algorithm"),
             (F.col("l_quantity").cast("bigint") % 5).alias("run"),
         )
-        .agg(F.round(F.avg("l_extendedprice"), 6).alias("value"))
+        .agg(F.round(F.avg(F.col("l_extendedprice") / 0.99991), 4).alias("value"))
     )
 
 

@@ -42,7 +42,7 @@ def a05(spark, d):
 
 @query("a05_mean_std_by_metric", "", """WITH long AS (
     SELECT 'S' || l_suppkey AS dataset_name, 'A' || l_linenumber AS algorithm, CAST(l_quantity AS BIGINT) % 5 AS run, m AS metric,
-    round(avg(CASE m WHEN 'price' THEN l_extendedprice WHEN 'discount' THEN l_discount ELSE l_tax END), 6) AS value
+    round(avg(CASE m WHEN 'price' THEN l_extendedprice WHEN 'discount' THEN l_discount ELSE l_tax END / 0.99991::DOUBLE), 4) AS value
     FROM lineitem CROSS JOIN (VALUES ('price'), ('discount'), ('tax')) v(m) GROUP BY 1, 2, 3, 4)
     SELECT dataset_name, algorithm, round(avg(CASE WHEN metric = 'price' THEN value END), 6) AS price,
     round(avg(CASE WHEN metric = 'discount' THEN value END), 6) AS discount, round(avg(CASE WHEN metric = 'tax' THEN value END), 6) AS tax
@@ -57,7 +57,7 @@ def a05_metric(spark, d):
             F.concat(F.lit("A"), F.col("l_linenumber")).alias("algorithm"),
             (F.col("l_quantity").cast("bigint") % 5).alias("run"),
         )
-        .agg(*[F.round(F.avg(c), 6).alias(n) for c, n in
+        .agg(*[F.round(F.avg(F.col(c) / 0.99991), 4).alias(n) for c, n in
                (("l_extendedprice", "price"), ("l_discount", "discount"), ("l_tax", "tax"))])
     )
     long = per_run.unpivot(["dataset_name", "algorithm", "run"], ["price", "discount", "tax"], "metric", "value")

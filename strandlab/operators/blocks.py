@@ -52,14 +52,16 @@ def apply_with_parameters(
     parameters: DataFrame,
     fn: Callable[[tuple, pa.Table, pa.Table], pa.Table],
     schema: str,
+    sizes: DataFrame | None = None,
     block_bytes: int = BLOCK_BYTES,
     key: str = DATASET,
 ) -> DataFrame:
     """Run ``fn`` on every block of rows together with the parameter rows of its data set.
 
     Parameters travel by key to the blocks that need them; nothing is broadcast.
+    ``sizes`` may be given where they are cheaper to get than from ``df``.
     """
-    sizes = dataset_sizes(df, key)
+    sizes = dataset_sizes(df, key) if sizes is None else sizes
     rows = with_blocks(df, sizes, block_bytes, key)
     sent = parameters.join(block_counts(sizes, block_bytes, key), key).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     grid = [key, "block"]

@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 
 from strandlab.functions import arrays
 from strandlab.operators import scaling
-from strandlab.operators.blocks import apply_with_parameters, list_column, matrix
+from strandlab.operators.blocks import apply_with_parameters, dataset_sizes, matrix
 from strandlab.operators.gram import gram_rows, whole
 from strandlab.operators.logs import best_setting
-from strandlab.session import materialise
 from strandlab.operators.prep import DATASET, LABEL, PART, SERIES, SERIES_ID
+from strandlab.session import materialise
 
 # The grid of the regularisation parameter.
 C_GRID = (0.0001, 0.001, 0.01, 0.1, 1.0, 10.0, 100.0, 1000.0, 10000.0)
@@ -61,10 +61,13 @@ def _with_bias(z: np.ndarray) -> np.ndarray:
 
 
 def _fit_machines(
-    rows: DataFrame, grid: DataFrame, seed: int, n_features: int, key: str = DATASET
+    rows: DataFrame, labelled: DataFrame, grid: DataFrame, seed: int, n_features: int, key: str = DATASET
 ) -> DataFrame:
-    """One weight matrix per data set and value of C. ``grid`` lists the values of C per data set."""
-    labels = rows.groupBy(key, LABEL).agg(F.lit(1).alias("_one")).groupBy(key).agg(
+    """One weight matrix per data set and value of C. ``grid`` lists the values of C per data set.
+
+    ``labelled`` are the same rows before scaling, which is all the list of classes needs.
+    """
+    labels = labelled.groupBy(key, LABEL).agg(F.lit(1).alias("_one")).groupBy(key).agg(
         F.sort_array(F.collect_list(LABEL)).alias("classes")
     )
     marked = rows.join(labels, key)
@@ -99,7 +102,9 @@ def _fit_machines(
     return ready.groupBy(key).applyInArrow(solve, schema)
 
 
-def _predict(rows: DataFrame, machines: DataFrame, seed: int, n_features: int, key: str = DATASET) -> DataFrame:
+def _predict(
+    rows: DataFrame, sizes: DataFrame, machines: DataFrame, seed: int, n_features: int, key: str = DATASET
+) -> DataFrame:
     """Predicted label of every row for every machine of its data set."""
     schema = f"{key} string, {SERIES_ID} bigint, {LABEL} bigint, c double, prediction bigint"
 
@@ -119,7 +124,7 @@ def _predict(rows: DataFrame, machines: DataFrame, seed: int, n_features: int, k
         return pa.table({key: name, **{k: pa.array(v) for k, v in done.items()}})
 
     columns = [key, SERIES_ID, LABEL, SERIES, "gamma"]
-    return apply_with_parameters(rows.select(*columns), machines, run, schema, key=key)
+    return apply_with_parameters(rows.select(*columns), machines, run, schema, sizes, key=key)
 
 
 def grid_scores(parts: DataFrame, seed: int = CLASSIFIER_SEED, grid=C_GRID, n_features: int = N_FEATURES) -> DataFrame:
@@ -127,8 +132,9 @@ def grid_scores(parts: DataFrame, seed: int = CLASSIFIER_SEED, grid=C_GRID, n_fe
     train = parts.where(F.col(PART) == "train")
     ready = prepared(parts.where(F.col(PART).isin("train", "valid")), train)
     values = parts.select(DATASET).distinct().withColumn("c", F.explode(F.array(*[F.lit(float(c)) for c in grid])))
-    machines = _fit_machines(ready.where(F.col(PART) == "train"), values, seed, n_features)
-    predicted = _predict(ready.where(F.col(PART) == "valid"), machines, seed, n_features)
+    machines = _fit_machines(ready.where(F.col(PART) == "train"), train, values, seed, n_features)
+    valid_sizes = dataset_sizes(parts.where(F.col(PART) == "valid"))
+    predicted = _predict(ready.where(F.col(PART) == "valid"), valid_sizes, machines, seed, n_features)
     hit = (F.col(LABEL) == F.col("prediction")).cast("double")
     return predicted.groupBy(DATASET, "c").agg(F.avg(hit).alias("score"))
 
@@ -140,8 +146,9 @@ def grid_classify(
     chosen = best_setting(grid_scores(parts, seed, grid, n_features), [DATASET], "c", "score").select(DATASET, "c")
     fit_rows = parts.where(F.col(PART).isin("train", "valid"))
     ready = prepared(parts, fit_rows)
-    machines = _fit_machines(ready.where(F.col(PART) != "test"), chosen, seed, n_features)
-    return _predict(ready.where(F.col(PART) == "test"), machines, seed, n_features)
+    machines = _fit_machines(ready.where(F.col(PART) != "test"), fit_rows, chosen, seed, n_features)
+    test_sizes = dataset_sizes(parts.where(F.col(PART) == "test"))
+    return _predict(ready.where(F.col(PART) == "test"), test_sizes, machines, seed, n_features)
 
 
 def fourier_column(seed: int = CLASSIFIER_SEED, n_features: int = N_FEATURES):

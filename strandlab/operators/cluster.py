@@ -74,10 +74,11 @@ def interval_features(df: DataFrame, intervals: DataFrame, key: str = DATASET, s
 
 def first_centres(df: DataFrame, k_table: DataFrame, seed: int = SEED, key: str = DATASET, series: str = SERIES) -> DataFrame:
     """The ``k`` rows of least order key of every data set as start centres."""
-    keyed = df.select(key, series, order_key(seed, SERIES_ID).alias("_key")).join(k_table, key)
-    placed = number_rows(keyed, [key], ["_key"], key_bucket(F.col("_key")), "_place")
-    chosen = placed.where(F.col("_place") <= F.col("k"))
-    return chosen.select(key, (F.col("_place") - 1).alias("cluster"), F.col(series).alias("centre"))
+    # only keys are ordered; the vectors are looked up for the rows that win
+    keyed = df.select(key, SERIES_ID, order_key(seed, SERIES_ID).alias("_key"))
+    placed = number_rows(keyed, [key], ["_key"], key_bucket(F.col("_key")), "_place", per_group=k_table)
+    chosen = placed.where(F.col("_place") <= F.col("k")).select(key, SERIES_ID, (F.col("_place") - 1).alias("cluster"))
+    return df.select(key, SERIES_ID, F.col(series).alias("centre")).join(chosen, [key, SERIES_ID]).drop(SERIES_ID)
 
 
 def lloyd_steps(df: DataFrame, centres: DataFrame, steps: int = 1, key: str = DATASET, series: str = SERIES) -> DataFrame:
@@ -144,9 +145,10 @@ def _settings(df: DataFrame, tol: float, key: str) -> DataFrame:
     return sizes.withColumn("tol", population * tol).drop("_var").join(classes, key)
 
 
-def _fit_small(df: DataFrame, small: DataFrame, restarts: int, seed: int, max_iter: int, per_task: int, key: str) -> DataFrame:
-    """Cluster data sets of at most one block; a task takes a few restarts of one data set."""
-    tasks = -(-restarts // per_task)
+def _fit_small(
+    df: DataFrame, small: DataFrame, restarts: int, seed: int, max_iter: int, tasks: int, key: str
+) -> DataFrame:
+    """Cluster data sets of at most one block; ``tasks`` tasks share the restarts of one data set."""
     rows = df.select(key, SERIES_ID, SERIES).join(small.select(key, "k", "tol"), key)
     copied = rows.withColumn("_task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
 
@@ -293,20 +295,25 @@ def kmeans(
     max_iter: int = MAX_ROUNDS,
     tol: float = TOLERANCE,
     block_bytes: int = BLOCK_BYTES,
-    restarts_per_task: int = 10,
+    tasks: int | None = None,
     key: str = DATASET,
 ) -> DataFrame:
     """All restarts of all data sets: ``inertia``, ``rounds`` and ``centres`` per data set and restart.
 
-    The number of clusters is the number of labels of the data set.
+    The number of clusters is the number of labels of the data set. A small
+    data set is copied to several tasks only while there are fewer data sets
+    than cores; the result does not depend on ``tasks``.
     """
     settings = materialise(_settings(df, tol, key), "kmeans-settings", 1)
     fits_in_block = F.col("n") * F.col("d") * 8 <= block_bytes
     small, large = settings.where(fits_in_block), settings.where(~fits_in_block)
     fitted = None
-    if not small.isEmpty():
+    n_small = small.count()
+    if n_small:
+        if tasks is None:
+            tasks = min(restarts, max(1, -(-2 * df.sparkSession.sparkContext.defaultParallelism // n_small)))
         part = df if large.isEmpty() else df.join(small.select(key), key, "left_semi")
-        fitted = _fit_small(part, small, restarts, seed, max_iter, restarts_per_task, key)
+        fitted = _fit_small(part, small, restarts, seed, max_iter, tasks, key)
     if not large.isEmpty():
         rounds = _fit_large(df, large, restarts, seed, max_iter, block_bytes, key)
         fitted = rounds if fitted is None else fitted.unionByName(rounds)

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from strandlab.functions.scalars import mean_std_text
-from strandlab.operators.ordering import running_total, value_bucket
+from strandlab.operators.ordering import running_total
 from strandlab.operators.prep import DATASET
 
 BLOCK = (DATASET, "run")
@@ -231,7 +231,7 @@ def signed_ranks(pairs: DataFrame) -> DataFrame:
     sized = gaps.groupBy(F.abs("_d").alias("abs_d")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("_d") > 0).alias("n_positive")
     )
-    upto = running_total(sized, [], "abs_d", "n", value_bucket(sized, "abs_d"), "_upto")
+    upto = running_total(sized, [], "abs_d", "n", "_upto")
     return upto.withColumn("rank", F.col("_upto") - (F.col("n") - 1) / 2).drop("_upto")
 
 

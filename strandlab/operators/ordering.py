@@ -8,12 +8,16 @@ only ever sees one bucket.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from strandlab.session import materialise
+
 
 def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], null_safe: bool = False) -> list[Column]:
     """Join condition on the group keys; plain equality lets join and window share one shuffle."""
@@ -61,46 +65,62 @@ def number_rows(
 
 
 def running_total(
-    df: DataFrame, keys: Sequence[str], order_by: str, weight: str, bucket: Column, name: str = "running",
-    null_safe: bool = False,
+    df: DataFrame, keys: Sequence[str], order_by: str, weight: str, name: str = "running", null_safe: bool = False
 ) -> DataFrame:
-    """Running sum of ``weight`` along ``order_by`` (values distinct in a group), current row included."""
-    bucketed = df.withColumn("_bucket", bucket)
+    """Running sum of ``weight`` along the numbers ``order_by`` (distinct in a group), current row included."""
+    bucketed = with_value_bucket(df, order_by)
     inner = W.partitionBy(*keys, "_bucket").orderBy(order_by).rowsBetween(W.unboundedPreceding, 0)
     summed = _with_offsets(bucketed, keys, F.col(weight), None, null_safe).withColumn("_inner", F.sum(weight).over(inner))
     return summed.withColumn(name, F.col("_offset") + F.col("_inner")).drop("_bucket", "_offset", "_inner")
 
 
-def value_bucket(df: DataFrame, col: str, buckets: int = 256) -> Column:
-    """Bucket number of a value that never falls as the value grows.
+def with_value_bucket(df: DataFrame, col: str, name: str = "_bucket", buckets: int = 256) -> DataFrame:
+    """Add a bucket number that never falls as the value of ``col`` grows.
 
     The cut points are approximate quantiles (at most ``buckets`` numbers). They
     only steer how the work is spread; results do not depend on them.
     """
     shares = [i / buckets for i in range(1, buckets)]
-    cuts = df.agg(F.percentile_approx(F.col(col), shares, 1000).alias("cuts")).first()["cuts"]
-    points = sorted({float(c) for c in cuts or []})
-    if not points:
-        return F.lit(0)
-    literal = F.array(*[F.lit(p) for p in points])
-    return F.size(F.filter(literal, lambda c: c <= F.col(col).cast("double")))
-
-
-def group_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median") -> DataFrame:
-    """Exact median per group. Equal values are merged before anything is ordered."""
-    counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")).where(F.col(value).isNotNull())
-    sizes = counted.groupBy(*keys).agg(F.sum("_n").alias("_size"))
-    ranked = running_total(counted, keys, value, "_n", value_bucket(df, value), "_upto", null_safe=True)
-    renamed = sizes.withColumnsRenamed({k: "_r_" + k for k in keys})
-    placed = ranked.join(renamed, _same(ranked, renamed, keys, null_safe=True)).drop(*["_r_" + k for k in keys])
-    low = F.floor((F.col("_size") + 1) / 2)
-    high = F.ceil((F.col("_size") + 1) / 2)
-    start = F.col("_upto") - F.col("_n")
-    hit = lambda rank: (start < rank) & (rank <= F.col("_upto"))
-    return (
-        placed.where(hit(low) | hit(high))
-        .groupBy(*keys)
-        .agg(
-            ((F.max(F.when(hit(low), F.col(value))) + F.max(F.when(hit(high), F.col(value)))) / 2).alias(name)
-        )
-    )
+    cuts = df.agg(F.percentile_approx(F.col(col).cast("double"), shares, 10 * buckets).alias("cuts")).first()["cuts"]
+    points = sorted({float(c) for c in cuts or [] if math.isfinite(c)}) or [0.0]
+    binned = Bucketizer(splits=[-math.inf, *points, math.inf], inputCol="_v", outputCol="_b", handleInvalid="keep")
+    out = binned.transform(df.withColumn("_v", F.col(col).cast("double")))
+    # a missing value sorts first
+    return out.withColumn(name, F.when(F.col("_v").isNull(), -1).otherwise(F.col("_b").cast("int"))).drop("_v", "_b")
+
+
+# share of the rows on each side of the middle that pass 2 looks at, and the accuracy of the sketch behind it
+_MIDDLE, _ACCURACY = 0.001, 10_000
+
+
+def group_median(
+    df: DataFrame, keys: Sequence[str], value: str, name: str = "median", also: Sequence[Column] = ()
+) -> DataFrame:
+    """Exact median per group, next to the aggregates in ``also``.
+
+    Pass 1 sketches each group; the sketch brackets the middle at ten times its
+    error. Pass 2 counts what lies below the bracket and orders only the few
+    values inside it. Neither pass shuffles the rows themselves.
+    """
+    keys = list(keys)
+    bracket = F.percentile_approx(F.col(value), [0.5 - _MIDDLE, 0.5 + _MIDDLE], _ACCURACY)
+    sketch = df.groupBy(*keys).agg(bracket.alias("_q"), F.count(value).alias("_size"), *also)
+    sketch = materialise(sketch, "median-sketch")
+    renames = {k: "_r_" + k for k in keys}
+    narrow = sketch.select(*keys, "_q", "_size").withColumnsRenamed(renames)
+    rows = df.select(*keys, value)
+    rows = rows.join(narrow, _same(rows, narrow, keys, null_safe=True)).drop(*renames.values())
+    upper = rows.where(F.col(value) <= F.col("_q")[1])
+    # everything below the bracket becomes one row without a value
+    inside = F.when(F.col(value) >= F.col("_q")[0], F.col(value)).alias("_value")
+    counted = upper.groupBy(*keys, inside).agg(F.count(F.lit(1)).alias("_n"), F.first("_size").alias("_size"))
+    placed = running_total(counted, keys, "_value", "_n", "_upto", null_safe=True)
+    low, high = F.floor((F.col("_size") + 1) / 2), F.ceil((F.col("_size") + 1) / 2)
+    holds = lambda rank: (F.col("_upto") - F.col("_n") < rank) & (rank <= F.col("_upto"))
+    at = lambda rank: F.max(F.when(holds(rank), F.col("_value")))
+    found = placed.where(holds(low) | holds(high)).groupBy(*keys).agg(((at(low) + at(high)) / 2).alias(name))
+    found = found.withColumnsRenamed(renames)
+    joined = sketch.join(found, _same(sketch, found, keys, null_safe=True), "left").drop(*renames.values(), "_q")
+    missed = (F.col("_size") > 0) & F.col(name).isNull()
+    checked = F.when(missed, F.raise_error(F.lit("the middle lies outside its bracket")).cast("double")).otherwise(F.col(name))
+    return joined.withColumn(name, checked).drop("_size")

@@ -11,8 +11,9 @@ from strandlab.operators.prep import DATASET, PART, SERIES
 
 
 def step_values(df: DataFrame, keys: Sequence[str] = (DATASET,), series: str = SERIES) -> DataFrame:
-    """One row per series step: keys, ``pos`` from 0, ``value``."""
-    return df.select(*keys, F.posexplode(series).alias("pos", "value"))
+    """One row per series step: keys, ``pos`` from 0, ``value``; NaN counts as missing."""
+    steps = df.select(*keys, F.posexplode(series).alias("pos", "value"))
+    return steps.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
 
 
 def step_ranges(df: DataFrame, keys: Sequence[str] = (DATASET,), series: str = SERIES) -> DataFrame:
@@ -32,7 +33,8 @@ def step_moments(df: DataFrame, keys: Sequence[str] = (DATASET,), series: str =
 def channel_values(df: DataFrame, keys: Sequence[str] = (DATASET,), nested: str = "steps") -> DataFrame:
     """One row per number of a nested series ``[t][channel]``."""
     steps = df.select(*keys, F.explode(nested).alias("_step"))
-    return steps.select(*keys, F.posexplode("_step").alias("channel", "value"))
+    values = steps.select(*keys, F.posexplode("_step").alias("channel", "value"))
+    return values.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
 
 
 def channel_ranges(df: DataFrame, keys: Sequence[str] = (DATASET,), nested: str = "steps") -> DataFrame:

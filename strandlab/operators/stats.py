@@ -24,17 +24,13 @@ def class_and_feature_counts(df: DataFrame, key: str = DATASET) -> DataFrame:
 
 def five_numbers(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Median, mean, population deviation, least and greatest value per group."""
-    plain = df.groupBy(*keys).agg(
+    others = [
         F.avg(value).alias("mean"),
         F.stddev_pop(value).alias("std"),
         F.min(value).alias("min"),
         F.max(value).alias("max"),
-    )
-    middle = group_median(df, keys, value).withColumnsRenamed({k: "_r_" + k for k in keys})
-    same = F.lit(True)
-    for k in keys:
-        same = same & plain[k].eqNullSafe(middle["_r_" + k])
-    return plain.join(middle, same, "left").drop(*["_r_" + k for k in keys])
+    ]
+    return group_median(df, keys, value, "median", others)
 
 
 def five_numbers_of_series(df: DataFrame, keys: Sequence[str] = (DATASET,), series: str = SERIES) -> DataFrame:

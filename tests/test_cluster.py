@@ -122,7 +122,7 @@ def two_sets(spark):
 
 def test_kmeans_rounds_equal_local(spark):
     df = two_sets(spark)
-    local = cluster.kmeans(df, restarts=4, seed=5, restarts_per_task=2).collect()
+    local = cluster.kmeans(df, restarts=4, seed=5, tasks=2).collect()
     # blocks of 600 bytes force the rounds over many blocks
     rounds = cluster.kmeans(df, restarts=4, seed=5, block_bytes=600).collect()
     key = lambda r: (r["dataset_name"], r["restart"])
