@@ -38,12 +38,12 @@ def with_batches(placed: DataFrame, size: int = BATCH_SIZE, place: str = "place"
 
 def pad_last_batch(batched: DataFrame, size: int = BATCH_SIZE, keys: Sequence[str] = (DATASET,)) -> DataFrame:
     """Repeat the last row of a short batch until the batch is full; adds ``copy`` (0 = the row itself)."""
-    sizes = batched.groupBy(*keys).agg(F.max("place").alias("_n"))
-    ends = batched.join(sizes, list(keys)).where(
-        (F.col("place") == F.col("_n")) & (F.col("_n") % size != 0)
-    )
-    missing = (F.lit(size) - F.col("_n") % size).cast("int")
-    copies = ends.withColumn("copy", F.explode(F.sequence(F.lit(1), missing))).drop("_n")
+    rest = [c for c in batched.columns if c not in keys]
+    # the last row of every data set, found by an aggregate: no join, no sort
+    ends = batched.groupBy(*keys).agg(F.max_by(F.struct(*rest), "place").alias("_last")).select(*keys, "_last.*")
+    short = ends.where(F.col("place") % size != 0).select(*batched.columns)
+    missing = (F.lit(size) - F.col("place") % size).cast("int")
+    copies = short.withColumn("copy", F.explode(F.sequence(F.lit(1), missing)))
     return batched.withColumn("copy", F.lit(0)).unionByName(copies)
 
 

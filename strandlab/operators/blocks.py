@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlab.operators.joining import join_small
 from strandlab.operators.prep import DATASET, SERIES, SERIES_ID
 
 BLOCK_BYTES = 16 << 20
@@ -29,7 +30,7 @@ def with_blocks(
 ) -> DataFrame:
     """Add ``block`` (and ``blocks``, their number) so that a block holds about ``block_bytes`` of numbers."""
     counted = block_counts(sizes, block_bytes, key)
-    return df.join(counted, key).withColumn("block", F.pmod(F.xxhash64(row_key), "blocks").cast("int"))
+    return join_small(df, counted, key, row_key=row_key).withColumn("block", F.pmod(F.xxhash64(row_key), "blocks").cast("int"))
 
 
 def matrix(table: pa.Table, col: str = SERIES) -> np.ndarray:

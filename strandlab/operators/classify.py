@@ -25,6 +25,7 @@ from strandlab.functions import arrays
 from strandlab.operators import scaling
 from strandlab.operators.blocks import apply_with_parameters, dataset_sizes, matrix
 from strandlab.operators.gram import gram_rows, whole
+from strandlab.operators.joining import join_small
 from strandlab.operators.logs import best_setting
 from strandlab.operators.prep import DATASET, LABEL, PART, SERIES, SERIES_ID
 from strandlab.session import materialise
@@ -42,10 +43,10 @@ def prepared(df: DataFrame, fit_rows: DataFrame, key: str = DATASET) -> DataFram
     not constant, so ``1 / (d * variance)`` is one over their number.
     """
     filled = fit_rows.withColumn(SERIES, arrays.impute(SERIES))
-    moments = scaling.step_moments(filled, (key,))
+    moments = materialise(scaling.step_moments(filled, (key,)), "moments")
     gamma = moments.groupBy(key).agg((1.0 / F.greatest(F.count_if(F.col("std") > 0), F.lit(1))).alias("gamma"))
     rows = df.withColumn(SERIES, arrays.impute(SERIES))
-    return scaling.standardise_steps(rows, moments, (key,)).join(gamma, key)
+    return join_small(scaling.standardise_steps(rows, moments, (key,)), gamma, key)
 
 
 def _fourier(x: np.ndarray, gamma: float, seed: int, n_features: int) -> np.ndarray:
@@ -70,7 +71,7 @@ def _fit_machines(
     labels = labelled.groupBy(key, LABEL).agg(F.lit(1).alias("_one")).groupBy(key).agg(
         F.sort_array(F.collect_list(LABEL)).alias("classes")
     )
-    marked = rows.join(labels, key)
+    marked = join_small(rows, labels, key, numbers=F.size("classes"))
 
     def factors(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         z = _with_bias(_fourier(matrix(table), table["gamma"][0].as_py(), seed, n_features))
@@ -90,7 +91,7 @@ def _fit_machines(
         penalty = np.eye(size)
         penalty[-1, -1] = 0.0  # the bias is free
         cs, classes = table["cs"][0].as_py(), table["classes"][0].as_py()
-        fits = [np.linalg.lstsq(gram + penalty / c, target, rcond=None)[0].T.tolist() for c in cs]
+        fits = [np.linalg.solve(gram + penalty / c, target).T.tolist() for c in cs]
         return pa.table({
             key: pa.array([keys[0].as_py()] * len(cs), pa.string()),
             "c": pa.array(cs, pa.float64()),

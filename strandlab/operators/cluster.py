@@ -21,6 +21,7 @@ from strandlab.functions.keys import key_bucket, order_key, unit_uniform
 from strandlab.functions.scalars import closest_power_of_2
 from strandlab.operators import metrics
 from strandlab.operators.blocks import BLOCK_BYTES, block_counts, list_column, matrix, with_blocks
+from strandlab.operators.joining import join_small
 from strandlab.operators.neighbours import nearest_centre
 from strandlab.operators.ordering import number_rows
 from strandlab.operators.prep import DATASET, LABEL, SERIES, SERIES_ID
@@ -66,7 +67,14 @@ def interval_features(df: DataFrame, intervals: DataFrame, key: str = DATASET, s
         "_intervals",
         lambda i: arrays.total(F.slice(series, (i["start"] + 1).cast("int"), i["len"].cast("int"))) / i["len"],
     )
-    return df.join(packed, key).withColumn("features", means).drop("_intervals")
+    width = F.size("_intervals") * 3
+    if extra:  # one row per seed: the seeds of a data set travel together
+        seeds = packed.groupBy(key).agg(F.collect_list(F.struct(*extra, "_intervals")).alias("_seeds"))
+        joined = join_small(df, seeds, key, numbers=F.size("_seeds") * F.size(F.col("_seeds")[0]["_intervals"]) * 3)
+        df = joined.withColumn("_s", F.explode("_seeds")).select(*df.columns, "_s.*")
+    else:
+        df = join_small(df, packed, key, numbers=width)
+    return df.withColumn("features", means).drop("_intervals")
 
 
 # --- one round as a table expression -----------------------------------------------------------
@@ -149,7 +157,7 @@ def _fit_small(
     df: DataFrame, small: DataFrame, restarts: int, seed: int, max_iter: int, tasks: int, key: str
 ) -> DataFrame:
     """Cluster data sets of at most one block; ``tasks`` tasks share the restarts of one data set."""
-    rows = df.select(key, SERIES_ID, SERIES).join(small.select(key, "k", "tol"), key)
+    rows = join_small(df.select(key, SERIES_ID, SERIES), small.select(key, "k", "tol"), key)
     copied = rows.withColumn("_task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
 
     def fit(keys: tuple, table: pa.Table) -> pa.Table:
@@ -189,7 +197,7 @@ def _fit_large(
     """Cluster data sets of many blocks in rounds over all restarts that still move."""
     spark = df.sparkSession
     slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocked = with_blocks(df.select(key, SERIES_ID, SERIES).join(large.select(key), key, "left_semi"), large, block_bytes, key)
+    blocked = with_blocks(df.select(key, SERIES_ID, SERIES), large, block_bytes, key)
     points = (
         blocked.repartition(slots, key, "block").sortWithinPartitions(key, "block").persist(StorageLevel.MEMORY_AND_DISK)
     )
@@ -312,8 +320,7 @@ def kmeans(
     if n_small:
         if tasks is None:
             tasks = min(restarts, max(1, -(-2 * df.sparkSession.sparkContext.defaultParallelism // n_small)))
-        part = df if large.isEmpty() else df.join(small.select(key), key, "left_semi")
-        fitted = _fit_small(part, small, restarts, seed, max_iter, tasks, key)
+        fitted = _fit_small(df, small, restarts, seed, max_iter, tasks, key)
     if not large.isEmpty():
         rounds = _fit_large(df, large, restarts, seed, max_iter, block_bytes, key)
         fitted = rounds if fitted is None else fitted.unionByName(rounds)

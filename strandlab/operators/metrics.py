@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from strandlab.functions import arrays
+from strandlab.operators.joining import join_small
 from strandlab.operators.prep import DATASET, SERIES
+from strandlab.session import materialise
 
 
 def contingency(df: DataFrame, label: str = "label", cluster: str = "cluster", keys: Sequence[str] = (DATASET,)) -> DataFrame:
@@ -95,7 +97,7 @@ def centres(df: DataFrame, keys: Sequence[str] = (DATASET, "cluster"), series: s
 
 def cluster_spread(df: DataFrame, means: DataFrame, key: str = DATASET, series: str = SERIES) -> DataFrame:
     """Per cluster: size, centre, mean distance and summed squared distance to the centre."""
-    joined = df.join(means.select(key, "cluster", "centre"), [key, "cluster"])
+    joined = join_small(df, means.select(key, "cluster", "centre"), [key, "cluster"], numbers=F.size("centre"))
     d2 = joined.select(key, "cluster", arrays.squared_distance(series, "centre").alias("_d2"))
     spread = d2.groupBy(key, "cluster").agg(F.avg(F.sqrt("_d2")).alias("scatter"), F.sum("_d2").alias("within"))
     return means.join(spread, [key, "cluster"])
@@ -103,7 +105,9 @@ def cluster_spread(df: DataFrame, means: DataFrame, key: str = DATASET, series:
 
 def centre_scores(df: DataFrame, key: str = DATASET, series: str = SERIES) -> DataFrame:
     """Calinski-Harabasz and Davies-Bouldin scores from one pass for centres and one for spreads."""
-    spread = cluster_spread(df, centres(df, (key, "cluster"), series), key, series)
+    # read twice from here on
+    means = materialise(centres(df, (key, "cluster"), series), "centres")
+    spread = cluster_spread(df, means, key, series)
     return scores_of_spread(spread, key)
 
 
@@ -116,8 +120,8 @@ def scores_of_spread(spread: DataFrame, key: str = DATASET) -> DataFrame:
     overall = F.aggregate(
         "cs", zero, lambda s, c: F.zip_with(s, c["centre"], lambda a, b: a + b * c["n"] / F.col("n"))
     )
-    centred = sized.withColumn("overall", overall)
-    between = arrays.total(F.transform("cs", lambda c: arrays.squared_distance(c["centre"], F.col("overall")) * c["n"]))
+    from_overall = lambda o: arrays.total(F.transform("cs", lambda c: arrays.squared_distance(c["centre"], o) * c["n"]))
+    between = arrays.let(overall, from_overall)
     within = arrays.total(F.transform("cs", lambda c: c["within"]))
     gap = lambda a, b: arrays.distance(a["centre"], b["centre"])
     worst = F.transform(
@@ -131,7 +135,7 @@ def scores_of_spread(spread: DataFrame, key: str = DATASET) -> DataFrame:
     )
     flat = F.forall("cs", lambda c: F.abs(c["scatter"]) <= 1e-8)
     together = F.forall("cs", lambda c: arrays.distance(c["centre"], F.element_at(F.col("cs"), 1)["centre"]) <= 1e-8)
-    measured = centred.withColumn("_between", between).withColumn("_within", within)
+    measured = sized.withColumn("_between", between).withColumn("_within", within)
     ch = F.when(F.col("_within") == 0, 1.0).otherwise(
         F.col("_between") * (F.col("n") - F.col("k")) / (F.col("_within") * (F.col("k") - 1))
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandlab.functions import arrays
 from strandlab.operators.blocks import dataset_sizes, matrix
+from strandlab.operators.joining import join_small
 from strandlab.operators.prep import DATASET, SERIES, SERIES_ID
 
 TILE_ROWS = 1024
@@ -22,10 +23,10 @@ def pack_centres(centres: DataFrame, key: str = DATASET) -> DataFrame:
 def nearest_centre(df: DataFrame, centres: DataFrame, key: str = DATASET, series: str = SERIES) -> DataFrame:
     """Add the closest centre of the same data set (``cluster``) and its ``distance``; the least cluster wins a tie.
 
-    The centres are joined by key, so the planner broadcasts them only when
-    their measured size is small and shuffles otherwise.
+    The centres are broadcast up to a checked size and salted beyond it.
     """
-    joined = df.join(pack_centres(centres, key), key)
+    packed = pack_centres(centres, key)
+    joined = join_small(df, packed, key, numbers=F.size("_centres") * F.size(F.col("_centres")[0]["centre"]))
     scored = F.transform(
         "_centres",
         lambda c: F.struct(arrays.squared_distance(F.col(series), c["centre"]).alias("d2"), c["cluster"].alias("cluster")),
@@ -44,7 +45,8 @@ def distance_sums(df: DataFrame, tile_rows: int = TILE_ROWS, key: str = DATASET,
     """
     tiles = F.greatest(F.ceil(F.col("n") / tile_rows), F.lit(1)).cast("int")
     counted = dataset_sizes(df, key).select(key, tiles.alias("_tiles"))
-    rows = df.select(key, SERIES_ID, F.col(cluster).cast("bigint").alias("cluster"), SERIES).join(counted, key)
+    rows = df.select(key, SERIES_ID, F.col(cluster).cast("bigint").alias("cluster"), SERIES)
+    rows = join_small(rows, counted, key)
     line = F.pmod(F.xxhash64(SERIES_ID), "_tiles").cast("int")
     across = F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))
     left = rows.withColumn("_i", line).withColumn("_j", across).drop("_tiles")

@@ -114,6 +114,8 @@ def group_median(
     # everything below the bracket becomes one row without a value
     inside = F.when(F.col(value) >= F.col("_q")[0], F.col(value)).alias("_value")
     counted = upper.groupBy(*keys, inside).agg(F.count(F.lit(1)).alias("_n"), F.first("_size").alias("_size"))
+    # small from here on, and read several times
+    counted = materialise(counted, "median-middle")
     placed = running_total(counted, keys, "_value", "_n", "_upto", null_safe=True)
     low, high = F.floor((F.col("_size") + 1) / 2), F.ceil((F.col("_size") + 1) / 2)
     holds = lambda rank: (F.col("_upto") - F.col("_n") < rank) & (rank <= F.col("_upto"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlab.functions import arrays
+from strandlab.operators.joining import join_small
+from strandlab.session import materialise
 
 DATASET, LABEL, SERIES, SERIES_ID, PART = "dataset_name", "label", "series", "series_id", "part"
 
@@ -39,14 +41,14 @@ def drop_unnamed(df: DataFrame) -> DataFrame:
 def skip_datasets(df: DataFrame, skipped: Iterable[str] | DataFrame, key: str = DATASET) -> DataFrame:
     """Drop the rows of listed data sets; the list is a table or a few names."""
     if isinstance(skipped, DataFrame):
-        return df.join(skipped.select(key).distinct(), key, "left_anti")
+        return join_small(df, skipped.select(key).distinct(), key, "left_anti", row_key=df.columns)
     names = list(skipped)
     return df.where(~F.col(key).isin(names)) if names else df
 
 
 def keep_datasets(df: DataFrame, kept: Iterable[str] | DataFrame, key: str = DATASET) -> DataFrame:
     if isinstance(kept, DataFrame):
-        return df.join(kept.select(key).distinct(), key, "left_semi")
+        return join_small(df, kept.select(key).distinct(), key, "left_semi", row_key=df.columns)
     return df.where(F.col(key).isin(list(kept)))
 
 
@@ -70,13 +72,14 @@ def reject_missing(df: DataFrame, key: str = DATASET) -> tuple[DataFrame, DataFr
         .agg(F.count_if("_missing").alias("n_missing"), F.count(F.lit(1)).alias("n_rows"))
         .where(F.col("n_missing") > 0)
     )
-    return df.join(report.select(key), key, "left_anti"), report
+    report = materialise(report, "rejected")
+    return join_small(df, report.select(key), key, "left_anti", row_key=df.columns), report
 
 
 def drop_singleton_classes(df: DataFrame, keys: Sequence[str] = (DATASET, LABEL)) -> DataFrame:
     """Drop classes with one row. Only the singleton list is joined, never the counts of all classes."""
     single = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == 1).drop("_n")
-    return df.join(single, list(keys), "left_anti")
+    return join_small(df, single, keys, "left_anti", row_key=df.columns)
 
 
 def with_mode(df: DataFrame, mode: str) -> DataFrame:

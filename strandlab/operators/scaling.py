@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandlab.operators.joining import join_small
 from strandlab.operators.prep import DATASET, PART, SERIES
 
 
@@ -67,7 +68,7 @@ def scale_steps(
     df: DataFrame, fit: DataFrame, lo: float = 0.0, hi: float = 1.0, keys: Sequence[str] = (DATASET,), series: str = SERIES
 ) -> DataFrame:
     """Min-max scale every step to ``[lo, hi]`` with fitted ranges; no clipping, a constant step gives ``lo``."""
-    joined = df.join(_packed(fit, keys, "pos"), list(keys))
+    joined = join_small(df, _packed(fit, keys, "pos"), keys, numbers=F.size("_fit") * 3)
     scaled = F.zip_with(series, "_fit", lambda x, b: _min_max(x, b["low"], b["high"], lo, hi))
     return joined.withColumn(series, scaled).drop("_fit")
 
@@ -76,7 +77,7 @@ def scale_channels(
     df: DataFrame, fit: DataFrame, lo: float = 0.0, hi: float = 1.0, keys: Sequence[str] = (DATASET,), nested: str = "steps"
 ) -> DataFrame:
     """Min-max scale every channel of nested series."""
-    joined = df.join(_packed(fit, keys, "channel"), list(keys))
+    joined = join_small(df, _packed(fit, keys, "channel"), keys, numbers=F.size("_fit") * 3)
     scaled = F.transform(
         nested, lambda step: F.zip_with(step, F.col("_fit"), lambda x, b: _min_max(x, b["low"], b["high"], lo, hi))
     )
@@ -87,7 +88,7 @@ def standardise_steps(
     df: DataFrame, fit: DataFrame, keys: Sequence[str] = (DATASET,), series: str = SERIES
 ) -> DataFrame:
     """``(x - mean) / std`` per step with the population deviation; a constant step gives 0."""
-    joined = df.join(_packed(fit, keys, "pos"), list(keys))
+    joined = join_small(df, _packed(fit, keys, "pos"), keys, numbers=F.size("_fit") * 3)
     scaled = F.zip_with(
         series, "_fit", lambda x, m: (x - m["mean"]) / F.when(m["std"] == 0, F.lit(1.0)).otherwise(m["std"])
     )

@@ -8,6 +8,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlab.operators.joining import join_small
 from strandlab.operators.ordering import number_rows
 from strandlab.operators.prep import DATASET, LABEL, PART, SERIES, SERIES_ID
 
@@ -60,7 +61,7 @@ def read_arff(
         ).alias(DATASET),
     )
     data = _numbered(lines.where(~F.col("line").startswith("@")))
-    rows = data.join(headers, "file").withColumn("_fields", F.split("line", r"\s*,\s*"))
+    rows = join_small(data, headers, "file", numbers=F.size("attributes") * 3).withColumn("_fields", F.split("line", r"\s*,\s*"))
     picked = F.zip_with(
         "_fields",
         "attributes",
@@ -95,7 +96,8 @@ def read_wide_csv(spark: SparkSession, paths: str | Sequence[str], pattern: str
     fields = F.split("line", ",", -1)
     is_header = F.array_contains(fields, LABEL)
     headers = lines.where(is_header).groupBy("file").agg(F.first(fields).alias("_names"))
-    data = _numbered(lines.where(~is_header)).withColumn("_fields", fields).join(headers, "file", "left")
+    data = _numbered(lines.where(~is_header)).withColumn("_fields", fields)
+    data = join_small(data, headers, "file", "left", numbers=F.size("_names"))
     default = F.transform("_fields", lambda v, i: F.when(i == F.size("_fields") - 1, LABEL).otherwise(""))
     named = data.withColumn("_names", F.coalesce("_names", default))
     cells = F.arrays_zip(F.col("_fields").alias("value"), F.col("_names").alias("name"))

@@ -156,3 +156,24 @@ def test_beta_shares(spark):
         assert r["mixed"][0] == pytest.approx(r["share"] * r["series_1"][0] + (1 - r["share"]) * r["series_2"][0])
     assert all(len(s) == 1 for s in per_batch.values())
     assert len({next(iter(s)) for s in per_batch.values()}) == 8
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_salted_join_equals_broadcast(spark, monkeypatch, limit, how):
+    from strandlab.operators import joining
+
+    monkeypatch.setattr(joining, "BROADCAST_BYTES", limit)
+    df = spark.range(500).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("d"), F.col("id") % 7)).alias("dataset_name"), F.col("id").alias("series_id"))
+    small = spark.createDataFrame([("hot", [1.0, 2.0]), ("d1", [3.0]), ("none", [0.0])], "dataset_name string, v array<double>")
+    got = joining.join_small(df, small, "dataset_name", how, numbers=F.size("v"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, df.join(small, "dataset_name", how).collect()))
+
+
+def test_whole_preparation_with_salted_joins(spark, monkeypatch):
+    from strandlab.operators import joining
+
+    df = series_rows(spark, [[float(i), float(i % 4)] for i in range(40)], [i % 3 for i in range(40)])
+    wanted = scaling.scale_steps(df, scaling.step_ranges(df)).orderBy("series_id").collect()
+    monkeypatch.setattr(joining, "BROADCAST_BYTES", 0)
+    assert scaling.scale_steps(df, scaling.step_ranges(df)).orderBy("series_id").collect() == wanted
