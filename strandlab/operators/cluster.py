@@ -157,7 +157,7 @@ def _fit_small(
     df: DataFrame, small: DataFrame, restarts: int, seed: int, max_iter: int, tasks: int, key: str
 ) -> DataFrame:
     """Cluster data sets of at most one block; ``tasks`` tasks share the restarts of one data set."""
-    rows = join_small(df.select(key, SERIES_ID, SERIES), small.select(key, "k", "tol"), key)
+    rows = join_small(df.select(key, SERIES_ID, SERIES), small.select(key, "k", "tol"), key, written=True)
     copied = rows.withColumn("_task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
 
     def fit(keys: tuple, table: pa.Table) -> pa.Table:

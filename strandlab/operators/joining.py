@@ -23,16 +23,19 @@ def join_small(
     how: str = "inner",
     numbers: Column | None = None,
     row_key: str | Sequence[str] = "series_id",
+    written: bool = False,
 ) -> DataFrame:
     """Join ``df`` with ``small``, which has at most one row per key.
 
     ``small`` is written first and its size counted (``numbers`` is the count
     of numbers in a row). Up to ``BROADCAST_BYTES`` it is broadcast. Beyond
     that it is copied to as many salts as there are shuffle partitions, so that
-    every group of ``df`` is spread over all of them by ``row_key``.
+    every group of ``df`` is spread over all of them by ``row_key``. A table
+    that was materialised before is passed as ``written``.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    small = materialise(small, "small-side")
+    if not written:
+        small = materialise(small, "small-side")
     width = F.lit(len(small.columns)) if numbers is None else numbers + len(small.columns)
     size = (small.agg(F.sum(width).alias("n")).first()["n"] or 0) * 16
     if size <= BROADCAST_BYTES:

@@ -95,9 +95,11 @@ def centres(df: DataFrame, keys: Sequence[str] = (DATASET, "cluster"), series: s
     return df.groupBy(*keys).agg(mean.alias("centre"), F.count(F.lit(1)).alias("n"))
 
 
-def cluster_spread(df: DataFrame, means: DataFrame, key: str = DATASET, series: str = SERIES) -> DataFrame:
+def cluster_spread(
+    df: DataFrame, means: DataFrame, key: str = DATASET, series: str = SERIES, written: bool = False
+) -> DataFrame:
     """Per cluster: size, centre, mean distance and summed squared distance to the centre."""
-    joined = join_small(df, means.select(key, "cluster", "centre"), [key, "cluster"], numbers=F.size("centre"))
+    joined = join_small(df, means.select(key, "cluster", "centre"), [key, "cluster"], numbers=F.size("centre"), written=written)
     d2 = joined.select(key, "cluster", arrays.squared_distance(series, "centre").alias("_d2"))
     spread = d2.groupBy(key, "cluster").agg(F.avg(F.sqrt("_d2")).alias("scatter"), F.sum("_d2").alias("within"))
     return means.join(spread, [key, "cluster"])
@@ -107,7 +109,7 @@ def centre_scores(df: DataFrame, key: str = DATASET, series: str = SERIES) -> Da
     """Calinski-Harabasz and Davies-Bouldin scores from one pass for centres and one for spreads."""
     # read twice from here on
     means = materialise(centres(df, (key, "cluster"), series), "centres")
-    spread = cluster_spread(df, means, key, series)
+    spread = cluster_spread(df, means, key, series, written=True)
     return scores_of_spread(spread, key)
 
 

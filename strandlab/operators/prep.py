@@ -73,7 +73,7 @@ def reject_missing(df: DataFrame, key: str = DATASET) -> tuple[DataFrame, DataFr
         .where(F.col("n_missing") > 0)
     )
     report = materialise(report, "rejected")
-    return join_small(df, report.select(key), key, "left_anti", row_key=df.columns), report
+    return join_small(df, report.select(key), key, "left_anti", row_key=df.columns, written=True), report
 
 
 def drop_singleton_classes(df: DataFrame, keys: Sequence[str] = (DATASET, LABEL)) -> DataFrame:
