@@ -41,7 +41,7 @@ HEADLINE = [
     "r16_extract_representations",
     "s01_read_arff",
     "t02_friedman",
-    "t05_ranked_list",
+    "t05_ranks_with_significance",
     "t06_wilcoxon",
     "t08_summary_table",
     "w05_early_stop",

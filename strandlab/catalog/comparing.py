@@ -199,6 +199,13 @@ def t05(spark, d):
     return rounded(compare.ranked_list(_complete(spark, d), gate=0.99), "avg_rank")
 
 
+@query("t05_ranks_with_significance", "cells", FRIEDMAN + """, cd AS (SELECT 2.94832 * sqrt(7 * 8 / (6.0 * max(n))) AS cd FROM avg_ranks)
+    SELECT algorithm, round(avg_rank, 6) AS avg_rank, round(avg_rank - min(avg_rank) OVER (), 6) AS gap, round(cd, 6) AS cd, round(p_value, 6) AS p_value
+    FROM avg_ranks, cd, fried_p""")
+def t05_significance(spark, d):
+    return rounded(compare.ranks_with_significance(_complete(spark, d)), "avg_rank", "gap", "cd", "p_value")
+
+
 @query("t06_wilcoxon", "cells", PAIRED + """, w AS (SELECT count(*) AS n, sum(CASE WHEN d > 0 THEN rnk ELSE 0 END) AS w_plus,
     sum(CASE WHEN d < 0 THEN rnk ELSE 0 END) AS w_minus, sum(t * t - 1)::DOUBLE AS ties FROM sr),
     m AS (SELECT avg(a) AS ma, avg(b) AS mb FROM pairs WHERE a IS NOT NULL AND b IS NOT NULL)

@@ -204,6 +204,21 @@ def indistinct_groups(summary: DataFrame) -> DataFrame:
     )
 
 
+def ranks_with_significance(
+    cells: DataFrame, test: str = "nemenyi", alpha: float = 0.05, higher_is_better: bool = True
+) -> DataFrame:
+    """Average ranks next to the Friedman p-value and the critical difference, so that both gates can be read off.
+
+    ``gap`` is the distance to the best algorithm; beyond ``cd`` it counts as different.
+    """
+    key = F.lit(1).alias("_one")
+    summary = rank_summary(cells, test, alpha, higher_is_better).select("cd", "ranks", key)
+    p_value = friedman(cells, higher_is_better).select("p_value", key)
+    rows = summary.join(p_value, "_one").select("cd", "p_value", "ranks", F.explode("ranks").alias("_r"))
+    gap = F.col("_r.avg_rank") - F.col("ranks")[0]["avg_rank"]
+    return rows.select("_r.algorithm", "_r.avg_rank", gap.alias("gap"), "cd", "p_value")
+
+
 def ranked_list(cells: DataFrame, gate: float = 0.05, higher_is_better: bool = True) -> DataFrame:
     """Algorithms by average rank; empty unless the Friedman test is significant."""
     significant = friedman(cells, higher_is_better).where(F.col("p_value") < gate).select(F.lit(1).alias("_gate"))

@@ -20,7 +20,6 @@ def local_session(app_name: str = "strandlab", cpus: str = "*", shuffle_partitio
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config(CHECKPOINT_CONF, tempfile.mkdtemp(prefix="strandlab-"))
         .getOrCreate()
     )
 
