@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from strandlab.functions import arrays
 from strandlab.functions.keys import key_bucket, order_key, unit_uniform
-from strandlab.operators.ordering import number_rows
+from strandlab.operators.ordering import number_rows, with_value_bucket
 from strandlab.operators.prep import DATASET, SERIES, SERIES_ID
 
 BATCH_SIZE = 8
@@ -26,10 +26,10 @@ def shuffled(df: DataFrame, seed: int, epoch: int = 0, keys: Sequence[str] = (DA
     return number_rows(keyed, keys, ["_key", SERIES_ID], key_bucket(F.col("_key")), name).drop("_key")
 
 
-def in_order(df: DataFrame, keys: Sequence[str] = (DATASET,), name: str = "place", width: int = 1 << 16) -> DataFrame:
-    """Place by ``series_id``; ``width`` ids form one bucket."""
-    bucket = F.floor(F.col(SERIES_ID) / width)
-    return number_rows(df, keys, [SERIES_ID], bucket, name)
+def in_order(df: DataFrame, keys: Sequence[str] = (DATASET,), name: str = "place") -> DataFrame:
+    """Place by ``series_id``, whatever the gaps between the ids."""
+    cut = with_value_bucket(df, SERIES_ID, "_range")
+    return number_rows(cut, keys, [SERIES_ID], F.col("_range"), name).drop("_range")
 
 
 def with_batches(placed: DataFrame, size: int = BATCH_SIZE, place: str = "place") -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandlab.operators.joining import join_small
 from strandlab.operators.prep import DATASET, SERIES, SERIES_ID
@@ -52,7 +53,7 @@ def apply_with_parameters(
     df: DataFrame,
     parameters: DataFrame,
     fn: Callable[[tuple, pa.Table, pa.Table], pa.Table],
-    schema: str,
+    schema: str | T.StructType,
     sizes: DataFrame | None = None,
     block_bytes: int = BLOCK_BYTES,
     key: str = DATASET,

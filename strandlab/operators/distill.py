@@ -13,10 +13,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandlab.operators.blocks import apply_with_parameters, matrix
 from strandlab.operators.gram import series_gram, whole
-from strandlab.operators.prep import DATASET, LABEL, PART, SERIES, SERIES_ID
+from strandlab.operators.prep import DATASET, PART, SERIES
 
 # Fixed values of the standard training.
 EPOCHS = 500
@@ -153,30 +154,29 @@ def principal_axes(df: DataFrame, compression: int = 2) -> DataFrame:
     return series_gram(df, (DATASET,)).groupBy(DATASET).applyInArrow(solve, schema)
 
 
-def encode_linear(df: DataFrame, encoders: DataFrame) -> DataFrame:
-    """Representations of all rows under all encoders of their data set, one job for all parts and checkpoints."""
-    extra = [c for c in (LABEL, PART) if c in df.columns]
-    types = {LABEL: "bigint", PART: "string"}
-    schema = f"{DATASET} string, checkpoint string, {SERIES_ID} bigint, " + "".join(
-        f"{c} {types[c]}, " for c in extra
-    ) + "repr array<double>"
+def encode_linear(df: DataFrame, encoders: DataFrame, keep_series: bool = False) -> DataFrame:
+    """Representations of all rows under all encoders of their data set, one job for all parts and checkpoints.
+
+    All columns of ``df`` stay, the series itself only with ``keep_series``.
+    """
+    kept = [f for f in df.schema.fields if f.name != DATASET and (keep_series or f.name != SERIES)]
+    extra = [f.name for f in kept]
+    vector = T.ArrayType(T.DoubleType())
+    schema = T.StructType([df.schema[DATASET], T.StructField("checkpoint", T.StringType()), *kept, T.StructField("repr", vector)])
 
     def run(keys: tuple, table: pa.Table, fitted: pa.Table) -> pa.Table:
         out = []
         if table.num_rows:
             x = matrix(table)
             for e in fitted.to_pylist():
-                part = table.select([SERIES_ID, *extra])
+                part = table.select(extra)
                 part = part.append_column("checkpoint", pa.array([e["checkpoint"]] * len(x), pa.string()))
                 out.append(part.append_column("repr", pa.array((x @ np.array(e["w"])).tolist(), pa.list_(pa.float64()))))
         if not out:
-            kinds = {LABEL: pa.int64(), PART: pa.string()}
-            empty = {DATASET: pa.string(), "checkpoint": pa.string(), SERIES_ID: pa.int64(),
-                     **{c: kinds[c] for c in extra}, "repr": pa.list_(pa.float64())}
-            return pa.table({c: pa.array([], kind) for c, kind in empty.items()})
+            none = table.select(extra).slice(0, 0).append_column("checkpoint", pa.array([], pa.string()))
+            out = [none.append_column("repr", pa.array([], pa.list_(pa.float64())))]
         joined = pa.concat_tables(out)
         named = joined.append_column(DATASET, pa.array([keys[0].as_py()] * joined.num_rows, pa.string()))
-        return named.select([DATASET, "checkpoint", SERIES_ID, *extra, "repr"])
+        return named.select([DATASET, "checkpoint", *extra, "repr"])
 
-    columns = [DATASET, SERIES_ID, SERIES, *extra]
-    return apply_with_parameters(df.select(*columns), encoders.select(DATASET, "checkpoint", "w"), run, schema)
+    return apply_with_parameters(df, encoders.select(DATASET, "checkpoint", "w"), run, schema)

@@ -74,12 +74,13 @@ def running_total(
     return summed.withColumn(name, F.col("_offset") + F.col("_inner")).drop("_bucket", "_offset", "_inner")
 
 
-def with_value_bucket(df: DataFrame, col: str, name: str = "_bucket", buckets: int = 256) -> DataFrame:
+def with_value_bucket(df: DataFrame, col: str, name: str = "_bucket") -> DataFrame:
     """Add a bucket number that never falls as the value of ``col`` grows.
 
-    The cut points are approximate quantiles (at most ``buckets`` numbers). They
+    The cut points are approximate quantiles, a few per shuffle partition. They
     only steer how the work is spread; results do not depend on them.
     """
+    buckets = min(8192, max(128, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     shares = [i / buckets for i in range(1, buckets)]
     cuts = df.agg(F.percentile_approx(F.col(col).cast("double"), shares, 10 * buckets).alias("cuts")).first()["cuts"]
     points = sorted({float(c) for c in cuts or [] if math.isfinite(c)}) or [0.0]

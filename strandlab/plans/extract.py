@@ -50,8 +50,7 @@ class FittedLinear:
     encoders: DataFrame
 
     def encode(self, df: DataFrame) -> DataFrame:
-        coded = distill.encode_linear(df.select(*ROW, SERIES), self.encoders).drop("checkpoint")
-        return df.join(coded, ROW)
+        return distill.encode_linear(df, self.encoders, keep_series=True).drop("checkpoint")
 
 
 @dataclass
