@@ -43,10 +43,11 @@ def prepared(df: DataFrame, fit_rows: DataFrame, key: str = DATASET) -> DataFram
     not constant, so ``1 / (d * variance)`` is one over their number.
     """
     filled = fit_rows.withColumn(SERIES, arrays.impute(SERIES))
-    moments = materialise(scaling.step_moments(filled, (key,)), "moments")
-    gamma = moments.groupBy(key).agg((1.0 / F.greatest(F.count_if(F.col("std") > 0), F.lit(1))).alias("gamma"))
+    moments = scaling.step_moments(filled, (key,))
+    varying = F.size(F.filter("_fit", lambda m: m["std"] > 0))
+    gamma = F.lit(1.0) / F.greatest(varying, F.lit(1))
     rows = df.withColumn(SERIES, arrays.impute(SERIES))
-    return join_small(scaling.standardise_steps(rows, moments, (key,)), gamma, key)
+    return scaling.standardise_steps(rows, moments, (key,), gamma=gamma)
 
 
 def _fourier(x: np.ndarray, gamma: float, seed: int, n_features: int) -> np.ndarray:

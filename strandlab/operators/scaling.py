@@ -85,10 +85,14 @@ def scale_channels(
 
 
 def standardise_steps(
-    df: DataFrame, fit: DataFrame, keys: Sequence[str] = (DATASET,), series: str = SERIES
+    df: DataFrame, fit: DataFrame, keys: Sequence[str] = (DATASET,), series: str = SERIES, **also: Column
 ) -> DataFrame:
-    """``(x - mean) / std`` per step with the population deviation; a constant step gives 0."""
-    joined = join_small(df, _packed(fit, keys, "pos"), keys, numbers=F.size("_fit") * 3)
+    """``(x - mean) / std`` per step with the population deviation; a constant step gives 0.
+
+    ``also`` adds columns computed from the packed fit of the data set, ``_fit``.
+    """
+    packed = _packed(fit, keys, "pos").withColumns(also)
+    joined = join_small(df, packed, keys, numbers=F.size("_fit") * 3)
     scaled = F.zip_with(
         series, "_fit", lambda x, m: (x - m["mean"]) / F.when(m["std"] == 0, F.lit(1.0)).otherwise(m["std"])
     )
