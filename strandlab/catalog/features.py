@@ -145,7 +145,7 @@ def f05(spark, d):
 
 
 @query("f06_tuples_to_matrix", "", """SELECT l_orderkey, l_partkey, l_linenumber::BIGINT AS l_linenumber, v.pos, v.value FROM lineitem,
-    LATERAL (VALUES (0, l_quantity), (1, l_discount), (2, l_tax)) v(pos, value)""")
+    LATERAL (VALUES (0::BIGINT, l_quantity), (1, l_discount), (2, l_tax)) v(pos, value)""")
 def f06(spark, d):
     tuples = F.array(F.struct(F.col("l_quantity").alias("a"), F.col("l_discount").alias("b"), F.col("l_tax").alias("c")))
     rows = table(spark, d, "lineitem").withColumn("m", arrays.tuples_to_matrix(tuples, ["a", "b", "c"]))

@@ -157,7 +157,7 @@ def p13(spark, d):
 
 @query("p14_seeded_shuffle", "ser", """SELECT dataset_name, series_id, e AS epoch,
     row_number() OVER (PARTITION BY dataset_name, e ORDER BY md5('42-' || e || '-' || series_id)) AS place
-    FROM ser CROSS JOIN (VALUES (0), (1)) v(e)""")
+    FROM ser CROSS JOIN (VALUES (0::BIGINT), (1)) v(e)""")
 def p14(spark, d):
     rows = series(spark, d).select("dataset_name", "series_id")
     by_epoch = [batches.shuffled(rows, 42, e).withColumn("epoch", F.lit(e).cast("bigint")) for e in (0, 1)]
