@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strandlab.llm.minmax_dedup import near_duplicates
+from strandlab.llm.superkmer import drop_repeated_passages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -21,3 +22,10 @@ def op1_minmax_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op1_minmax_dedup"] = op1_minmax_dedup
+
+
+def op7_superkmer_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return drop_repeated_passages(table(spark, folder, "documents"))
+
+
+QUERIES["op7_superkmer_dedup"] = op7_superkmer_dedup
