@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandlab.llm.minmax_dedup import near_duplicates
 from strandlab.llm.superkmer import drop_repeated_passages
+from strandlab.llm.swap_packing import pack_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -29,3 +30,10 @@ def op7_superkmer_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op7_superkmer_dedup"] = op7_superkmer_dedup
+
+
+def op8_swap_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(table(spark, folder, "documents"))
+
+
+QUERIES["op8_swap_packing"] = op8_swap_packing
