@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandlab.llm.license_scan import license_labels, scan_licenses
 from strandlab.llm.minmax_dedup import near_duplicates
 from strandlab.llm.superkmer import drop_repeated_passages
 from strandlab.llm.swap_packing import pack_documents
@@ -37,3 +38,10 @@ def op8_swap_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op8_swap_packing"] = op8_swap_packing
+
+
+def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_labels(scan_licenses(table(spark, folder, "documents")))
+
+
+QUERIES["op9_license_scan"] = op9_license_scan
