@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandlab.llm.html_extract import extract_pages, train_on
 from strandlab.llm.license_scan import license_labels, scan_licenses
 from strandlab.llm.minmax_dedup import near_duplicates
 from strandlab.llm.superkmer import drop_repeated_passages
@@ -45,3 +46,11 @@ def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op9_license_scan"] = op9_license_scan
+
+
+def op10_lstm_extract(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return extract_pages(pages, train_on(pages))
+
+
+QUERIES["op10_lstm_extract"] = op10_lstm_extract
