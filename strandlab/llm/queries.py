@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandlab.llm import line_crf
 from strandlab.llm.html_extract import extract_pages, train_on
 from strandlab.llm.license_scan import license_labels, scan_licenses
 from strandlab.llm.minmax_dedup import near_duplicates
@@ -54,3 +55,12 @@ def op10_lstm_extract(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op10_lstm_extract"] = op10_lstm_extract
+
+
+def op4_line_crf(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    model = line_crf.train_on(documents, table(spark, folder, "labels"))
+    return line_crf.score_documents(documents, model)
+
+
+QUERIES["op4_line_crf"] = op4_line_crf
