@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 
 from strandlab.llm.words import WordReader, chunks_of, mix
 
-SAMPLE_DOCUMENTS = 3000
+SAMPLE_DOCUMENTS = 2000
 SAMPLE_BYTES = 1 << 16
-STEPS = 120
-PENALTY = 1e-3
+STEPS = 150
+PENALTY = 2e-4
 CHAIN_PENALTY = 3e-2
 THRESHOLD = 0.7
-SHARES = 9
+SHARES = 11
 FEATURES = 2 * SHARES + 3
 
 
@@ -69,7 +69,7 @@ class LineReader:
         words = np.diff(first).astype(np.float64)
         hashed = self.reader.hashes(data, begin, end)
         owner = np.repeat(np.arange(len(starts), dtype=np.uint64), np.diff(first))
-        same, distinct, often = np.zeros(len(starts)), np.zeros(len(starts)), np.zeros(len(starts))
+        same, distinct, often, edge, tail = np.zeros((5, len(starts)))
         if len(hashed):
             next_same = (hashed[1:] == hashed[:-1]) & (owner[1:] == owner[:-1])
             same = np.bincount(owner[1:][next_same].astype(np.int64), minlength=len(starts)).astype(np.float64)
@@ -77,6 +77,8 @@ class LineReader:
             new = np.ones(len(keys), bool)
             new[1:] = keys[1:] != keys[:-1]
             distinct = np.bincount((keys[new] >> np.uint64(40)).astype(np.int64), minlength=len(starts)).astype(np.float64)
+            edge = np.bincount(owner.astype(np.int64), symbol[begin], len(starts))
+            tail = np.bincount(owner.astype(np.int64), symbol[end - 1], len(starts))
             full = np.flatnonzero(words)
             place = np.arange(len(hashed), dtype=np.uint64) - np.repeat(first[:-1], np.diff(first)).astype(np.uint64)
             print_ = np.zeros(len(starts), np.uint64)
@@ -90,9 +92,11 @@ class LineReader:
             [
                 total(symbol) / seen1,
                 total(runs) / seen1,
-                upper / np.maximum(upper + lower, 1),
+                upper / np.maximum(upper + lower, 1) * np.clip(words / 6, 0, 1),
                 total(kind == 3) / seen1,
                 total(kind == 4) / seen1,
+                edge / words1,
+                tail / words1,
                 same / words1,
                 np.where(words > 0, 1 - distinct / words1, 0.0) * long_text,
                 often,
@@ -195,12 +199,11 @@ def loss_and_gradient(model: Model, x: np.ndarray, starts: np.ndarray, good: np.
 
 
 def fit(x: np.ndarray, starts: np.ndarray, good: np.ndarray, steps: int = STEPS, rate: float = 0.15) -> Model:
-    """Model of documents given as lines; both labels weigh the same, and a long document no more than a short one."""
+    """Model of documents given as lines; a long document weighs no more than a short one."""
     model = Model(np.zeros(x.shape[1]), np.zeros((2, 2)))
     if not len(good):
         return model
-    bad_share = np.clip(1 - good.mean(), 0.01, 0.99)
-    weight = np.where(good == 1, 0.5 / (1 - bad_share), 0.5 / bad_share) / np.maximum(np.diff(starts), 1)
+    weight = 1 / np.maximum(np.diff(starts), 1)
     m, v = [np.zeros_like(p) for p in model], [np.zeros_like(p) for p in model]
     for t in range(1, steps + 1):
         _, g = loss_and_gradient(model, x, starts, good, weight)
