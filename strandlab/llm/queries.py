@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandlab.llm import line_crf
+from strandlab.llm import line_crf, pii_semicrf
 from strandlab.llm.html_extract import extract_pages, train_on
 from strandlab.llm.license_scan import license_labels, scan_licenses
 from strandlab.llm.minmax_dedup import near_duplicates
@@ -64,3 +65,13 @@ def op4_line_crf(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op4_line_crf"] = op4_line_crf
+
+
+def op3_semicrf_pii(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    found = pii_semicrf.find_personal_data(documents, pii_semicrf.train_on(documents))
+    counts = [f"n_{k}" for k in pii_semicrf.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+QUERIES["op3_semicrf_pii"] = op3_semicrf_pii
