@@ -2,14 +2,15 @@
 
 Every permutation gives two values of a shingle set, its smallest and its largest hash; both agree between two sets with the
 probability of their similarity, so a signature of 80 values costs 40 hash evaluations per shingle. Bands of four
-values are the buckets. Documents of a bucket are compared with a centre of the bucket only, first the one that
-lies in the fullest buckets, then others, as long as the bucket's documents are not known to belong together; what is
-then still apart is compared pair by pair. All links are confirmed on the full shingle sets.
+values are the buckets. Documents of a bucket are compared with its centre, the one that lies in the fullest buckets. Where
+that does not show that all of them belong together, the bucket is looked at in tiles, each of which computes all
+intersections of its documents as one matrix product and returns a forest of links. All links hold on the full shingle sets.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +23,8 @@ SHINGLE_WORDS = 5
 PERMUTATIONS = 40
 BAND_VALUES = 4
 SIMILARITY = 85
-CENTRE_ROUNDS = 3
+TILE_DOCUMENTS = 256
+TILE_CELLS = 1 << 20
 BROADCAST_IDS = 1 << 20
 
 
@@ -107,6 +109,58 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     )
 
 
+def tile_links(sets: list[np.ndarray], sizes: np.ndarray, components: np.ndarray, similarity: int) -> list[tuple[int, int]]:
+    """Links between documents of different components that tie together all that can be tied: no more than documents."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    values = np.concatenate(sets)
+    _, column, count = np.unique(values, return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    owner, column = owner[shared], column[shared]
+    _, column = np.unique(column, return_inverse=True)
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    width = max(1, TILE_CELLS // len(sets))
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, [lo, lo + width])
+        part = np.zeros((len(sets), width), np.float32)
+        part[owner[a:b], column[a:b] - lo] = 1
+        common += part @ part.T
+    common = np.rint(common).astype(np.int64)
+    linked = 100 * common >= similarity * (sizes[:, None] + sizes[None, :] - common)
+    out, label = [], components.copy()
+    for i in range(len(sets)):
+        for j in np.flatnonzero(linked[i] & (label != label[i])):
+            if label[j] != label[i]:
+                out.append((i, int(j)))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def _tile_links(rows: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """``a, b`` for documents of one bucket (``key``) that are linked and in different components.
+
+    A bucket of several ``blocks`` is compared block by block: a row goes to every tile of its block, which holds at
+    most two blocks. A tile returns links, never pairs.
+    """
+
+    def run(tile: pd.DataFrame) -> pd.DataFrame:
+        tile = tile.sort_values("doc_id", ignore_index=True)
+        if tile["component"].nunique() < 2:
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        found = tile_links(list(tile["shingles"]), tile["n_shingles"].to_numpy(), tile["component"].to_numpy(), similarity)
+        ids = tile["doc_id"].to_numpy()
+        return pd.DataFrame({"a": [ids[i] for i, _ in found], "b": [ids[j] for _, j in found]}, dtype="int64")
+
+    mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    tiles = rows.withColumn("_mine", mine.cast("int")).withColumn("_other", F.explode(every))
+    tiles = tiles.select(
+        "key", F.least("_mine", "_other").alias("lo"), F.greatest("_mine", "_other").alias("hi"), "doc_id", "n_shingles", "component"
+    )
+    return tiles.join(sets, "doc_id").groupBy("key", "lo", "hi").applyInPandas(run, "a long, b long")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -154,38 +208,21 @@ def near_duplicates(
     repeated = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("a"))
     tied = materialise(same_id.join(repeated, "a", "left_semi").select("a", "b"), "tied")
 
-    fits = F.expr(f"100 * least(n_a, n_b) >= {similarity} * greatest(n_a, n_b)")
-    seen, links = None, tied
-    for turn in range(CENTRE_ROUNDS + 1):
-        found = components(links) if turn else None
-        here = placed
-        if turn:
-            here = placed.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
-                "component", F.coalesce("component", "doc_id")
-            )
-            open_keys = here.groupBy("key").agg(F.min("component").alias("_l"), F.max("component").alias("_h")).where("_l < _h")
-            here = materialise(here.join(open_keys.select("key"), "key"), "open")
-            if here.isEmpty():
-                break
-        else:
-            here = here.withColumn("component", F.col("doc_id"))
-        side = ["key", F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("component").alias("_cb")]
-        if turn < CENTRE_ROUNDS:
-            rank = F.col("popular") if turn % 2 == 0 else F.xxhash64("doc_id", "key", F.lit(turn))
-            best = F.max(F.struct(rank.alias("r"), (-F.col("doc_id")).alias("i"), "n_shingles", "component")).alias("c")
-            other = here.groupBy("key").agg(best).select(
-                "key", (-F.col("c.i")).alias("b"), F.col("c.n_shingles").alias("n_b"), F.col("c.component").alias("_cb")
-            )
-            apart = F.expr("a <> b and component <> _cb")
-        else:
-            other, apart = here.select(*side), F.expr("a < b and component <> _cb")
-        pairs = here.select("key", F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), "component").join(other, "key").where(apart & fits)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        checked = materialise(_confirmed(materialise(pairs, "pairs"), sets, similarity), "checked")
-        seen = checked.select("a", "b") if seen is None else seen.unionByName(checked.select("a", "b"))
-        links = links.unionByName(checked.where("linked").select("a", "b"))
+    # first all documents of a bucket against its centre
+    rank = F.struct(F.col("popular").alias("r"), (-F.col("doc_id")).alias("i"), "n_shingles")
+    centres = placed.groupBy("key").agg(F.max(rank).alias("c")).select("key", (-F.col("c.i")).alias("b"), F.col("c.n_shingles").alias("n_b"))
+    fits = F.expr(f"a <> b and 100 * least(n_a, n_b) >= {similarity} * greatest(n_a, n_b)")
+    pairs = placed.select("key", F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a")).join(centres, "key").where(fits)
+    pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    links = tied.unionByName(materialise(_confirmed(pairs, sets, similarity), "checked").where("linked").select("a", "b"))
+    # then the buckets whose documents are not yet known to belong together, in tiles of bounded size
+    found = components(links).withColumnRenamed("node", "doc_id")
+    here = placed.join(found, "doc_id", "left").select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
+    here = materialise(here, "with-components")
+    sizes = here.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h"), F.count(F.lit(1)).alias("n")).where("l < h")
+    blocks = F.ceil(F.col("n") / TILE_DOCUMENTS).cast("int").alias("blocks")
+    open_rows = here.join(sizes.select("key", blocks), "key")
+    links = links.unionByName(materialise(_tile_links(open_rows, sets, similarity), "tile-links"))
     parts = materialise(components(links).withColumnRenamed("node", "rep"), "components")
     named = members.join(parts, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     rest = signed_docs.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
