@@ -153,7 +153,7 @@ class Tokens:
         digits = np.concatenate([[0], np.cumsum(self.kind == 1)])
         ats = np.concatenate([[0], np.cumsum(self.kind == 5)])
         a, b = [], []
-        for size in range(1, most + 1):
+        for size in range(1, min(most, n) + 1):
             i = np.flatnonzero(can_begin[: n - size + 1] & can_end[size - 1 :] & (self.region[: n - size + 1] == self.region[size - 1 :]))
             j = i + size - 1
             s, e = self.start[i], self.end[j]
