@@ -21,6 +21,7 @@ from strandlab.session import materialise
 WINDOW_WORDS = 35
 MINIMISER_WORDS = 8
 BUCKET_STRINGS = 256
+LIST_WINDOWS = 4096
 BROADCAST_IDS = 1 << 20
 
 
@@ -148,18 +149,40 @@ def _bucket_batches(window: int):
     return run
 
 
+def _prints(packed: bytes, window: int) -> np.ndarray:
+    """128 bits for each window of a packed string."""
+    joined = b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in windows_of(packed, window))
+    return np.frombuffer(joined, np.int64).reshape(-1, 2)
+
+
 def _window_batches(window: int):
-    """Windows of the strings of a large bucket, by 128 bits of their words."""
+    """Different windows of the strings of large buckets and how often they are seen, added up per batch."""
 
     def run(batches):
         for batch in batches:
-            for b, key, packed, n in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("least", "string_key", "packed", "n"))):
-                found = windows_of(packed, window)
-                prints = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in found), np.int64).reshape(-1, 2)
-                k = len(found)
-                yield pa.RecordBatch.from_pydict(
-                    {"least": [b] * k, "string_key": [key] * k, "offset": pa.array(range(k), pa.int32()), "wa": prints[:, 0].copy(), "wb": prints[:, 1].copy(), "n": [n] * k}
-                )
+            seen: dict[tuple[int, int, int], int] = {}
+            for b, packed, n in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("least", "packed", "n"))):
+                for wa, wb in _prints(packed, window).tolist():
+                    seen[b, wa, wb] = seen.get((b, wa, wb), 0) + n
+            least, wa, wb = zip(*seen) if seen else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (least, wa, wb, list(seen.values()))], names=["least", "wa", "wb", "n"])
+
+    return run
+
+
+def _marked_batches(window: int):
+    """Places of the repeated windows (``often``) in the strings of large buckets."""
+
+    def run(batches):
+        for batch in batches:
+            cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("least", "string_key", "packed", "often")]
+            out: list[tuple] = []
+            for b, key, packed, often in zip(*cols):
+                wanted = {(w["wa"], w["wb"]) for w in often}
+                hits = [i for i, w in enumerate(_prints(packed, window).tolist()) if tuple(w) in wanted]
+                if hits:
+                    out.append((b, key, hits))
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out) if out else ([], [], []), FOUND.types)], schema=FOUND)
 
     return run
 
@@ -247,13 +270,16 @@ def repeated_windows(
     by_bucket = ordinary.repartition(parts, "least").sortWithinPartitions("least").mapInArrow(
         _bucket_batches(window), "least long, string_key long, offsets array<int>"
     )
-    single = strings.join(small_side, "least", "left_semi").mapInArrow(
-        _window_batches(window), "least long, string_key long, offset int, wa long, wb long, n long"
+    # a window lies in one bucket only, so the repeated windows of a large bucket are brought to its strings, in lists of bounded size
+    crowded = strings.join(small_side, "least", "left_semi")
+    single = crowded.mapInArrow(_window_batches(window), "least long, wa long, wb long, n long")
+    often = materialise(single.groupBy("least", "wa", "wb").agg(F.sum("n").alias("k")).where("k > 1").drop("k"), "often")
+    lists = F.ceil(F.count(F.lit(1)) / LIST_WINDOWS).alias("lists")
+    often = often.join(often.groupBy("least").agg(lists), "least").withColumn("part", F.pmod("wa", "lists"))
+    often = materialise(often.groupBy("least", "part").agg(F.collect_list(F.struct("wa", "wb")).alias("often")), "often-lists")
+    by_window = crowded.join(often, "least").select("least", "string_key", "packed", "often").mapInArrow(
+        _marked_batches(window), "least long, string_key long, offsets array<int>"
     )
-    single = materialise(single, "single-windows")
-    often = single.groupBy("wa", "wb").agg(F.sum("n").alias("k")).where("k > 1").select("wa", "wb")
-    by_window = materialise(single.join(often, ["wa", "wb"], "left_semi").select("least", "string_key", "offset"), "often")
-    by_window = by_window.groupBy("least", "string_key").agg(F.collect_list("offset").alias("offsets"))
     found = materialise(by_bucket.unionByName(by_window), "repeated")
     places = packed.select(*doc, "start", "least", "string_key").join(found, ["least", "string_key"])
     places = materialise(places.select(*doc, F.transform("offsets", lambda o: o + F.col("start")).alias("offsets")), "places")
