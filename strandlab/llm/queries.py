@@ -13,6 +13,7 @@ from strandlab.llm.license_scan import license_labels, scan_licenses
 from strandlab.llm.minmax_dedup import near_duplicates
 from strandlab.llm.superkmer import drop_repeated_passages
 from strandlab.llm.swap_packing import pack_documents
+from strandlab.llm.template_decon import find_leaks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -75,3 +76,10 @@ def op3_semicrf_pii(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op3_semicrf_pii"] = op3_semicrf_pii
+
+
+def op5_template_decon(spark: SparkSession, folder: str) -> DataFrame:
+    return find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+QUERIES["op5_template_decon"] = op5_template_decon
