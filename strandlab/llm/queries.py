@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlab.llm import line_crf, pii_semicrf
+from strandlab.llm.collision_ann import nearest
 from strandlab.llm.html_extract import extract_pages, train_on
 from strandlab.llm.license_scan import license_labels, scan_licenses
 from strandlab.llm.minmax_dedup import near_duplicates
 from strandlab.llm.superkmer import drop_repeated_passages
 from strandlab.llm.swap_packing import pack_documents
 from strandlab.llm.template_decon import find_leaks
+from strandlab.llm.trie_tokens import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -83,3 +85,18 @@ def op5_template_decon(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op5_template_decon"] = op5_template_decon
+
+
+def op2_collision_ann(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+QUERIES["op2_collision_ann"] = op2_collision_ann
+
+
+def op6_trie_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return count_tokens(table(spark, folder, "documents"))
+
+
+QUERIES["op6_trie_tokens"] = op6_trie_tokens
