@@ -1,21 +1,54 @@
-"""Corpus pipeline: stages in order, each over all documents that its predecessor kept."""
+"""Corpus pipeline: stages in order, each over all documents that its predecessor kept.
+
+Bad documents go, one document of each near-duplicate group stays, documents with benchmark items go, personal data
+is masked, and what is left is packed into token sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandlab.llm import line_crf, pii_semicrf
 from strandlab.llm.minmax_dedup import drop_near_duplicates
+from strandlab.llm.swap_packing import pack_documents
+from strandlab.llm.template_decon import drop_leaks
 from strandlab.session import materialise
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose lines look good stay; the model learns from the labelled documents among them that are not held out."""
+    return line_crf.keep_good(docs, line_crf.train_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
     return drop_near_duplicates(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind in brackets."""
+    return pii_semicrf.redact_documents(docs, pii_semicrf.train_on(docs))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' token ids and their places in sequences."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("packing", packing),
+]
 
-ORACLE_SQL = None  # hashing, trained models and local search are not SQL
+ORACLE_SQL = None  # trained models, hashing and local search are not SQL; the stages are tested against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

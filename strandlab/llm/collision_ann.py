@@ -41,7 +41,8 @@ class Block:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
-        moved = vectors @ projections(vectors.shape[1])
+        self.projections = projections(vectors.shape[1])
+        moved = vectors @ self.projections
         self.order = np.argsort(moved, axis=0, kind="stable").T.copy()
         self.sorted = np.take_along_axis(moved.T, self.order, axis=1)
         some = np.linspace(0, len(ids) - 1, min(SCALE_SAMPLE, len(ids))).astype(np.int64)
@@ -54,7 +55,7 @@ class Block:
     def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Nearest verified vectors other than the query's own: ids and distances, ties to smaller ids."""
         n, m = len(self.ids), len(self.sorted)
-        at = query @ projections(len(query))
+        at = query @ self.projections
         own = self.ids == query_id
         wanted = min(k, n - int(own.sum()))
         if wanted <= 0:

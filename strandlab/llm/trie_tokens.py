@@ -89,16 +89,11 @@ class Unigram:
         first = np.concatenate([[0], np.cumsum(size)])
         code = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64)
         # nodes: number, parent, hash of the prefix, best score and count; node 0 is the root
-        parent, hashed = [np.zeros(1, np.int64)], [np.zeros(1, np.uint64)]
-        best, pieces = [np.zeros(1)], [np.zeros(1, np.int64)]
-        all_parent, all_hash, all_best, all_pieces = parent[0], hashed[0], best[0], pieces[0]
+        all_parent, all_pieces = np.zeros((2, 1), np.int64)
+        all_hash, all_best = np.zeros(1, np.uint64), np.zeros(1)
         node = np.zeros(n, np.int64)  # of each pre-token's prefix
-        apart = np.ones(n, bool)  # differs from the pre-token before it somewhere up to here
-        apart[1:] = False
         total = 1
-        power = np.ones(self.longest + 1, np.uint64)
-        for k in range(1, self.longest + 1):
-            power[k] = power[k - 1] * BASE
+        power = np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(self.longest, BASE))])
         for d in range(int(size.max())):
             alive = np.flatnonzero(size > d)
             char = code[first[:-1][alive] + d]
@@ -131,7 +126,6 @@ class Unigram:
             n_pieces[better] = (all_pieces[up] + width)[better]
             number = total + np.cumsum(new) - 1
             node[alive] = number
-            parent.append(up)
             total += len(head)
             all_parent, all_hash = np.concatenate([all_parent, up]), np.concatenate([all_hash, h])
             all_best, all_pieces = np.concatenate([all_best, top]), np.concatenate([all_pieces, n_pieces])
