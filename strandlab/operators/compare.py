@@ -74,27 +74,53 @@ def mean_over_runs(cells: DataFrame) -> DataFrame:
 # --- blocks and ranks --------------------------------------------------------------------------
 
 
+def _present() -> Column:
+    """A value that counts: neither null nor NaN."""
+    return F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double"))
+
+
+def _one_cell_each(cells: DataFrame) -> DataFrame:
+    """Fails on a block that holds an algorithm twice."""
+    times = F.count(F.lit(1)).over(W.partitionBy(*BLOCK, "algorithm"))
+    message = F.concat(
+        F.lit("more than one value of "), F.col("algorithm"), F.lit(" in data set "), F.col(DATASET), F.lit(", run "), F.col("run").cast("string")
+    )
+    return cells.withColumn("_times", times).where(F.when(F.col("_times") > 1, F.raise_error(message).cast("boolean")).otherwise(True)).drop("_times")
+
+
 def block_report(cells: DataFrame, algorithms: Sequence[str]) -> DataFrame:
-    """Blocks with their number of algorithms and whether all are there."""
+    """Blocks with their number of different algorithms, of repeated cells, and whether each algorithm is there exactly once.
+
+    A null or NaN value counts as missing.
+    """
     return (
         cells.where(F.col("algorithm").isin(list(algorithms)))
+        .groupBy(*BLOCK, "algorithm")
+        .agg(F.count_if(_present()).alias("_n"), F.count(F.lit(1)).alias("_rows"))
         .groupBy(*BLOCK)
-        .agg(F.count("value").alias("n_algorithms"))
-        .withColumn("complete", F.col("n_algorithms") == len(algorithms))
+        .agg(F.count_if(F.col("_n") > 0).alias("n_algorithms"), F.sum(F.col("_rows") - 1).alias("n_repeated"))
+        .withColumn("complete", (F.col("n_algorithms") == len(set(algorithms))) & (F.col("n_repeated") == 0))
     )
 
 
 def complete_blocks(cells: DataFrame, algorithms: Sequence[str]) -> DataFrame:
-    """Cells of the blocks that hold every algorithm. The window sees one block, so one row per algorithm."""
-    listed = cells.where(F.col("algorithm").isin(list(algorithms)))
-    counted = listed.withColumn("_k", F.count("value").over(W.partitionBy(*BLOCK)))
-    return counted.where(F.col("_k") == len(algorithms)).drop("_k")
+    """Cells of the blocks that hold a value of every algorithm. The window sees one block, so one row per algorithm.
+
+    A null or NaN value counts as missing; a block with two rows of one algorithm is an error.
+    """
+    listed = _one_cell_each(cells.where(F.col("algorithm").isin(list(algorithms))))
+    counted = listed.withColumn("_k", F.count_if(_present()).over(W.partitionBy(*BLOCK)))
+    return counted.where(F.col("_k") == len(set(algorithms))).drop("_k")
 
 
 def ranked(cells: DataFrame, higher_is_better: bool = True) -> DataFrame:
-    """Rank in the block, 1 is best; equal values share their mean rank. Adds ``ties``, rows of equal value."""
+    """Rank in the block, 1 is best; equal values share their mean rank. Adds ``ties``, rows of equal value.
+
+    A NaN ranks last whichever side is better, and a null after it.
+    """
+    failed = F.when(F.col("value").isNull(), 2).when(F.isnan(F.col("value").cast("double")), 1).otherwise(0)
     order = F.desc("value") if higher_is_better else F.asc("value")
-    in_block = W.partitionBy(*BLOCK).orderBy(order)
+    in_block = W.partitionBy(*BLOCK).orderBy(failed, order)
     first = F.rank().over(in_block)
     ties = F.count(F.lit(1)).over(W.partitionBy(*BLOCK, "value"))
     return cells.withColumn("ties", ties).withColumn("_first", first).withColumn(
@@ -107,17 +133,22 @@ def average_ranks(cells: DataFrame, higher_is_better: bool = True) -> DataFrame:
 
 
 def _chi_square_tail(x: float, dof: int) -> float:
+    """Finite sums for whole degrees of freedom, added up in logs so that many algorithms do not overflow."""
+    if math.isnan(x) or dof < 1:
+        return math.nan
     half = x / 2.0
-    if dof % 2 == 0:
-        return math.exp(-half) * sum(half**i / math.factorial(i) for i in range(dof // 2))
-    tail = math.erfc(math.sqrt(half))
-    return tail + math.exp(-half) * sum(half ** (i - 0.5) / math.gamma(i + 0.5) for i in range(1, (dof + 1) // 2))
+    if half <= 0:
+        return 1.0
+    odd = dof % 2
+    steps = [(i - 0.5 * odd) * math.log(half) - half - math.lgamma(i - 0.5 * odd + 1) for i in range(odd, (dof + odd) // 2)]
+    return (math.erfc(math.sqrt(half)) if odd else 0.0) + math.fsum(math.exp(t) for t in steps)
 
 
 @F.pandas_udf(T.DoubleType())
 def chi_square_tail(x: pd.Series, dof: pd.Series) -> pd.Series:
     """Upper tail of the chi-square distribution; called on single result rows."""
-    return pd.Series([_chi_square_tail(float(a), int(b)) for a, b in zip(x, dof)], dtype="float64")
+    found = [None if pd.isna(a) else _chi_square_tail(float(a), int(b)) for a, b in zip(x, dof)]
+    return pd.Series(found, dtype="float64")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -140,7 +171,10 @@ def signed_rank_tail(t: pd.Series, n: pd.Series) -> pd.Series:
 
 
 def friedman(cells: DataFrame, higher_is_better: bool = True) -> DataFrame:
-    """Tie-corrected Friedman statistic of complete blocks, one row with ``statistic`` and ``p_value``."""
+    """Tie-corrected Friedman statistic of complete blocks, one row with ``statistic`` and ``p_value``.
+
+    Both are null where every block ties all its values, or where there is no block or one algorithm only.
+    """
     sums = ranked(cells, higher_is_better).groupBy("algorithm").agg(
         F.sum("rank").alias("_r"),
         F.count(F.lit(1)).alias("_n"),
@@ -154,26 +188,35 @@ def friedman(cells: DataFrame, higher_is_better: bool = True) -> DataFrame:
         F.sum("_t").alias("_ties"),
     )
     k, n = F.col("k").cast("double"), F.col("n_blocks").cast("double")
-    raw = 12.0 / (k * n * (k + 1)) * F.col("_r2") - 3.0 * n * (k + 1)
-    correction = 1.0 - F.col("_ties") / (n * k * (k * k - 1))
-    out = one.withColumn("statistic", raw / correction)
-    return out.select("k", "n_blocks", "statistic", chi_square_tail("statistic", F.col("k") - 1).alias("p_value"))
+    raw = F.try_divide(F.lit(12.0), k * n * (k + 1)) * F.col("_r2") - 3.0 * n * (k + 1)
+    correction = 1.0 - F.try_divide(F.col("_ties").cast("double"), n * k * (k * k - 1))
+    # a correction of 0 up to rounding: nothing is ranked
+    told_apart = (F.col("k") > 1) & (F.abs(correction) > 1e-12)
+    out = one.withColumn("statistic", F.when(told_apart, F.try_divide(raw, correction)))
+    p_value = F.when(F.col("statistic").isNotNull(), chi_square_tail("statistic", F.col("k") - 1))
+    return out.select("k", "n_blocks", "statistic", p_value.alias("p_value"))
 
 
-def critical_values(test: str, alpha: float) -> Column:
-    """Map from the number of algorithms to the critical value."""
+def critical_value(test: str, alpha: float, k: Column) -> Column:
+    """Critical value for ``k`` algorithms; a number of algorithms without one is an error."""
     if (test, alpha) not in CRITICAL_VALUES:
         raise ValueError(f"no critical values for {test} at {alpha}")
-    pairs = [F.lit(x) for k, q in enumerate(CRITICAL_VALUES[test, alpha], start=2) for x in (k, q)]
-    return F.create_map(*pairs)
+    table = CRITICAL_VALUES[test, alpha]
+    pairs = [F.lit(x) for n, q in enumerate(table, start=2) for x in (n, q)]
+    message = F.concat(F.lit(f"critical values for {test} at {alpha} reach from 2 to {len(table) + 1} algorithms, not "), k.cast("string"))
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), k.cast("int")), F.raise_error(message).cast("double"))
+
+
+def _critical_difference(test: str, alpha: float) -> Column:
+    k, n = F.col("k"), F.col("n_blocks")
+    return F.when(n > 0, critical_value(test, alpha, k) * F.sqrt(k * (k + 1) / (6.0 * n)))
 
 
 def critical_difference(cells: DataFrame, test: str = "nemenyi", alpha: float = 0.05) -> DataFrame:
-    """One row: algorithms, blocks and the least rank gap that counts as different."""
+    """One row: algorithms, blocks and the least rank gap that counts as different (null without blocks)."""
     per = cells.groupBy("algorithm").agg(F.count(F.lit(1)).alias("_n"))
     one = per.agg(F.count(F.lit(1)).alias("k"), F.max("_n").alias("n_blocks"))
-    q = F.element_at(critical_values(test, alpha), F.col("k").cast("int"))
-    return one.withColumn("cd", q * F.sqrt(F.col("k") * (F.col("k") + 1) / (6.0 * F.col("n_blocks"))))
+    return one.withColumn("cd", _critical_difference(test, alpha))
 
 
 def rank_summary(cells: DataFrame, test: str = "nemenyi", alpha: float = 0.05, higher_is_better: bool = True) -> DataFrame:
@@ -184,8 +227,7 @@ def rank_summary(cells: DataFrame, test: str = "nemenyi", alpha: float = 0.05, h
     one = per.agg(
         F.sort_array(F.collect_list(F.struct("avg_rank", "algorithm"))).alias("ranks"), F.max("_n").alias("n_blocks")
     ).withColumn("k", F.size("ranks"))
-    q = F.element_at(critical_values(test, alpha), F.col("k"))
-    return one.withColumn("cd", q * F.sqrt(F.col("k") * (F.col("k") + 1) / (6.0 * F.col("n_blocks"))))
+    return one.withColumn("cd", _critical_difference(test, alpha))
 
 
 def indistinct_groups(summary: DataFrame) -> DataFrame:
@@ -230,9 +272,9 @@ def ranked_list(cells: DataFrame, gate: float = 0.05, higher_is_better: bool = T
 
 
 def paired(cells: DataFrame, first: str, second: str) -> DataFrame:
-    """Values of two algorithms side by side, blocks with both only."""
-    pick = lambda name: F.max(F.when(F.col("algorithm") == name, F.col("value")))
-    both = cells.where(F.col("algorithm").isin(first, second)).groupBy(*BLOCK)
+    """Values of two algorithms side by side, blocks with both only. NaN counts as missing; a repeated cell is an error."""
+    pick = lambda name: F.max(F.when((F.col("algorithm") == name) & _present(), F.col("value")))
+    both = _one_cell_each(cells.where(F.col("algorithm").isin(first, second))).groupBy(*BLOCK)
     return both.agg(pick(first).alias("a"), pick(second).alias("b")).where("a is not null and b is not null")
 
 
@@ -250,8 +292,14 @@ def signed_ranks(pairs: DataFrame) -> DataFrame:
     return upto.withColumn("rank", F.col("_upto") - (F.col("n") - 1) / 2).drop("_upto")
 
 
-def wilcoxon(cells: DataFrame, first: str, second: str) -> DataFrame:
-    """Signed-rank test of two algorithms, one row. ``better`` has the higher mean."""
+def wilcoxon(cells: DataFrame, first: str, second: str, method: str = "auto") -> DataFrame:
+    """Signed-rank test of two algorithms, one row. ``better`` has the higher mean.
+
+    ``method``: how the p-value is found. ``exact`` counts the sums of ranks, which needs differences without ties and zeros (null
+    otherwise); ``approx`` is the normal one; ``auto`` is exact for at most 50 such differences, as usual.
+    """
+    if method not in ("auto", "exact", "approx"):
+        raise ValueError(f"unknown method {method}")
     pairs = paired(cells, first, second)
     ranks = signed_ranks(pairs)
     n = F.col("n").cast("double")
@@ -271,14 +319,14 @@ def wilcoxon(cells: DataFrame, first: str, second: str) -> DataFrame:
     t = F.least("w_plus", "w_minus")
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
     scored = one.withColumn("statistic", t).withColumn("z", (t - n * (n + 1) / 4) / spread).join(means, "_one")
-    # exact distribution for few differences without ties, as the usual default
-    exact = (F.col("n") <= 50) & (F.col("ties") == 0) & (F.col("n_zero") == 0)
+    countable = (F.col("ties") == 0) & (F.col("n_zero") == 0)
+    exact = {"auto": countable & (F.col("n") <= 50), "exact": countable, "approx": F.lit(False)}[method]
     few = F.when(exact, F.col("n")).otherwise(F.lit(0))
     return scored.withColumn("_exact", signed_rank_tail(F.when(exact, t).otherwise(0.0), few)).withColumn(
         "_normal", normal_two_sided("z")
     ).select(
         "n", "w_plus", "w_minus", "statistic", "z",
-        F.when(exact, F.col("_exact")).otherwise(F.col("_normal")).alias("p_value"),
+        F.when(exact, F.col("_exact")).when(F.lit(method != "exact"), F.col("_normal")).alias("p_value"),
         F.when(F.col("mean_first") > F.col("mean_second"), first).otherwise(second).alias("better"),
     )
 

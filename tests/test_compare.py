@@ -71,9 +71,59 @@ def test_chi_square_tail(x, dof, p):
 
 @pytest.mark.parametrize("k, q", [(2, 1.959964), (3, 2.343701), (8, 3.030879), (20, 3.543799)])
 def test_critical_values(spark, k, q):
-    assert spark.range(1).select(F.element_at(compare.critical_values("nemenyi", 0.05), F.lit(k)).alias("q")).first()["q"] == q
+    assert spark.range(1).select(compare.critical_value("nemenyi", 0.05, F.lit(k)).alias("q")).first()["q"] == q
     with pytest.raises(ValueError):
-        compare.critical_values("nemenyi", 0.2)
+        compare.critical_value("nemenyi", 0.2, F.lit(k))
+
+
+def test_more_algorithms_than_critical_values(spark):
+    table = {("x", r): {f"m{i}": (i * 7 + r) % 25 for i in range(25)} for r in range(3)}
+    for fn in (compare.critical_difference, compare.rank_summary, compare.ranks_with_significance):
+        with pytest.raises(Exception, match="from 2 to 20 algorithms, not 25"):
+            fn(cube(spark, table)).collect()
+
+
+def test_all_tied_blocks_have_no_statistic(spark):
+    got = compare.friedman(cube(spark, {("x", r): {"A": 1, "B": 1, "C": 1} for r in range(3)})).first()
+    assert got["statistic"] is None and got["p_value"] is None and got["n_blocks"] == 3
+    assert compare.friedman(cube(spark, TIED).limit(0)).first()["statistic"] is None
+
+
+def test_chi_square_tail_of_many_algorithms():
+    assert compare._chi_square_tail(2000.0, 1999) == pytest.approx(0.4899, abs=1e-3)
+    assert compare._chi_square_tail(4000.0, 400) == 0.0 or compare._chi_square_tail(4000.0, 400) < 1e-300
+    assert compare._chi_square_tail(0.0, 3) == 1.0
+
+
+def test_nan_never_wins_and_repeats_are_errors(spark):
+    nan = float("nan")
+    table = {("x", 1): {"A": nan, "B": 2.0, "C": 1.0}, ("x", 2): {"A": 3.0, "B": 2.0, "C": 1.0}}
+    cells = cube(spark, table)
+    for better in (True, False):
+        got = {r["algorithm"]: r["rank"] for r in compare.ranked(cells, better).where("run = 1").collect()}
+        assert got["A"] == 3
+    assert {r["run"] for r in compare.complete_blocks(cells, ["A", "B", "C"]).collect()} == {2}
+    assert compare.paired(cells, "A", "B").count() == 1
+    twice = cells.unionByName(cells.where("run = 2 and algorithm = 'A'"))
+    with pytest.raises(Exception, match="more than one value of A"):
+        compare.complete_blocks(twice, ["A", "B", "C"]).collect()
+    with pytest.raises(Exception, match="more than one value of A"):
+        compare.paired(twice, "A", "B").collect()
+    # A twice and B missing is not complete
+    odd = cells.where("run = 2 and algorithm <> 'B'").unionByName(cells.where("run = 2 and algorithm = 'A'"))
+    report = compare.block_report(odd, ["A", "B", "C"]).first()
+    assert (report["n_algorithms"], report["n_repeated"], report["complete"]) == (2, 1, False)
+
+
+def test_wilcoxon_methods(spark):
+    a, b = [1.0, 2.0, 3.0, 4.0, 5.0, 6.0], [1.5, 2.25, 2.875, 5.0, 7.0, 2.0]
+    cells = cube(spark, wilcoxon_table(a, b))
+    p = {m: compare.wilcoxon(cells, "A", "B", m).first()["p_value"] for m in ("auto", "exact", "approx")}
+    assert p["auto"] == p["exact"] and p["approx"] != p["exact"]
+    tied = cube(spark, wilcoxon_table([1.0, 2.0, 3.0], [2.0, 1.0, 5.0]))
+    assert compare.wilcoxon(tied, "A", "B", "exact").first()["p_value"] is None
+    with pytest.raises(ValueError):
+        compare.wilcoxon(cells, "A", "B", "guess")
 
 
 def test_critical_difference(spark):
