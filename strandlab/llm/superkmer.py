@@ -21,7 +21,7 @@ from strandlab.session import materialise
 WINDOW_WORDS = 35
 MINIMISER_WORDS = 8
 BUCKET_STRINGS = 256
-LIST_WINDOWS = 4096
+LIST_WINDOWS = 256
 BROADCAST_IDS = 1 << 20
 
 
@@ -171,17 +171,23 @@ def _window_batches(window: int):
 
 
 def _marked_batches(window: int):
-    """Places of the repeated windows (``often``) in the strings of large buckets."""
+    """Places of the repeated windows (``wa, wb``) in the strings of large buckets."""
 
     def run(batches):
         for batch in batches:
-            cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("least", "string_key", "packed", "often")]
+            cols = [batch.column(batch.schema.get_field_index(c)) for c in ("least", "string_key", "packed", "wa", "wb")]
+            ends = np.asarray(cols[3].offsets)
+            wa, wb = np.asarray(cols[3].values), np.asarray(cols[4].values)
             out: list[tuple] = []
-            for b, key, packed, often in zip(*cols):
-                wanted = {(w["wa"], w["wb"]) for w in often}
-                hits = [i for i, w in enumerate(_prints(packed, window).tolist()) if tuple(w) in wanted]
-                if hits:
-                    out.append((b, key, hits))
+            for r, (b, key, packed) in enumerate(zip(*(c.to_pylist() for c in cols[:3]))):
+                mine = slice(ends[r], ends[r + 1])
+                prints = _prints(packed, window)
+                maybe = np.flatnonzero(np.isin(prints[:, 0], wa[mine]))
+                if len(maybe):
+                    wanted = set(zip(wa[mine].tolist(), wb[mine].tolist()))
+                    hits = [i for i in maybe.tolist() if tuple(prints[i].tolist()) in wanted]
+                    if hits:
+                        out.append((b, key, hits))
             yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out) if out else ([], [], []), FOUND.types)], schema=FOUND)
 
     return run
@@ -276,8 +282,9 @@ def repeated_windows(
     often = materialise(single.groupBy("least", "wa", "wb").agg(F.sum("n").alias("k")).where("k > 1").drop("k"), "often")
     lists = F.ceil(F.count(F.lit(1)) / LIST_WINDOWS).alias("lists")
     often = often.join(often.groupBy("least").agg(lists), "least").withColumn("part", F.pmod("wa", "lists"))
-    often = materialise(often.groupBy("least", "part").agg(F.collect_list(F.struct("wa", "wb")).alias("often")), "often-lists")
-    by_window = crowded.join(often, "least").select("least", "string_key", "packed", "often").mapInArrow(
+    pairs = often.groupBy("least", "part").agg(F.collect_list(F.struct("wa", "wb")).alias("w"))
+    often = materialise(pairs.select("least", F.col("w.wa").alias("wa"), F.col("w.wb").alias("wb")), "often-lists")
+    by_window = crowded.join(often, "least").select("least", "string_key", "packed", "wa", "wb").mapInArrow(
         _marked_batches(window), "least long, string_key long, offsets array<int>"
     )
     found = materialise(by_bucket.unionByName(by_window), "repeated")
