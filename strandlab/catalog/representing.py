@@ -213,12 +213,12 @@ def _log(fits):
 
 @query("r13_student_fit")
 def r13(spark, d):
-    return _log(extract.fit_student(parts(spark, d), extract.make_encoder("principal"), epochs=200))
+    return _log(extract.fit_student(parts(spark, d), extract.make_encoder("principal")))
 
 
 @query("r14_autoencoder_fit")
 def r14(spark, d):
-    return _log(extract.fit_student(parts(spark, d), None, epochs=200))
+    return _log(extract.fit_student(parts(spark, d), None))
 
 
 @query("r15_teacher_choice")
@@ -227,7 +227,7 @@ def r15(spark, d):
     supplied = lambda df: encoders.encode_dense(df, encoders.centre_taps(_table(spark, CONV), KERNELS))
     teachers = {"intervals": extract.make_encoder("intervals"), "supplied": extract.make_encoder("supplied", run=supplied)}
     logs = [
-        _log(extract.fit_student(parts(spark, d), t, epochs=50)).withColumn("teacher", F.lit(name))
+        _log(extract.fit_student(parts(spark, d), t)).withColumn("teacher", F.lit(name))
         for name, t in teachers.items()
     ]
     return logs[0].unionByName(logs[1])
@@ -237,7 +237,7 @@ def r15(spark, d):
     FROM parts CROSS JOIN (VALUES ('best'), ('final')) v(checkpoint) GROUP BY 1, 2, 3""")
 def r16(spark, d):
     rows = parts(spark, d)
-    fits = materialise(extract.fit_student(rows, extract.make_encoder("principal"), epochs=50), "students")
+    fits = materialise(extract.fit_student(rows, extract.make_encoder("principal")), "students")
     coded = extract.extract(rows, fits, "student", "principal")
     return coded.groupBy("dataset_name", "checkpoint", "part").agg(
         F.count(F.lit(1)).alias("n"), F.max(F.size("repr")).cast("bigint").alias("size"), F.count_distinct("label").alias("n_classes")

@@ -157,8 +157,8 @@ def c01(spark, d):
 
 @query("c02_seeding")
 def c02(spark, d):
-    """Start centres of five restarts: the centres after no round."""
-    starts = cluster.kmeans(series(spark, d), restarts=5, max_iter=0)
+    """Start centres of all restarts: the centres after no round."""
+    starts = cluster.kmeans(series(spark, d), max_iter=0)
     return long_series(starts.select("dataset_name", "restart", F.posexplode("centres").alias("cluster", "centre")), ["dataset_name", "restart", "cluster"], "centre")
 
 
@@ -203,7 +203,7 @@ def c11(spark, d):
 
 @query("c11_seed_sweep_scores")
 def c11_scores(spark, d):
-    return evaluate.cluster_raw(parts(spark, d), cluster.DECOMPOSER_SEEDS, restarts=10)
+    return evaluate.cluster_raw(parts(spark, d), cluster.DECOMPOSER_SEEDS)
 
 
 @query("c10_scores_of_fixed_clusters", "ser", lloyd_sql(3) + """, own AS (SELECT s.dataset_name, s.series_id, s.label, n.cluster, s.series FROM ser s

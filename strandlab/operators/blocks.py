@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,11 +36,18 @@ def with_blocks(
 
 
 def matrix(table: pa.Table, col: str = SERIES) -> np.ndarray:
-    """List column of equal-length lists to a matrix."""
+    """List column of equal-length lists to a matrix. A null list, a null number or another length is an error."""
     if table.num_rows == 0:
         return np.zeros((0, 0))
-    values = table[col].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return values.astype("float64", copy=False).reshape(table.num_rows, -1)
+    lists = table[col].combine_chunks()
+    sizes = pc.list_value_length(lists)
+    least, most = pc.min_max(sizes).values()
+    values = lists.flatten()
+    if lists.null_count or values.null_count or least != most:
+        where = f" in data set {table[DATASET][0].as_py()}" if DATASET in table.column_names else ""
+        raise ValueError(f"{col} needs lists of one length without nulls{where}: from {least.as_py()} to {most.as_py()} numbers, "
+                         f"{lists.null_count} null lists, {values.null_count} null numbers")
+    return values.to_numpy(zero_copy_only=False).astype("float64", copy=False).reshape(table.num_rows, -1)
 
 
 def list_column(rows: np.ndarray) -> pa.Array:

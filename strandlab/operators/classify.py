@@ -171,7 +171,7 @@ def fourier_column(seed: int = CLASSIFIER_SEED, n_features: int = N_FEATURES):
 
 
 def rbf_linear_svc(
-    train: DataFrame, c: float = 1.0, seed: int = CLASSIFIER_SEED, n_features: int = 64, max_iter: int = 10
+    train: DataFrame, c: float = 1.0, seed: int = CLASSIFIER_SEED, n_features: int = N_FEATURES, max_iter: int = 100
 ) -> PipelineModel:
     """Hinge-loss one-versus-rest machine on Fourier features of prepared rows of one data set."""
     features = array_to_vector(fourier_column(seed, n_features)(SERIES, F.col("gamma")))
@@ -184,7 +184,7 @@ def rbf_linear_svc(
     return Pipeline(stages=[index, machine]).fit(rows)
 
 
-def svc_predictions(model: PipelineModel, rows: DataFrame, seed: int = CLASSIFIER_SEED, n_features: int = 64) -> DataFrame:
+def svc_predictions(model: PipelineModel, rows: DataFrame, seed: int = CLASSIFIER_SEED, n_features: int = N_FEATURES) -> DataFrame:
     """Predicted labels; the index of a label is turned back into the label."""
     ready = rows.withColumn("features", array_to_vector(fourier_column(seed, n_features)(SERIES, F.col("gamma"))))
     names = model.stages[0].labels

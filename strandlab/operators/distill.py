@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from strandlab.operators.blocks import apply_with_parameters, matrix
 from strandlab.operators.gram import series_gram, whole
+from strandlab.operators.logs import early_stopping_settings
 from strandlab.operators.prep import DATASET, PART, SERIES
 
 # Fixed values of the standard training.
@@ -67,13 +68,18 @@ def fit_students(
     lr: float = LEARNING_RATE,
     hint: dict = HINT,
     seed: int = 42,
+    stopping: dict | None = None,
 ) -> DataFrame:
     """Fit one student per data set. ``steps`` holds the series length ``d`` per data set.
 
     Output, one row per data set and epoch: ``train_loss``, ``val_loss``, and
     on the best and the final epoch the encoder ``w`` and decoder ``d``. A
     group holds the rows of two Gram matrices, whatever the number of series.
+    A fit ends early by the rule of ``logs.early_stop``; ``stopping`` has its
+    ``min_delta`` and ``patience``, by default those of the usual profile.
     """
+    stopping = early_stopping_settings(epochs) if stopping is None else stopping
+    min_delta, patience = stopping["min_delta"], max(stopping["patience"], 1)
     schema = (
         f"{DATASET} string, epoch bigint, train_loss double, val_loss double, checkpoint array<string>, "
         "w array<array<double>>, decoder array<array<double>>"
@@ -92,6 +98,7 @@ def fit_students(
         params = [rng.normal(scale=1 / np.sqrt(t), size=(t, k)), rng.normal(scale=1 / np.sqrt(k), size=(k, t))]
         m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         log, best, kept = [], None, {}
+        watched, misses = np.inf, 0
         for epoch in range(epochs):
             w, d = params
             c = _coefficient(epoch, epochs, hint) if cross.size else 0.0
@@ -102,6 +109,9 @@ def fit_students(
             if best is None or val < log[best][2]:
                 best, kept["best"] = epoch, (w.copy(), d.copy())
             kept["final"] = (w.copy(), d.copy())
+            watched, misses = (val, 0) if val + min_delta < watched else (watched, misses + 1)
+            if misses >= patience:
+                break
             rest = s @ (w @ d) - s
             grads = [2 * (1 - c) / t * (rest @ d.T), 2 * (1 - c) / t * (w.T @ rest)]
             if cross.size:
@@ -112,11 +122,11 @@ def fit_students(
                 step = (m[j] / (1 - 0.9 ** (epoch + 1))) / (np.sqrt(v[j] / (1 - 0.999 ** (epoch + 1))) + 1e-8)
                 params[j] = params[j] - lr * step
         marks = {best: ["best"]}
-        marks.setdefault(epochs - 1, []).append("final")
+        marks.setdefault(len(log) - 1, []).append("final")
         held = lambda e, j: kept[marks[e][0]][j].tolist() if e in marks else None
         nested = pa.list_(pa.list_(pa.float64()))
         return pa.table({
-            DATASET: pa.array([keys[0].as_py()] * epochs, pa.string()),
+            DATASET: pa.array([keys[0].as_py()] * len(log), pa.string()),
             "epoch": pa.array([e for e, _, _ in log], pa.int64()),
             "train_loss": pa.array([a for _, a, _ in log], pa.float64()),
             "val_loss": pa.array([b for _, _, b in log], pa.float64()),

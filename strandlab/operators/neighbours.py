@@ -12,7 +12,7 @@ from strandlab.operators.blocks import dataset_sizes, matrix
 from strandlab.operators.joining import join_small
 from strandlab.operators.prep import DATASET, SERIES, SERIES_ID
 
-TILE_ROWS = 1024
+TILE_BYTES = 16 << 20
 
 
 def pack_centres(centres: DataFrame, key: str = DATASET) -> DataFrame:
@@ -35,66 +35,98 @@ def nearest_centre(df: DataFrame, centres: DataFrame, key: str = DATASET, series
     return best.withColumn("cluster", F.col("_best.cluster")).withColumn("distance", F.sqrt("_best.d2")).drop("_best")
 
 
-def distance_sums(df: DataFrame, tile_rows: int = TILE_ROWS, key: str = DATASET, cluster: str = "cluster") -> DataFrame:
-    """Per row and cluster the summed distance to the rows of that cluster in the same data set.
+def _tile_sums(x: np.ndarray, y: np.ndarray, members: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """For each labeling of ``y`` (names, member numbers): summed distances of the rows of ``x`` to each cluster."""
+    sums = [np.zeros((len(x), len(names))) for names, _ in members]
+    step = max(1, (4 << 20) // max(1, y.size))
+    for lo in range(0, len(x), step):
+        gaps = x[lo : lo + step, None, :] - y[None, :, :]
+        dist = np.sqrt(np.einsum("ijk,ijk->ij", gaps, gaps))
+        for out, (names, member) in zip(sums, members):
+            for c in range(len(names)):
+                out[lo : lo + step, c] = dist[:, member == c].sum(axis=1)
+    return sums
+
+
+def distance_sums_of_labelings(
+    df: DataFrame, labelings: str = "clusters", tile_bytes: int = TILE_BYTES, key: str = DATASET, tile_rows: int | None = None
+) -> DataFrame:
+    """Per row, labeling and cluster the summed distance to the rows of that cluster in the same data set.
 
-    A data set becomes a square grid of tiles of about ``tile_rows`` rows a
-    side. Every row is copied once per grid line; a tile holds a bounded number
-    of rows however large the data set is, and returns one sum per row and
-    cluster, never a pair.
+    ``labelings`` is an array with one cluster number per labeling; all labelings share one pass over the distances. A data set
+    becomes a triangle of tiles: its rows lie on lines of about ``tile_bytes`` (or ``tile_rows``), and a tile holds two lines, however
+    large the data set is. It returns sums for the rows of both lines, never a pair; sums of one task are added up before they travel.
     """
-    tiles = F.greatest(F.ceil(F.col("n") / tile_rows), F.lit(1)).cast("int")
-    counted = dataset_sizes(df, key).select(key, tiles.alias("_tiles"))
-    rows = df.select(key, SERIES_ID, F.col(cluster).cast("bigint").alias("cluster"), SERIES)
+    lines = F.ceil(F.col("n") / tile_rows) if tile_rows else F.ceil(F.col("n") * F.col("d") * 8 / tile_bytes)
+    counted = dataset_sizes(df, key).select(key, F.greatest(lines, F.lit(1)).cast("int").alias("_lines"))
+    rows = df.select(key, SERIES_ID, F.col(labelings).cast("array<bigint>").alias("clusters"), SERIES)
     rows = join_small(rows, counted, key)
-    line = F.pmod(F.xxhash64(SERIES_ID), "_tiles").cast("int")
-    across = F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))
-    left = rows.withColumn("_i", line).withColumn("_j", across).drop("_tiles")
-    right = rows.withColumn("_j", line).withColumn("_i", across).drop("_tiles")
-    # new column identities, since both sides come from the same rows
-    right = right.select(*[F.col(c).alias(c) for c in left.columns])
-    schema = f"{key} string, {SERIES_ID} bigint, cluster bigint, other bigint, total double"
-
-    def tile(keys: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
-        if a.num_rows == 0 or b.num_rows == 0:
-            return pa.table({key: pa.array([], pa.string()), SERIES_ID: pa.array([], pa.int64()),
-                             "cluster": pa.array([], pa.int64()), "other": pa.array([], pa.int64()),
-                             "total": pa.array([], pa.float64())})
-        x, y = matrix(a), matrix(b)
-        names, member = np.unique(b["cluster"].to_numpy(), return_inverse=True)
-        sums = np.zeros((len(x), len(names)))
-        step = max(1, (4 << 20) // max(1, y.size))
-        for lo in range(0, len(x), step):
-            gaps = x[lo : lo + step, None, :] - y[None, :, :]
-            dist = np.sqrt(np.einsum("ijk,ijk->ij", gaps, gaps))
-            for c in range(len(names)):
-                sums[lo : lo + step, c] = dist[:, member == c].sum(axis=1)
-        k = len(names)
-        return pa.table({
-            key: pa.array([keys[0].as_py()] * (len(x) * k), pa.string()),
-            SERIES_ID: pa.array(np.repeat(a[SERIES_ID].to_numpy(), k)),
-            "cluster": pa.array(np.repeat(a["cluster"].to_numpy(), k)),
-            "other": pa.array(np.tile(names, len(x))),
-            "total": pa.array(sums.reshape(-1)),
-        })
-
-    grid = [key, "_i", "_j"]
-    partial = left.groupBy(*grid).cogroup(right.groupBy(*grid)).applyInArrow(tile, schema)
-    return partial.groupBy(key, SERIES_ID, "cluster", "other").agg(F.sum("total").alias("total"))
-
-
-def silhouette_rows(df: DataFrame, tile_rows: int = TILE_ROWS, key: str = DATASET, cluster: str = "cluster") -> DataFrame:
-    """Exact Euclidean silhouette of every row; 0 in a cluster of one."""
-    sizes = df.groupBy(key, F.col(cluster).cast("bigint").alias("other")).agg(F.count(F.lit(1)).alias("_n"))
-    sums = distance_sums(df, tile_rows, key, cluster).join(sizes, [key, "other"])
+    rows = rows.withColumn("_line", F.pmod(F.xxhash64(SERIES_ID), "_lines").cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_lines") - 1)))
+    tiles = rows.select(key, F.least("_line", "_other").alias("_i"), F.greatest("_line", "_other").alias("_j"), "_line", SERIES_ID, "clusters", SERIES)
+    schema = f"{key} string, {SERIES_ID} bigint, labeling int, cluster bigint, other bigint, total double"
+
+    def side(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        labels = matrix(table, "clusters").astype("int64")
+        members = [np.unique(labels[:, k], return_inverse=True) for k in range(labels.shape[1])]
+        return table[SERIES_ID].to_numpy(), labels, matrix(table), members
+
+    def tile(keys: tuple, table: pa.Table) -> pa.Table:
+        name, i, j = (k.as_py() for k in keys)
+        at = table["_line"].to_numpy()
+        sides = [side(table.filter(pa.array(at == line))) for line in ([i] if i == j else [i, j])]
+        out: list[list[np.ndarray]] = [[], [], [], [], []]
+        for mine, other in [(sides[0], sides[0])] if i == j else [(sides[0], sides[1]), (sides[1], sides[0])]:
+            ids, labels, x, _ = mine
+            if not len(ids) or not len(other[0]):
+                continue
+            for k, sums in enumerate(_tile_sums(x, other[2], other[3])):
+                names = other[3][k][0]
+                out[0].append(np.repeat(ids, len(names)))
+                out[1].append(np.full(sums.size, k, "int32"))
+                out[2].append(np.repeat(labels[:, k], len(names)))
+                out[3].append(np.tile(names, len(ids)))
+                out[4].append(sums.reshape(-1))
+        columns = [np.concatenate(c) if c else np.zeros(0, t) for c, t in zip(out, ("int64", "int32", "int64", "int64", "float64"))]
+        return pa.table([pa.array([name] * len(columns[0]), pa.string()), *map(pa.array, columns)],
+                        names=[key, SERIES_ID, "labeling", "cluster", "other", "total"])
+
+    partial = tiles.groupBy(key, "_i", "_j").applyInArrow(tile, schema)
+    return partial.groupBy(key, SERIES_ID, "labeling", "cluster", "other").agg(F.sum("total").alias("total"))
+
+
+def distance_sums(
+    df: DataFrame, tile_rows: int | None = None, key: str = DATASET, cluster: str = "cluster", tile_bytes: int = TILE_BYTES
+) -> DataFrame:
+    """Per row and cluster the summed distance to the rows of that cluster in the same data set."""
+    one = df.withColumn("clusters", F.array(F.col(cluster).cast("bigint")))
+    return distance_sums_of_labelings(one, "clusters", tile_bytes, key, tile_rows).drop("labeling")
+
+
+def _silhouettes(sums: DataFrame, sizes: DataFrame, key: str, by: list[str]) -> DataFrame:
+    sums = sums.join(sizes, [key, *by, "other"])
     own = F.col("cluster") == F.col("other")
     mean_own = F.when(own & (F.col("_n") > 1), F.col("total") / (F.col("_n") - 1))
     mean_other = F.when(~own, F.col("total") / F.col("_n"))
-    sides = sums.groupBy(key, SERIES_ID).agg(F.max(mean_own).alias("_a"), F.min(mean_other).alias("_b"))
+    sides = sums.groupBy(key, *by, SERIES_ID).agg(F.max(mean_own).alias("_a"), F.min(mean_other).alias("_b"))
     a, b = F.col("_a"), F.col("_b")
     width = F.when(a.isNull() | (F.greatest(a, b) == 0), 0.0).otherwise((b - a) / F.greatest(a, b))
-    return sides.where(b.isNotNull()).select(key, SERIES_ID, width.alias("silhouette"))
+    return sides.where(b.isNotNull()).select(key, *by, SERIES_ID, width.alias("silhouette"))
 
 
-def silhouette_score(df: DataFrame, tile_rows: int = TILE_ROWS, key: str = DATASET, cluster: str = "cluster") -> DataFrame:
+def silhouette_rows(df: DataFrame, tile_rows: int | None = None, key: str = DATASET, cluster: str = "cluster") -> DataFrame:
+    """Exact Euclidean silhouette of every row; 0 in a cluster of one. A data set of one cluster has no rows."""
+    sizes = df.groupBy(key, F.col(cluster).cast("bigint").alias("other")).agg(F.count(F.lit(1)).alias("_n"))
+    return _silhouettes(distance_sums(df, tile_rows, key, cluster), sizes, key, [])
+
+
+def silhouette_score(df: DataFrame, tile_rows: int | None = None, key: str = DATASET, cluster: str = "cluster") -> DataFrame:
     return silhouette_rows(df, tile_rows, key, cluster).groupBy(key).agg(F.avg("silhouette").alias("ss"))
+
+
+def silhouette_scores_of_labelings(df: DataFrame, labelings: str = "clusters", key: str = DATASET, tile_rows: int | None = None) -> DataFrame:
+    """Mean silhouette per data set and place in the array ``labelings``, from one pass over the distances."""
+    each = df.select(key, F.posexplode(labelings).alias("labeling", "other"))
+    sizes = each.groupBy(key, "labeling", F.col("other").cast("bigint").alias("other")).agg(F.count(F.lit(1)).alias("_n"))
+    sums = distance_sums_of_labelings(df, labelings, key=key, tile_rows=tile_rows)
+    return _silhouettes(sums, sizes, key, ["labeling"]).groupBy(key, "labeling").agg(F.avg("silhouette").alias("ss"))

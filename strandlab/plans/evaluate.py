@@ -13,18 +13,20 @@ from strandlab.operators.prep import DATASET, LABEL, SERIES, SERIES_ID
 from strandlab.session import materialise
 
 
-def clustering_scores(clustered: DataFrame, internal: str = SERIES) -> DataFrame:
+def clustering_scores(clustered: DataFrame, internal: str = SERIES, silhouette: DataFrame | None = None) -> DataFrame:
     """Three external and three internal scores per data set.
 
     The internal scores are measured on the ``internal`` column, which for raw
-    data is the series and not the features that were clustered.
+    data is the series and not the features that were clustered. A data set
+    that ended in one cluster keeps its external scores; its internal ones are
+    null. ``silhouette`` may bring those scores from a shared pass.
     """
     rows = clustered if internal == SERIES else clustered.withColumn(SERIES, F.col(internal))
     counts = stats.class_and_feature_counts(rows)
     return (
         counts.join(metrics.external_scores(rows), DATASET)
-        .join(metrics.centre_scores(rows), DATASET)
-        .join(neighbours.silhouette_score(rows), DATASET)
+        .join(metrics.centre_scores(rows), DATASET, "left")
+        .join(neighbours.silhouette_score(rows) if silhouette is None else silhouette, DATASET, "left")
         .select(DATASET, "n_features", "n_classes", "ari", "nmi", "fmi", "chs", "dbs", "ss")
     )
 
@@ -48,6 +50,11 @@ def cluster_and_evaluate(
     return scores, rejected
 
 
+def one_cluster_datasets(scores: DataFrame) -> DataFrame:
+    """Data sets that ended in a single cluster: they have no internal scores."""
+    return scores.where("chs is null and dbs is null and ss is null").select(DATASET, F.lit("one cluster").alias("reason"))
+
+
 def raw_features(df: DataFrame, seed: int) -> DataFrame:
     """Interval features in place of the series."""
     drawn = cluster.draw_intervals(dataset_sizes(df), seed)
@@ -74,7 +81,17 @@ def cluster_raw_rows(df: DataFrame, seeds: Sequence[int], seed: int, restarts: i
     rows = materialise(keyed, "interval-features")
     best = cluster.best_restart(cluster.kmeans(rows, restarts, seed))
     clustered = materialise(cluster.cluster_rows(rows, best), "clustered")
-    scores = clustering_scores(clustered, "raw")
+    # the raw distances are the same for all seeds, so they are gone through once
+    seed_of = F.split(DATASET, "\u0001")
+    labelled = clustered.groupBy(seed_of[0].alias(DATASET), SERIES_ID).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct(seed_of[1].cast("int").alias("s"), F.col("cluster").alias("c")))), lambda x: x["c"]).alias("clusters")
+    )
+    once = materialise(df.select(DATASET, SERIES_ID, SERIES).join(labelled, [DATASET, SERIES_ID]), "labelled")
+    order = F.array(*[F.lit(s) for s in sorted(set(seeds))])
+    widths = neighbours.silhouette_scores_of_labelings(once).select(
+        F.concat_ws("\u0001", DATASET, F.get(order, "labeling")).alias(DATASET), "ss"
+    )
+    scores = clustering_scores(clustered, "raw", widths)
     pieces = F.split(DATASET, "\u0001")
     return scores.withColumn("seed", pieces[1].cast("int")).withColumn(DATASET, pieces[0])
 

@@ -115,6 +115,46 @@ def test_silhouette_brute_force(spark, tile_rows):
     assert neighbours.silhouette_score(df, tile_rows).first()["ss"] == pytest.approx(np.mean(wanted))
 
 
+def test_silhouettes_of_labelings_share_one_pass(spark):
+    x, y = blobs(n=61)
+    z = np.arange(61) % 4
+    df = series_rows(spark, x, y)
+    both = df.withColumn("clusters", F.array(F.col("label"), F.col("series_id") % 4))
+    got = {r["labeling"]: r["ss"] for r in neighbours.silhouette_scores_of_labelings(both, tile_rows=16).collect()}
+    for k, labels in enumerate((y, z)):
+        one = series_rows(spark, x, labels).withColumn("cluster", F.col("label"))
+        assert got[k] == pytest.approx(neighbours.silhouette_score(one).first()["ss"])
+
+
+def test_tiles_hold_bytes_not_rows(spark):
+    x, y = blobs(n=61)
+    df = series_rows(spark, x, y).withColumn("cluster", F.col("label"))
+    small = neighbours.distance_sums(df, tile_bytes=300).orderBy("series_id", "other").collect()
+    whole = neighbours.distance_sums(df).orderBy("series_id", "other").collect()
+    assert [r["series_id"] for r in small] == [r["series_id"] for r in whole]
+    assert [r["total"] for r in small] == pytest.approx([r["total"] for r in whole])
+
+
+def test_series_of_different_lengths_are_an_error(spark):
+    df = spark.createDataFrame([("d", 1, 0, [1.0, 2.0, 3.0]), ("d", 2, 0, [1.0, 2.0, 3.0, 4.0, 5.0])], "dataset_name string, series_id bigint, label bigint, series array<double>")
+    with pytest.raises(Exception, match="lists of one length without nulls in data set d: from 3 to 5"):
+        neighbours.distance_sums(df.withColumn("cluster", F.col("label"))).collect()
+    holed = spark.createDataFrame([("d", 1, 0, [1.0, 2.0]), ("d", 2, 0, None)], df.schema)
+    with pytest.raises(Exception, match="1 null lists"):
+        neighbours.distance_sums(holed.withColumn("cluster", F.col("label"))).collect()
+
+
+def test_one_cluster_keeps_external_scores(spark):
+    (x1, y1), (x2, y2) = blobs(seed=1), blobs(n=20, k=2, seed=2)
+    df = series_rows(spark, x1, y1, "many").unionByName(series_rows(spark, x2, y2, "one"))
+    clustered = df.withColumn("cluster", F.when(F.col("dataset_name") == "many", F.col("label")).otherwise(F.lit(0)))
+    scores = evaluate.clustering_scores(clustered)
+    got = {r["dataset_name"]: r for r in scores.collect()}
+    assert got["one"]["ari"] is not None and got["one"]["chs"] is None and got["one"]["dbs"] is None and got["one"]["ss"] is None
+    assert got["many"]["ss"] is not None
+    assert [r["dataset_name"] for r in evaluate.one_cluster_datasets(scores).collect()] == ["one"]
+
+
 def two_sets(spark):
     (x1, y1), (x2, y2) = blobs(seed=1), blobs(n=50, k=2, seed=2)
     return series_rows(spark, x1, y1, "one").unionByName(series_rows(spark, x2, y2, "two"))

@@ -4,7 +4,7 @@ from conftest import series_rows
 from pyspark.sql import functions as F
 
 from strandlab.catalog.representing import WEIGHTS, recurrent_layer
-from strandlab.operators import classify, distill, encoders, metrics, neighbours
+from strandlab.operators import classify, distill, encoders, logs, metrics, neighbours
 from strandlab.operators.blocks import dataset_sizes
 from strandlab.operators.gram import series_gram
 from strandlab.plans import evaluate, extract
@@ -122,7 +122,7 @@ def test_losses_from_gram_equal_losses_from_rows():
 
 def test_student_learns_and_reports(spark):
     _, df = sample(spark)
-    fits = extract.fit_student(df, extract.make_encoder("principal"), epochs=120, lr=0.01)
+    fits = extract.fit_student(df, extract.make_encoder("principal"), epochs=120, lr=0.01, stopping={"min_delta": 0.0, "patience": 120})
     log = fits.orderBy("epoch").collect()
     assert len(log) == 120 and log[-1]["val_loss"] < log[0]["val_loss"] / 2
     marks = {m: r["epoch"] for r in log for m in r["checkpoint"] or []}
@@ -133,9 +133,20 @@ def test_student_learns_and_reports(spark):
     assert {(r["checkpoint"], r["part"]) for r in coded} == {(c, p) for c in ("best", "final") for p in ("train", "valid", "test")}
 
 
+def test_student_stops_as_the_log_rule_says(spark):
+    _, df = sample(spark)
+    rule = {"min_delta": 0.002, "patience": 5}
+    whole = extract.fit_student(df, None, epochs=200, lr=0.02, stopping={"min_delta": 0.0, "patience": 200})
+    cut = extract.fit_student(df, None, epochs=200, lr=0.02, stopping=rule)
+    stop = logs.early_stop(whole, **rule, keys=["dataset_name"]).first()["stop_epoch"]
+    assert 0 < stop < 199
+    assert [r["val_loss"] for r in cut.orderBy("epoch").collect()] == [r["val_loss"] for r in whole.where(F.col("epoch") <= stop).orderBy("epoch").collect()]
+    assert cut.where(F.array_contains("checkpoint", "final")).first()["epoch"] == stop
+
+
 def test_autoencoder_reaches_principal_optimum(spark):
     _, df = sample(spark)
-    fits = extract.fit_student(df, None, epochs=3000, lr=0.01)
+    fits = extract.fit_student(df, None, epochs=3000, lr=0.01, stopping={"min_delta": 0.0, "patience": 3000})
     last = fits.orderBy(F.desc("epoch")).first()["train_loss"]
     rows = df.transform(extract.scaling.make_normaliser()).where("part = 'train'").collect()
     x = np.array([r["series"] for r in rows])
