@@ -34,6 +34,26 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return numbered.withColumn(SERIES_ID, F.col("_row") - 1).drop("_row", "_start", "_order")
 
 
+def _fields(quotes: str = '"') -> Column:
+    """Fields of a line; a comma inside quotes separates nothing. Lines without quotes take the plain split."""
+    ahead = "".join(f"(?=(?:[^{q}]*{q}[^{q}]*{q})*[^{q}]*$)" for q in quotes)
+    return F.when(F.col("line").rlike(f"[{quotes}]"), F.split("line", r"\s*,\s*" + ahead, -1)).otherwise(F.split("line", r"\s*,\s*", -1))
+
+
+def _plain(c: Column) -> Column:
+    """A field without the quotes around it; a doubled quote inside stands for one."""
+    quoted = c.rlike('^".*"$')
+    return F.when(quoted, F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c)
+
+
+def _of_width(fields: Column, width: Column) -> Column:
+    """``fields`` if there are ``width`` of them; a line with more or fewer is an error that names its file."""
+    message = F.concat(
+        F.lit("a line of "), F.size(fields).cast("string"), F.lit(" fields, not "), width.cast("string"), F.lit(", in "), F.col("file")
+    )
+    return F.when(F.size(fields) == width, fields).otherwise(F.raise_error(message).cast("array<string>"))
+
+
 def read_arff(
     spark: SparkSession, paths: str | Sequence[str], target: str = "target", pattern: str | None = None
 ) -> DataFrame:
@@ -42,6 +62,7 @@ def read_arff(
     The header of every file gives the attribute names and types. A nominal
     target becomes the integer its text spells, numeric attributes become
     doubles, ``?`` becomes null. The data set name is the relation name.
+    A line with more or fewer fields than attributes is an error.
     """
     lines = _lines(spark, paths, pattern).where((F.col("line") != "") & ~F.col("line").startswith("%"))
     lowered = F.lower(F.col("line"))
@@ -61,7 +82,9 @@ def read_arff(
         ).alias(DATASET),
     )
     data = _numbered(lines.where(~F.col("line").startswith("@")))
-    rows = join_small(data, headers, "file", numbers=F.size("attributes") * 3).withColumn("_fields", F.split("line", r"\s*,\s*"))
+    rows = join_small(data, headers, "file", numbers=F.size("attributes") * 3).withColumn(
+        "_fields", _of_width(_fields("\"'"), F.size("attributes"))
+    )
     picked = F.zip_with(
         "_fields",
         "attributes",
@@ -91,15 +114,20 @@ def read_wide_csv(spark: SparkSession, paths: str | Sequence[str], pattern: str
 
     The header of each file names its columns; columns starting ``Unnamed``
     are left out, an empty field is null. Without a header the label is last.
+    Fields may stand in quotes. A line with more or fewer fields than the
+    header, or than the longest line of a file without one, is an error.
     """
-    lines = _lines(spark, paths, pattern).where(F.col("line") != "")
-    fields = F.split("line", ",", -1)
-    is_header = F.array_contains(fields, LABEL)
-    headers = lines.where(is_header).groupBy("file").agg(F.first(fields).alias("_names"))
-    data = _numbered(lines.where(~is_header)).withColumn("_fields", fields)
-    data = join_small(data, headers, "file", "left", numbers=F.size("_names"))
+    lines = _lines(spark, paths, pattern).where(F.col("line") != "").withColumn("_fields", F.transform(_fields(), _plain))
+    is_header = F.array_contains("_fields", LABEL)
+    # one row per file, as long as one line
+    headers = lines.groupBy("file").agg(
+        F.first(F.when(is_header, F.col("_fields")), ignorenulls=True).alias("_names"), F.max(F.size("_fields")).alias("_width")
+    )
+    data = _numbered(lines.where(~is_header))
+    data = join_small(data, headers, "file", "left", numbers=F.greatest(F.size("_names"), F.lit(0)))
     default = F.transform("_fields", lambda v, i: F.when(i == F.size("_fields") - 1, LABEL).otherwise(""))
-    named = data.withColumn("_names", F.coalesce("_names", default))
+    width = F.when(F.col("_names").isNotNull(), F.size("_names")).otherwise(F.col("_width"))
+    named = data.withColumn("_fields", _of_width(F.col("_fields"), width)).withColumn("_names", F.coalesce("_names", default))
     cells = F.arrays_zip(F.col("_fields").alias("value"), F.col("_names").alias("name"))
     series = F.transform(
         F.filter(cells, lambda c: (c["name"] != LABEL) & ~c["name"].startswith("Unnamed")),

@@ -12,30 +12,57 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlab.functions.scalars import prefixed
+from strandlab.operators.joining import join_small
 from strandlab.operators.prep import DATASET, LABEL, PART, SERIES, SERIES_ID
 
 
-def _spread(df: DataFrame, by: Sequence[str], files: int) -> DataFrame:
-    """Bring the rows of one folder together into ``files`` files; a hot folder is still written by many tasks."""
-    return df.repartition(*by, F.pmod(F.xxhash64(SERIES_ID), F.lit(files)))
+ROWS_PER_FILE = 1 << 18
 
 
-def write_parts(df: DataFrame, path: str, fmt: str = "parquet", files_per_part: int = 1, mode: str = "overwrite") -> None:
-    """Processed parts; as text the steps come first and the label last."""
+def _spread(df: DataFrame, by: Sequence[str], files: int | None) -> DataFrame:
+    """Deal the rows of each folder to as many files as they fill, or to ``files``; add the file's number ``_file``.
+
+    A folder of few rows is one file, a hot folder is written by many tasks.
+    """
+    if files is None:
+        counts = df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_FILE).cast("bigint").alias("_files"))
+        df = join_small(df, counts, by)
+    else:
+        df = df.withColumn("_files", F.lit(files).cast("bigint"))
+    dealt = df.withColumn("_file", F.pmod(F.xxhash64(SERIES_ID), "_files")).drop("_files")
+    return dealt.repartition(*by, "_file")
+
+
+def write_parts(df: DataFrame, path: str, fmt: str = "parquet", files_per_part: int | None = None, mode: str = "overwrite") -> None:
+    """Processed parts; as text each file has a header, and the steps come first and the label last.
+
+    Files are filled by counted rows unless ``files_per_part`` is given. The header names as many steps as the first row of its
+    file has; a task that holds two files of a folder writes them as one, whose second header is a line of names like the first.
+    """
     by = [DATASET, PART]
     rows = _spread(df, by, files_per_part)
     if fmt == "parquet":
-        rows.write.mode(mode).partitionBy(*by).parquet(path)
+        rows.drop("_file").write.mode(mode).partitionBy(*by).parquet(path)
     elif fmt == "csv":
         line = F.concat_ws(",", F.array_join(F.col(SERIES).cast("array<string>"), ",", ""), F.col(LABEL).cast("string"))
-        rows.select(*by, line.alias("value")).write.mode(mode).partitionBy(*by).text(path)
+        names = F.array_join(F.transform(F.sequence(F.lit(0), F.size(SERIES) - 1), lambda i: i.cast("string")), ",")
+        header = F.concat(names, F.lit(f",{LABEL}"))
+        heads = _headers(rows, by, header)
+        lines = rows.select(*by, "_file", line.alias("value"), F.lit(1).alias("_place")).unionByName(heads)
+        dealt = lines.repartition(*by, "_file").sortWithinPartitions(*by, "_file", "_place")
+        dealt.select(*by, "value").write.mode(mode).partitionBy(*by).text(path)
     else:
         raise ValueError(f"unknown format: {fmt}")
 
 
-def write_representations(df: DataFrame, path: str, files_per_part: int = 1, mode: str = "overwrite") -> None:
+def _headers(rows: DataFrame, by: Sequence[str], header: Column) -> DataFrame:
+    """One header line per file."""
+    return rows.groupBy(*by, "_file").agg(F.max(header).alias("value")).withColumn("_place", F.lit(0))
+
+
+def write_representations(df: DataFrame, path: str, files_per_part: int | None = None, mode: str = "overwrite") -> None:
     by = ["checkpoint", PART, DATASET]
-    _spread(df, by, files_per_part).write.mode(mode).partitionBy(*by).parquet(path)
+    _spread(df, by, files_per_part).drop("_file").write.mode(mode).partitionBy(*by).parquet(path)
 
 
 def result_name(base: str | Column, prefix: str | Column | None) -> Column:

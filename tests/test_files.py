@@ -65,6 +65,40 @@ def test_wide_csv(spark, tmp_path):
     assert got == [("A", "train", 0, [1.5, 2.5], 1), ("A", "train", 1, [None, 3.5], 2), ("B", "train", 0, [7.0], 3)]
 
 
+def test_ragged_lines_are_errors(spark, tmp_path):
+    write(tmp_path / "long" / "A_train.csv", "0,1,label\n3,4,1,99\n")
+    write(tmp_path / "short" / "A_train.csv", "0,1,label\n5,6,1\n5\n")
+    write(tmp_path / "bare" / "A_train.csv", "5,6,1\n5,1\n")
+    write(tmp_path / "arff" / "A_TRAIN.arff", ARFF.replace("0.1,0.2,1", "0.1,0.2,0.3,1"))
+    for name, fields in (("long", "4 fields, not 3"), ("short", "1 fields, not 3"), ("bare", "2 fields, not 3")):
+        with pytest.raises(Exception, match=f"a line of {fields}, in .*A_train.csv"):
+            series_files.read_wide_csv(spark, str(tmp_path / name)).collect()
+    with pytest.raises(Exception, match="a line of 4 fields, not 3"):
+        series_files.read_arff(spark, str(tmp_path / "arff")).collect()
+
+
+def test_quoted_csv(spark, tmp_path):
+    write(tmp_path / "A_train.csv", '"0","Unnamed: 1, old","1","label"\n"1.5","a, ""b""",2.5,"3"\n')
+    row = series_files.read_wide_csv(spark, str(tmp_path)).first()
+    assert (row["series"], row["label"]) == ([1.5, 2.5], 3)
+
+
+def test_hot_folder_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    rows = spark.range(4000).select(
+        F.when(F.col("id") < 3900, "hot").otherwise("cold").alias("dataset_name"), F.col("id").alias("series_id"),
+        F.lit(1).cast("bigint").alias("label"), F.array(F.col("id").cast("double"), F.lit(0.5)).alias("series"), F.lit("train").alias("part"),
+    )
+    monkeypatch.setattr(tables, "ROWS_PER_FILE", 500)
+    spread = tables._spread(rows, ["dataset_name", "part"], None)
+    shares = [r["count"] for r in spread.where("dataset_name = 'hot'").groupBy("_file").count().collect()]
+    assert len(shares) == 8 and max(shares) < 800
+    tables.write_parts(rows, str(tmp_path / "csv"), "csv")
+    back = series_files.read_wide_csv(spark, str(tmp_path / "csv"))
+    assert sorted(r["series"][0] for r in back.collect()) == [float(i) for i in range(4000)]
+    files = list((tmp_path / "csv" / "dataset_name=hot" / "part=train").glob("*.txt"))
+    assert all(f.read_text().startswith("0,1,label\n") for f in files)
+
+
 def test_names(spark):
     df = spark.createDataFrame([("Coffee_LSTM_AE.csv",)], "name string")
     got = series_files.representation_name_columns(df, F.col("name")).first()
