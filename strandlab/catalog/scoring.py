@@ -217,6 +217,37 @@ def c10(spark, d):
     return rounded(evaluate.clustering_scores(clustered), "ari", "nmi", "fmi", "chs", "dbs", "ss")
 
 
+BY_MODEL = """, own AS (SELECT dataset_name || '/m' || ((series_id // 4) % 2) || '/' || sd AS dataset_name, series_id, label, label % (sd + 2) AS cluster, series
+    FROM ser CROSS JOIN (VALUES (1), (2)) v(sd))"""
+
+
+@query("c10_scores_by_model_and_seed", "ser", BY_MODEL + CONT.format(src="own") + SPREAD.format(src="own") + SIL.format(src="own") + """
+    , nk AS (SELECT dataset_name, max(len(series)) AS n_features, count(DISTINCT label) AS n_classes FROM own GROUP BY 1),
+    every AS (SELECT * FROM nk JOIN ext USING (dataset_name) JOIN ch USING (dataset_name) JOIN db USING (dataset_name) JOIN ss USING (dataset_name))
+    SELECT split_part(dataset_name, '/', 1) AS dataset_name, split_part(dataset_name, '/', 2) AS model_name, split_part(dataset_name, '/', 3)::BIGINT AS seed,
+    n_features, n_classes, round(ari, 6) AS ari, round(nmi, 6) AS nmi, round(fmi, 6) AS fmi, round(chs, 6) AS chs, round(dbs, 6) AS dbs, round(ss, 6) AS ss FROM every""")
+def c10_by_model(spark, d):
+    """Two models and two seeds in one table; each combination is scored as a data set of its own."""
+    rows = series(spark, d).withColumn("seed", F.explode(F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint"))))
+    rows = rows.withColumn("model_name", F.concat(F.lit("m"), (F.floor(F.col("series_id") / 4) % 2).cast("string")))
+    rows = rows.withColumn("cluster", F.col("label") % (F.col("seed") + 2))
+    scores = evaluate.scores_by(evaluate.clustering_scores, rows, ["dataset_name", "model_name", "seed"])
+    return rounded(scores, "ari", "nmi", "fmi", "chs", "dbs", "ss")
+
+
+@query("c10_rejected_datasets", "ser", """, holed AS (SELECT dataset_name, series_id, CASE WHEN dataset_name = 'ds1' AND series_id % 7 = 1 THEN 1 ELSE 0 END AS bad FROM ser)
+    SELECT dataset_name, CASE WHEN sum(bad) > 0 THEN 'missing values' ELSE 'one cluster' END AS reason FROM holed
+    GROUP BY 1 HAVING sum(bad) > 0 OR dataset_name = 'ds2'""")
+def c10_rejected(spark, d):
+    """One data set has holes, another ends in one cluster; both are reported."""
+    hole = (F.col("dataset_name") == "ds1") & (F.col("series_id") % 7 == 1)
+    holed = series(spark, d).withColumn("series", F.transform("series", lambda x, i: F.when(~(hole & (i == 3)), x)))
+    kept, rejected = prep.reject_missing(holed)
+    clustered = kept.withColumn("cluster", F.when(F.col("dataset_name") == "ds2", 0).otherwise(F.col("label") % 3))
+    single = evaluate.one_cluster_datasets(evaluate.clustering_scores(clustered))
+    return rejected.select("dataset_name", F.lit("missing values").alias("reason")).unionByName(single)
+
+
 @query("c10_cluster_and_evaluate")
 def c10_full(spark, d):
     results, _ = evaluate.cluster_and_evaluate(series(spark, d), "representation")

@@ -13,6 +13,28 @@ from strandlab.operators.prep import DATASET, LABEL, SERIES, SERIES_ID
 from strandlab.session import materialise
 
 
+SEPARATOR = "\u0001"
+
+
+def pack_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Several key columns (data set, model, encoder, seed) as one data set name, so that each is a data set of its own."""
+    return df.withColumn(DATASET, F.array_join(F.array(*[F.col(k).cast("string") for k in keys]), SEPARATOR, ""))
+
+
+def unpack_keys(df: DataFrame, keys: Sequence[str], kinds: dict[str, str]) -> DataFrame:
+    """The key columns back from a packed data set name; an empty piece is null."""
+    pieces = F.split(DATASET, SEPARATOR, -1)
+    named = [F.nullif(F.get(pieces, i), F.lit("")).cast(kinds[k]).alias(k) for i, k in enumerate(keys)]
+    return df.select(*named, *[c for c in df.columns if c not in keys])
+
+
+def scores_by(fn, df: DataFrame, keys: Sequence[str], **settings) -> DataFrame:
+    """``fn`` (a plan that scores data sets) for every combination of ``keys``, the data set name among them."""
+    if DATASET not in keys:
+        raise ValueError(f"{DATASET} is one of the keys")
+    return unpack_keys(fn(pack_keys(df, keys), **settings), keys, dict(df.dtypes))
+
+
 def clustering_scores(clustered: DataFrame, internal: str = SERIES, silhouette: DataFrame | None = None) -> DataFrame:
     """Three external and three internal scores per data set.
 
@@ -31,6 +53,20 @@ def clustering_scores(clustered: DataFrame, internal: str = SERIES, silhouette:
     )
 
 
+REPRESENTATION_KEYS = (DATASET, "model_name", "encoder_name", "seed")
+
+
+def evaluate_representations(df: DataFrame, keys: Sequence[str] = REPRESENTATION_KEYS, **settings) -> tuple[DataFrame, DataFrame]:
+    """Clustering scores of every data set, model, encoder and seed in one job, and the report of the rejected ones.
+
+    Ids are unique per combination of ``keys``. ``settings`` go to ``cluster_and_evaluate``.
+    """
+    kinds = dict(df.dtypes)
+    skipped = settings.pop("skipped", prep.SKIPPED_DATASETS)
+    scores, rejected = cluster_and_evaluate(pack_keys(prep.skip_datasets(df, skipped), keys), "representation", skipped=(), **settings)
+    return unpack_keys(scores, keys, kinds), unpack_keys(rejected, keys, kinds)
+
+
 def cluster_and_evaluate(
     df: DataFrame,
     data_type: str,
@@ -71,8 +107,8 @@ def cluster_raw_rows(df: DataFrame, seeds: Sequence[int], seed: int, restarts: i
     """Cluster the interval features of every decomposer seed at once and score them on the series."""
     swept = raw_features_of_seeds(df, seeds)
     # (data set, seed) is clustered like a data set of its own
-    keyed = swept.select(
-        F.concat_ws("\u0001", DATASET, "seed").alias(DATASET),
+    keyed = pack_keys(swept, [DATASET, "seed"]).select(
+        DATASET,
         SERIES_ID,
         LABEL,
         F.col(SERIES).alias("raw"),
@@ -82,18 +118,17 @@ def cluster_raw_rows(df: DataFrame, seeds: Sequence[int], seed: int, restarts: i
     best = cluster.best_restart(cluster.kmeans(rows, restarts, seed))
     clustered = materialise(cluster.cluster_rows(rows, best), "clustered")
     # the raw distances are the same for all seeds, so they are gone through once
-    seed_of = F.split(DATASET, "\u0001")
+    seed_of = F.split(DATASET, SEPARATOR)
     labelled = clustered.groupBy(seed_of[0].alias(DATASET), SERIES_ID).agg(
         F.transform(F.sort_array(F.collect_list(F.struct(seed_of[1].cast("int").alias("s"), F.col("cluster").alias("c")))), lambda x: x["c"]).alias("clusters")
     )
     once = materialise(df.select(DATASET, SERIES_ID, SERIES).join(labelled, [DATASET, SERIES_ID]), "labelled")
     order = F.array(*[F.lit(s) for s in sorted(set(seeds))])
     widths = neighbours.silhouette_scores_of_labelings(once).select(
-        F.concat_ws("\u0001", DATASET, F.get(order, "labeling")).alias(DATASET), "ss"
+        F.concat_ws(SEPARATOR, DATASET, F.get(order, "labeling")).alias(DATASET), "ss"
     )
     scores = clustering_scores(clustered, "raw", widths)
-    pieces = F.split(DATASET, "\u0001")
-    return scores.withColumn("seed", pieces[1].cast("int")).withColumn(DATASET, pieces[0])
+    return unpack_keys(scores, [DATASET, "seed"], {DATASET: "string", "seed": "int"})
 
 
 def cluster_raw(

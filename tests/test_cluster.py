@@ -155,6 +155,19 @@ def test_one_cluster_keeps_external_scores(spark):
     assert [r["dataset_name"] for r in evaluate.one_cluster_datasets(scores).collect()] == ["one"]
 
 
+def test_representations_are_scored_by_model_and_seed(spark):
+    (x1, y1), (x2, y2) = blobs(seed=1), blobs(n=40, k=2, seed=2)
+    one = series_rows(spark, x1, y1, "d").withColumns({"model_name": F.lit("a"), "encoder_name": F.lit(None).cast("string"), "seed": F.lit(1)})
+    two = series_rows(spark, x2, y2, "d").withColumns({"model_name": F.lit("b"), "encoder_name": F.lit("e"), "seed": F.lit(2)})
+    both = one.unionByName(two).withColumn("part", F.lit("test"))
+    got, rejected = evaluate.evaluate_representations(both, restarts=5)
+    rows = {(r["model_name"], r["encoder_name"], r["seed"]): r for r in got.collect()}
+    assert set(rows) == {("a", None, 1), ("b", "e", 2)} and rejected.count() == 0
+    for df, key in ((one, ("a", None, 1)), (two, ("b", "e", 2))):
+        alone = evaluate.cluster_and_evaluate(df.withColumn("part", F.lit("test")), "representation", restarts=5)[0].first()
+        assert rows[key]["n_classes"] == alone["n_classes"] and rows[key]["ari"] == pytest.approx(alone["ari"])
+
+
 def two_sets(spark):
     (x1, y1), (x2, y2) = blobs(seed=1), blobs(n=50, k=2, seed=2)
     return series_rows(spark, x1, y1, "one").unionByName(series_rows(spark, x2, y2, "two"))
