@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandlab.catalog.base import cells, events, long_series, parts, query, rounded, series, table
+from strandlab.catalog.preparing import split_ctes
 from strandlab.operators import prep
+from strandlab.plans import prepare
 from strandlab.sources import series_files, tables
 from strandlab.session import new_folder
 from strandlab.streaming import ranges
@@ -27,16 +29,20 @@ def _numbers(c="series"):
     return F.array_join(F.col(c).cast("array<string>"), ",")
 
 
+def _write_arff(df, folder: str) -> None:
+    steps = F.transform(F.sequence(F.lit(1), F.size("series")), lambda i: F.concat(F.lit("@attribute att"), i, F.lit(" numeric")))
+    header = F.concat(
+        F.array(F.concat(F.lit("@relation "), F.col("dataset_name"))), steps, F.array(F.lit("@attribute target {0,1,2,3,4,5,6,7,8,9}"), F.lit("@data"))
+    )
+    _write_lines(df, folder, header, F.concat_ws(",", _numbers(), F.col("label").cast("string")))
+
+
 @query("s01_read_arff", "ser", """, r AS (SELECT *, row_number() OVER (PARTITION BY dataset_name ORDER BY series_id) - 1 AS row_no FROM ser)
     SELECT dataset_name, row_no AS series_id, label, pos, round(value, 6) AS value FROM
     (SELECT dataset_name, row_no, label, unnest(range(0, len(series))) AS pos, unnest(series) AS value FROM r)""")
 def s01(spark, d):
     folder = new_folder(spark, "arff")
-    steps = F.transform(F.sequence(F.lit(1), F.size("series")), lambda i: F.concat(F.lit("@attribute att"), i, F.lit(" numeric")))
-    header = F.concat(
-        F.array(F.concat(F.lit("@relation "), F.col("dataset_name"))), steps, F.array(F.lit("@attribute target {0,1,2,3,4,5,6,7,8,9}"), F.lit("@data"))
-    )
-    _write_lines(series(spark, d), folder, header, F.concat_ws(",", _numbers(), F.col("label").cast("string")))
+    _write_arff(series(spark, d), folder)
     return long_series(series_files.read_arff(spark, folder), ["dataset_name", "series_id", "label"])
 
 
@@ -139,3 +145,21 @@ def m01(spark, d):
     stream = spark.readStream.schema(arrivals.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/arrivals")
     ranges.fit_available(ranges.streamed_ranges(stream, ["event_type"]), folder).awaitTermination()
     return ranges.newest_fit(spark, folder)
+
+
+GIVEN = """, given AS (SELECT dataset_name, ((row_number() OVER (PARTITION BY dataset_name, odd ORDER BY series_id) - 1) * 2 + odd)::BIGINT AS series_id,
+    label, round(list_sum(series), 6) AS total FROM (SELECT *, (series_id // 4) % 2 AS odd FROM ser)), ids AS (SELECT dataset_name, series_id, label FROM given)"""
+
+
+@query("prepare_all", "ser", GIVEN + split_ctes("a", "ids", 0.5) + """, kept AS (SELECT dataset_name, series_id, label FROM a WHERE part = 'train'
+    QUALIFY count(*) OVER (PARTITION BY dataset_name, label) > 1)""" + split_ctes("b", "kept", 0.35) + """
+    SELECT p.*, total FROM (SELECT * FROM b UNION ALL SELECT * FROM a WHERE part = 'test') p JOIN given USING (dataset_name, series_id)""")
+def prepare_everything(spark, d):
+    """From text files of two given parts to written parts: read, merge, split, drop singletons, split again, write."""
+    folders = [new_folder(spark, name) for name in ("given-train", "given-test", "prepared")]
+    rows = series(spark, d)
+    for odd, folder in enumerate(folders[:2]):
+        _write_arff(rows.where(F.floor(F.col("series_id") / 4) % 2 == odd), folder)
+    parts_ = prepare.prepare_all(prepare.read_given_parts(spark, folders[0], folders[1]), folders[2])
+    total = F.round(F.aggregate("series", F.lit(0.0), lambda a, x: a + x), 6).alias("total")
+    return parts_.select("dataset_name", "series_id", "label", "part", total)

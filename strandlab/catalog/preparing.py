@@ -94,7 +94,7 @@ def p05_report(spark, d):
     QUALIFY count(*) OVER (PARTITION BY o_custkey, o_orderpriority) > 1""")
 def p06(spark, d):
     rows = table(spark, d, "orders").select("o_custkey", "o_orderpriority", "o_orderkey")
-    return prep.drop_singleton_classes(rows, ["o_custkey", "o_orderpriority"])
+    return prep.drop_singleton_classes(rows, ["o_custkey", "o_orderpriority"], "o_orderkey")
 
 
 @query("p07_stratified_split", "ser", HALVES + " SELECT dataset_name, series_id, label, part FROM a")

@@ -45,3 +45,14 @@ def join_small(
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*row_keys), F.lit(salts)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
+def without_rows(df: DataFrame, ids: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of ``df`` whose ``keys``, which name single rows, are not in ``ids``.
+
+    ``ids`` is written and counted: up to ``BROADCAST_BYTES`` it is broadcast, beyond that both sides shuffle on the keys. Since
+    these name single rows, no key is hot and no row is copied.
+    """
+    ids = materialise(ids.select(*keys), "row-ids")
+    small = ids.count() * 16 * len(keys) <= BROADCAST_BYTES
+    return df.join(F.broadcast(ids) if small else ids, list(keys), "left_anti")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlab.functions import arrays
-from strandlab.operators.joining import join_small
+from strandlab.operators.joining import join_small, without_rows
 from strandlab.session import materialise
 
 DATASET, LABEL, SERIES, SERIES_ID, PART = "dataset_name", "label", "series", "series_id", "part"
@@ -76,10 +76,18 @@ def reject_missing(df: DataFrame, key: str = DATASET) -> tuple[DataFrame, DataFr
     return join_small(df, report.select(key), key, "left_anti", row_key=df.columns, written=True), report
 
 
-def drop_singleton_classes(df: DataFrame, keys: Sequence[str] = (DATASET, LABEL)) -> DataFrame:
-    """Drop classes with one row. Only the singleton list is joined, never the counts of all classes."""
-    single = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == 1).drop("_n")
-    return join_small(df, single, keys, "left_anti", row_key=df.columns)
+def drop_singleton_classes(df: DataFrame, keys: Sequence[str] = (DATASET, LABEL), row_id: str | None = None) -> DataFrame:
+    """Drop classes with one row.
+
+    A class of one names its row: the aggregate that counts a class also takes its least ``row_id`` (by default the series id where
+    there is one), and the rows to drop are found by class and id.
+    """
+    row_id = row_id or (SERIES_ID if SERIES_ID in df.columns else None)
+    if row_id is None:
+        single = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == 1).drop("_n")
+        return join_small(df, single, keys, "left_anti", row_key=df.columns)
+    single = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(row_id).alias(row_id)).where(F.col("_n") == 1)
+    return without_rows(df, single, [*keys, row_id])
 
 
 def with_mode(df: DataFrame, mode: str) -> DataFrame:
