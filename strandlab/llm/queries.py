@@ -30,6 +30,17 @@ def op1_minmax_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op1_minmax_dedup"] = op1_minmax_dedup
+CHECKS["op1_minmax_dedup"] = r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    sh AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM d)),
+    n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+    met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    links AS (SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+    reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+    least_of AS (SELECT a AS doc_id, min(b) AS least FROM reach GROUP BY 1)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(least, doc_id)) AS component_id, doc_id <= coalesce(least, doc_id) AS kept
+    FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least_of USING (doc_id)"""
 
 
 def op7_superkmer_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,6 +48,14 @@ def op7_superkmer_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op7_superkmer_dedup"] = op7_superkmer_dedup
+CHECKS["op7_superkmer_dedup"] = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    windows AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+    twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY s) > 1),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM twice),
+    words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+    kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+    SELECT doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+    FROM d LEFT JOIN kept USING (doc_id)"""
 
 
 def op8_swap_packing(spark: SparkSession, folder: str) -> DataFrame:
