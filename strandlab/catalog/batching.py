@@ -175,5 +175,5 @@ def r11(spark, d):
 @query("r12_total_loss", "log", f"SELECT dataset_name, model_name, epoch, round((1 - ({RAMP})) * train_loss + ({RAMP}) * val_loss, 6) AS loss FROM log")
 def r12(spark, d):
     ramp = scalars.hint_coefficient("epoch", 80, final=0.9, start=0.0, rate=1.5, start_epoch=5)
-    total = (1 - ramp) * F.col("train_loss") + ramp * F.col("val_loss")
+    total = scalars.total_loss("train_loss", "val_loss", ramp)
     return training_log(spark, d).select("dataset_name", "model_name", "epoch", F.round(total, 6).alias("loss"))

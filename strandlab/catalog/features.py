@@ -111,11 +111,11 @@ def f01(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("bigint"), power.alias("power"))
 
 
-@query("f01_ties_go_up", "", """WITH r AS (SELECT p_partkey, p_size / 4.0::DOUBLE AS r FROM part WHERE p_size > 0),
+@query("f01_ties_go_up", "", """WITH r AS (SELECT p_partkey, p_size / 4.0::DOUBLE AS r FROM part),
     p AS (SELECT *, pow(2.0, floor(log2(r))) AS low FROM r)
     SELECT p_partkey, CASE WHEN r = low OR r - low < 2 * low - r THEN low ELSE 2 * low END AS power FROM p""")
 def f01_ties(spark, d):
-    return table(spark, d, "part").where("p_size > 0").select("p_partkey", scalars.closest_power_of_2("p_size", 4).alias("power"))
+    return table(spark, d, "part").select("p_partkey", scalars.closest_power_of_2("p_size", 4).alias("power"))
 
 
 @query("f02_representation_size", "", """WITH e AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1),
@@ -123,7 +123,7 @@ def f01_ties(spark, d):
     SELECT user_id, n AS length, (CASE WHEN r = low OR r - low < 2 * low - r THEN low ELSE 2 * low END)::BIGINT AS size FROM r""")
 def f02(spark, d):
     lengths = events(spark, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("length"))
-    return lengths.withColumn("size", scalars.closest_power_of_2("length", 2).cast("bigint"))
+    return lengths.withColumn("size", scalars.representation_size(F.sequence(F.lit(1), "length"), 2))
 
 
 @query("f03_prefix", "", """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 OR c_custkey % 3 = 1 THEN c_name ELSE c_mktsegment || '_' || c_name END AS name FROM customer""")
@@ -289,10 +289,10 @@ def x02(spark, d):
     )
 
 
-@query("x03_pre_step", "ser", "SELECT dataset_name, series_id, round(sqrt(list_inner_product(series, series)), 6) AS length FROM ser WHERE label >= 0")
+@query("x03_pre_step", "ser", "SELECT dataset_name, series_id, round(sqrt(list_inner_product(series, series)) * (1 + label), 6) AS length FROM ser")
 def x03(spark, d):
     measure = lambda df: df.select(*KEYS, F.round(F.sqrt(arrays.dot("series", "series")), 6).alias("length"))
-    return registry.compose(measure, lambda df: df.where("label >= 0"))(series(spark, d))
+    return registry.compose(measure, lambda df: df.withColumn("series", F.transform("series", lambda x: x * (1 + F.col("label")))))(series(spark, d))
 
 
 @query("x04_loss_by_name", "ser", """, r AS (SELECT dataset_name, series, list_reverse(series) AS back FROM ser),

@@ -104,22 +104,22 @@ def s08(spark, d):
     return series_files.part_files(table(spark, d, "supplier").select(F.col("s_name").alias("dataset_name")), "data")
 
 
-@query("s09_write_parts", "parts", "SELECT dataset_name, part, series_id, label, round(list_sum(series), 6) AS total FROM parts")
+@query("s09_write_parts", "parts", """SELECT dataset_name, part, series_id, label, pos, round(value, 6) AS value FROM
+    (SELECT dataset_name, part, series_id, label, unnest(range(0, len(series))) AS pos, unnest(series) AS value FROM parts)""")
 def s09(spark, d):
     folder = new_folder(spark, "parts")
-    tables.write_parts(parts(spark, d), folder, files_per_part=2)
-    total = F.aggregate("series", F.lit(0.0), lambda s, x: s + x)
-    return spark.read.parquet(folder).select("dataset_name", "part", "series_id", "label", F.round(total, 6).alias("total"))
+    tables.write_parts(parts(spark, d), folder)
+    return long_series(spark.read.parquet(folder), ["dataset_name", "part", "series_id", "label"])
 
 
-@query("s10_write_representations", "parts", """SELECT dataset_name, part, checkpoint, series_id, label, round(series[1], 6) AS first
-    FROM parts CROSS JOIN (VALUES ('best'), ('final')) v(checkpoint) WHERE part = 'test'""")
+@query("s10_write_representations", "parts", """SELECT dataset_name, part, checkpoint, series_id, label, pos, round(value, 6) AS value FROM
+    (SELECT dataset_name, part, series_id, label, unnest(range(0, len(series))) AS pos, unnest(series) AS value FROM parts)
+    CROSS JOIN (VALUES ('best'), ('final')) v(checkpoint)""")
 def s10(spark, d):
     folder = new_folder(spark, "representations")
     rows = parts(spark, d).withColumn("checkpoint", F.explode(F.array(F.lit("best"), F.lit("final")))).withColumnRenamed("series", "repr")
     tables.write_representations(rows, folder)
-    back = spark.read.parquet(folder).where("part = 'test'")
-    return back.select("dataset_name", "part", "checkpoint", "series_id", "label", F.round(F.col("repr")[0], 6).alias("first"))
+    return long_series(spark.read.parquet(folder), ["dataset_name", "part", "checkpoint", "series_id", "label"], "repr")
 
 
 @query("s11_result_names", "", """SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name || '.csv' ELSE 'raw_' || c_name || '.csv' END AS file FROM customer""")

@@ -60,6 +60,12 @@ def hint_coefficient(
     return F.when(_col(epoch) < start_epoch, F.lit(0.0)).otherwise(ramp)
 
 
+def total_loss(own: str | Column, hint: str | Column, coefficient: str | float | Column) -> Column:
+    """Own loss and hint loss mixed by the weight of the hint."""
+    weight = _col(coefficient)
+    return (1 - weight) * _col(own) + weight * _col(hint)
+
+
 def two_decimals(c: str | Column) -> Column:
     """Text with two decimals. ``format_string('%.2f')`` rounds some ties the other way."""
     return F.call_function("format_number", _col(c), F.lit("0.00"))
