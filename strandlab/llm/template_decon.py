@@ -22,6 +22,8 @@ WINDOW_WORDS = 8
 COVERED = 0.5
 SMALLEST_ITEM = 5
 FILTER_BITS = 24
+LITERAL_WORDS = 3
+SEED = 93
 BROADCAST_ROWS = 1 << 17
 UNITS = frozenset(
     "mm cm m km mg g kg t ml l s ms min h hz khz mhz ghz b kb mb gb tb w kw v a k c f mph kmh inch inches foot feet yard yards mile miles "
@@ -139,14 +141,16 @@ def _item_batches(size: int, smallest: int):
         for batch, data, offsets in chunks_of(batches):
             t = reader.read(data, offsets)
             out = {k: [] for k in ("item_id", "item_key", "n_words", "place", "window", "words", "kinds")}
-            hashes, at = windows(t.template, t.first, size, seed=93, short=True)
+            whole = {n: item_windows(t, n, size) for n in {min(int(k), size) for k in np.diff(t.first)} if n >= smallest}
             for r in range(batch.num_rows):
                 a, b = int(t.first[r]), int(t.first[r + 1])
                 if b - a < smallest:
                     continue
+                n = min(b - a, size)
+                hashes, at = whole[n]
                 for k in range(int(at[r]), int(at[r + 1])):
                     p = k - int(at[r])
-                    stop = min(a + p + size, b)
+                    stop = a + p + n
                     for name, v in zip(
                         out,
                         (
@@ -177,7 +181,7 @@ def _hit_batches(size: int, table: np.ndarray, shortest: tuple[int, ...]):
             t = reader.read(data, offsets)
             parts = []
             for n in (size, *shortest):
-                hashes, at = windows(t.template, t.first, n, seed=93) if n == size else _short_windows(t, n, size)
+                hashes, at = item_windows(t, n, size)
                 if not len(hashes):
                     continue
                 hit = in_bit_set(table, hashes)
@@ -199,18 +203,35 @@ def _hit_batches(size: int, table: np.ndarray, shortest: tuple[int, ...]):
     return run
 
 
-def _short_windows(t: Template, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of ``n`` words, hashed as a whole short item of that length is."""
-    factor = odd_numbers(93, size)[:n]
-    count = np.maximum(np.diff(t.first) - n + 1, 0)
-    starts = np.concatenate([[0], np.cumsum(count)])
-    if not starts[-1]:
-        return np.zeros(0, np.uint64), starts
-    at = np.arange(starts[-1]) + np.repeat(t.first[:-1] - starts[:-1], count)
-    total = np.full(len(at), n, np.uint64)
+def _hash_at(words: np.ndarray, starts: np.ndarray, n: int, size: int) -> np.ndarray:
+    """Hash of the ``n`` words from each start on: a whole window, or a short item as a whole."""
+    factor = odd_numbers(SEED, size)
+    total = np.full(len(starts), n if n < size else 0, np.uint64)
     for j in range(n):
-        total += t.template[at + j] * factor[j]
-    return mix(total), starts
+        total += words[starts + j] * factor[j]
+    return mix(total)
+
+
+def item_windows(t: Template, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all windows of ``n`` words and where each row's windows start (one more than rows).
+
+    A window with fewer than ``LITERAL_WORDS`` words that stand for themselves is hashed by its words and not by its template: a
+    table of numbers is not every other table of numbers.
+    """
+    count = np.maximum(np.diff(t.first) - n + 1, 0)
+    at = np.concatenate([[0], np.cumsum(count)])
+    if not at[-1]:
+        return np.zeros(0, np.uint64), at
+    starts = np.arange(at[-1]) + np.repeat(t.first[:-1] - at[:-1], count)
+    if n == size:
+        hashes, _ = windows(t.template, t.first, n, seed=SEED)
+    else:
+        hashes = _hash_at(t.template, starts, n, size)
+    literal = np.concatenate([[0], np.cumsum(t.kind == 0)])
+    few = np.flatnonzero(literal[starts + n] - literal[starts] < LITERAL_WORDS)
+    if len(few):
+        hashes[few] = mix(_hash_at(t.word, starts[few], n, size) ^ np.uint64(LITERAL_WORDS))
+    return hashes, at
 
 
 def find_leaks(

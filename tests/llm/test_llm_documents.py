@@ -37,7 +37,7 @@ def shingles(text, k=5):
     return {tuple(w)} if 0 < len(w) < k else {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
 
 
-def brute_components(rows):
+def brute_components(rows, percent):
     sets = {i: shingles(t) for i, t in rows}
     name = {i: i for i in sets}
     changed = True
@@ -46,7 +46,7 @@ def brute_components(rows):
         for a in sets:
             for b in sets:
                 x, y = sets[a], sets[b]
-                if a < b and x and y and 100 * len(x & y) >= 85 * len(x | y) and name[a] != name[b]:
+                if a < b and x and y and 100 * len(x & y) >= percent * len(x | y) and name[a] != name[b]:
                     name[a] = name[b] = min(name[a], name[b])
                     changed = True
     return {i: (len(sets[i]), name[i], name[i] == i) for i in sets}
@@ -65,11 +65,12 @@ def near_copies(rng, groups=6, size=7):
     return rows
 
 
-def test_near_duplicates_like_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_duplicates_like_brute_force(spark, monkeypatch, percent):
     rows = near_copies(random.Random(1)) + [(i, t) for i, t in odd_rows() if i is not None]
     monkeypatch.setattr(minmax_dedup, "TILE_DOCUMENTS", 3)  # several tiles per bucket
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minmax_dedup.near_duplicates(documents(spark, rows)).collect()}
-    assert got == brute_components(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minmax_dedup.near_duplicates(documents(spark, rows), similarity=percent).collect()}
+    assert got == brute_components(rows, percent)
 
 
 def test_near_duplicates_null_and_repeated_ids(spark):
@@ -315,6 +316,9 @@ def test_leaks(spark):
     got = {(r.doc_id, r.item_id): r for r in template_decon.find_leaks(documents(spark, rows), bench).collect()}
     assert set(got) == {(100, 1), (101, 1), (102, 1), (104, 2), (105, 3), (108, 1), (108, 2), (108, 3)}
     assert got[100, 1].exact and not got[102, 1].exact
+    numbers = spark.createDataFrame([(1, " ".join(str(7 * i) for i in range(40)))], "item_id long, text string")
+    tables = [(1, " ".join(str(5 * i) for i in range(300))), (2, "x " + " ".join(str(7 * i) for i in range(40)) + " y")]
+    assert {r.doc_id for r in template_decon.find_leaks(documents(spark, tables), numbers).collect()} == {2}
     kept = template_decon.drop_leaks(documents(spark, rows), bench)
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([i for i, _ in odd_rows()] + [103, 106, 107], key=str)
     assert template_decon.find_leaks(documents(spark, rows), bench.limit(0)).count() == 0
