@@ -67,10 +67,27 @@ def r07(spark, d):
     return rounded(rows.withColumn("pos", F.col("pos").cast("bigint")), "value")
 
 
-@query("r07_mixed_rows_beta")
+def _unit(what: str, i: str) -> str:
+    return f"(('0x' || substr(md5(k || '-{what}-' || {i}), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0"
+
+
+def _gamma_ctes(tag: str, shape: float) -> str:
+    """Gamma number of each batch key below shape 1, by the same rejection rule."""
+    d = shape + 1 - 1 / 3
+    return f""", {tag}0 AS (SELECT *, pow(1 + x / sqrt(9 * {d!r}::DOUBLE), 3) AS v FROM (SELECT k, i,
+        sqrt(-2 * ln({_unit(tag + "n", "i")})) * cos(2 * pi() * {_unit(tag + "m", "i")}) AS x, {_unit(tag + "u", "i")} AS u FROM bk CROSS JOIN range(0, 16) g(i))),
+    {tag}1 AS (SELECT k, arg_min(v, i) AS v FROM {tag}0 WHERE v > 0 AND ln(u) < 0.5 * x * x + {d!r}::DOUBLE - {d!r}::DOUBLE * v + {d!r}::DOUBLE * ln(v) GROUP BY 1),
+    {tag} AS (SELECT k, v * {d!r}::DOUBLE * pow({_unit(tag + "p", "0")}, 1 / {shape!r}::DOUBLE) AS {tag} FROM {tag}1)"""
+
+
+@query("r07_mixed_rows_beta", "batched", PARTNERS + """, bk AS (SELECT DISTINCT dataset_name, batch_id, md5('42-mix-' || dataset_name || '-' || batch_id) AS k FROM mixed)"""
+       + _gamma_ctes("a", 0.4) + _gamma_ctes("b", 0.4) + """, s AS (SELECT dataset_name, batch_id, a / (a + b) AS beta FROM bk JOIN a USING (k) JOIN b USING (k))
+    SELECT dataset_name, batch_id, series_id, partner_id, pos, round(beta, 6) AS share, round(value, 6) AS value FROM (SELECT dataset_name, batch_id, series_id, partner_id, beta,
+    unnest(range(0, 64)) AS pos, unnest(list_transform(list_zip(s1, s2), lambda z: beta * z[1] + (1 - beta) * z[2])) AS value FROM mixed JOIN s USING (dataset_name, batch_id))""")
 def r07_beta(spark, d):
     rows = batches.mixed_rows(batches.batch_partners(_batched(spark, d), 42), 42, alpha=0.4)
-    return rows.select("dataset_name", "batch_id", "series_id", "partner_id", "share", arrays.total("mixed").alias("total"))
+    long = rows.select("dataset_name", "batch_id", "series_id", "partner_id", "share", F.posexplode("mixed").alias("pos", "value"))
+    return rounded(long.withColumn("pos", F.col("pos").cast("bigint")), "share", "value")
 
 
 @query("r08_contrastive_loss", "batched", PARTNERS + """, u AS (SELECT dataset_name, batch_id, series_id, share,

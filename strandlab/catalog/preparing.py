@@ -209,8 +209,7 @@ def j01(spark, d):
     return prep.join_parts(parts(spark, d))
 
 
-@query("j02_attach_labels", "ser", "SELECT dataset_name, series_id, round(series[64], 6) AS last, label FROM ser")
+@query("j02_attach_labels", "steps", "SELECT dataset_name, series_id, label, pos, round(value, 6) AS value FROM steps")
 def j02(spark, d):
     rows = series(spark, d)
-    reprs = rows.select("dataset_name", "series_id", F.round(F.element_at("series", -1), 6).alias("last"))
-    return prep.attach_labels(reprs, rows)
+    return long_series(prep.attach_labels(rows.drop("label"), rows), ["dataset_name", "series_id", "label"])

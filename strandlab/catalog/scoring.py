@@ -189,16 +189,12 @@ def c03(spark, d):
     return neighbours.nearest_centre(rows, centres).select("dataset_name", "series_id", "cluster")
 
 
-@query("c11_seed_sweep", "ser", FIVE_SEEDS + """ SELECT dataset_name, seed::BIGINT AS seed, label, count(*) AS n,
-    round(avg(series[1]), 6) AS first_mean, round(avg(series[33]), 6) AS last_mean FROM ft GROUP BY 1, 2, 3""")
+@query("c11_seed_sweep", "ser", FIVE_SEEDS + """ SELECT dataset_name, seed::BIGINT AS seed, series_id, label, pos, round(value, 6) AS value FROM
+    (SELECT dataset_name, seed, series_id, label, unnest(range(0, len(series))) AS pos, unnest(series) AS value FROM ft)""")
 def c11(spark, d):
     rows = series(spark, d)
     swept = evaluate.raw_features_of_seeds(rows, cluster.DECOMPOSER_SEEDS)
-    return swept.groupBy("dataset_name", F.col("seed").cast("bigint").alias("seed"), "label").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.round(F.avg(F.element_at("features", 1)), 6).alias("first_mean"),
-        F.round(F.avg(F.element_at("features", -1)), 6).alias("last_mean"),
-    )
+    return long_series(swept.withColumn("seed", F.col("seed").cast("bigint")), ["dataset_name", "seed", "series_id", "label"], "features")
 
 
 @query("c11_seed_sweep_scores")

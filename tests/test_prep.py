@@ -146,6 +146,14 @@ def test_partners_are_a_permutation(spark):
         assert sorted(r["series_id"] for r in mine) == sorted(r["partner_id"] for r in mine)
 
 
+@pytest.mark.parametrize("alpha", [0.3, 2.5])
+def test_beta_draws_have_the_right_moments(spark, alpha):
+    got = spark.range(4000).select(F.lit("d").alias("dataset_name"), F.col("id").alias("batch_id")).select(batches.mix_share(3, alpha).alias("s"))
+    one = got.agg(F.avg("s").alias("mean"), F.var_pop("s").alias("var"), F.min("s").alias("lo"), F.max("s").alias("hi")).first()
+    assert one["mean"] == pytest.approx(0.5, abs=0.02) and 0 <= one["lo"] and one["hi"] <= 1
+    assert one["var"] == pytest.approx(1 / (4 * (2 * alpha + 1)), rel=0.08)
+
+
 def test_beta_shares(spark):
     df = series_rows(spark, [[float(i)] for i in range(64)], [0] * 64)
     pairs = batches.batch_partners(batches.with_batches(batches.in_order(df)), 7)
