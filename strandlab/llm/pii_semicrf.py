@@ -7,6 +7,7 @@ at sign cannot begin or end an entity, so a text falls apart into regions that a
 
 from __future__ import annotations
 
+import bisect
 import random
 import re
 
@@ -437,17 +438,23 @@ def find_spans(texts: list[str], weights: np.ndarray) -> list[tuple[list[Span],
             more[k] += spans
     out = []
     for found, extra in zip(base, more):
-        taken = sorted((s, e) for _, s, e in found)
-        out.append((found, [x for x in extra if not _overlaps(taken, x[1], x[2])]))
+        starts, ends = joined_ranges(found)
+        # the last range that starts before the span's end must end at or before its start
+        free = [x for x in extra if not (k := bisect.bisect_left(starts, x[2])) or ends[k - 1] <= x[1]]
+        out.append((found, free))
     return out
 
 
-def _overlaps(taken: list[tuple[int, int]], start: int, end: int) -> bool:
-    return any(s < end and start < e for s, e in taken) if len(taken) < 50 else _overlaps_many(np.array(taken), start, end)
-
-
-def _overlaps_many(taken: np.ndarray, start: int, end: int) -> bool:
-    return bool(((taken[:, 0] < end) & (start < taken[:, 1])).any())
+def joined_ranges(spans: list[Span]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the spans, overlapping ones as one, in order."""
+    starts, ends = [], []
+    for _, s, e in sorted(spans, key=lambda x: x[1:]):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
 
 
 def ordered(spans: list[Span]) -> list[Span]:

@@ -482,6 +482,15 @@ def test_personal_data_on_made_up_lines(spark, weights):
     assert pii_semicrf.find_personal_data(docs.limit(0), weights).count() == 0
 
 
+def test_added_spans_overlap_no_base_span(weights):
+    rng = random.Random(12)
+    for _ in range(60):
+        text = " ".join(pii_semicrf.made_up(rng, ["alpha"])[0] for _ in range(3))
+        base, extra = pii_semicrf.find_spans([text], weights)[0]
+        assert not any(s < e2 and s2 < e for _, s, e in base for _, s2, e2 in extra)
+    assert pii_semicrf.joined_ranges([("ip", 4, 6), ("card", 0, 2), ("phone", 1, 3)]) == ([0, 4], [3, 6])
+
+
 def test_redact_overlaps():
     assert pii_semicrf.redact("abcdefgh", [("ip", 1, 3), ("card", 2, 5), ("phone", 5, 6)]) == "a[IP][PHONE]gh"
     assert pii_semicrf.redact("abc", []) == "abc"
