@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from strandlab.session import materialise
 
 NEIGHBOURS = 10
-PROJECTIONS = 96
+PROJECTIONS = 96  # at most 255: collisions are counted in bytes
 WINDOW = 2.185  # width of a window of radius 1; the value for steps of 1.2 in distance
 THRESHOLD = 0.62  # share of the windows a vector must lie in; 0.725 are expected at the radius
 STEP = 1.1
@@ -37,66 +37,70 @@ def usable(column: str):
 
 
 class Block:
-    """Vectors with one sorted array per projection."""
+    """Vectors with one sorted array per projection, and the place of each vector in each array."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        if len(ids) > BLOCK_VECTORS:
+            raise ValueError(f"a block holds at most {BLOCK_VECTORS} vectors")
         self.ids, self.vectors = ids, vectors
         self.projections = projections(vectors.shape[1])
-        moved = vectors @ self.projections
-        self.order = np.argsort(moved, axis=0, kind="stable").T.copy()
-        self.sorted = np.take_along_axis(moved.T, self.order, axis=1)
+        moved = (vectors @ self.projections).T
+        order = np.argsort(moved, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(moved, order, axis=1)
+        self.place = np.empty(order.shape, np.uint16)
+        np.put_along_axis(self.place, order, np.arange(len(ids), dtype=np.uint16)[None, :], axis=1)
         some = np.linspace(0, len(ids) - 1, min(SCALE_SAMPLE, len(ids))).astype(np.int64)
         near = np.sqrt(np.maximum(((vectors[some, None, :] - vectors[None, :, :]) ** 2).sum(2), 0.0))
         near.sort(axis=1)
         #: where windows start: a little below the usual distance of the wanted neighbour
-        self.radius = 0.7 * float(np.median(near[:, min(NEIGHBOURS, near.shape[1] - 1)]))
+        self.radius = 0.9 * float(np.median(near[:, min(NEIGHBOURS, near.shape[1] - 1)]))
         self.size = float(np.sqrt((vectors**2).sum(1).max()))
 
-    def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Nearest verified vectors other than the query's own: ids and distances, ties to smaller ids."""
-        n, m = len(self.ids), len(self.sorted)
-        at = query @ self.projections
-        own = self.ids == query_id
-        wanted = min(k, n - int(own.sum()))
-        if wanted <= 0:
-            return self.ids[:0], np.zeros(0)
-        needed = int(np.ceil(THRESHOLD * m))
-        count = np.zeros(n, np.int16)
-        seen = own.copy()
-        found, distance = [], []
-        low = high = None
-        within = 0
-        radius, step = 1e-9 * (self.size + float(np.sqrt((query**2).sum()))), STEP
-        while True:
-            half = WINDOW / 2 * radius
-            lo = [int(np.searchsorted(s, x - half, "left")) for s, x in zip(self.sorted, at)]
-            hi = [int(np.searchsorted(s, x + half, "right")) for s, x in zip(self.sorted, at)]
-            for i in range(m):
-                if low is None:
-                    count[self.order[i, lo[i] : hi[i]]] += 1
-                else:
-                    count[self.order[i, lo[i] : low[i]]] += 1
-                    count[self.order[i, high[i] : hi[i]]] += 1
-            low, high = lo, hi
-            new = np.flatnonzero((count >= needed) & ~seen)
-            if len(new):
-                seen[new] = True
-                found.append(new)
-                distance.append(np.sqrt(((self.vectors[new] - query) ** 2).sum(1)))
-            if found:
-                within = int(sum((d <= radius).sum() for d in distance))
-            if within >= wanted or seen.all():
-                break
+    def _windows(self, at: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
+        """First place and number of places of each query's window in each sorted array."""
+        lo = np.stack([np.searchsorted(s, x - half, "left") for s, x in zip(self.sorted, at)], axis=1)
+        hi = np.stack([np.searchsorted(s, x + half, "right") for s, x in zip(self.sorted, at)], axis=1)
+        return lo.astype(np.uint16), (hi - lo).astype(np.uint16)
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the nearest verified vectors other than its own: ids and distances, ties to smaller ids."""
+        needed = int(np.ceil(THRESHOLD * len(self.sorted)))
+        at = (queries @ self.projections).T
+        seen = [self.ids == q for q in query_ids.tolist()]
+        wanted = [min(k, int((~own).sum())) for own in seen]
+        found: list[list[np.ndarray]] = [[] for _ in seen]
+        far: list[list[np.ndarray]] = [[] for _ in seen]
+        active = [q for q in range(len(seen)) if wanted[q]]
+        moved, inside = np.empty_like(self.place), np.empty(self.place.shape, bool)
+        radius, step = 1e-9 * (self.size + float(np.sqrt((queries**2).sum(1).max(initial=0.0)))), STEP
+        while active:
+            low, width = self._windows(at[:, active], WINDOW / 2 * radius)
+            left = []
+            for row, q in enumerate(active):
+                # unsigned: a place before the window wraps around and lies beyond its width
+                np.subtract(self.place, low[row][:, None], out=moved)
+                np.less(moved, width[row][:, None], out=inside)
+                count = np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8)
+                new = np.flatnonzero((count >= needed) & ~seen[q])
+                if len(new):
+                    seen[q][new] = True
+                    found[q].append(new)
+                    far[q].append(np.sqrt(((self.vectors[new] - queries[q]) ** 2).sum(1)))
+                if sum(int((d <= radius).sum()) for d in far[q]) < wanted[q] and not seen[q].all():
+                    left.append(q)
+            active = left
             if radius < self.radius:
                 radius = self.radius
             else:
-                radius *= step
+                radius = max(radius * step, 1e-12)
                 step *= STEP if radius > 4 * self.radius else 1.0
-            if radius == 0.0:
-                radius = 1e-12
-        rows, far = np.concatenate(found), np.concatenate(distance)
-        best = np.lexsort((self.ids[rows], far))[:wanted]
-        return self.ids[rows[best]], far[best]
+        out = []
+        for q in range(len(seen)):
+            rows = np.concatenate(found[q]) if found[q] else np.zeros(0, np.int64)
+            distance = np.concatenate(far[q]) if far[q] else np.zeros(0)
+            best = np.lexsort((self.ids[rows], distance))[: wanted[q]]
+            out.append((self.ids[rows[best]], distance[best]))
+        return out
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -140,12 +144,9 @@ def _search_batches(k: int):
                 if held != (row["part"], row["dim"]):
                     held = (row["part"], row["dim"])
                     block = Block(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"]).reshape(-1, row["dim"]))
-                out = [], [], []
-                for q, v in zip(np.frombuffer(row["q_ids"], np.int64).tolist(), np.frombuffer(row["q_vectors"]).reshape(-1, row["dim"])):
-                    ids, far = block.search(q, v, k)
-                    out[0].append(np.full(len(ids), q, np.int64))
-                    out[1].append(ids)
-                    out[2].append(far)
+                queries = np.frombuffer(row["q_ids"], np.int64)
+                answers = block.search(queries, np.frombuffer(row["q_vectors"]).reshape(-1, row["dim"]), k)
+                out = [np.full(len(ids), q, np.int64) for q, (ids, _) in zip(queries, answers)], [a[0] for a in answers], [a[1] for a in answers]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["query_id", "vec_id", "score"])
 
     return run
