@@ -126,7 +126,9 @@ def _predict(
         return pa.table({key: name, **{k: pa.array(v) for k, v in done.items()}})
 
     columns = [key, SERIES_ID, LABEL, SERIES, "gamma"]
-    return apply_with_parameters(rows.select(*columns), machines, run, schema, sizes, key=key)
+    # a row becomes its features inside the block, so blocks are sized by the wider of the two
+    wide = sizes.withColumn("d", F.greatest(F.col("d"), F.lit(n_features + 1).cast("bigint")))
+    return apply_with_parameters(rows.select(*columns), machines, run, schema, wide, key=key)
 
 
 def grid_scores(parts: DataFrame, seed: int = CLASSIFIER_SEED, grid=C_GRID, n_features: int = N_FEATURES) -> DataFrame:

@@ -67,6 +67,14 @@ def evaluate_representations(df: DataFrame, keys: Sequence[str] = REPRESENTATION
     return unpack_keys(scores, keys, kinds), unpack_keys(rejected, keys, kinds)
 
 
+def classify_representations(df: DataFrame, keys: Sequence[str] = REPRESENTATION_KEYS, skipped: Iterable[str] = prep.SKIPPED_DATASETS) -> DataFrame:
+    """Accuracy and macro scores on the test part for every data set, model, encoder and seed in one job.
+
+    Ids are unique per combination of ``keys``.
+    """
+    return scores_by(classify_and_evaluate, prep.skip_datasets(df, skipped), keys, skipped=())
+
+
 def cluster_and_evaluate(
     df: DataFrame,
     data_type: str,

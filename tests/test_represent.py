@@ -233,3 +233,13 @@ def test_hinge_machine(spark):
 def test_sizes(spark):
     _, df = sample(spark)
     assert tuple(dataset_sizes(df).first()) == ("d", 80, 8)
+
+
+def test_classification_by_model_and_seed(spark):
+    one, two = sample(spark, seed=1)[1], sample(spark, n=60, seed=2)[1]
+    both = one.withColumns({"model_name": F.lit("a"), "encoder_name": F.lit("e"), "seed": F.lit(1)}).unionByName(
+        two.withColumns({"model_name": F.lit("b"), "encoder_name": F.lit("e"), "seed": F.lit(2)})
+    )
+    got = {(r["model_name"], r["seed"]): r["accuracy"] for r in evaluate.classify_representations(both).collect()}
+    alone = {k: evaluate.classify_and_evaluate(df).first()["accuracy"] for k, df in ((("a", 1), one), (("b", 2), two))}
+    assert got == pytest.approx(alone)
