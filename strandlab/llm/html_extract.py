@@ -28,10 +28,12 @@ EPOCHS = 10
 PAGES_AT_ONCE = 200
 
 MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|svg|iframe|object|head)\b.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z|(?=<))|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z/][^<>]*(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z|(?=<))|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z/][^<>]*(?:>|\Z)",
     re.S | re.I,
 )
+# only these run to the page end where their end tag is missing
+RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "textarea", "iframe")}
+TITLE_END = re.compile(r"</title\s*>|(?=</?(?:head|body|title|svg)[\s/>])", re.I)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 NAME_WORD = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,7 +42,13 @@ INLINE = frozenset(
     "strong sub sup time tt u var wbr".split()
 )
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-SCOPES = frozenset("ul ol dl table tbody thead body html div section article".split())
+SKIPPED = frozenset("head svg select object template noscript".split())  # their text is no text of the page
+FALLBACK = frozenset("object template noscript".split())  # of these, only where the end tag is there
+HEAD_PARTS = frozenset("html head title base basefont bgsound link meta noframes noscript template".split())
+SCOPES = frozenset("ul ol dl table tbody thead body html div section article".split()) | SKIPPED
+BREAKS = frozenset(  # start tags that end an unclosed svg or select
+    "body article section main nav header footer aside form address blockquote dl dd dt figure h1 h2 h3 h4 h5 h6 li menu ol p pre table ul".split()
+)
 
 ARTICLE_NAMES = "article main content post story entry body text page".split()
 OTHER_ELEMENTS = "nav header footer aside form button".split()
@@ -59,51 +67,90 @@ class Blocks:
         self.texts: list[str] = []
         self.paths: list[tuple[str, ...]] = []
         self.linked: list[float] = []
-        self._stack: list[tuple[str, tuple[str, ...]]] = []
+        self._stack: list[tuple[str, tuple[str, ...], int]] = []  # name, path words, blocks before it
         self._parts: list[str] = []
         self._size = self._links = 0
+        self._headed = False
         place = 0
-        for m in MARKUP.finditer(page):
+        while m := MARKUP.search(page, place):
             if m.start() > place:
                 self._text(page[place : m.start()])
             place = m.end()
+            if not m[2]:
+                continue
+            name = m[2].lower()
             if m[1]:
+                self._close(name)
+                continue
+            closed = m[3].endswith("/")
+            if name in RAW_END and not (closed and self._inside("svg")):
                 self._flush()
-            elif m[3]:
-                name = m[3].lower()
-                if m[2]:
-                    self._close(name)
-                else:
-                    self._open(name, m[4] or "")
+                end = RAW_END[name].search(page, m.start())
+                place = end.end() if end else len(page)
+            elif name == "title" and self._headed and (end := TITLE_END.search(page, place)) and end[0]:
+                place = end.end()
+            elif closed and (name == "svg" or name not in BREAKS and self._inside("svg")):
+                self._flush()
+            else:
+                self._open(name, m[3])
         if place < len(page):
             self._text(page[place:])
-        self._flush()
+        self._pop_to(0)
+
+    def _inside(self, name: str) -> bool:
+        return any(entry[0] == name for entry in self._stack)
 
     def _text(self, raw: str) -> None:
+        if self._stack and self._stack[-1][0] == "head" and raw.strip():
+            self._pop_to(len(self._stack) - 1)
         self._parts.append(html.unescape(raw) if "&" in raw else raw)
         self._size += len(raw)
-        if any(name == "a" for name, _ in self._stack):
+        if self._inside("a"):
             self._links += len(raw)
 
     def _flush(self) -> None:
         text = " ".join("".join(self._parts).split())
         if text:
             self.texts.append(text)
-            self.paths.append(tuple(w for _, words in self._stack for w in words))
+            self.paths.append(tuple(w for _, words, _ in self._stack for w in words))
             self.linked.append(self._links / max(self._size, 1))
         self._parts, self._size, self._links = [], 0, 0
 
-    def _pop_to(self, k: int) -> None:
+    def _pop_to(self, k: int, ended: bool = False) -> None:
+        """Leaves the elements from ``k`` on; ``ended``: element ``k`` has its end tag."""
+        self._flush()
+        drop = [entry[2] for entry in self._stack[k:] if entry[0] in SKIPPED - FALLBACK]
+        if ended and self._stack[k][0] in SKIPPED:
+            drop.append(self._stack[k][2])
+        if drop:
+            for part in (self.texts, self.paths, self.linked):
+                del part[min(drop) :]
         del self._stack[k:]
 
+    def _end_unclosed(self, name: str) -> None:
+        """Ends a head, svg or select whose end tag is missing, when a start tag comes that cannot lie in it."""
+        for k in range(len(self._stack) - 1, -1, -1):
+            inner = self._stack[k][0]
+            if inner in FALLBACK or inner == "foreignobject":
+                if name != "body":
+                    return
+            elif (name not in HEAD_PARTS) if inner == "head" else (inner in ("svg", "select") and name in BREAKS):
+                self._pop_to(k)
+                return
+
     def _open(self, name: str, attributes: str) -> None:
+        self._end_unclosed(name)
         if name in INLINE:
             if name == "br":
                 self._parts.append(" ")
             elif name not in VOID:
-                self._stack.append((name, ()))
+                self._stack.append((name, (), 0))
             return
         self._flush()
+        if name in SKIPPED:
+            self._headed |= name == "head"
+            self._stack.append((name, (), len(self.texts)))
+            return
         if name not in ("html", "body"):
             self._leave("p")
         for k in range(len(self._stack) - 1, -1, -1):
@@ -118,7 +165,7 @@ class Blocks:
         if attributes:
             for m in ATTRIBUTE.finditer(attributes):
                 words += NAME_WORD.findall((m[2] or m[3] or m[4] or "").lower())
-        self._stack.append((name, tuple(words)))
+        self._stack.append((name, tuple(words), 0))
 
     def _leave(self, name: str) -> None:
         for k in range(len(self._stack) - 1, -1, -1):
@@ -133,7 +180,10 @@ class Blocks:
             self._flush()
         for k in range(len(self._stack) - 1, -1, -1):
             if self._stack[k][0] == name:
-                self._pop_to(k)
+                if name in INLINE:
+                    del self._stack[k:]
+                else:
+                    self._pop_to(k, ended=True)
                 break
             if name in INLINE and self._stack[k][0] not in INLINE:
                 break

@@ -41,6 +41,28 @@ def test_blocks():
         html_extract.Blocks(odd)
 
 
+@pytest.mark.parametrize(
+    "page, texts",
+    [
+        ("<html><head><title>t</title><meta charset=x><body><p>one</p>", ["one"]),
+        ("<head><title>a <p> b</title><article><p>one</p></article>", ["one"]),
+        ("<head><script>'<body>'</script><noscript><img><p>n</noscript><title>t</title></head><p>one", ["one"]),
+        ("<svg class='i'/><p>one</p><svg><path/></svg><p>two", ["one", "two"]),
+        ("<svg><style/><circle/><text>t</text></svg>one", ["one"]),
+        ("<div><svg><path></div>one<svg></svg>", ["one"]),
+        ("<body><svg><path><p>one<svg></svg>", ["one"]),
+        ("<head-line>one</head-line><select-box>two</select-box><script-x>three", ["one", "two", "three"]),
+        ("<div><select><option>o</div>one<select><option>o</select>two<select><option>o<p>three", ["one", "two", "three"]),
+        ("<p>one<object><p>f</p></object>two<noscript>n</noscript><template>t</template>three", ["one", "two", "three"]),
+        ("<object data=x><p>one</p><p>two", ["one", "two"]),
+        ("one<script/>s<p>s", ["one"]),
+        ("one<textarea>t</textarea>two<!-- <p>c", ["one", "two"]),
+    ],
+)
+def test_skipped_elements(page, texts):
+    assert html_extract.Blocks(page).texts == texts
+
+
 @pytest.fixture(scope="module")
 def weights():
     return html_extract.train([], template_pages=500, epochs=8)
