@@ -325,6 +325,23 @@ def test_leaks(spark):
     assert template_decon.find_leaks(documents(spark, []).limit(0), bench).count() == 0
 
 
+def leaks(spark, rows, items):
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    return {(r.doc_id, r.item_id): r for r in template_decon.find_leaks(documents(spark, rows), bench).collect()}
+
+
+def test_leaks_of_parts_and_short_items(spark):
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(3000)]
+    item, prose = rng.choices(vocabulary, k=500), " ".join(rng.choices(vocabulary, k=60))
+    rows = [(k, f"{prose}. {' '.join(item[90 : 90 + n])}. {prose}") for k, n in ((1, 200), (2, 14), (3, 13), (4, 499))]
+    rows += [(5, f"{prose}\n- Yes, it is!\r\n{prose}"), (6, "yes\nIT is"), (7, f"{prose} yes it is {prose}"), (8, "it is\n"), (9, "?"), (10, "yes it is it")]
+    got = leaks(spark, rows, [(1, " ".join(item)), (2, "Yes it is"), (3, "!"), (4, "IT is.")])
+    assert set(got) == {(1, 1), (2, 1), (4, 1), (5, 2), (6, 2), (6, 4), (8, 4)}
+    assert (got[1, 1].n_windows, got[1, 1].first_word, got[1, 1].exact) == (193, 60, True)
+    assert (got[5, 2].n_windows, got[5, 2].first_word, got[5, 2].covered) == (1, 60, 1.0)
+
+
 # ---------------------------------------------------------------- quality
 
 
