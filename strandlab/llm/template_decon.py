@@ -1,13 +1,15 @@
 """Benchmark passages in documents, found by templates: numbers, names and units become typed placeholders.
 
 Windows of template words of the benchmark and of the documents meet in a hash join. Windows of one item that lie on one line of
-offsets are one occurrence, whose words are compared place by place: the fillers of the placeholders must stand for each other one to
-one, so a question with other numbers or names is caught, and mere chance likeness is not.
+offsets are one occurrence, whose words are compared place by place: windows count whose fillers stand for each other one to
+one, or are equal, so a question with other numbers or names is caught, and mere chance likeness is not.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
+from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
@@ -269,10 +271,10 @@ def _occurrence_batches(batches):
     for batch in batches:
         rows = []
         for r in batch.to_pylist():
-            places = counted(r["places"], r["fillers"], r["size"])
+            equal, run, longest = set(r["equal"]), 0, 0
+            places = counted(r["places"], equal, r["fillers"], r["size"])
             if not places:
                 continue
-            equal, run, longest = set(r["equal"]), 0, 0
             for p in sorted(equal):
                 run = run + 1 if p - 1 in equal else r["size"]
                 longest = max(longest, run)
@@ -288,11 +290,25 @@ FOUND = pa.schema(
 )
 
 
-def counted(places: list[int], fillers: list[dict], size: int) -> list[int]:
-    """Sorted places of the windows of a diagonal, none if a filler of the item stands for several."""
-    if len({z["w"] for z in fillers}) < len({(z["w"], z["f"]) for z in fillers}):
-        return []
-    return sorted(places)
+def counted(places: list[int], equal: set[int], fillers: list[dict], size: int) -> list[int]:
+    """Sorted places of the windows of a diagonal that count: those of the item's very words, and those whose fillers are what
+    the item's stand for in most of their places. A filler that stands for several equally often stands for itself, if
+    that is one of them, or for none."""
+    votes: dict[int, Counter] = {}
+    for z in fillers:
+        votes.setdefault(z["w"], Counter())[z["f"]] += 1
+    stands: dict[int, int | None] = {}
+    for w, of in votes.items():
+        most = max(of.values())
+        top = [f for f, n in of.items() if n == most]
+        stands[w] = top[0] if len(top) == 1 else w if w in top else None
+    against = sorted(z["p"] for z in fillers if stands[z["w"]] != z["f"])
+
+    def agrees(p: int) -> bool:
+        k = bisect.bisect_left(against, p)
+        return k == len(against) or against[k] >= p + size
+
+    return sorted(p for p in places if p in equal or agrees(p))
 
 
 def find_leaks(
@@ -312,7 +328,8 @@ def find_leaks(
     ``covered``: share of the item's template windows found in consistent occurrences, at least the given one, or less where
     ``verbatim`` words on end are those of the item;
     ``exact``: all fillers are those of the item; ``first_word``: smallest template word number of an occurrence. A filler of the item
-    stands for one filler throughout an occurrence. Items of fewer than ``smallest`` words are found where they are a whole line or
+    stands for one filler throughout an occurrence; windows that differ from what most places say do not count, unless their words are
+    the item's. Items of fewer than ``smallest`` words are found where they are a whole line or
     document; those without words, null texts and empty tables give no rows; items shorter than a window are looked for as a whole. Rows that repeat an id give one row per item. Null ids are
     allowed and extra columns ignored.
     """

@@ -342,6 +342,21 @@ def test_leaks_of_parts_and_short_items(spark):
     assert (got[5, 2].n_windows, got[5, 2].first_word, got[5, 2].covered) == (1, 60, 1.0)
 
 
+def test_leaks_with_one_place_changed(spark):
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(3000)]
+    parts = [" ".join(rng.choices(vocabulary, k=12)) for _ in range(6)]
+    item = " Anna 2019 ".join(parts)
+    other = item.replace("Anna", "Maria").replace("2019", "1987")
+    rows = [
+        (1, item.replace("Anna", "Ana", 1)), (2, item.replace("2019", "2018", 1)), (3, other.replace("Maria", "Mraia", 1)), (4, other),
+        (5, "".join(f"{a} {n} " for a, n in zip(parts, ("Anna 1", "Bea 2", "Cleo 3", "Dora 4", "Eve 5", "")))),
+    ]
+    got = leaks(spark, rows, [(1, item)])
+    assert {i for i, _ in got} == {1, 2, 3, 4}
+    assert not any(r.exact for r in got.values()) and got[4, 1].covered == 1.0 and got[1, 1].covered > 0.8 and got[3, 1].covered > 0.8
+
+
 # ---------------------------------------------------------------- quality
 
 
