@@ -1,6 +1,6 @@
 """Benchmark passages in documents, found by templates: numbers, names and units become typed placeholders.
 
-Windows of template words of the benchmark and of the documents meet in a hash join. Windows of one item that lie on one line of
+Windows of the benchmark and of the documents meet in a hash join, by their template words and by their words. Windows of one item that lie on one line of
 offsets are one occurrence, whose words are compared place by place: windows count whose fillers stand for each other one to
 one, or are equal, so a question with other numbers or names is caught, and mere chance likeness is not.
 """
@@ -143,24 +143,26 @@ def _item_batches(size: int, smallest: int):
         reader = TemplateReader()
         for batch, data, offsets in chunks_of(batches):
             t = reader.read(data, offsets)
-            out = {k: [] for k in ("item_id", "item_key", "n_words", "place", "window", "words", "kinds")}
+            out = {k: [] for k in ("item_id", "item_key", "n_words", "place", "window", "plain", "words", "kinds")}
             whole = {n: item_windows(t, n, size) for n in {min(int(k), size) for k in np.diff(t.first)} if n >= smallest}
+            words_of = {n: plain_windows(t, n, size) for n in whole}
             for r in range(batch.num_rows):
                 a, b = int(t.first[r]), int(t.first[r + 1])
                 if a == b:
                     continue
                 if b - a < smallest:
-                    n, found, kind = b - a, line_hashes(t.word, np.array([a]), b - a, smallest), np.zeros(len(t.kind), np.int8)
+                    n, kind = b - a, np.zeros(len(t.kind), np.int8)
+                    found = plain = line_hashes(t.word, np.array([a]), n, smallest)
                 else:
                     n, kind = min(b - a, size), t.kind
                     hashes, at = whole[n]
-                    found = hashes[at[r] : at[r + 1]]
-                for p, window in enumerate(signed(found).tolist()):
+                    found, plain = hashes[at[r] : at[r + 1]], words_of[n][at[r] : at[r + 1]]
+                for p, (window, of_words) in enumerate(zip(signed(found).tolist(), signed(plain).tolist())):
                     stop = a + p + n
                     for name, v in zip(
                         out,
                         (
-                            batch.column(0)[r].as_py(), batch.column(1)[r].as_py(), b - a, p, window,
+                            batch.column(0)[r].as_py(), batch.column(1)[r].as_py(), b - a, p, window, of_words,
                             signed(t.word)[a + p : stop].tolist(), kind[a + p : stop].tolist(),
                         ),
                     ):
@@ -172,7 +174,7 @@ def _item_batches(size: int, smallest: int):
 
 ITEM = pa.schema(
     [("item_id", pa.int64()), ("item_key", pa.int64()), ("n_words", pa.int32()), ("place", pa.int32()), ("window", pa.int64()),
-     ("words", pa.list_(pa.int64())), ("kinds", pa.list_(pa.int8()))]
+     ("plain", pa.int64()), ("words", pa.list_(pa.int64())), ("kinds", pa.list_(pa.int8()))]
 )
 HIT = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("at", pa.int32()), ("window", pa.int64()), ("found", pa.list_(pa.int64()))])
 
@@ -195,9 +197,13 @@ def _hit_batches(size: int, table: np.ndarray, shortest: tuple[int, ...], smalle
                 hashes, at = item_windows(t, n, size)
                 if not len(hashes):
                     continue
-                hit = in_bit_set(table, hashes)
-                row = np.searchsorted(at, hit, "right") - 1
-                parts.append((row, hit - at[row], hashes[hit], np.full(len(hit), n)))
+                plain = plain_windows(t, n, size)
+                for found in (hashes, plain):
+                    hit = in_bit_set(table, found)
+                    if found is plain:
+                        hit = hit[plain[hit] != hashes[hit]]
+                    row = np.searchsorted(at, hit, "right") - 1
+                    parts.append((row, hit - at[row], found[hit], np.full(len(hit), n)))
             if not parts:
                 continue
             row, place, hashes, n = (np.concatenate(x) for x in zip(*parts))
@@ -223,21 +229,30 @@ def _hash_at(words: np.ndarray, starts: np.ndarray, n: int, size: int) -> np.nda
     return mix(total)
 
 
+def _window_hashes(words: np.ndarray, t: Template, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all windows of ``n`` words and where each row's windows start (one more than rows)."""
+    if n == size:
+        return windows(words, t.first, n, seed=SEED)
+    count = np.maximum(np.diff(t.first) - n + 1, 0)
+    at = np.concatenate([[0], np.cumsum(count)])
+    return _hash_at(words, np.arange(at[-1]) + np.repeat(t.first[:-1] - at[:-1], count), n, size), at
+
+
+def plain_windows(t: Template, n: int, size: int) -> np.ndarray:
+    """Hashes of the small words of all windows: capitals, line breaks and spaces that make a word a name or none do not matter."""
+    return mix(_window_hashes(t.word, t, n, size)[0] ^ np.uint64(LITERAL_WORDS))
+
+
 def item_windows(t: Template, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all windows of ``n`` words and where each row's windows start (one more than rows).
+    """Hashes of all windows of ``n`` template words and where each row's windows start (one more than rows).
 
     A window with fewer than ``LITERAL_WORDS`` words that stand for themselves is hashed by its words and not by its template: a
     table of numbers is not every other table of numbers.
     """
-    count = np.maximum(np.diff(t.first) - n + 1, 0)
-    at = np.concatenate([[0], np.cumsum(count)])
-    if not at[-1]:
-        return np.zeros(0, np.uint64), at
-    starts = np.arange(at[-1]) + np.repeat(t.first[:-1] - at[:-1], count)
-    if n == size:
-        hashes, _ = windows(t.template, t.first, n, seed=SEED)
-    else:
-        hashes = _hash_at(t.template, starts, n, size)
+    hashes, at = _window_hashes(t.template, t, n, size)
+    if not len(hashes):
+        return hashes, at
+    starts = np.arange(at[-1]) + np.repeat(t.first[:-1] - at[:-1], np.diff(at))
     literal = np.concatenate([[0], np.cumsum(t.kind == 0)])
     few = np.flatnonzero(literal[starts + n] - literal[starts] < LITERAL_WORDS)
     if len(few):
@@ -336,9 +351,10 @@ def find_leaks(
     items = benchmark.select(F.col(item_column).cast("long"), F.xxhash64(item_text_column), F.col(item_text_column).alias("text"))
     items = items.distinct().mapInArrow(
         _item_batches(window, smallest),
-        "item_id long, item_key long, n_words int, place int, window long, words array<long>, kinds array<byte>",
+        "item_id long, item_key long, n_words int, place int, window long, plain long, words array<long>, kinds array<byte>",
     )
-    items = materialise(items, "item-windows")
+    both = F.explode(F.array_distinct(F.array("window", "plain"))).alias("window")
+    items = materialise(items.select("item_id", "item_key", "n_words", "place", "words", "kinds", both), "item-windows")
     # the filter has a fixed size, and of the items' windows only their places in it go to the driver
     hashes = items.select("window").distinct().toArrow()["window"].to_numpy().astype(np.int64).view(np.uint64)
     sizes = tuple(sorted(r[0] for r in items.where(F.col("n_words") < max(window, smallest)).select("n_words").distinct().collect()))

@@ -357,6 +357,17 @@ def test_leaks_with_one_place_changed(spark):
     assert not any(r.exact for r in got.values()) and got[4, 1].covered == 1.0 and got[1, 1].covered > 0.8 and got[3, 1].covered > 0.8
 
 
+def test_leaks_in_other_capitals_and_lines(spark):
+    rng = random.Random(10)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(3000)]
+    item = " ".join(w.capitalize() if k % 4 == 2 else w for k, w in enumerate(rng.choices(vocabulary, k=40)))
+    short = "was it Anna or Peter Müller"
+    rows = [(1, item.lower()), (2, item.upper()), (3, re.sub(" (?=[A-Z])", "\n", item)), (4, re.sub(" (?=[A-Z])", "  ", item)), (5, short.lower()), (6, item)]
+    got = leaks(spark, rows, [(1, item), (2, short)])
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 2), (6, 1)}
+    assert all(r.exact and r.covered == 1.0 for r in got.values())
+
+
 # ---------------------------------------------------------------- quality
 
 
