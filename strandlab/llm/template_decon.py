@@ -121,12 +121,27 @@ def _filter_places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarra
     return (hashes >> np.uint64(64 - bits)).astype(np.int64), (mix(hashes) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def bit_set(hashes: np.ndarray, bits: int = FILTER_BITS) -> np.ndarray:
-    """Two bits per hash in a table of ``2**bits``."""
-    table = np.zeros(1 << (bits - 3), np.uint8)
-    for place in _filter_places(hashes, bits):
-        np.bitwise_or.at(table, place >> 3, (1 << (place & 7)).astype(np.uint8))
-    return table
+def _bit_batches(bits: int):
+    """Words of 64 bits of the filter table that the hashes of a batch set: their numbers and their bits."""
+
+    def run(batches):
+        for batch in batches:
+            hashes = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            place = np.concatenate(_filter_places(hashes, bits))
+            number, at = np.unique(place >> 6, return_inverse=True)
+            word = np.zeros(len(number), np.uint64)
+            np.bitwise_or.at(word, at, np.uint64(1) << (place & 63).astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array(signed(word))], names=["number", "word"])
+
+    return run
+
+
+def bit_set(hashes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """Two bits per hash in a table of ``2**bits``, set on the executors: at most ``2**(bits - 6)`` rows go to the driver."""
+    words = hashes.mapInArrow(_bit_batches(bits), "number int, word long").groupBy("number").agg(F.expr("bit_or(word)").alias("word")).toArrow()
+    table = np.zeros(1 << (bits - 6), "<i8")
+    table[words["number"].to_numpy()] = words["word"].to_numpy()
+    return table.view(np.uint8)
 
 
 def in_bit_set(table: np.ndarray, hashes: np.ndarray, bits: int = FILTER_BITS) -> np.ndarray:
@@ -355,12 +370,12 @@ def find_leaks(
     )
     both = F.explode(F.array_distinct(F.array("window", "plain"))).alias("window")
     items = materialise(items.select("item_id", "item_key", "n_words", "place", "words", "kinds", both), "item-windows")
-    # the filter has a fixed size, and of the items' windows only their places in it go to the driver
-    hashes = items.select("window").distinct().toArrow()["window"].to_numpy().astype(np.int64).view(np.uint64)
+    # of the items' windows only the words of the filter table, of a fixed size, go to the driver
+    table = bit_set(items.select("window"))
     sizes = tuple(sorted(r[0] for r in items.where(F.col("n_words") < max(window, smallest)).select("n_words").distinct().collect()))
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text_column).alias("text_key"), F.col(text_column).alias("text"))
     hits = docs.mapInArrow(
-        _hit_batches(window, bit_set(hashes), sizes, smallest), "doc_id long, text_key long, at int, window long, found array<long>"
+        _hit_batches(window, table, sizes, smallest), "doc_id long, text_key long, at int, window long, found array<long>"
     )
     small = items.count() <= BROADCAST_ROWS
     met = hits.join(F.broadcast(items) if small else items, "window")

@@ -368,6 +368,16 @@ def test_leaks_in_other_capitals_and_lines(spark):
     assert all(r.exact and r.covered == 1.0 for r in got.values())
 
 
+def test_filter_is_added_up_on_executors(spark):
+    values = np.random.default_rng(4).integers(-(2**63), 2**63 - 1, 30_000)
+    table = template_decon.bit_set(spark.createDataFrame([(int(v),) for v in values], "window long").repartition(5), bits=12)
+    assert table.nbytes == 512 and len(template_decon.in_bit_set(table, values.view(np.uint64), 12)) == len(values)
+    few = template_decon.bit_set(spark.createDataFrame([(int(v),) for v in values[:50]], "window long"), bits=12)
+    places = np.unique(np.concatenate(template_decon._filter_places(values[:50].view(np.uint64), 12)))
+    assert np.flatnonzero(np.unpackbits(few, bitorder="little")).tolist() == places.tolist()
+    assert not template_decon.bit_set(spark.createDataFrame([], "window long")).any()
+
+
 # ---------------------------------------------------------------- quality
 
 
