@@ -12,6 +12,7 @@ from strandlab.llm.collision_ann import nearest
 from strandlab.llm.html_extract import extract_pages, train_on
 from strandlab.llm.license_scan import license_labels, scan_licenses
 from strandlab.llm.minmax_dedup import near_duplicates
+from strandlab.llm.phrase_index import collocations
 from strandlab.llm.superkmer import drop_repeated_passages
 from strandlab.llm.swap_packing import pack_documents
 from strandlab.llm.template_decon import find_leaks
@@ -119,3 +120,27 @@ def op6_trie_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op6_trie_tokens"] = op6_trie_tokens
+
+
+def op13_fm_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(table(spark, folder, "documents"))
+
+
+QUERIES["op13_fm_collocations"] = op13_fm_collocations
+CHECKS["op13_fm_collocations"] = r"""WITH pieces AS (SELECT lang, row_number() OVER () AS piece, p FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)),
+    words AS (SELECT lang, piece, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+    places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+    grams AS (SELECT lang, w[i:i + k - 1] AS g, k FROM places, (SELECT unnest([1, 2, 3]) AS k) WHERE i + k - 1 <= len(w)),
+    f AS (SELECT lang, g, k, count(*) AS f FROM grams GROUP BY 1, 2, 3),
+    n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY 1),
+    c AS (SELECT lang, g, k, f AS a FROM f WHERE k > 1 AND f >= 10),
+    inside AS (SELECT lang, g[1:2] AS g, a AS rival FROM c WHERE k = 3 UNION ALL SELECT lang, g[2:3], a FROM c WHERE k = 3),
+    kept AS (SELECT c.* FROM c LEFT JOIN (SELECT lang, g, max(rival) AS rival FROM inside GROUP BY 1, 2) x USING (lang, g)
+        WHERE x.rival IS NULL OR 100 * x.rival < 50 * a),
+    cuts AS (SELECT lang, g, a, cut, g[1:cut] AS x, g[cut + 1:k] AS y FROM (SELECT *, unnest(range(1, k)) AS cut FROM kept)),
+    scored AS (SELECT cuts.*, p.f AS l, q.f AS r, (1000000::HUGEINT * a * a // (p.f::HUGEINT * q.f))::BIGINT AS score
+        FROM cuts JOIN f p ON p.lang = cuts.lang AND p.g = x JOIN f q ON q.lang = cuts.lang AND q.g = y),
+    weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank, array_to_string(g, ' ') AS phrase, a, l, r, n, score
+    FROM weakest JOIN n USING (lang) QUALIFY rank <= 2000"""
