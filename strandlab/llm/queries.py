@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strandlab.llm import line_crf, pii_semicrf
 from strandlab.llm.collision_ann import nearest
 from strandlab.llm.html_extract import extract_pages, train_on
+from strandlab.llm.lemp_negatives import hard_negatives
 from strandlab.llm.license_scan import license_labels, scan_licenses
 from strandlab.llm.minmax_dedup import near_duplicates
 from strandlab.llm.phrase_index import collocations
@@ -144,3 +145,24 @@ CHECKS["op13_fm_collocations"] = r"""WITH pieces AS (SELECT lang, row_number() O
     weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1)
     SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank, array_to_string(g, ' ') AS phrase, a, l, r, n, score
     FROM weakest JOIN n USING (lang) QUALIFY rank <= 2000"""
+
+
+def op12_lemp_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
+QUERIES["op12_lemp_negatives"] = op12_lemp_negatives
+CHECKS["op12_lemp_negatives"] = r"""WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    met AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+        list_sum(list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] * b.e[i]))::BIGINT AS score
+        FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+    p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM met WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+        vec_id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN met USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+    QUALIFY rank <= 3"""
