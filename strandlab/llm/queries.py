@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlab.llm import line_crf, pii_semicrf
+from strandlab.llm import language_id, line_crf, pii_semicrf
 from strandlab.llm.collision_ann import nearest
 from strandlab.llm.html_extract import extract_pages, train_on
 from strandlab.llm.lemp_negatives import hard_negatives
@@ -166,3 +166,11 @@ CHECKS["op12_lemp_negatives"] = r"""WITH v AS (SELECT vec_id, CASE WHEN vec_id %
         vec_id AS negative_id, positive_score, score AS negative_score
     FROM p JOIN met USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
     QUALIFY rank <= 3"""
+
+
+def op11_subword_language(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return language_id.identify(documents, language_id.train_on(documents))
+
+
+QUERIES["op11_subword_language"] = op11_subword_language
