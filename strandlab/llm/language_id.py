@@ -24,7 +24,7 @@ SAMPLE_DOCUMENTS = 8000  # in all, dealt evenly to the languages
 MOST_LANGUAGES = 256
 SPANS, SPAN_WORDS, SPAN_SUBWORDS = 2, 60, 1500
 CALIBRATION_SHARE = 5  # every fifth document of the sample
-EPOCHS, BATCH, RATE = 6, 32, 4.0
+EPOCHS, LEAST_STEPS, BATCH, RATE = 4, 800, 32, 10.0
 ACCEPTED_ERROR = 0.01
 
 LETTERS = [*range(65, 91), *range(97, 123), *range(128, 256)]
@@ -94,8 +94,10 @@ def fit(languages: list[str], spans: list[np.ndarray], label: np.ndarray, calibr
     if k < 2 or not spans:
         return model
     taught = np.flatnonzero(~calibrate) if (~calibrate).any() else np.arange(len(spans))
-    steps, step = EPOCHS * -(-len(taught) // BATCH), 0
-    for _ in range(EPOCHS):
+    rounds = -(-len(taught) // BATCH)
+    epochs = max(EPOCHS, -(-LEAST_STEPS // rounds))
+    steps, step = epochs * rounds, 0
+    for _ in range(epochs):
         order = rng.permutation(taught)
         for lo in range(0, len(order), BATCH):
             chosen = order[lo : lo + BATCH]
