@@ -225,22 +225,23 @@ def _negatives(most: int, low: int, high: int):
     return _met(search, _schema("chunk", "place", "positive_score", "negative_id", "negative_score"))
 
 
-def usable_rows(vectors: DataFrame, id_column: str, vector_column: str, label_column: str, scale: int) -> DataFrame:
-    """``id, label, dim, length, vector`` of the rows that take part, each once; components are ``floor(scale * x)``."""
+def usable_rows(vectors: DataFrame, anchor: Column, id_column: str, vector_column: str, label_column: str, scale: int) -> DataFrame:
+    """``id, label, dim, length, vector, anchor`` of the rows that take part, each once; components are ``floor(scale * x)``."""
     x = F.col(vector_column).cast("array<double>")
-    rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(label_column).cast("long").alias("label"), x.alias("x"))
+    rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(label_column).cast("long").alias("label"), x.alias("x"), F.coalesce(anchor, F.lit(False)).alias("anchor"))
     finite = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     rows = rows.where(F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size("x") > 0) & F.coalesce(finite, F.lit(False)))
     scaled = F.transform("x", lambda v: F.floor(v * F.lit(float(scale))))
     length = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + F.pow(F.floor(v * F.lit(float(scale))).cast("double"), 2)))
-    return rows.select("id", "label", F.size("x").alias("dim"), length.alias("length"), scaled.alias("vector")).where(F.col("length") < LONGEST).distinct()
+    rows = rows.select("id", "label", F.size("x").alias("dim"), length.alias("length"), "x", "anchor").where(F.col("length") < LONGEST)
+    return rows.groupBy("id", "label", "dim", "length", scaled.alias("vector")).agg(F.max("anchor").alias("anchor"))
 
 
 def hard_negatives(
     vectors: DataFrame, anchor: Column, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label",
     positives: int = POSITIVES, negatives: int = NEGATIVES, low: int = LOW, high: int = HIGH, scale: int = SCALE, shelf_rows: int = SHELF_ROWS,
 ) -> DataFrame:
-    """``anchor_id, positive_id, rank, negative_id, positive_score, negative_score`` for the rows where ``anchor`` (on the id) holds.
+    """``anchor_id, positive_id, rank, negative_id, positive_score, negative_score`` for the rows where ``anchor`` holds.
 
     Scores are inner products of ``floor(scale * x)``. An anchor's positives are its ``positives`` other rows of the same label with the
     highest scores; for each, the ``negatives`` rows of other labels with the highest scores from ``low`` to ``high`` percent of the
@@ -249,7 +250,7 @@ def hard_negatives(
     dimension only. Equal rows count once; rows that share an id but not the vector are rows of their own, and none is the other's
     positive or negative. Extra columns are ignored.
     """
-    rows = materialise(usable_rows(vectors, id_column, vector_column, label_column, scale), "lemp-rows")
+    rows = materialise(usable_rows(vectors, anchor, id_column, vector_column, label_column, scale), "lemp-rows")
     size = rows.agg(F.count(F.lit(1)).alias("n")).first()["n"]
 
     def packed(df: DataFrame, n: int, most: int, name: str) -> DataFrame:
@@ -257,8 +258,7 @@ def hard_negatives(
         spread = df.repartitionByRange(max(1, -(-n // (4 * most))), *keys).sortWithinPartitions(*keys)
         return materialise(spread.mapInArrow(_pack(most), PACKED), name)
 
-    is_anchor = F.coalesce(anchor, F.lit(False))
-    chosen = materialise(rows.withColumn(id_column, F.col("id")).where(is_anchor).select(*rows.columns), "lemp-anchors")
+    chosen = rows.where("anchor")
     shelves = packed(rows, size, shelf_rows, "lemp-shelves")
     chunks = packed(chosen, chosen.count(), CHUNK_ANCHORS, "lemp-chunks")
     chunks = chunks.select("dim", "label", F.col("part").alias("chunk"), F.col("longest").alias("a_longest"), F.col("ids").alias("a_ids"), F.col("vectors").alias("a_vectors"))
