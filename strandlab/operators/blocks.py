@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 from strandlab.operators.joining import join_small
 from strandlab.operators.prep import DATASET, SERIES, SERIES_ID
+from strandlab.operators.task_state import STATE_BYTES, send_once
+from strandlab.session import materialise
 
 BLOCK_BYTES = 16 << 20
 
@@ -57,22 +59,59 @@ def list_column(rows: np.ndarray) -> pa.Array:
                                     pa.array(np.ascontiguousarray(rows).reshape(-1)))
 
 
+def ranges_of(batch: pa.RecordBatch, key: str = DATASET) -> Iterator[tuple[str, pa.Table]]:
+    """Rows of a batch by the value of ``key``."""
+    table = pa.Table.from_batches([batch])
+    if not table.num_rows:
+        return
+    codes = table[key].combine_chunks().dictionary_encode()
+    if codes.null_count:
+        raise ValueError(f"{key} is null")
+    numbers = codes.indices.to_numpy()
+    if (np.diff(numbers) < 0).any():
+        order = np.argsort(numbers, kind="stable")
+        table, numbers = table.take(pa.array(order)), numbers[order]
+    cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+    for lo, hi in zip(cuts, cuts[1:]):
+        yield codes.dictionary[int(numbers[lo])].as_py(), table.slice(lo, hi - lo).combine_chunks()
+
+
 def apply_with_parameters(
     df: DataFrame,
     parameters: DataFrame,
-    fn: Callable[[tuple, pa.Table, pa.Table], pa.Table],
+    fn: Callable[[str, pa.Table, pa.Table], pa.Table],
     schema: str | T.StructType,
     sizes: DataFrame | None = None,
     block_bytes: int = BLOCK_BYTES,
     key: str = DATASET,
+    state_bytes: int = STATE_BYTES,
 ) -> DataFrame:
-    """Run ``fn`` on every block of rows together with the parameter rows of its data set.
+    """Run ``fn`` on runs of rows of one data set together with the parameter rows of that data set.
 
-    Parameters travel by key to the blocks that need them; nothing is broadcast.
-    ``sizes`` may be given where they are cheaper to get than from ``df``.
+    Parameters are written and counted. Up to ``state_bytes`` they go to each task once and the rows stay where they are. Beyond that
+    they travel by key to the blocks that need them. ``sizes`` may be given where they are cheaper to get than from ``df``. Rows of
+    data sets without parameters are left out.
     """
+    parameters = materialise(parameters, "parameters")
+    sent = send_once(parameters, state_bytes)
+    if sent is not None:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of: dict[str, pa.Table] = {}
+            table = sent()
+            for batch in table.to_batches():
+                for name, part in ranges_of(batch, key):
+                    of[name] = pa.concat_tables([of[name], part]) if name in of else part
+            for batch in batches:
+                for name, rows in ranges_of(batch, key):
+                    if name in of:
+                        yield from fn(name, rows, of[name]).to_batches()
+
+        return df.mapInArrow(run, schema)
     sizes = dataset_sizes(df, key) if sizes is None else sizes
     rows = with_blocks(df, sizes, block_bytes, key)
-    sent = parameters.join(block_counts(sizes, block_bytes, key), key).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    counted = block_counts(sizes, block_bytes, key)
+    copies = parameters.join(counted, key).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     grid = [key, "block"]
-    return rows.drop("blocks").groupBy(*grid).cogroup(sent.drop("blocks").groupBy(*grid)).applyInArrow(fn, schema)
+    grouped = rows.drop("blocks").groupBy(*grid).cogroup(copies.drop("blocks").groupBy(*grid))
+    return grouped.applyInArrow(lambda keys, table, fitted: fn(keys[0].as_py(), table, fitted), schema)

@@ -1,12 +1,10 @@
-"""RBF classification of many data sets over a grid of C.
+"""Classification of many data sets over a grid of C.
 
-Spark has no kernel machine. Both classifiers here replace the RBF kernel by
-random Fourier features, so they are approximations:
+Spark has no kernel machine, so the RBF kernel is replaced by random Fourier features:
 
-* ``grid_classify`` fits one-versus-rest least-squares machines. One pass gives
-  the Gram matrix of the features, and all values of C follow from it.
-* ``rbf_linear_svc`` fits Spark's hinge-loss ``LinearSVC`` one-versus-rest on
-  one data set.
+* ``grid_classify`` fits one-versus-rest margin machines (squared hinge) for all data sets and values of C, see ``margin``;
+  ``least_squares`` machines can be chosen instead, whose Gram matrix one pass gives for all values of C.
+* ``rbf_linear_svc`` fits Spark's hinge-loss ``LinearSVC`` one-versus-rest on one data set.
 """
 
 from __future__ import annotations
@@ -22,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlab.functions import arrays
-from strandlab.operators import scaling
+from strandlab.operators import margin, scaling
 from strandlab.operators.blocks import apply_with_parameters, dataset_sizes, matrix
 from strandlab.operators.gram import gram_rows, whole
 from strandlab.operators.joining import join_small
@@ -50,22 +48,8 @@ def prepared(df: DataFrame, fit_rows: DataFrame, key: str = DATASET) -> DataFram
     return scaling.standardise_steps(rows, moments, (key,), gamma=gamma)
 
 
-def _fourier(x: np.ndarray, gamma: float, seed: int, n_features: int) -> np.ndarray:
-    """Random Fourier features of the RBF kernel; the draw depends on seed and length only."""
-    rng = np.random.default_rng([seed, x.shape[1]])
-    weights = rng.normal(size=(x.shape[1], n_features)) * np.sqrt(2.0 * gamma)
-    phase = rng.uniform(0.0, 2.0 * np.pi, size=n_features)
-    return np.sqrt(2.0 / n_features) * np.cos(x @ weights + phase)
-
-
-def _with_bias(z: np.ndarray) -> np.ndarray:
-    return np.hstack([z, np.ones((len(z), 1))])
-
-
-def _fit_machines(
-    rows: DataFrame, labelled: DataFrame, grid: DataFrame, seed: int, n_features: int, key: str = DATASET
-) -> DataFrame:
-    """One weight matrix per data set and value of C. ``grid`` lists the values of C per data set.
+def least_squares(rows: DataFrame, labelled: DataFrame, grid: DataFrame, features, key: str = DATASET) -> DataFrame:
+    """One least-squares weight matrix per data set and value of C. ``grid`` lists the values of C per data set.
 
     ``labelled`` are the same rows before scaling, which is all the list of classes needs.
     """
@@ -75,7 +59,7 @@ def _fit_machines(
     marked = join_small(rows, labels, key, numbers=F.size("classes"))
 
     def factors(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        z = _with_bias(_fourier(matrix(table), table["gamma"][0].as_py(), seed, n_features))
+        z = features(matrix(table), table["gamma"][0].as_py())
         classes = np.array(table["classes"][0].as_py())
         signs = np.where(table[LABEL].to_numpy()[:, None] == classes[None, :], 1.0, -1.0)
         return z, np.hstack([z, signs])
@@ -100,20 +84,18 @@ def _fit_machines(
             "weights": pa.array(fits, pa.list_(pa.list_(pa.float64()))),
         })
 
-    # one group holds n_features + 1 rows, whatever the number of series
+    # one group holds a row per feature, whatever the number of series
     return ready.groupBy(key).applyInArrow(solve, schema)
 
 
-def _predict(
-    rows: DataFrame, sizes: DataFrame, machines: DataFrame, seed: int, n_features: int, key: str = DATASET
-) -> DataFrame:
+def predict(rows: DataFrame, sizes: DataFrame, machines: DataFrame, features, key: str = DATASET) -> DataFrame:
     """Predicted label of every row for every machine of its data set."""
     schema = f"{key} string, {SERIES_ID} bigint, {LABEL} bigint, c double, prediction bigint"
 
-    def run(keys: tuple, table: pa.Table, fitted: pa.Table) -> pa.Table:
+    def run(name: str, table: pa.Table, fitted: pa.Table) -> pa.Table:
         cols: dict[str, list] = {SERIES_ID: [], LABEL: [], "c": [], "prediction": []}
         if table.num_rows and fitted.num_rows:
-            z = _with_bias(_fourier(matrix(table), table["gamma"][0].as_py(), seed, n_features))
+            z = features(matrix(table), table["gamma"][0].as_py())
             for m in fitted.to_pylist():
                 classes = np.array(m["classes"], dtype="int64")
                 cols[SERIES_ID].append(table[SERIES_ID].to_numpy())
@@ -122,37 +104,44 @@ def _predict(
                 cols["prediction"].append(classes[(z @ np.array(m["weights"]).T).argmax(axis=1)])
         types = {SERIES_ID: "int64", LABEL: "int64", "c": "float64", "prediction": "int64"}
         done = {k: np.concatenate(v) if v else np.array([], types[k]) for k, v in cols.items()}
-        name = pa.array([keys[0].as_py()] * len(done["c"]), pa.string())
-        return pa.table({key: name, **{k: pa.array(v) for k, v in done.items()}})
+        names = pa.array([name] * len(done["c"]), pa.string())
+        return pa.table({key: names, **{k: pa.array(v) for k, v in done.items()}})
 
     columns = [key, SERIES_ID, LABEL, SERIES, "gamma"]
     # a row becomes its features inside the block, so blocks are sized by the wider of the two
-    wide = sizes.withColumn("d", F.greatest(F.col("d"), F.lit(n_features + 1).cast("bigint")))
-    return apply_with_parameters(rows.select(*columns), machines, run, schema, wide, key=key)
+    wide = sizes.withColumn("d", F.greatest(F.col("d"), features.width(F.col("d")).cast("bigint")))
+    return apply_with_parameters(rows.select(*columns), machines.select(key, "c", "classes", "weights"), run, schema, wide, key=key)
 
 
-def grid_scores(parts: DataFrame, seed: int = CLASSIFIER_SEED, grid=C_GRID, n_features: int = N_FEATURES) -> DataFrame:
-    """Accuracy on the validation part of every data set and value of C, fitted on the train part only."""
+MACHINES = {"margin": margin.fit_margin, "least_squares": least_squares}
+
+
+def grid_scores(parts: DataFrame, seed: int = CLASSIFIER_SEED, grid=C_GRID, features=None, machine: str = "margin", **settings) -> DataFrame:
+    """Accuracy on the validation part of every data set and value of C, fitted on the train part only.
+
+    ``features`` are Fourier features of ``seed`` unless given; ``settings`` go to the machine.
+    """
+    features = margin.Fourier(seed) if features is None else features
     train = parts.where(F.col(PART) == "train")
     ready = prepared(parts.where(F.col(PART).isin("train", "valid")), train)
     values = parts.select(DATASET).distinct().withColumn("c", F.explode(F.array(*[F.lit(float(c)) for c in grid])))
-    machines = _fit_machines(ready.where(F.col(PART) == "train"), train, values, seed, n_features)
-    valid_sizes = dataset_sizes(parts.where(F.col(PART) == "valid"))
-    predicted = _predict(ready.where(F.col(PART) == "valid"), valid_sizes, machines, seed, n_features)
+    machines = MACHINES[machine](ready.where(F.col(PART) == "train"), train, values, features, **settings)
+    valid = parts.where(F.col(PART) == "valid")
+    predicted = predict(ready.where(F.col(PART) == "valid"), dataset_sizes(valid), machines, features)
     hit = (F.col(LABEL) == F.col("prediction")).cast("double")
     return predicted.groupBy(DATASET, "c").agg(F.avg(hit).alias("score"))
 
 
-def grid_classify(
-    parts: DataFrame, seed: int = CLASSIFIER_SEED, grid=C_GRID, n_features: int = N_FEATURES
-) -> DataFrame:
+def grid_classify(parts: DataFrame, seed: int = CLASSIFIER_SEED, grid=C_GRID, features=None, machine: str = "margin", **settings) -> DataFrame:
     """Predictions for the test part: C chosen on the validation part, then refitted on train and validation."""
-    chosen = best_setting(grid_scores(parts, seed, grid, n_features), [DATASET], "c", "score").select(DATASET, "c")
+    features = margin.Fourier(seed) if features is None else features
+    scores = grid_scores(parts, seed, grid, features, machine, **settings)
+    chosen = best_setting(scores, [DATASET], "c", "score").select(DATASET, "c")
     fit_rows = parts.where(F.col(PART).isin("train", "valid"))
     ready = prepared(parts, fit_rows)
-    machines = _fit_machines(ready.where(F.col(PART) != "test"), fit_rows, chosen, seed, n_features)
-    test_sizes = dataset_sizes(parts.where(F.col(PART) == "test"))
-    return _predict(ready.where(F.col(PART) == "test"), test_sizes, machines, seed, n_features)
+    machines = MACHINES[machine](ready.where(F.col(PART) != "test"), fit_rows, materialise(chosen, "chosen-c"), features, **settings)
+    test = parts.where(F.col(PART) == "test")
+    return predict(ready.where(F.col(PART) == "test"), dataset_sizes(test), machines, features)
 
 
 def fourier_column(seed: int = CLASSIFIER_SEED, n_features: int = N_FEATURES):
@@ -163,9 +152,10 @@ def fourier_column(seed: int = CLASSIFIER_SEED, n_features: int = N_FEATURES):
         if series.empty:
             return pd.Series([], dtype="object")
         out = np.empty(len(series), dtype="object")
+        fourier = margin.Fourier(seed, n_features)
         for (length, g), at in pd.Series(range(len(series))).groupby([series.map(len).values, gamma.values]):
             x = np.stack(series.iloc[at].to_numpy())
-            for place, row in zip(at, _fourier(x, g, seed, n_features)):
+            for place, row in zip(at, fourier(x, g)[:, :-1]):
                 out[place] = row
         return pd.Series(out)
 

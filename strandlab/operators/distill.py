@@ -174,7 +174,7 @@ def encode_linear(df: DataFrame, encoders: DataFrame, keep_series: bool = False)
     vector = T.ArrayType(T.DoubleType())
     schema = T.StructType([df.schema[DATASET], T.StructField("checkpoint", T.StringType()), *kept, T.StructField("repr", vector)])
 
-    def run(keys: tuple, table: pa.Table, fitted: pa.Table) -> pa.Table:
+    def run(name: str, table: pa.Table, fitted: pa.Table) -> pa.Table:
         out = []
         if table.num_rows:
             x = matrix(table)
@@ -186,7 +186,7 @@ def encode_linear(df: DataFrame, encoders: DataFrame, keep_series: bool = False)
             none = table.select(extra).slice(0, 0).append_column("checkpoint", pa.array([], pa.string()))
             out = [none.append_column("repr", pa.array([], pa.list_(pa.float64())))]
         joined = pa.concat_tables(out)
-        named = joined.append_column(DATASET, pa.array([keys[0].as_py()] * joined.num_rows, pa.string()))
+        named = joined.append_column(DATASET, pa.array([name] * joined.num_rows, pa.string()))
         return named.select([DATASET, "checkpoint", *extra, "repr"])
 
     return apply_with_parameters(df, encoders.select(DATASET, "checkpoint", "w"), run, schema)

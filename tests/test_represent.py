@@ -4,7 +4,7 @@ from conftest import series_rows
 from pyspark.sql import functions as F
 
 from strandlab.catalog.representing import WEIGHTS, recurrent_layer
-from strandlab.operators import classify, distill, encoders, logs, metrics, neighbours
+from strandlab.operators import classify, distill, encoders, logs, margin, metrics, neighbours
 from strandlab.operators.blocks import dataset_sizes
 from strandlab.operators.gram import series_gram
 from strandlab.plans import evaluate, extract
@@ -200,7 +200,7 @@ def test_grid_classifier_beats_nearest_centre(spark):
 def test_fourier_features_approach_the_kernel():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(12, 5))
-    z = classify._fourier(x, 0.2, 1, 20000)
+    z = margin.Fourier(1, 20000)(x, 0.2)[:, :-1]
     wanted = np.exp(-0.2 * ((x[:, None] - x[None]) ** 2).sum(axis=2))
     assert z @ z.T == pytest.approx(wanted, abs=0.05)
 
