@@ -148,11 +148,11 @@ def cluster_raw(
 
 
 def classify_and_evaluate(
-    df: DataFrame, skipped: Iterable[str] = prep.SKIPPED_DATASETS, seed: int = classify.CLASSIFIER_SEED
+    df: DataFrame, skipped: Iterable[str] = prep.SKIPPED_DATASETS, seed: int = classify.CLASSIFIER_SEED, **settings
 ) -> DataFrame:
-    """Accuracy and macro scores on the test part of every data set."""
+    """Accuracy and macro scores on the test part of every data set. ``settings`` go to ``grid_classify``."""
     kept = prep.skip_datasets(df, skipped)
-    predicted = classify.grid_classify(kept, seed)
+    predicted = classify.grid_classify(kept, seed, **settings)
     counts = stats.class_and_feature_counts(kept.where(F.col(prep.PART) == "train"))
     return counts.join(metrics.macro_scores(predicted), DATASET).select(
         DATASET, F.lit("test").alias("data_part"), "n_features", "n_classes", "accuracy", "precision", "recall", "f1"
