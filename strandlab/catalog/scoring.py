@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandlab.catalog.base import graded, long_series, parts, predictions, query, rounded, series
-from strandlab.operators import cluster, metrics, neighbours, prep
+from strandlab.operators import cluster, lloyd, metrics, neighbours, prep
 from strandlab.operators.blocks import dataset_sizes
 from strandlab.plans import evaluate
 from strandlab.session import materialise
@@ -162,6 +162,67 @@ def c02(spark, d):
     return long_series(starts.select("dataset_name", "restart", F.posexplode("centres").alias("cluster", "centre")), ["dataset_name", "restart", "cluster"], "centre")
 
 
+# start points drawn by the same hash keys in SQL: the first row of each race, then the least keys of each round
+FORCED = {"restarts": 2, "block_bytes": 16 << 10}  # several blocks per data set, so that the rounds over blocks run
+TWO_64 = "18446744073709551616::UHUGEINT"
+DRAWS = f""", s2 AS (SELECT dataset_name || '/' || r AS dataset_name, r, series_id, series FROM ser CROSS JOIN (VALUES (0), (1)) v(r)),
+    km AS (SELECT dataset_name || '/' || r AS dataset_name, count(DISTINCT label) AS k FROM ser CROSS JOIN (VALUES (0), (1)) v(r) GROUP BY 1),
+    h0 AS (SELECT dataset_name, series_id, pick, ((series_id::UHUGEINT + ({cluster.SEED} * 1000003 + r * 10007 + pick)::UHUGEINT * 11400714819323198485::UHUGEINT) % {TWO_64})::UBIGINT AS x
+    FROM s2 CROSS JOIN (SELECT unnest(list_concat(range(0, 5), range(100, 132))) AS pick)),
+    h1 AS (SELECT dataset_name, series_id, pick, ((xor(x, x >> 30)::UHUGEINT * 13787848793156543929::UHUGEINT) % {TWO_64})::UBIGINT AS x FROM h0),
+    h2 AS (SELECT dataset_name, series_id, pick, ((xor(x, x >> 27)::UHUGEINT * 10723151780598845931::UHUGEINT) % {TWO_64})::UBIGINT AS x FROM h1),
+    us AS (SELECT dataset_name, series_id, pick, ((xor(x, x >> 31) >> 11)::DOUBLE + 0.5) / 9007199254740992 AS u FROM h2),
+    d0 AS (SELECT dataset_name, series_id, series FROM s2 JOIN us USING (dataset_name, series_id) WHERE pick = 0
+    QUALIFY row_number() OVER (PARTITION BY dataset_name ORDER BY -ln(u), series_id) = 1)""" + "".join(f""",
+    e{t} AS (SELECT s.dataset_name, s.series_id, s.series, min(pow(list_distance(s.series, c.series), 2)) AS d2 FROM s2 s JOIN d{t - 1} c USING (dataset_name) GROUP BY ALL),
+    d{t} AS (SELECT * FROM d{t - 1} UNION ALL SELECT dataset_name, series_id, series FROM (SELECT dataset_name, series_id, series, k,
+    row_number() OVER (PARTITION BY dataset_name ORDER BY -ln(u) / d2, series_id) AS rn FROM e{t} JOIN us USING (dataset_name, series_id) JOIN km USING (dataset_name)
+    WHERE pick = {t} AND d2 > 1e-9) WHERE rn <= 2 * k)""" for t in range(1, 5)) + """,
+    nc AS (SELECT s.dataset_name, s.series_id, arg_min(c.series_id, struct_pack(d := list_distance(s.series, c.series), c := c.series_id)) AS candidate FROM s2 s JOIN d4 c USING (dataset_name) GROUP BY 1, 2),
+    cw AS (SELECT c.dataset_name, c.series_id, c.series, w FROM d4 c JOIN (SELECT dataset_name, candidate AS series_id, count(*) AS w FROM nc GROUP BY 1, 2) USING (dataset_name, series_id))"""
+
+
+def picks_sql(most: int) -> str:
+    """Start centres among the weighted candidates, up to ``most`` of them, as ``c0``."""
+    sql = """, q0 AS (SELECT dataset_name, 0 AS cluster, series FROM cw JOIN us USING (dataset_name, series_id) WHERE pick = 100
+    QUALIFY row_number() OVER (PARTITION BY dataset_name ORDER BY -ln(u) / w, series_id) = 1)"""
+    for j in range(1, most):
+        sql += f""", g{j} AS (SELECT c.dataset_name, c.series_id, c.series, w, min(pow(list_distance(c.series, q.series), 2)) AS d2 FROM cw c JOIN q{j - 1} q USING (dataset_name) GROUP BY ALL),
+    q{j} AS (SELECT * FROM q{j - 1} UNION ALL (SELECT dataset_name, {j} AS cluster, series FROM g{j} JOIN us USING (dataset_name, series_id) JOIN km USING (dataset_name) WHERE pick = {100 + j} AND d2 > 1e-9 AND k > {j}
+    QUALIFY row_number() OVER (PARTITION BY dataset_name ORDER BY -ln(u) / (w * d2), series_id) = 1))"""
+    return sql + f", c0 AS (SELECT dataset_name, cluster, series AS centre FROM q{most - 1})"
+
+
+ROUNDS_SQL = DRAWS + picks_sql(10) + "".join(ASSIGN.format(i=i, src="s2") + UPDATE.format(i=i, j=i + 1, src="s2") for i in range(3))
+
+
+@query("c02_candidate_weights", "ser", DRAWS + """ SELECT split_part(dataset_name, '/', 1) AS dataset_name, split_part(dataset_name, '/', 2)::BIGINT AS restart, series_id, w AS weight FROM cw""")
+def c02_weights(spark, d):
+    """Candidates of the oversampled start points and the rows nearest to each, over blocks."""
+    rows = series(spark, d)
+    sizes = cluster.settings_of(rows, cluster.TOLERANCE)
+    blocks = lloyd.blocks_of(rows, sizes, FORCED["block_bytes"])
+    weighed = lloyd.candidates(blocks, lloyd.start_states(sizes, FORCED["restarts"]), cluster.SEED)
+    each = weighed.select("dataset_name", F.col("restart").cast("bigint").alias("restart"), F.explode(F.arrays_zip("chosen", "counts")).alias("c"))
+    return each.select("dataset_name", "restart", F.col("c.chosen.id").alias("series_id"), F.col("c.counts").cast("bigint").alias("weight"))
+
+
+@query("c01_kmeans_over_blocks", "ser", ROUNDS_SQL + """ SELECT split_part(dataset_name, '/', 1) AS dataset_name, split_part(dataset_name, '/', 2)::BIGINT AS restart, cluster,
+    unnest(range(0, len(centre))) AS pos, unnest(list_transform(centre, lambda x: round(x, 6))) + 0.0 AS value FROM c3""")
+def c01_blocks(spark, d):
+    """Start points, then three rounds over blocks, with bounds and summed changes."""
+    fits = cluster.kmeans(series(spark, d), max_iter=3, tol=0.0, **FORCED)
+    each = fits.select("dataset_name", F.col("restart").cast("bigint").alias("restart"), F.posexplode("centres").alias("cluster", "centre"))
+    return long_series(each.withColumn("cluster", F.col("cluster").cast("bigint")), ["dataset_name", "restart", "cluster"], "centre")
+
+
+@query("c01_costs_over_blocks", "ser", ROUNDS_SQL + ASSIGN.format(i=3, src="s2") + """ SELECT split_part(dataset_name, '/', 1) AS dataset_name, split_part(dataset_name, '/', 2)::BIGINT AS restart,
+    round(sum(pow(distance, 2)), 6) AS inertia FROM n3 GROUP BY 1, 2""")
+def c01_costs(spark, d):
+    fits = cluster.kmeans(series(spark, d), max_iter=3, tol=0.0, **FORCED)
+    return rounded(fits.select("dataset_name", F.col("restart").cast("bigint").alias("restart"), "inertia"), "inertia")
+
+
 U = "(('0x' || substr(md5({seed} || '-' || dataset_name || '-' || i || '-{what}'), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0"
 INTERVALS = """, iv0 AS (SELECT dataset_name, {seed} AS seed, d, greatest(2, floor(d * 0.05)::BIGINT) AS least, unnest(range(0, 33)) AS i FROM
     (SELECT dataset_name, max(len(series)) AS d FROM ser GROUP BY 1) {seeds}),

@@ -1,16 +1,15 @@
 """k-means over many data sets and many restarts at once.
 
 A data set that fits in one block is clustered where it lies, as many restarts
-side by side. A larger one is clustered in rounds: each round every block adds
-up its rows per restart and cluster, and only these sums are shuffled. Both
-ways use the same start points and the same update.
+side by side. A larger one is clustered in rounds, see ``rounds``: the centres
+go to every task once, and only sums are shuffled. Both ways use the same start
+points and the same update.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -20,11 +19,15 @@ from strandlab.functions import arrays
 from strandlab.functions.keys import key_bucket, order_key, unit_uniform
 from strandlab.functions.scalars import closest_power_of_2
 from strandlab.operators import metrics
-from strandlab.operators.blocks import BLOCK_BYTES, block_counts, list_column, matrix, with_blocks
+from strandlab.operators.blocks import BLOCK_BYTES, matrix
 from strandlab.operators.joining import join_small
+from strandlab.operators.lloyd import block_sums, squared_distances
+from strandlab.operators.lloyd import fit_rounds as _fit_rounds
+from strandlab.operators.seeding import SEEDINGS
 from strandlab.operators.neighbours import nearest_centre
 from strandlab.operators.ordering import number_rows
 from strandlab.operators.prep import DATASET, LABEL, SERIES, SERIES_ID
+from strandlab.operators.task_state import STATE_BYTES
 from strandlab.session import materialise
 
 # Fixed values of the standard clustering.
@@ -97,52 +100,10 @@ def lloyd_steps(df: DataFrame, centres: DataFrame, steps: int = 1, key: str = DA
     return centres
 
 
-# --- numbers inside a block --------------------------------------------------------------------
-
-
-def _uniform(ids: np.ndarray, seed: int, restart: int, pick: int) -> np.ndarray:
-    """Uniform numbers in (0, 1) from row id, seed, restart and pick (splitmix64)."""
-    with np.errstate(over="ignore"):
-        x = ids.astype("int64").view("uint64") + np.uint64((seed * 1_000_003 + restart * 10_007 + pick) & (2**63 - 1)) * np.uint64(
-            0x9E3779B97F4A7C15
-        )
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        x = x ^ (x >> np.uint64(31))
-    return ((x >> np.uint64(11)).astype("float64") + 0.5) / 2.0**53
-
-
-def _squared_distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    d2 = (x * x).sum(axis=1)[:, None] - 2.0 * (x @ c.T) + (c * c).sum(axis=1)[None, :]
-    return np.maximum(d2, 0.0)
-
-
-def _race(ids: np.ndarray, weight: np.ndarray, seed: int, restart: int, pick: int) -> tuple[int, float]:
-    """Row that wins a draw with the given weights, and its key; keys of blocks can be compared."""
-    u = _uniform(ids, seed, restart, pick)
-    with np.errstate(divide="ignore"):
-        keys = np.where(weight > 0, -np.log(u) / weight, 1e300 * (1.0 + u))
-    won = int(keys.argmin())
-    return won, float(keys[won])
-
-
-def _block_sums(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Size, mean vector and cost of every cluster for the rows of one block."""
-    d2 = _squared_distances(x, centres)
-    owner = d2.argmin(axis=1)
-    k = len(centres)
-    n = np.bincount(owner, minlength=k)
-    one_hot = np.zeros((len(x), k))
-    one_hot[np.arange(len(x)), owner] = 1.0
-    sums = one_hot.T @ x
-    cost = np.bincount(owner, weights=d2[np.arange(len(x)), owner], minlength=k)
-    return n, sums / np.maximum(n, 1)[:, None], cost
-
-
 # --- many restarts -----------------------------------------------------------------------------
 
 
-def _settings(df: DataFrame, tol: float, key: str) -> DataFrame:
+def settings_of(df: DataFrame, tol: float, key: str = DATASET) -> DataFrame:
     """Rows, length, number of classes and absolute tolerance per data set."""
     classes = df.groupBy(key, LABEL).agg(F.lit(1).alias("_one")).groupBy(key).agg(F.count(LABEL).alias("k"))
     spread = vector_to_array(Summarizer.variance(array_to_vector(F.col(SERIES))))
@@ -154,11 +115,12 @@ def _settings(df: DataFrame, tol: float, key: str) -> DataFrame:
 
 
 def _fit_small(
-    df: DataFrame, small: DataFrame, restarts: int, seed: int, max_iter: int, tasks: int, key: str
+    df: DataFrame, small: DataFrame, restarts: int, seed: int, max_iter: int, tasks: int, key: str, seeding: str
 ) -> DataFrame:
     """Cluster data sets of at most one block; ``tasks`` tasks share the restarts of one data set."""
     rows = join_small(df.select(key, SERIES_ID, SERIES), small.select(key, "k", "tol"), key, written=True)
     copied = rows.withColumn("_task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+    start = SEEDINGS[seeding]
 
     def fit(keys: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by(SERIES_ID)
@@ -166,20 +128,15 @@ def _fit_small(
         k, tol = table["k"][0].as_py(), table["tol"][0].as_py()
         out = []
         for restart in range(keys[1].as_py(), restarts, tasks):
-            weight, picks = np.ones(len(x)), []
-            for pick in range(k):
-                picks.append(_race(ids, weight, seed, restart, pick)[0])
-                d2 = _squared_distances(x, x[picks[-1:]])[:, 0]
-                weight = d2 if pick == 0 else np.minimum(weight, d2)
-            centres, rounds = x[picks].copy(), 0
+            centres, rounds = start(x, ids, k, seed, restart), 0
             for rounds in range(1, max_iter + 1):
-                n, means, _ = _block_sums(x, centres)
+                n, means, _ = block_sums(x, centres)
                 moved = np.where(n[:, None] > 0, means, centres)
                 shift = float(((moved - centres) ** 2).sum())
                 centres = moved
                 if shift <= tol:
                     break
-            out.append((restart, float(_block_sums(x, centres)[2].sum()), rounds, centres.tolist()))
+            out.append((restart, float(block_sums(x, centres)[2].sum()), rounds, centres.tolist()))
         return pa.table({
             key: pa.array([keys[0].as_py()] * len(out), pa.string()),
             "restart": pa.array([o[0] for o in out], pa.int32()),
@@ -191,111 +148,6 @@ def _fit_small(
     return copied.groupBy(key, "_task").applyInArrow(fit, _RESULT)
 
 
-def _fit_large(
-    df: DataFrame, large: DataFrame, restarts: int, seed: int, max_iter: int, block_bytes: int, key: str
-) -> DataFrame:
-    """Cluster data sets of many blocks in rounds over all restarts that still move."""
-    spark = df.sparkSession
-    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocked = with_blocks(df.select(key, SERIES_ID, SERIES), large, block_bytes, key)
-    points = (
-        blocked.repartition(slots, key, "block").sortWithinPartitions(key, "block").persist(StorageLevel.MEMORY_AND_DISK)
-    )
-    state = (
-        large.join(block_counts(large, block_bytes, key), key).withColumn("restart", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))))
-        .withColumn("centres", F.array().cast("array<array<double>>"))
-        .withColumn("shift", F.lit(float("inf")))
-        .withColumn("rounds", F.lit(0))
-    )
-    state = materialise(state, "kmeans-start")
-    columns = state.columns
-
-    def per_block(active: DataFrame, fn, schema: str) -> DataFrame:
-        sent = active.select(key, "restart", "centres", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-        return points.groupBy(key, "block").cogroup(sent.groupBy(key, "block")).applyInArrow(fn, schema)
-
-    def pick_candidates(keys: tuple, rows: pa.Table, states: pa.Table) -> pa.Table:
-        out = []
-        if rows.num_rows and states.num_rows:
-            x, ids = matrix(rows), rows[SERIES_ID].to_numpy()
-            for restart, chosen in zip(states["restart"].to_pylist(), states["centres"].to_pylist()):
-                weight = _squared_distances(x, np.array(chosen)).min(axis=1) if chosen else np.ones(len(x))
-                won, race_key = _race(ids, weight, seed, restart, len(chosen))
-                out.append((restart, race_key, x[won].tolist()))
-        return pa.table({
-            key: pa.array([keys[0].as_py()] * len(out), pa.string()),
-            "restart": pa.array([o[0] for o in out], pa.int32()),
-            "race": pa.array([o[1] for o in out], pa.float64()),
-            "centre": pa.array([o[2] for o in out], pa.list_(pa.float64())),
-        })
-
-    def sums(keys: tuple, rows: pa.Table, states: pa.Table) -> pa.Table:
-        restart_out, cluster_out, n_out, cost_out, mean_out = [], [], [], [], []
-        if rows.num_rows and states.num_rows:
-            x = matrix(rows)
-            for restart, centres in zip(states["restart"].to_pylist(), states["centres"].to_pylist()):
-                n, means, cost = _block_sums(x, np.array(centres))
-                used = np.flatnonzero(n)
-                restart_out += [restart] * len(used)
-                cluster_out += used.tolist()
-                n_out += n[used].tolist()
-                cost_out += cost[used].tolist()
-                mean_out.append(means[used])
-        means = list_column(np.concatenate(mean_out)) if mean_out else pa.array([], pa.list_(pa.float64()))
-        return pa.table({
-            key: pa.array([keys[0].as_py()] * len(restart_out), pa.string()),
-            "restart": pa.array(restart_out, pa.int32()),
-            "cluster": pa.array(cluster_out, pa.int32()),
-            "n": pa.array(n_out, pa.float64()),
-            "cost": pa.array(cost_out, pa.float64()),
-            "centre": means,
-        })
-
-    sums_schema = f"{key} string, restart int, cluster int, n double, cost double, centre array<double>"
-    picks_schema = f"{key} string, restart int, race double, centre array<double>"
-
-    # start points: one draw per round, for all data sets that still need one
-    while True:
-        waiting = state.where(F.size("centres") < F.col("k"))
-        if waiting.isEmpty():
-            break
-        drawn = per_block(waiting, pick_candidates, picks_schema).groupBy(key, "restart").agg(
-            F.min_by("centre", "race").alias("_new")
-        )
-        grown = waiting.join(drawn, [key, "restart"]).withColumn("centres", F.concat("centres", F.array("_new")))
-        ready = state.where(F.size("centres") >= F.col("k"))
-        state = materialise(ready.unionByName(grown.select(*columns)), "kmeans-start", slots)
-
-    is_moving = (F.col("shift") > F.col("tol")) & (F.col("rounds") < max_iter)
-    while True:
-        moving = state.where(is_moving)
-        if moving.isEmpty():
-            break
-        mean = vector_to_array(Summarizer.mean(array_to_vector(F.col("centre")), F.col("n")))
-        fresh = per_block(moving, sums, sums_schema).groupBy(key, "restart", "cluster").agg(mean.alias("centre"))
-        fresh = fresh.groupBy(key, "restart").agg(
-            F.map_from_entries(F.collect_list(F.struct("cluster", "centre"))).alias("_fresh")
-        )
-        # a cluster without rows keeps its centre
-        moved = F.transform("centres", lambda c, i: F.coalesce(F.try_element_at("_fresh", i), c))
-        stepped = moving.join(fresh, [key, "restart"]).withColumn("_moved", moved)
-        shift = arrays.total(F.zip_with("_moved", "centres", lambda a, b: arrays.squared_distance(a, b)))
-        stepped = (
-            stepped.withColumn("shift", shift)
-            .withColumn("centres", F.col("_moved"))
-            .withColumn("rounds", F.col("rounds") + 1)
-            .select(*columns)
-        )
-        state = materialise(state.where(~is_moving).unionByName(stepped), "kmeans-round", slots)
-
-    costs = per_block(state, sums, sums_schema).groupBy(key, "restart").agg(F.sum("cost").alias("inertia"))
-    fitted = materialise(
-        state.join(costs, [key, "restart"]).select(key, "restart", "inertia", "rounds", "centres"), "kmeans-fit", slots
-    )
-    points.unpersist()
-    return fitted
-
-
 def kmeans(
     df: DataFrame,
     restarts: int = RESTARTS,
@@ -305,14 +157,18 @@ def kmeans(
     block_bytes: int = BLOCK_BYTES,
     tasks: int | None = None,
     key: str = DATASET,
+    seeding: str = "oversampled",
+    state_bytes: int = STATE_BYTES,
 ) -> DataFrame:
     """All restarts of all data sets: ``inertia``, ``rounds`` and ``centres`` per data set and restart.
 
     The number of clusters is the number of labels of the data set. A small
     data set is copied to several tasks only while there are fewer data sets
-    than cores; the result does not depend on ``tasks``.
+    than cores; the result does not depend on ``tasks``. ``seeding`` is
+    ``oversampled``, which reads a large data set a fixed number of times, or
+    ``one_by_one``, which reads it once per start point.
     """
-    settings = materialise(_settings(df, tol, key), "kmeans-settings", 1)
+    settings = materialise(settings_of(df, tol, key), "kmeans-settings", 1)
     fits_in_block = F.col("n") * F.col("d") * 8 <= block_bytes
     small, large = settings.where(fits_in_block), settings.where(~fits_in_block)
     fitted = None
@@ -320,9 +176,9 @@ def kmeans(
     if n_small:
         if tasks is None:
             tasks = min(restarts, max(1, -(-2 * df.sparkSession.sparkContext.defaultParallelism // n_small)))
-        fitted = _fit_small(df, small, restarts, seed, max_iter, tasks, key)
+        fitted = _fit_small(df, small, restarts, seed, max_iter, tasks, key, seeding)
     if not large.isEmpty():
-        rounds = _fit_large(df, large, restarts, seed, max_iter, block_bytes, key)
+        rounds = _fit_rounds(df, large, restarts, seed, max_iter, block_bytes, key, seeding, state_bytes)
         fitted = rounds if fitted is None else fitted.unionByName(rounds)
     if fitted is None:
         return df.sparkSession.createDataFrame([], _RESULT)

@@ -52,4 +52,20 @@ def materialise(df: DataFrame, name: str, partitions: int | None = None) -> Data
     path = new_folder(spark, name)
     out = df if partitions is None else df.coalesce(partitions)
     out.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.written_to = path
+    return written
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Delete tables that ``materialise`` wrote, once nothing reads them any more. Other frames, and null, are left alone.
+
+    Called after what was made of a table is itself written, so a failed job keeps its tables.
+    """
+    for table in tables:
+        path = getattr(table, "written_to", None)
+        if path:
+            spark = table.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            table.written_to = None
