@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from strandlab.catalog.base import events, parts, query, rounded, series
@@ -216,6 +217,51 @@ def r13(spark, d):
     return _log(extract.fit_student(parts(spark, d), extract.make_encoder("principal")))
 
 
+# first encoder and decoder as cosines, so that the check can repeat an epoch; the teacher is the first four steps
+COSINE_START = ", e0 AS (SELECT i, j, cos(0.7 * (i + 1) * (j + 1)) / 8 AS w FROM range(0, 64) a(i) CROSS JOIN range(0, 4) b(j)), f0 AS (SELECT j, i, sin(0.3 * (i + 1) * (j + 1)) / 2 AS d FROM range(0, 64) a(i) CROSS JOIN range(0, 4) b(j))"
+
+
+def _epoch_sql(e: int) -> str:
+    """Losses at epoch ``e`` and, from them, the gradients and the weights of the first step."""
+    by = "dataset_name, " if e else ""
+    same = lambda left, right: f" AND {left}.dataset_name = {right}.dataset_name" if e else ""
+    return f""", sw{e} AS (SELECT g.dataset_name, g.part, g.i, w.j, sum(g.v * w.w) AS v FROM gs g JOIN e{e} w ON g.j = w.i{same('g', 'w')} GROUP BY ALL),
+    mm{e} AS (SELECT s.dataset_name, s.part, w.j, s.j AS l, sum(w.w * s.v) AS v FROM sw{e} s JOIN e{e} w ON s.i = w.i{same('s', 'w')} GROUP BY ALL),
+    dd{e} AS (SELECT {'a.' + by if e else ''}a.j, b.j AS l, sum(a.d * b.d) AS v FROM f{e} a JOIN f{e} b ON a.i = b.i{same('a', 'b')} GROUP BY ALL),
+    recon{e} AS (SELECT t.dataset_name, t.part, (t.v - 2 * x.v + y.v) / 64 AS v FROM (SELECT dataset_name, part, sum(v) AS v FROM gs WHERE i = j GROUP BY ALL) t
+    JOIN (SELECT s.dataset_name, s.part, sum(s.v * f.d) AS v FROM sw{e} s JOIN f{e} f ON s.i = f.i AND s.j = f.j{same('s', 'f')} GROUP BY ALL) x USING (dataset_name, part)
+    JOIN (SELECT m.dataset_name, m.part, sum(m.v * c.v) AS v FROM mm{e} m JOIN dd{e} c ON m.j = c.j AND m.l = c.l{same('m', 'c')} GROUP BY ALL) y USING (dataset_name, part)),
+    gap{e} AS (SELECT t.dataset_name, (t.v - 2 * x.v + y.v) / 4 AS v FROM (SELECT dataset_name, sum(v) AS v FROM mm{e} WHERE part = 'train' AND j = l GROUP BY ALL) t
+    JOIN (SELECT g.dataset_name, sum(g.v * w.w) AS v FROM gs g JOIN e{e} w ON g.i = w.i AND g.j = w.j{same('g', 'w')} WHERE part = 'train' AND g.j < 4 GROUP BY ALL) x USING (dataset_name)
+    JOIN (SELECT dataset_name, sum(v) AS v FROM gs WHERE part = 'train' AND i = j AND i < 4 GROUP BY ALL) y USING (dataset_name))"""
+
+
+def _step_sql() -> str:
+    """The first step has the length of the rate in every number, whatever the size of the gradient."""
+    step = lambda g: f"0.001 * {g} / (abs({g}) + 1e-8)"
+    return f""", sd AS (SELECT g.dataset_name, g.i, f.j, sum(g.v * f.d) AS v FROM gs g JOIN f0 f ON g.j = f.i WHERE part = 'train' GROUP BY ALL),
+    ge AS (SELECT s.dataset_name, s.i, c.l AS j, 2.0 / 64 * (sum(s.v * c.v) - any_value(sd.v)) AS g FROM sw0 s JOIN dd0 c ON s.j = c.j JOIN sd ON sd.dataset_name = s.dataset_name AND sd.i = s.i AND sd.j = c.l
+    WHERE part = 'train' GROUP BY ALL), gf AS (SELECT m.dataset_name, m.j, f.i, 2.0 / 64 * (sum(m.v * f.d) - any_value(s.v)) AS g FROM mm0 m JOIN f0 f ON m.l = f.j
+    JOIN sw0 s ON s.dataset_name = m.dataset_name AND s.part = m.part AND s.i = f.i AND s.j = m.j WHERE m.part = 'train' GROUP BY ALL),
+    e1 AS (SELECT dataset_name, i, j, w - {step('g')} AS w FROM ge JOIN e0 USING (i, j)), f1 AS (SELECT dataset_name, j, i, d - {step('g')} AS d FROM gf JOIN f0 USING (i, j))"""
+
+
+@query("r13_first_epochs", "parts", """, gs AS (SELECT dataset_name, part, i, j, sum(series[i + 1] * series[j + 1]) / count(*) AS v FROM parts CROSS JOIN range(0, 64) a(i) CROSS JOIN range(0, 64) b(j)
+    WHERE part <> 'test' GROUP BY ALL)""" + COSINE_START + _epoch_sql(0) + _step_sql() + _epoch_sql(1) + """, ep AS (SELECT 0::BIGINT AS epoch, dataset_name, part, v FROM recon0 UNION ALL SELECT 1, dataset_name, part, v FROM recon1),
+    gp AS (SELECT 0::BIGINT AS epoch, dataset_name, v, 0.0::DOUBLE AS c FROM gap0 UNION ALL SELECT 1, dataset_name, v, 0.9 * pow(1 / 10.0::DOUBLE, 1.5) FROM gap1)
+    SELECT t.dataset_name, epoch, round((1 - c) * t.v + c * gp.v, 6) AS train_loss, round(u.v, 6) AS val_loss
+    FROM ep t JOIN ep u USING (epoch, dataset_name) JOIN gp USING (epoch, dataset_name) WHERE t.part = 'train' AND u.part = 'valid'""")
+def r13_epochs(spark, d):
+    """Losses before and after the first step, from given first weights and a teacher of four steps."""
+    def start(t, k):
+        i, j = np.arange(1, t + 1)[:, None], np.arange(1, k + 1)[None, :]
+        return np.cos(0.7 * i * j) / 8, np.sin(0.3 * i * j).T / 2
+
+    rows = parts(spark, d).withColumn("teacher", F.slice("series", 1, 4))
+    fits = distill.fit_students(distill.gram_parts(rows, "teacher"), dataset_sizes(rows), 10, start=start)
+    return _log(fits.where("epoch < 2"))
+
+
 @query("r14_autoencoder_fit")
 def r14(spark, d):
     return _log(extract.fit_student(parts(spark, d), None))

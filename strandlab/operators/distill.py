@@ -9,6 +9,8 @@ sets; every epoch after that works on matrices of series length.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,14 +40,29 @@ def gram_parts(df: DataFrame, teacher: str | None = None) -> DataFrame:
     return series_gram(df.where(F.col(PART).isin("train", "valid")), (DATASET, PART), teacher)
 
 
-def _losses(s: np.ndarray, cross: np.ndarray, r2: float, w: np.ndarray, d: np.ndarray) -> tuple[float, float]:
-    """Reconstruction and hint loss, means per number."""
+class Moments:
+    """Mean of ``x x^T`` over the rows of a part. With fewer rows than half the steps it is kept as its eigenvectors of non-zero
+    eigenvalues, so that a product costs rows and not steps per number."""
+
+    def __init__(self, s: np.ndarray, n: int):
+        self.trace, self.s, self.axes = float(np.trace(s)), s, None
+        if 2 * n <= len(s):
+            values, axes = np.linalg.eigh(s)
+            self.s, self.values, self.axes = None, values[-n:], np.ascontiguousarray(axes[:, -n:])
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return self.s @ w if self.axes is None else self.axes @ (self.values[:, None] * (self.axes.T @ w))
+
+
+def _losses(
+    moments: Moments, cross: np.ndarray, r2: float, w: np.ndarray, d: np.ndarray, moved: np.ndarray, inner: np.ndarray, both: np.ndarray
+) -> tuple[float, float]:
+    """Reconstruction and hint loss, means per number. ``moved``: moments times ``w``; ``inner``: ``w`` times that; ``both``: ``d d^T``."""
     t, k = w.shape
-    wd = w @ d
-    recon = (np.trace(s) - 2 * np.trace(s @ wd) + np.trace(wd.T @ s @ wd)) / t
+    recon = (moments.trace - 2 * float((moved * d.T).sum()) + float((inner * both).sum())) / t
     if cross.size == 0:
         return recon, 0.0
-    return recon, (np.trace(w.T @ s @ w) - 2 * np.trace(w.T @ cross) + r2) / k
+    return recon, (float(np.trace(inner)) - 2 * float((w * cross).sum()) + r2) / k
 
 
 def _coefficient(epoch: int, epochs: int, hint: dict) -> float:
@@ -55,9 +72,14 @@ def _coefficient(epoch: int, epochs: int, hint: dict) -> float:
     return hint["start"] + (hint["final"] - hint["start"]) * done ** hint["rate"]
 
 
-def _split_gram(product: np.ndarray, n: int, steps: int) -> tuple[np.ndarray, np.ndarray, float]:
+def _split_gram(product: np.ndarray, n: int, steps: int) -> tuple[Moments, np.ndarray, float]:
     g = product / n
-    return g[:steps, :steps], g[:steps, steps:], float(np.trace(g[steps:, steps:]))
+    return Moments(g[:steps, :steps], n), g[:steps, steps:], float(np.trace(g[steps:, steps:]))
+
+
+def random_start(steps: int, size: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(seed)
+    return rng.normal(scale=1 / np.sqrt(steps), size=(steps, size)), rng.normal(scale=1 / np.sqrt(size), size=(size, steps))
 
 
 def fit_students(
@@ -69,12 +91,15 @@ def fit_students(
     hint: dict = HINT,
     seed: int = 42,
     stopping: dict | None = None,
+    start: Callable[[int, int], tuple[np.ndarray, np.ndarray]] | None = None,
 ) -> DataFrame:
-    """Fit one student per data set. ``steps`` holds the series length ``d`` per data set.
+    """Fit one student per data set. ``steps`` holds the series length ``d`` per data set, ``start`` the first encoder and decoder
+    from steps and size (random ones of ``seed`` by default).
 
     Output, one row per data set and epoch: ``train_loss``, ``val_loss``, and
     on the best and the final epoch the encoder ``w`` and decoder ``d``. A
-    group holds the rows of two Gram matrices, whatever the number of series.
+    group holds the rows of two Gram matrices, whatever the number of series;
+    an epoch multiplies each with the encoder once and no other steps by steps.
     A fit ends early by the rule of ``logs.early_stop``; ``stopping`` has its
     ``min_delta`` and ``patience``, by default those of the usual profile.
     """
@@ -94,16 +119,20 @@ def fit_students(
                 split[part] = _split_gram(whole(rows), int(rows["n"][0].as_py()), t)
         s, cross, r2 = split["train"]
         k = cross.shape[1] or closest_power(t, compression)
-        rng = np.random.default_rng(seed)
-        params = [rng.normal(scale=1 / np.sqrt(t), size=(t, k)), rng.normal(scale=1 / np.sqrt(k), size=(k, t))]
+        params = list(start(t, k) if start is not None else random_start(t, k, seed))
         m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         log, best, kept = [], None, {}
         watched, misses = np.inf, 0
         for epoch in range(epochs):
             w, d = params
             c = _coefficient(epoch, epochs, hint) if cross.size else 0.0
-            recon, gap = _losses(s, cross, r2, w, d)
-            v_recon, v_gap = _losses(*split.get("valid", split["train"]), w, d)
+            moved, both = s.dot(w), d @ d.T
+            inner = w.T @ moved
+            recon, gap = _losses(s, cross, r2, w, d, moved, inner, both)
+            v_recon, v_gap = recon, gap
+            if "valid" in split:
+                v_moved = split["valid"][0].dot(w)
+                v_recon, v_gap = _losses(*split["valid"], w, d, v_moved, w.T @ v_moved, both)
             val = (1 - hint["valid"]) * v_recon + hint["valid"] * v_gap if cross.size else v_recon
             log.append((epoch, (1 - c) * recon + c * gap, val))
             if best is None or val < log[best][2]:
@@ -112,10 +141,9 @@ def fit_students(
             watched, misses = (val, 0) if val + min_delta < watched else (watched, misses + 1)
             if misses >= patience:
                 break
-            rest = s @ (w @ d) - s
-            grads = [2 * (1 - c) / t * (rest @ d.T), 2 * (1 - c) / t * (w.T @ rest)]
+            grads = [2 * (1 - c) / t * (moved @ both - s.dot(d.T)), 2 * (1 - c) / t * (inner @ d - moved.T)]
             if cross.size:
-                grads[0] = grads[0] + 2 * c / k * (s @ w - cross)
+                grads[0] = grads[0] + 2 * c / k * (moved - cross)
             for j, g in enumerate(grads):
                 m[j] = 0.9 * m[j] + 0.1 * g
                 v[j] = 0.999 * v[j] + 0.001 * g * g

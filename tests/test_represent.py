@@ -133,6 +133,49 @@ def test_student_learns_and_reports(spark):
     assert {(r["checkpoint"], r["part"]) for r in coded} == {(c, p) for c in ("best", "final") for p in ("train", "valid", "test")}
 
 
+def plain_log(s, cross, r2, valid, w, d, epochs, c_of):
+    """Losses of a fit with full matrices, epoch by epoch."""
+    t, k = w.shape
+    params, m, v, log = [w.copy(), d.copy()], [0 * w, 0 * d], [0 * w, 0 * d], []
+    for epoch in range(epochs):
+        w, d = params
+        c = c_of(epoch)
+        losses = []
+        for s_, cross_, r2_ in ((s, cross, r2), valid):
+            wd = w @ d
+            losses.append(((np.trace(s_) - 2 * np.trace(s_ @ wd) + np.trace(wd.T @ s_ @ wd)) / t, (np.trace(w.T @ s_ @ w) - 2 * np.trace(w.T @ cross_) + r2_) / k))
+        log.append(((1 - c) * losses[0][0] + c * losses[0][1], losses[1][0]))
+        rest = s @ (w @ d) - s
+        grads = [2 * (1 - c) / t * (rest @ d.T) + 2 * c / k * (s @ w - cross), 2 * (1 - c) / t * (w.T @ rest)]
+        for j, g in enumerate(grads):
+            m[j], v[j] = 0.9 * m[j] + 0.1 * g, 0.999 * v[j] + 0.001 * g * g
+            params[j] = params[j] - 1e-3 * (m[j] / (1 - 0.9 ** (epoch + 1))) / (np.sqrt(v[j] / (1 - 0.999 ** (epoch + 1))) + 1e-8)
+    return log
+
+
+@pytest.mark.parametrize("n", [12, 90])
+def test_student_log_by_full_matrices(spark, n):
+    """With few rows the moments are kept as eigenvectors; the log is that of the full matrices."""
+    rng = np.random.default_rng(n)
+    x, teacher = rng.normal(size=(n, 40)), rng.normal(size=(n, 5))
+    df = series_rows(spark, x, [0] * n).withColumn("part", F.when(F.col("series_id") % 3 == 0, "valid").otherwise("train"))
+    vectors = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(teacher)], "series_id bigint, teacher array<double>")
+    grams = distill.gram_parts(df.join(vectors, "series_id"), "teacher")
+    fits = distill.fit_students(grams, dataset_sizes(df), 60, stopping={"min_delta": 0.0, "patience": 100}).orderBy("epoch").collect()
+    part = lambda rows: (x[rows].T @ x[rows] / len(rows), x[rows].T @ teacher[rows] / len(rows), (teacher[rows] ** 2).sum() / len(rows))
+    train, valid = (np.array([i for i in range(n) if (i % 3 == 0) == v]) for v in (False, True))
+    log = plain_log(*part(train), part(valid), *distill.random_start(40, 5), 60, lambda e: distill._coefficient(e, 60, distill.HINT))
+    assert [(r["train_loss"], r["val_loss"]) for r in fits] == [pytest.approx(p, abs=1e-9, rel=1e-9) for p in log]
+
+
+def test_student_of_long_series(spark):
+    """Series of 2844 steps: an epoch costs rows and not steps."""
+    x = np.random.default_rng(0).normal(size=(24, 2844)).cumsum(axis=1) / 50
+    df = series_rows(spark, x, [0] * 24).withColumn("part", F.when(F.col("series_id") % 4 == 0, "valid").otherwise("train"))
+    fits = distill.fit_students(distill.gram_parts(df), dataset_sizes(df), 5, compression=128).orderBy("epoch").collect()
+    assert len(fits) == 5 and fits[-1]["train_loss"] < fits[0]["train_loss"]
+
+
 def test_student_stops_as_the_log_rule_says(spark):
     _, df = sample(spark)
     rule = {"min_delta": 0.002, "patience": 5}
