@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandlab.catalog.base import events, long_series, parts, query, rounded, series, table
 from strandlab.functions import arrays, registry, scalars
-from strandlab.operators import prep, scaling, stats
+from strandlab.operators import ordering, prep, scaling, stats
 
 KEYS = ["dataset_name", "series_id"]
 
@@ -41,6 +41,14 @@ def a02_prices(spark, d):
     return rounded(numbers, "median", "mean", "std", digits=4)
 
 
+@query("a02_quantiles_of_prices", "", """SELECT l_returnflag, l_linestatus, round(quantile_cont(p, 0.1), 4) AS low, round(quantile_cont(p, 0.5), 4) AS middle, round(quantile_cont(p, 0.95), 4) AS high
+    FROM (SELECT l_returnflag, l_linestatus, l_extendedprice::DOUBLE AS p FROM lineitem) GROUP BY 1, 2""")
+def a02_quantiles(spark, d):
+    """Three quantiles of all groups in the same two passes."""
+    found = ordering.group_quantiles(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", [0.1, 0.5, 0.95])
+    return found.select("l_returnflag", "l_linestatus", *[F.round(F.col("quantiles")[i], 4).alias(n) for i, n in enumerate(("low", "middle", "high"))])
+
+
 @query("a03_five_numbers_of_series", "steps", f"SELECT dataset_name, {FIVE.format('value')} FROM steps GROUP BY 1")
 def a03(spark, d):
     return rounded(stats.five_numbers_of_series(series(spark, d)), "median", "mean", "std")

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from strandlab.operators.joining import BROADCAST_BYTES
+from strandlab.operators.task_state import counted_numbers
 from strandlab.session import materialise
 
 
@@ -94,6 +96,66 @@ def with_value_bucket(df: DataFrame, col: str, name: str = "_bucket") -> DataFra
 _MIDDLE, _ACCURACY = 0.001, 10_000
 
 
+def _beside(rows: DataFrame, narrow: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Rows with the one row of their group in ``narrow`` (its keys start with ``_r_``). Null keys are groups too.
+
+    ``narrow`` is counted: broadcast up to ``BROADCAST_BYTES``, beyond that copied to salts, so that no group meets in one task.
+    """
+    renames = ["_r_" + k for k in keys]
+    size = 16 * (narrow.agg(F.sum(counted_numbers(narrow))).first()[0] or 0)
+    if size <= BROADCAST_BYTES:
+        narrow = F.broadcast(narrow)
+        return rows.join(narrow, _same(rows, narrow, keys, null_safe=True)).drop(*renames)
+    salts = max(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # equal values of one group are spread as well, by the task that reads them
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(value, F.spark_partition_id()), F.lit(salts)).cast("int"))
+    copies = narrow.withColumn("_r__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    on = [*_same(salted, copies, keys, null_safe=True), salted["_salt"] == copies["_r__salt"]]
+    return salted.join(copies, on).drop(*renames, "_salt", "_r__salt")
+
+
+def group_quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float], name: str = "quantiles", also: Sequence[Column] = ()
+) -> DataFrame:
+    """Exact quantiles per group (an array, in the order of ``shares``), interpolated between neighbouring values; nulls are left out.
+
+    Pass 1 sketches each group, which brackets all quantiles at ten times the error of the sketch. Pass 2 counts the values below each
+    bracket and, value by value, those inside. A group of few values is counted as a whole. Only counts are shuffled.
+    """
+    keys, shares = list(keys), [float(p) for p in shares]
+    ends = [(p - _MIDDLE, p + _MIDDLE) for p in shares]
+    probes = sorted({min(max(e, 0.0), 1.0) for pair in ends for e in pair})
+    drawn = F.percentile_approx(F.col(value).cast("double"), probes, _ACCURACY)
+    sketch = materialise(df.groupBy(*keys).agg(drawn.alias("_q"), F.count(value).alias("_size"), *also), "quantile-sketch")
+    few = F.col("_size") < 2.0 / _MIDDLE
+    low = [F.when(few | (a <= 0), F.lit(-math.inf)).otherwise(F.col("_q")[probes.index(max(a, 0.0))]) for a, _ in ends]
+    high = [F.when(few | (b >= 1), F.lit(math.inf)).otherwise(F.col("_q")[probes.index(min(b, 1.0))]) for _, b in ends]
+    renames = {k: "_r_" + k for k in keys}
+    narrow = sketch.select(*keys, F.array(*low).alias("_low"), F.array(*high).alias("_high"), "_size").withColumnsRenamed(renames)
+    rows = _beside(df.select(*keys, F.col(value).cast("double").alias("_value")).where("_value IS NOT NULL"), narrow, keys, "_value")
+    at = lambda c, i: F.col(c)[i]
+    under = rows.groupBy(*keys).agg(F.array(*[F.count_if(F.col("_value") < at("_low", i)) for i in range(len(shares))]).alias("_under"))
+    inside = F.filter(F.sequence(F.lit(0), F.lit(len(shares) - 1)), lambda i: (F.col("_value") >= F.get("_low", i)) & (F.col("_value") <= F.get("_high", i)))
+    counted = rows.withColumn("_share", F.explode(inside)).groupBy(*keys, "_share", "_value").agg(F.count(F.lit(1)).alias("_n"), F.first("_size").alias("_size"))
+    counted = materialise(counted, "quantile-values")
+    under = under.withColumnsRenamed(renames)
+    placed = running_total(counted, [*keys, "_share"], "_value", "_n", "_upto", null_safe=True)
+    placed = placed.join(under, _same(placed, under, keys, null_safe=True)).drop(*renames.values())
+    upto = F.col("_upto") + F.get("_under", F.col("_share"))
+    rank = F.element_at(F.array(*[F.lit(p) for p in shares]), F.col("_share") + 1) * (F.col("_size") - 1) + 1
+    holds = lambda r: (upto - F.col("_n") < r) & (r <= upto)
+    value_at = lambda r: F.max(F.when(holds(r), F.col("_value")))
+    found = placed.where(holds(F.floor(rank)) | holds(F.ceil(rank))).groupBy(*keys, "_share").agg(
+        value_at(F.floor(rank)).alias("_a"), value_at(F.ceil(rank)).alias("_b"), F.max(rank - F.floor(rank)).alias("_part"))
+    between = F.col("_a") + F.col("_part") * (F.col("_b") - F.col("_a"))
+    found = found.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_share", between.alias("v")))).alias("_found")).withColumnsRenamed(renames)
+    joined = sketch.join(found, _same(sketch, found, keys, null_safe=True), "left").drop(*renames.values(), "_q")
+    values = F.transform("_found", lambda x: x["v"])
+    missed = (F.col("_size") > 0) & (F.coalesce(F.size("_found"), F.lit(0)) < len(shares)) | F.exists("_found", lambda x: x["v"].isNull())
+    checked = F.when(missed, F.raise_error(F.lit("a quantile lies outside its bracket")).cast("array<double>")).otherwise(values)
+    return joined.withColumn(name, checked).drop("_size", "_found")
+
+
 def group_median(
     df: DataFrame, keys: Sequence[str], value: str, name: str = "median", also: Sequence[Column] = ()
 ) -> DataFrame:
@@ -109,8 +171,7 @@ def group_median(
     sketch = materialise(sketch, "median-sketch")
     renames = {k: "_r_" + k for k in keys}
     narrow = sketch.select(*keys, "_q", "_size").withColumnsRenamed(renames)
-    rows = df.select(*keys, value)
-    rows = rows.join(narrow, _same(rows, narrow, keys, null_safe=True)).drop(*renames.values())
+    rows = _beside(df.select(*keys, value), narrow, keys, value)
     upper = rows.where(F.col(value) <= F.col("_q")[1])
     # everything below the bracket becomes one row without a value
     inside = F.when(F.col(value) >= F.col("_q")[0], F.col(value)).alias("_value")

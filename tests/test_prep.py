@@ -1,6 +1,7 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 from conftest import series_rows
 from pyspark.sql import functions as F
@@ -93,6 +94,24 @@ def test_group_median(spark):
     assert got == {"a": 2.0, "b": 3.0, "c": 7.0, None: 3.0}
 
 
+@pytest.mark.parametrize("broadcast", [1 << 25, -1])
+def test_group_quantiles(spark, monkeypatch, broadcast):
+    """A hot group with a hot value, a small one, one value, ties and the null group; by broadcast and by salts."""
+    monkeypatch.setattr(ordering, "BROADCAST_BYTES", broadcast)
+    rng = np.random.default_rng(0)
+    hot = np.concatenate([np.full(9000, 0.25), rng.normal(size=21_000)])
+    values = {"hot": hot, "few": rng.normal(size=41), "one": [7.0], "tied": [1.0] * 5 + [2.0] * 4, None: [2.0, 4.0, 9.0]}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs] + [("one", None), ("none", None)], "g string, v double").repartition(4)
+    shares = [0.0, 0.001, 0.1, 0.25, 0.5, 0.9, 0.995, 1.0]
+    got = {r["g"]: r["quantiles"] for r in ordering.group_quantiles(df, ["g"], "v", shares).collect()}
+    assert got.pop("none") in (None, [])
+    assert set(got) == set(values)
+    for k, vs in values.items():
+        assert got[k] == pytest.approx(list(np.quantile(vs, shares)))
+    medians = {r["g"]: r["median"] for r in ordering.group_median(df, ["g"], "v").collect()}
+    assert all(medians[k] == pytest.approx(np.median(vs)) for k, vs in values.items())
+
+
 def test_five_numbers_keep_null_group(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "g string, v double")
     got = {r["g"]: (r["median"], r["mean"], r["std"], r["min"], r["max"]) for r in stats.five_numbers(df, ["g"], "v").collect()}
