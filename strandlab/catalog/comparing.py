@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlab.catalog.base import ALGORITHMS, cells, long_series, query, rounded
+from strandlab.catalog.base import ALGORITHMS, cells, long_series, query, rounded, table
 from strandlab.operators import compare, prep
 
 BASELINES = ["A4", "A2"]
@@ -255,6 +255,27 @@ def t06(spark, d):
     return rounded(test, "z", "p_value").withColumns({c: F.col(c).cast("double") for c in ("w_plus", "w_minus", "statistic")})
 
 
+# nations as data sets: few pairs, means rounded to hundreds so that differences tie
+NATIONS = """WITH pairs AS (SELECT s_nationkey, max(v) FILTER (l_linenumber = 1) - max(v) FILTER (l_linenumber = 2) AS d FROM (SELECT s_nationkey, l_linenumber,
+    round(avg(l_extendedprice::DOUBLE / 0.99991) / 100) AS v FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_linenumber IN (1, 2) GROUP BY 1, 2) GROUP BY 1),
+    sr AS (SELECT d, row_number() OVER (ORDER BY abs(d)) AS place, (2 * (rank() OVER (ORDER BY abs(d))) + count(*) OVER (PARTITION BY abs(d)) - 1)::BIGINT AS twice FROM pairs WHERE d <> 0),
+    ways0 AS (SELECT 0::BIGINT AS total, 1::HUGEINT AS n)""" + "".join(
+    f""", ways{k} AS (SELECT total, sum(n)::HUGEINT AS n FROM (SELECT * FROM ways{k - 1} UNION ALL SELECT total + twice, n FROM ways{k - 1} JOIN sr ON place = {k}) GROUP BY 1)"""
+    for k in range(1, 26)) + """, st AS (SELECT count(*) AS n, least(sum(twice) FILTER (d > 0), sum(twice) FILTER (d < 0)) AS t FROM sr)
+    SELECT st.n, t / 2.0::DOUBLE AS statistic, round(least(1.0, 2 * (SELECT sum(n) FROM ways25 WHERE total <= t)::DOUBLE / pow(2.0::DOUBLE, st.n)), 9) AS p_value FROM st"""
+
+
+@query("t06_wilcoxon_all_signs", "", NATIONS)
+def t06_signs(spark, d):
+    """Two line numbers compared over the nations of the suppliers, through all signs of the tied ranks."""
+    lines = table(spark, d, "lineitem").where("l_linenumber IN (1, 2)")
+    joined = lines.join(table(spark, d, "supplier"), lines["l_suppkey"] == F.col("s_suppkey"))
+    value = F.round(F.avg(F.col("l_extendedprice").cast("double") / 0.99991) / 100)
+    rows = joined.groupBy(F.col("s_nationkey").cast("string").alias("dataset_name"), F.concat(F.lit("A"), F.col("l_linenumber")).alias("algorithm"), F.lit(1).alias("run")).agg(value.alias("value"))
+    test = compare.wilcoxon(rows, "A1", "A2", method="conditional")
+    return rounded(test, "p_value", digits=9).select("n", F.col("statistic").cast("double").alias("statistic"), "p_value")
+
+
 @query("t07_improvement_means", "cells", IMPROVE + """, g2 AS (SELECT round(gain, 2) AS g FROM gains)
     SELECT 'all' AS kind, round(avg(g), 6) AS mean_improvement, count(*) AS n FROM g2
     UNION ALL SELECT 'positive', round(avg(g), 6), count(*) FROM g2 WHERE g > 0""")

@@ -292,13 +292,33 @@ def signed_ranks(pairs: DataFrame) -> DataFrame:
     return upto.withColumn("rank", F.col("_upto") - (F.col("n") - 1) / 2).drop("_upto")
 
 
+# most differences whose signs are gone through rank by rank
+COUNTED_DIFFERENCES = 60
+
+
+def _signs_tail(ranks: Column, statistic: Column) -> Column:
+    """Two-sided p over all signs of the given ranks (ties have mean ranks): ways to each sum, one rank after the other.
+
+    Mean ranks are halves, so sums are counted in halves.
+    """
+    doubled = F.transform(ranks, lambda r: F.round(r * 2).cast("int"))
+    total = F.aggregate(doubled, F.lit(0), lambda s, r: s + r)
+    start = F.transform(F.sequence(F.lit(0), total), lambda i: F.when(i == 0, 1.0).otherwise(0.0))
+    one_more = lambda ways, r: F.transform(ways, lambda w, i: w + F.when(i >= r, F.get(ways, i - r)).otherwise(0.0))
+    ways = F.aggregate(doubled, start, one_more)
+    upto = F.slice(ways, F.lit(1), F.round(statistic * 2).cast("int") + 1)
+    tail = F.aggregate(upto, F.lit(0.0), lambda s, w: s + w) / F.pow(F.lit(2.0), F.size(ranks))
+    return F.least(F.lit(1.0), tail * 2)
+
+
 def wilcoxon(cells: DataFrame, first: str, second: str, method: str = "auto") -> DataFrame:
     """Signed-rank test of two algorithms, one row. ``better`` has the higher mean.
 
     ``method``: how the p-value is found. ``exact`` counts the sums of ranks, which needs differences without ties and zeros (null
-    otherwise); ``approx`` is the normal one; ``auto`` is exact for at most 50 such differences, as usual.
+    otherwise); ``approx`` is the normal one; ``auto`` is exact for at most 50 such differences, as usual. ``conditional`` goes through
+    all signs of the ranks at hand, with ties and without the zeros, for at most ``COUNTED_DIFFERENCES`` differences (null otherwise).
     """
-    if method not in ("auto", "exact", "approx"):
+    if method not in ("auto", "exact", "approx", "conditional"):
         raise ValueError(f"unknown method {method}")
     pairs = paired(cells, first, second)
     ranks = signed_ranks(pairs)
@@ -320,6 +340,14 @@ def wilcoxon(cells: DataFrame, first: str, second: str, method: str = "auto") ->
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
     scored = one.withColumn("statistic", t).withColumn("z", (t - n * (n + 1) / 4) / spread).join(means, "_one")
     countable = (F.col("ties") == 0) & (F.col("n_zero") == 0)
+    if method == "conditional":
+        # with few differences there are few different ones, so the limit leaves none out
+        listed = ranks.limit(COUNTED_DIFFERENCES + 1).agg(F.collect_list(F.struct("rank", "n")).alias("_ranks"), F.lit(1).alias("_one"))
+        repeated = F.flatten(F.transform("_ranks", lambda x: F.array_repeat(x["rank"].cast("double"), x["n"].cast("int"))))
+        few = F.col("n").between(1, COUNTED_DIFFERENCES)
+        p_value = F.when(few, _signs_tail(F.when(few, repeated).otherwise(F.array().cast("array<double>")), F.col("statistic")))
+        better = F.when(F.col("mean_first") > F.col("mean_second"), first).otherwise(second)
+        return scored.join(listed, "_one").select("n", "w_plus", "w_minus", "statistic", "z", p_value.alias("p_value"), better.alias("better"))
     exact = {"auto": countable & (F.col("n") <= 50), "exact": countable, "approx": F.lit(False)}[method]
     few = F.when(exact, F.col("n")).otherwise(F.lit(0))
     return scored.withColumn("_exact", signed_rank_tail(F.when(exact, t).otherwise(0.0), few)).withColumn(

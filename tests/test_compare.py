@@ -1,6 +1,7 @@
 import itertools
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,6 +177,28 @@ def test_wilcoxon_ties_and_zeros(spark):
     assert got["p_value"] == pytest.approx(math.erfc(abs(z) / math.sqrt(2)))
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_wilcoxon_over_all_signs(spark, seed):
+    """Ties and zeros: the p-value is the share of all signs of the ranks at hand."""
+    rng = np.random.default_rng(seed)
+    diffs = rng.integers(-3 - seed, 4 + seed, 11 if seed else 12).astype(float)
+    got = compare.wilcoxon(cube(spark, wilcoxon_table(list(diffs), [0.0] * len(diffs))), "A", "B", "conditional").first()
+    left = np.abs(diffs[diffs != 0])
+    ranks = np.array([(left < v).sum() + ((left == v).sum() + 1) / 2 for v in left])
+    t = min(ranks[diffs[diffs != 0] > 0].sum(), ranks[diffs[diffs != 0] < 0].sum())
+    ways = sum(1 for bits in itertools.product([0, 1], repeat=len(ranks)) if (ranks * bits).sum() <= t + 1e-9)
+    assert (got["n"], got["statistic"]) == (len(ranks), t)
+    assert got["p_value"] == pytest.approx(min(1.0, 2 * ways / 2 ** len(ranks)))
+
+
+def test_wilcoxon_over_all_signs_limits(spark):
+    get = lambda diffs, m="conditional": compare.wilcoxon(cube(spark, wilcoxon_table(diffs, [0.0] * len(diffs))), "A", "B", m).first()["p_value"]
+    assert get([0.0, 0.0]) is None and get([1.0] * 61) is None
+    assert get([1.0] * 60) == pytest.approx(2 / 2**60)
+    diffs = [1.0, -2.0, -3.0, 4.0, 5.0, 6.0, 7.0]
+    assert get(diffs) == pytest.approx(get(diffs, "exact"))
+
+
 def test_improvements(spark):
     ranks = spark.createDataFrame([("S", 3.95), ("B", 4.35), ("T", 5.0)], "algorithm string, avg_rank double")
     table = compare.improvements(ranks, [("S", "B"), ("T", "B")])
