@@ -221,6 +221,16 @@ def t03(spark, d):
     return reduce(DataFrame.unionByName, tables)
 
 
+@query("t03_computed_difference", "cells", CD + """, q(alpha, q) AS (VALUES (0.05, 2.94832), (0.1, 2.692732)),
+    each AS (SELECT algorithm FROM cells GROUP BY 1), two AS (SELECT alpha, q FROM q)
+    SELECT alpha::DOUBLE AS alpha, (SELECT count(*) FROM each) AS k, n AS n_blocks, round(q * sqrt(7 * 8 / (6.0 * n)), 4) AS cd FROM cd CROSS JOIN two""")
+def t03_computed(spark, d):
+    """The critical value integrated for the number of algorithms at hand."""
+    blocks = _complete(spark, d)
+    tables = [compare.critical_difference(blocks, "nemenyi", a, computed=True).select(F.lit(a).alias("alpha"), "k", "n_blocks", F.round("cd", 4).alias("cd")) for a in (0.05, 0.1)]
+    return tables[0].unionByName(tables[1])
+
+
 @query("t04_indistinct_groups", "cells", CD + """, s AS (SELECT algorithm, avg_rank, row_number() OVER (ORDER BY avg_rank, algorithm) - 1 AS p FROM avg_ranks),
     close AS (SELECT a.p AS first, b.p AS last, a.algorithm AS best, b.algorithm AS worst FROM s a JOIN s b ON b.p > a.p, cd
     WHERE b.avg_rank - a.avg_rank <= cd.cd)

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from strandlab.functions.scalars import mean_std_text
+from strandlab.functions.tails import computed_critical_value
 from strandlab.operators.ordering import running_total
 from strandlab.operators.prep import DATASET
 
@@ -207,19 +208,25 @@ def critical_value(test: str, alpha: float, k: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), k.cast("int")), F.raise_error(message).cast("double"))
 
 
-def _critical_difference(test: str, alpha: float) -> Column:
+def _critical_difference(test: str, alpha: float, computed: bool) -> Column:
     k, n = F.col("k"), F.col("n_blocks")
-    return F.when(n > 0, critical_value(test, alpha, k) * F.sqrt(k * (k + 1) / (6.0 * n)))
+    value = computed_critical_value(test, alpha, k) if computed else critical_value(test, alpha, k)
+    return F.when(n > 0, value * F.sqrt(k * (k + 1) / (6.0 * n)))
 
 
-def critical_difference(cells: DataFrame, test: str = "nemenyi", alpha: float = 0.05) -> DataFrame:
-    """One row: algorithms, blocks and the least rank gap that counts as different (null without blocks)."""
+def critical_difference(cells: DataFrame, test: str = "nemenyi", alpha: float = 0.05, computed: bool = False) -> DataFrame:
+    """One row: algorithms, blocks and the least rank gap that counts as different (null without blocks).
+
+    With ``computed`` the critical value is integrated, for any number of algorithms and any level, and not looked up.
+    """
     per = cells.groupBy("algorithm").agg(F.count(F.lit(1)).alias("_n"))
     one = per.agg(F.count(F.lit(1)).alias("k"), F.max("_n").alias("n_blocks"))
-    return one.withColumn("cd", _critical_difference(test, alpha))
+    return one.withColumn("cd", _critical_difference(test, alpha, computed))
 
 
-def rank_summary(cells: DataFrame, test: str = "nemenyi", alpha: float = 0.05, higher_is_better: bool = True) -> DataFrame:
+def rank_summary(
+    cells: DataFrame, test: str = "nemenyi", alpha: float = 0.05, higher_is_better: bool = True, computed: bool = False
+) -> DataFrame:
     """One row: all average ranks in order, with the critical difference. As many entries as algorithms."""
     per = ranked(cells, higher_is_better).groupBy("algorithm").agg(
         F.avg("rank").alias("avg_rank"), F.count(F.lit(1)).alias("_n")
@@ -227,7 +234,7 @@ def rank_summary(cells: DataFrame, test: str = "nemenyi", alpha: float = 0.05, h
     one = per.agg(
         F.sort_array(F.collect_list(F.struct("avg_rank", "algorithm"))).alias("ranks"), F.max("_n").alias("n_blocks")
     ).withColumn("k", F.size("ranks"))
-    return one.withColumn("cd", _critical_difference(test, alpha))
+    return one.withColumn("cd", _critical_difference(test, alpha, computed))
 
 
 def indistinct_groups(summary: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strandlab.functions import tails
 from strandlab.operators import compare, logs
 
 SCHEMA = "dataset_name string, algorithm string, run int, value double"
@@ -84,6 +85,40 @@ def test_more_algorithms_than_critical_values(spark):
             fn(cube(spark, table)).collect()
 
 
+def test_computed_critical_values_meet_the_fixed_ones():
+    for (test, alpha), table in compare.CRITICAL_VALUES.items():
+        if test == "nemenyi":
+            for k, q in enumerate(table, start=2):
+                assert tails.nemenyi_quantile(k, alpha) == pytest.approx(q, abs=1e-5)
+        else:  # printed with three digits, one of them off by two units
+            assert sum(abs(tails.dunn_quantile(k, alpha) - q) < 6e-4 for k, q in enumerate(table, start=2)) >= len(table) - 1
+    # the range of two normal numbers is a normal number times the root of two
+    assert tails.nemenyi_quantile(2, 0.01) == pytest.approx(2.575829, abs=1e-6)
+    with pytest.raises(ValueError):
+        tails.nemenyi_quantile(1, 0.05)
+    with pytest.raises(ValueError):
+        tails.dunn_quantile(3, 1.0)
+
+
+def test_range_of_forty_numbers_by_simulation():
+    rng = np.random.default_rng(0)
+    spread = np.ptp(rng.normal(size=(200_000, 40)), axis=1)
+    q = tails.nemenyi_quantile(40, 0.05) * math.sqrt(2)
+    assert (spread > q).mean() == pytest.approx(0.05, abs=0.002)
+
+
+def test_computed_difference_of_many_algorithms(spark):
+    table = {("x", r): {f"m{i:02d}": (i * 7 + r) % 40 for i in range(40)} for r in range(3)}
+    cells = cube(spark, table)
+    got = compare.critical_difference(cells, alpha=0.2, computed=True).first()
+    assert (got["k"], got["n_blocks"]) == (40, 3)
+    assert got["cd"] == pytest.approx(tails.nemenyi_quantile(40, 0.2) * math.sqrt(40 * 41 / 18))
+    assert compare.indistinct_groups(compare.rank_summary(cells, computed=True)).count() >= 1
+    few = cube(spark, TIED)
+    assert compare.critical_difference(few, computed=True).first()["cd"] == pytest.approx(compare.critical_difference(few).first()["cd"], rel=1e-5)
+    assert compare.critical_difference(few.limit(0), computed=True).first()["cd"] is None
+
+
 def test_all_tied_blocks_have_no_statistic(spark):
     got = compare.friedman(cube(spark, {("x", r): {"A": 1, "B": 1, "C": 1} for r in range(3)})).first()
     assert got["statistic"] is None and got["p_value"] is None and got["n_blocks"] == 3
