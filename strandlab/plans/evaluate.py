@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlab.operators import classify, cluster, metrics, neighbours, prep, stats
 from strandlab.operators.blocks import dataset_sizes
 from strandlab.operators.prep import DATASET, LABEL, SERIES, SERIES_ID
 from strandlab.session import materialise
-
+from strandlab.sources import series_files, tables
 
 SEPARATOR = "\u0001"
 
@@ -67,12 +67,54 @@ def evaluate_representations(df: DataFrame, keys: Sequence[str] = REPRESENTATION
     return unpack_keys(scores, keys, kinds), unpack_keys(rejected, keys, kinds)
 
 
-def classify_representations(df: DataFrame, keys: Sequence[str] = REPRESENTATION_KEYS, skipped: Iterable[str] = prep.SKIPPED_DATASETS) -> DataFrame:
+def classify_representations(
+    df: DataFrame, keys: Sequence[str] = REPRESENTATION_KEYS, skipped: Iterable[str] = prep.SKIPPED_DATASETS, **settings
+) -> DataFrame:
     """Accuracy and macro scores on the test part for every data set, model, encoder and seed in one job.
 
-    Ids are unique per combination of ``keys``.
+    Ids are unique per combination of ``keys``. ``settings`` go to ``classify_and_evaluate``.
+    """
+    return scores_by(classify_and_evaluate, prep.skip_datasets(df, skipped), keys, skipped=(), **settings)
+
+
+def representation_files(spark: SparkSession, paths: str | Sequence[str], seeds: Iterable[int], template: str = "run_{{seed_number}}") -> DataFrame:
+    """Rows of the files ``.../run_<seed>/.../<part>/<data set>_<model>_<encoder>.csv`` of the wanted seeds, with all of these as columns.
+
+    Files of other seeds and of no seed are left out; a file name that has not three pieces is an error.
+    """
+    rows = series_files.keep_seeds(series_files.read_wide_csv(spark, paths, "*.csv"), "file", seeds, template)
+    rows = rows.withColumn(prep.PART, F.regexp_extract("file", r"([^/]+)/[^/]+$", 1))
+    return series_files.representation_name_columns(rows, series_files.base_name("file")).drop("file")
+
+
+def cluster_files(
+    spark: SparkSession, paths: str | Sequence[str], results: str, seeds: Sequence[int], part: str = "test", prefix: str | None = None,
+    template: str = "run_{{seed_number}}", **settings,
+) -> tuple[DataFrame, DataFrame]:
+    """Clustering scores of representation files of one part, written to ``results`` by seed; the scores as read back, and the report.
+
+    The report names every data set, model, encoder and seed without scores or without internal scores, with the reason.
     """
-    return scores_by(classify_and_evaluate, prep.skip_datasets(df, skipped), keys, skipped=())
+    rows = materialise(representation_files(spark, paths, seeds, template).where(F.col(prep.PART) == part).drop(prep.PART), "representations")
+    scores, rejected = evaluate_representations(rows, **settings)
+    tables.write_results(scores, results, prefix=prefix)
+    written = tables.read_results(spark, results, seeds)
+    reason = lambda df, text: df.select(*REPRESENTATION_KEYS, F.lit(text).alias("reason"))
+    single = written.where("chs IS NULL AND dbs IS NULL AND ss IS NULL")
+    return written, reason(rejected, "missing values").unionByName(reason(single, "one cluster"))
+
+
+def classify_files(
+    spark: SparkSession, paths: str | Sequence[str], results: str, seeds: Sequence[int], prefix: str | None = None,
+    template: str = "run_{{seed_number}}", **settings,
+) -> DataFrame:
+    """Classification scores of representation files (parts train, valid and test), written to ``results`` by seed and read back."""
+    rows = representation_files(spark, paths, seeds, template)
+    # ids are line numbers of a file, so they repeat over the parts
+    place = F.when(F.col(prep.PART) == "train", 0).when(F.col(prep.PART) == "valid", 1).otherwise(2)
+    rows = materialise(rows.withColumn(SERIES_ID, F.col(SERIES_ID) * 3 + place), "representations")
+    tables.write_results(classify_representations(rows, **settings), results, prefix=prefix)
+    return tables.read_results(spark, results, seeds)
 
 
 def cluster_and_evaluate(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandlab.operators import prep, split
 from strandlab.operators.prep import DATASET, LABEL, PART, SERIES, SERIES_ID
+from strandlab.session import materialise
 from strandlab.sources import series_files, tables
 
 
@@ -38,11 +39,13 @@ def prepare_all(
 ) -> DataFrame:
     """Write the parts of all listed data sets to ``path`` and return them as read back (Parquet) or as written (text).
 
-    ``datasets`` holds the wanted names (all, if None); ``skipped`` names never are prepared.
+    ``datasets`` holds the wanted names (all, if None); ``skipped`` names never are prepared. The rows are written once as read, since
+    the split goes through them several times and text would be parsed each time.
     """
     rows = prep.skip_datasets(given, skipped)
     if datasets is not None:
-        rows = rows.join(F.broadcast(datasets.select(DATASET).distinct()), DATASET, "left_semi")
+        rows = prep.keep_datasets(rows, datasets)
+    rows = materialise(rows, "given-rows")
     parts = split.split_parts(rows, strategy, test_share, valid_share, seed)
     tables.write_parts(parts, path, fmt)
     if fmt != "parquet":
