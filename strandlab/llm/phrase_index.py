@@ -5,7 +5,7 @@ made of it: one of suffixes sorted by their first words, one of prefixes sorted
 kept in step in both; all of them are extended by one word on the right (counting the symbols of the reverse index's transform inside
 each interval) or on the left (the forward one's) at once, so each gets its count and its extensions without a hash table of phrases.
 
-Shards are added up in two steps, so that n-grams that are rare everywhere never travel as text: counters hashed to 48 bits are summed
+Shards are added up in two steps, so that n-grams that are rare everywhere hardly travel as text: hashed counters are summed
 first and each shard is told, one bit per n-gram, which of its counters reach the least count; only the text of those is then summed. A
 counter is never below the count of a phrase in it, so none is lost, and counts are made on the words themselves.
 """
@@ -24,10 +24,11 @@ from pyspark.sql import functions as F
 from strandlab.llm.words import U64, WordReader, mix, odd_numbers, texts
 from strandlab.session import materialise
 
-SHARD_BYTES = 4 << 20
-HELD_BYTES = 24 << 20
-BUCKET_ENTRIES = 4 << 20
-SLOT_BITS = 48
+SHARD_BYTES = 3 << 20
+HELD_BYTES = 9 << 20
+BUCKET_ENTRIES = 1 << 20
+# counters per n-gram as a power of two, and least number of bits: so few n-grams share a counter that hardly a rare phrase travels as text
+SPARE_BITS, LEAST_BITS = 10, 40
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 BLANKS = b" \t"
 UNKNOWN = "und"
@@ -132,7 +133,7 @@ class ShardIndex:
 class Entries:
     """All n-grams of a shard in the order of their hashed counters."""
 
-    def __init__(self, symbols: np.ndarray, words: pa.Array, lang: str, depth: int):
+    def __init__(self, symbols: np.ndarray, words: pa.Array, lang: str, depth: int, bits: int):
         data, offsets = np.frombuffer(words.buffers()[2] or b"", np.uint8), np.frombuffer(words.buffers()[1], np.int64)[: len(words) + 1]
         of_word = np.concatenate([np.zeros(1, U64), self._bytes_hash(data, offsets)])
         name = np.frombuffer(lang.encode(), np.uint8)
@@ -144,7 +145,7 @@ class Entries:
             total = np.full(len(g.count), seed + U64(len(g.words)), U64)
             for j, w in enumerate(g.words):
                 total += of_word[w] * factor[j]
-            slots.append(mix(total) >> U64(64 - SLOT_BITS))
+            slots.append(mix(total) >> U64(64 - bits))
         self.count = np.concatenate([g.count for g in self.grams])
         self.starts = np.cumsum([0, *(len(g.count) for g in self.grams)])
         slots = np.concatenate(slots)
@@ -213,7 +214,7 @@ def _shards(depth: int, limit: int):
         n = int((symbols > 0).sum()) - sum(" " not in p for p in overlaps)
         sizes = np.diff(np.frombuffer(words.buffers()[1], np.int64)[: len(words) + 1]) if len(words) else np.zeros(0, np.int64)
         return {
-            "shard": number, "lang": lang, "n": n, "entries": depth * len(symbols), "symbols": symbols.astype(np.uint32).tobytes(),
+            "shard": number, "lang": lang, "n": n, "entries": depth * len(symbols), "symbols": symbols.astype(np.uint16 if len(words) < 1 << 16 else np.uint32).tobytes(),
             "words": b"".join(words.to_pylist()), "sizes": sizes.astype(np.uint32).tobytes(), "overlaps": overlaps,
         }
 
@@ -231,12 +232,11 @@ def _shards(depth: int, limit: int):
 
         for batch in batches:
             data, offsets = texts(batch.column(0))
-            raw = data.tobytes()
             for r, lang in enumerate(batch.column(1).to_pylist()):
                 lo, hi = int(offsets[r]), int(offsets[r + 1])
                 if lo == hi:
                     continue
-                whole = raw[lo:hi]
+                whole = data[lo:hi].tobytes()
                 for part in [(whole, [])] if hi - lo <= limit else _cuts(whole, limit, depth - 1):
                     held.setdefault(lang, []).append(part)
                     size[lang] = size.get(lang, 0) + len(part[0]) + 1
@@ -256,10 +256,11 @@ OUT = pa.schema([
 ])
 
 
-def _opened(row: dict, depth: int) -> Entries:
+def _opened(row: dict, depth: int, bits: int) -> Entries:
     places = np.concatenate([[0], np.cumsum(np.frombuffer(row["sizes"], np.uint32), dtype=np.int64)])
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(places) - 1, [None, pa.py_buffer(places), pa.py_buffer(row["words"])])
-    return Entries(np.frombuffer(row["symbols"], np.uint32).astype(np.int64), words, row["lang"], depth)
+    symbols = np.frombuffer(row["symbols"], np.uint16 if len(words) < 1 << 16 else np.uint32)
+    return Entries(symbols.astype(np.int64), words, row["lang"], depth, bits)
 
 
 def _rows(batches) -> Iterator[dict]:
@@ -268,18 +269,33 @@ def _rows(batches) -> Iterator[dict]:
             yield {name: batch.column(i)[r].as_py() for i, name in enumerate(batch.schema.names)}
 
 
-def _bounds(buckets: int) -> np.ndarray:
-    return np.array([(b << SLOT_BITS) // buckets for b in range(buckets + 1)], U64)
+def _bounds(buckets: int, bits: int) -> np.ndarray:
+    return np.array([(b << bits) // buckets for b in range(buckets)], U64)
 
 
-def _counters(depth: int, buckets: int, least: int):
+def _packed_steps(steps: np.ndarray) -> bytes:
+    """Numbers in as few bytes each as the largest needs: up to four, or eight."""
+    width = max(1, -(-int(steps.max()).bit_length() // 8))
+    return steps.tobytes() if width > 4 else steps.astype(np.uint32).view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
+
+
+def _unpacked_steps(packed: bytes, n: int) -> np.ndarray:
+    width = len(packed) // n
+    if width > 4:
+        return np.frombuffer(packed, U64)
+    wide = np.zeros((n, 4), np.uint8)
+    wide[:, :width] = np.frombuffer(packed, np.uint8).reshape(n, width)
+    return wide.view(np.uint32).ravel()
+
+
+def _counters(depth: int, buckets: int, bits: int, least: int):
     """One row per shard and range of counters that it has: steps between counters, counts up to the least that matters."""
 
     def run(batches):
         for row in _rows(batches):
-            entries = _opened(row, depth)
+            entries = _opened(row, depth, bits)
             count = np.minimum(entries.count[entries.order], min(least, 255)).astype(np.uint8)
-            at = np.searchsorted(entries.slots, _bounds(buckets))
+            at = np.append(np.searchsorted(entries.slots, _bounds(buckets, bits)), len(entries.slots))
             steps = np.diff(entries.slots, prepend=U64(0))
             some = np.flatnonzero(np.diff(at))
             out = {"bucket": [], "shard": [], "origin": [], "steps": [], "counts": []}
@@ -287,12 +303,12 @@ def _counters(depth: int, buckets: int, least: int):
                 lo, hi = at[b], at[b + 1]
                 step = steps[lo:hi].copy()
                 step[0] = 0
-                wide = step.max() >> U64(32)
                 out["bucket"].append(b)
                 out["shard"].append(row["shard"])
                 out["origin"].append(int(entries.slots[lo]))
-                out["steps"].append(step.astype(np.uint64 if wide else np.uint32).tobytes())
+                out["steps"].append(_packed_steps(step))
                 out["counts"].append(count[lo:hi].tobytes())
+            del entries, count, steps  # the next shard is opened without this one
             yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), pa.array(out["shard"], pa.int64()), pa.array(out["origin"], pa.int64()),
                                               pa.array(out["steps"], pa.binary()), pa.array(out["counts"], pa.binary())], names=list(out))
 
@@ -306,9 +322,7 @@ def _frequent(least: int):
     def run(table: pa.Table) -> pa.Table:
         slots, counts = [], []
         for origin, steps, count in zip(table["origin"].to_pylist(), table["steps"].to_pylist(), table["counts"].to_pylist()):
-            n = len(count)
-            step = np.frombuffer(steps, np.uint32 if len(steps) == 4 * n else np.uint64)
-            slots.append(np.cumsum(step, dtype=U64) + U64(origin))
+            slots.append(np.cumsum(_unpacked_steps(steps, len(count)), dtype=U64) + U64(origin))
             counts.append(np.frombuffer(count, np.uint8))
         sizes = [len(s) for s in slots]
         every, number = np.unique(np.concatenate(slots), return_inverse=True)
@@ -320,10 +334,10 @@ def _frequent(least: int):
     return run
 
 
-def _phrases(depth: int):
+def _phrases(depth: int, bits: int):
     def run(batches):
         for row in _rows(batches):
-            entries = _opened(row, depth)
+            entries = _opened(row, depth, bits)
             told = sorted(row["told"], key=lambda t: t["bucket"])
             chosen = np.concatenate([np.unpackbits(np.frombuffer(t["bits"], np.uint8), count=t["size"]).astype(bool) for t in told])
             for phrase, count, k in entries.texts_of(chosen):
@@ -332,6 +346,7 @@ def _phrases(depth: int):
             if twice := row["overlaps"]:
                 yield pa.RecordBatch.from_arrays([pa.array([row["lang"]] * len(twice)), pa.array(twice), pa.array([p.count(" ") + 1 for p in twice], pa.int32()),
                                                   pa.array([-1] * len(twice), pa.int64())], names=["lang", "phrase", "words", "f"])
+            del entries, chosen
 
     return run
 
@@ -350,12 +365,12 @@ def phrase_counts(
     shards = materialise(rows.mapInArrow(_shards(depth, shard_bytes), SHARD), "phrase-shards")
     # the number of ranges follows the input, so that one range of counters fits a task
     total = shards.agg(F.sum("entries")).first()[0] or 0
-    buckets = max(1, -(-total // bucket_entries))
-    counters = shards.drop("overlaps", "n", "entries").mapInArrow(_counters(depth, buckets, least), "bucket int, shard long, origin long, steps binary, counts binary")
+    buckets, bits = max(1, -(-total // bucket_entries)), min(63, max(LEAST_BITS, total.bit_length() + SPARE_BITS))
+    counters = shards.drop("overlaps", "n", "entries").mapInArrow(_counters(depth, buckets, bits, least), "bucket int, shard long, origin long, steps binary, counts binary")
     told = counters.groupBy("bucket").applyInArrow(_frequent(least), "shard long, bucket int, size int, bits binary")
     told = told.groupBy("shard").agg(F.collect_list(F.struct("bucket", "size", "bits")).alias("told"))
     found = shards.join(told, "shard").select("lang", "symbols", "words", "sizes", "overlaps", "told")
-    found = found.mapInArrow(_phrases(depth), "lang string, phrase string, words int, f long")
+    found = found.mapInArrow(_phrases(depth, bits), "lang string, phrase string, words int, f long")
     summed = found.groupBy("lang", "phrase").agg(F.max("words").alias("words"), F.sum("f").alias("f")).where(F.col("f") >= least)
     return materialise(summed, "phrase-counts"), shards.groupBy("lang").agg(F.sum("n").alias("n"))
 

@@ -304,3 +304,10 @@ def test_gradient_steps_learn():
     assert (model.probabilities(language_id.means(model.embedding, spans)).argmax(1) == np.arange(200) % 2).all()
     mixed = language_id.fit(["a", "b"], spans, rng.integers(0, 2, 200), np.arange(200) % 5 == 0)
     assert mixed.accepted > 0.5 and mixed.temperature > model.temperature
+
+
+@pytest.mark.parametrize("most", [0, 255, 256, 2**16, 2**24 - 1, 2**32 - 1, 2**32, 2**62])
+def test_packed_steps(most):
+    steps = np.array([0, most, most // 3, 1 if most else 0], np.uint64)
+    packed = phrase_index._packed_steps(steps)
+    assert phrase_index._unpacked_steps(packed, 4).tolist() == steps.tolist() and len(packed) <= 4 * max(8 if most >= 2**32 else 4, 1)
