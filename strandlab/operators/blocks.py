@@ -60,13 +60,13 @@ def list_column(rows: np.ndarray) -> pa.Array:
 
 
 def ranges_of(batch: pa.RecordBatch, key: str = DATASET) -> Iterator[tuple[str, pa.Table]]:
-    """Rows of a batch by the value of ``key``."""
+    """Rows of a batch by the value of ``key``. Rows without one are left out."""
     table = pa.Table.from_batches([batch])
+    if table[key].null_count:
+        table = table.filter(pc.is_valid(table[key]))
     if not table.num_rows:
         return
     codes = table[key].combine_chunks().dictionary_encode()
-    if codes.null_count:
-        raise ValueError(f"{key} is null")
     numbers = codes.indices.to_numpy()
     if (np.diff(numbers) < 0).any():
         order = np.argsort(numbers, kind="stable")

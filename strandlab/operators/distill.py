@@ -54,7 +54,13 @@ class Moments:
         return self.s @ w if self.axes is None else self.axes @ (self.values[:, None] * (self.axes.T @ w))
 
 
-def _losses(
+def _losses(moments: Moments, cross: np.ndarray, r2: float, w: np.ndarray, d: np.ndarray) -> tuple[float, float]:
+    """Reconstruction and hint loss of one encoder and decoder."""
+    moved = moments.dot(w)
+    return _losses_of(moments, cross, r2, w, d, moved, w.T @ moved, d @ d.T)
+
+
+def _losses_of(
     moments: Moments, cross: np.ndarray, r2: float, w: np.ndarray, d: np.ndarray, moved: np.ndarray, inner: np.ndarray, both: np.ndarray
 ) -> tuple[float, float]:
     """Reconstruction and hint loss, means per number. ``moved``: moments times ``w``; ``inner``: ``w`` times that; ``both``: ``d d^T``."""
@@ -128,11 +134,10 @@ def fit_students(
             c = _coefficient(epoch, epochs, hint) if cross.size else 0.0
             moved, both = s.dot(w), d @ d.T
             inner = w.T @ moved
-            recon, gap = _losses(s, cross, r2, w, d, moved, inner, both)
+            recon, gap = _losses_of(s, cross, r2, w, d, moved, inner, both)
             v_recon, v_gap = recon, gap
             if "valid" in split:
-                v_moved = split["valid"][0].dot(w)
-                v_recon, v_gap = _losses(*split["valid"], w, d, v_moved, w.T @ v_moved, both)
+                v_recon, v_gap = _losses(*split["valid"], w, d)
             val = (1 - hint["valid"]) * v_recon + hint["valid"] * v_gap if cross.size else v_recon
             log.append((epoch, (1 - c) * recon + c * gap, val))
             if best is None or val < log[best][2]:

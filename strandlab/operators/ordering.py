@@ -117,7 +117,9 @@ def _beside(rows: DataFrame, narrow: DataFrame, keys: Sequence[str], value: str)
 def group_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float], name: str = "quantiles", also: Sequence[Column] = ()
 ) -> DataFrame:
-    """Exact quantiles per group (an array, in the order of ``shares``), interpolated between neighbouring values; nulls are left out.
+    """Exact quantiles per group (an array, in the order of ``shares``), interpolated between neighbouring values.
+
+    Null and NaN are left out. A group without a number has no quantiles (null).
 
     Pass 1 sketches each group, which brackets all quantiles at ten times the error of the sketch. Pass 2 counts the values below each
     bracket and, value by value, those inside. A group of few values is counted as a whole. Only counts are shuffled.
@@ -125,14 +127,16 @@ def group_quantiles(
     keys, shares = list(keys), [float(p) for p in shares]
     ends = [(p - _MIDDLE, p + _MIDDLE) for p in shares]
     probes = sorted({min(max(e, 0.0), 1.0) for pair in ends for e in pair})
-    drawn = F.percentile_approx(F.col(value).cast("double"), probes, _ACCURACY)
-    sketch = materialise(df.groupBy(*keys).agg(drawn.alias("_q"), F.count(value).alias("_size"), *also), "quantile-sketch")
+    number = F.col(value).cast("double")
+    df = df.withColumn("_value", F.when(~F.isnan(number), number))
+    drawn = F.percentile_approx("_value", probes, _ACCURACY)
+    sketch = materialise(df.groupBy(*keys).agg(drawn.alias("_q"), F.count("_value").alias("_size"), *also), "quantile-sketch")
     few = F.col("_size") < 2.0 / _MIDDLE
     low = [F.when(few | (a <= 0), F.lit(-math.inf)).otherwise(F.col("_q")[probes.index(max(a, 0.0))]) for a, _ in ends]
     high = [F.when(few | (b >= 1), F.lit(math.inf)).otherwise(F.col("_q")[probes.index(min(b, 1.0))]) for _, b in ends]
     renames = {k: "_r_" + k for k in keys}
     narrow = sketch.select(*keys, F.array(*low).alias("_low"), F.array(*high).alias("_high"), "_size").withColumnsRenamed(renames)
-    rows = _beside(df.select(*keys, F.col(value).cast("double").alias("_value")).where("_value IS NOT NULL"), narrow, keys, "_value")
+    rows = _beside(df.select(*keys, "_value").where("_value IS NOT NULL"), narrow, keys, "_value")
     at = lambda c, i: F.col(c)[i]
     under = rows.groupBy(*keys).agg(F.array(*[F.count_if(F.col("_value") < at("_low", i)) for i in range(len(shares))]).alias("_under"))
     inside = F.filter(F.sequence(F.lit(0), F.lit(len(shares) - 1)), lambda i: (F.col("_value") >= F.get("_low", i)) & (F.col("_value") <= F.get("_high", i)))

@@ -1,11 +1,12 @@
 """Margin machines against a general minimiser, and both ways to solve against each other."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import series_rows
 from pyspark.sql import functions as F
 
-from strandlab.operators import classify, margin
+from strandlab.operators import blocks, classify, margin
 
 
 def sample(n=120, d=4, k=3, seed=0, spread=1.0):
@@ -106,6 +107,20 @@ def test_no_block_is_exploded(spark):
     assert sent.count() == rows.count()
 
 
+@pytest.mark.parametrize("state_bytes", [1 << 20, 0])
+def test_rows_without_data_set_or_parameters_are_left_out(spark, state_bytes):
+    rows = spark.createDataFrame([("a", 1), (None, 2), ("b", 3)], "dataset_name string, series_id bigint").withColumn("series", F.array(F.lit(1.0)))
+    given = spark.createDataFrame([("a", 10.0), (None, 20.0), ("c", 30.0)], "dataset_name string, w double")
+
+    def add(name, table, fitted):
+        if not (table.num_rows and fitted.num_rows):
+            return pa.table({"name": pa.array([], pa.string()), "v": pa.array([], pa.float64())})
+        return pa.table({"name": pa.array([name] * table.num_rows), "v": pa.array([fitted["w"][0].as_py()] * table.num_rows, pa.float64())})
+
+    got = blocks.apply_with_parameters(rows, given, add, "name string, v double", state_bytes=state_bytes).collect()
+    assert [tuple(r) for r in got] == [("a", 10.0)]
+
+
 def test_empty_table(spark):
     rows = table(spark).where("false")
     grid = rows.select("dataset_name").withColumn("c", F.lit(1.0))

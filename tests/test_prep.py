@@ -101,14 +101,14 @@ def test_group_quantiles(spark, monkeypatch, broadcast):
     rng = np.random.default_rng(0)
     hot = np.concatenate([np.full(9000, 0.25), rng.normal(size=21_000)])
     values = {"hot": hot, "few": rng.normal(size=41), "one": [7.0], "tied": [1.0] * 5 + [2.0] * 4, None: [2.0, 4.0, 9.0]}
-    df = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs] + [("one", None), ("none", None)], "g string, v double").repartition(4)
+    df = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs] + [("one", None), ("few", float("nan")), ("none", None), ("none", float("nan"))], "g string, v double").repartition(4)
     shares = [0.0, 0.001, 0.1, 0.25, 0.5, 0.9, 0.995, 1.0]
     got = {r["g"]: r["quantiles"] for r in ordering.group_quantiles(df, ["g"], "v", shares).collect()}
     assert got.pop("none") in (None, [])
     assert set(got) == set(values)
     for k, vs in values.items():
         assert got[k] == pytest.approx(list(np.quantile(vs, shares)))
-    medians = {r["g"]: r["median"] for r in ordering.group_median(df, ["g"], "v").collect()}
+    medians = {r["g"]: r["median"] for r in ordering.group_median(df.where("NOT isnan(v)"), ["g"], "v").collect()}
     assert all(medians[k] == pytest.approx(np.median(vs)) for k, vs in values.items())
 
 
