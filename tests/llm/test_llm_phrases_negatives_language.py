@@ -138,7 +138,7 @@ def test_long_text_without_piece_ends(spark):
 def plain_negatives(rows, positives=5, negatives=3, low=50, high=95):
     usable = []
     for i, v, label in rows:
-        if i is None or label is None or not v or any(x is None or not np.isfinite(x) for x in v):
+        if i is None or label is None or not v or any(x is None or not np.isfinite(x) or abs(x) > 1e9 for x in v):
             continue
         row = (i, tuple(int(np.floor(256 * x)) for x in v), label)
         if row not in usable:
@@ -169,6 +169,7 @@ def test_negatives_by_plain_loops(spark, dim, spread, shelf_rows):
     rows += rows[:3] + [(50, rows[50][1], rows[50][2])] * 2  # repeated rows
     rows += [(700, [0.0] * dim, 1), (701, None, 1), (702, [], 1), (703, [None] * dim, 1), (704, [float("nan")] * dim, 0), (None, [1.0] * dim, 1), (750, [1.0] * dim, None), (800, [1.0] * (dim + 1), 1), (801, [2.0] * (dim + 1), 2), (802, [1.5] * (dim + 1), 1)]
     rows += [(900 + k, [1.0] * dim, k % 2) for k in range(20)]  # ties
+    rows += [(850, [1e300] * dim, 1), (851, [-1e12] * dim, 1)]  # too long to take part
     df = spark.createDataFrame([(*r, "x", 1, 2.0) for r in rows], SCHEMA + ", id string, part int, length double").repartition(3)
     got = lemp_negatives.hard_negatives(df, df.vec_id % 50 == 0, shelf_rows=shelf_rows)
     assert sorted(tuple(r) for r in got.collect()) == plain_negatives(rows)
