@@ -14,9 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlab.llm.words import WordReader, chunks_of, mix
+from strandlab.session import materialise
 
 SAMPLE_DOCUMENTS = 2000
 SAMPLE_BYTES = 1 << 16
+SAMPLE_LINES = 500
 STEPS = 150
 PENALTY = 2e-4
 CHAIN_PENALTY = 3e-2
@@ -262,10 +264,12 @@ def train_on(
     text_column: str = "text",
     sample_documents: int = SAMPLE_DOCUMENTS,
     sample_bytes: int = SAMPLE_BYTES,
+    sample_lines: int = SAMPLE_LINES,
 ) -> Model:
-    """Model fitted on at most ``sample_documents`` labelled rows of each quality that are not held out and whose text has at
-    most ``sample_bytes`` bytes: those with the smallest hash of their id. Rows with a null or contradictory label teach nothing.
-    Without any labelled row, every line is as likely good as bad."""
+    """Model fitted on at most ``sample_documents`` labelled documents of each quality that are not held out and whose text has at
+    most ``sample_bytes`` bytes and ``sample_lines`` line breaks: those with the smallest hash of their id. Labels of ids without
+    such a text are not drawn; of rows that repeat an id the smallest text teaches. Rows with a null or contradictory label teach
+    nothing. Without any labelled document, every line is as likely good as bad."""
     known = (
         labels.where("quality in (0, 1)")
         .groupBy(F.col(id_column).alias("doc_id"))
@@ -275,12 +279,15 @@ def train_on(
         .drop("_h")
     )
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).where(F.octet_length("text") <= sample_bytes)
-    # more ids than wanted are drawn, since some of them may have no text or a longer one
+    rows = rows.where(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) <= sample_lines)
+    # only ids move here; the texts of the drawn ones are read afterwards
+    usable = materialise(known.join(rows.select("doc_id").distinct(), "doc_id"), "labelled-ids")
     drawn = [
-        known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id", F.lit(q)), "doc_id").limit(sample_documents) for q in (0, 1)
+        usable.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id", F.lit(q)), "doc_id").limit(sample_documents) for q in (0, 1)
     ]
     chosen = drawn[0].unionByName(drawn[1])
-    taught = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
+    taught = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    taught = taught.select("doc_id", "text", "quality")
     found = taught.mapInArrow(_sample_batches, "doc_id long, quality int, lines array<float>").toArrow().sort_by("doc_id")
     lines = [np.asarray(x.values, np.float64).reshape(-1, FEATURES) if len(x.values or ()) else np.zeros((0, FEATURES)) for x in found["lines"]]
     good = found["quality"].to_numpy().astype(np.float64)
@@ -316,7 +323,10 @@ def _score_only(model: Model):
 
 
 def keep_good(docs: DataFrame, model: Model, text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Rows of ``docs`` scored at least ``threshold``, with their columns. A column named ``score`` may be among them."""
+    """Rows of ``docs`` scored at least ``threshold``, with their columns. A column named ``score`` may be among them.
+    A model that has learned nothing tells no row from another and keeps them all."""
+    if not any(np.any(x) for x in model):
+        return docs
     names = docs.columns
     plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
     text = f"c{names.index(text_column)}"
