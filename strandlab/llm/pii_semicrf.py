@@ -120,7 +120,7 @@ class Tokens:
             char_first += len(part)
         self.text = "".join(parts)
         code = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        kind = np.full(len(code), 9, np.int64)  # 9: any other sign
+        kind = np.full(len(code), 9, np.int8)  # 9: any other sign
         kind[(code == 32) | ((code >= 9) & (code <= 13))] = 0
         kind[(code >= 48) & (code <= 57)] = 1
         kind[(code >= 97) & (code <= 122)] = 2
@@ -129,6 +129,7 @@ class Tokens:
         for k, c in enumerate("@.-+"):
             kind[code == ord(c)] = 5 + k
         self.code, self.kind = code, kind
+        self.digits, self.ats = (np.concatenate([[0], np.cumsum(kind == k, dtype=np.int32)]) for k in (1, 5))
         word = (kind >= 1) & (kind <= 4)
         new = np.ones(len(code), bool)
         new[1:] = ~(word[1:] & word[:-1])
@@ -142,23 +143,23 @@ class Tokens:
         self.start, self.end, self.region = starts[inside], ends[inside], owner[inside]
         self.first = np.searchsorted(self.region, np.arange(len(pieces) + 1))
 
-    def segments(self, most: int = MOST_TOKENS) -> tuple[np.ndarray, np.ndarray]:
+    def segments(self, most: int = MOST_TOKENS, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """First and last token of the candidates: they begin with a letter, digit, plus or opening bracket, end with a letter or digit,
-        and hold an at sign or at least four digits."""
+        and hold an at sign or at least four digits. ``among``: the tokens, in order, they may begin with (all, if None)."""
         n = len(self.start)
-        if not n:
+        lead = np.arange(n) if among is None else among
+        if not len(lead):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        lead, tail = self.kind[self.start], self.kind[self.end - 1]
-        can_begin = ((lead >= 1) & (lead <= 3)) | (lead == 8) | (self.code[self.start] == ord("("))
-        can_end = (tail >= 1) & (tail <= 3)
-        digits = np.concatenate([[0], np.cumsum(self.kind == 1)])
-        ats = np.concatenate([[0], np.cumsum(self.kind == 5)])
-        a, b = [], []
+        first, sign = self.kind[self.start[lead]], self.code[self.start[lead]]
+        lead = lead[((first >= 1) & (first <= 3)) | (first == 8) | (sign == ord("("))]
+        a, b = [lead[:0]], [lead[:0]]
         for size in range(1, min(most, n) + 1):
-            i = np.flatnonzero(can_begin[: n - size + 1] & can_end[size - 1 :] & (self.region[: n - size + 1] == self.region[size - 1 :]))
+            i = lead[lead + size <= n]
             j = i + size - 1
             s, e = self.start[i], self.end[j]
-            good = ((digits[e] - digits[s] >= 4) | (ats[e] > ats[s])) & (e - s <= 128)
+            tail = self.kind[e - 1]
+            good = (tail >= 1) & (tail <= 3) & (self.region[i] == self.region[j]) & (e - s <= 128)
+            good &= (self.digits[e] - self.digits[s] >= 4) | (self.ats[e] > self.ats[s])
             a.append(i[good])
             b.append(j[good])
         a, b = np.concatenate(a), np.concatenate(b)
@@ -169,7 +170,10 @@ class Tokens:
 def span_features(tokens: Tokens, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Features of whole spans: make-up, length, shape, checks and surroundings."""
     s, e = tokens.start[a], tokens.end[b]
-    kind, code = tokens.kind, tokens.code
+    # only the characters around the spans are looked at
+    low, high = (max(0, int(s.min()) - LEFT_CONTEXT), int(e.max()) + 1) if len(a) else (0, 0)
+    s, e = s - low, e - low
+    kind, code = tokens.kind[low:high], tokens.code[low:high]
 
     def count(mask: np.ndarray) -> np.ndarray:
         total = np.concatenate([[0], np.cumsum(mask)])
@@ -187,7 +191,7 @@ def span_features(tokens: Tokens, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     code_before = np.concatenate([[10], code])[s]
     code_after = np.concatenate([code, [10]])[np.minimum(e, len(code))]
     key, valid_card, valid_ip, group3, dotted = np.zeros((5, len(a)))
-    text = tokens.text
+    text = tokens.text[low:high]
     for k in np.flatnonzero((digit >= 13) & (digit <= 19) & (letters + at + plus + odd + dot + bracket + other == 0)):
         valid_card[k] = luhn(_digits(text[s[k] : e[k]]))
     for k in np.flatnonzero((dot == 3) & (digit + dot == size)):
@@ -215,22 +219,27 @@ def span_features(tokens: Tokens, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 N_FEATURES = 59
 
 
-def _grids(tokens: Tokens, a: np.ndarray, b: np.ndarray, cells: int = 1 << 15):
-    """Regions of similar size together: region numbers, and (region, token, size) places of candidates with their numbers."""
-    sizes = np.diff(tokens.first)
+def _alike(sizes: np.ndarray, cells: int):
+    """Numbers of regions of similar size, at most ``cells`` tokens together or one region."""
     order = np.argsort(sizes, kind="stable")
     order = order[sizes[order] > 0]
-    seg_first = np.searchsorted(tokens.region[a], np.arange(len(sizes) + 1))
     lo = 0
     while lo < len(order):
         hi = lo + 1
         while hi < len(order) and sizes[order[hi]] * (hi + 1 - lo) <= cells:
             hi += 1
-        rows = order[lo:hi]
+        yield order[lo:hi]
+        lo = hi
+
+
+def _grids(tokens: Tokens, a: np.ndarray, b: np.ndarray, cells: int = 1 << 15):
+    """Regions of similar size together: region numbers, and (region, token, size) places of candidates with their numbers."""
+    sizes = np.diff(tokens.first)
+    seg_first = np.searchsorted(tokens.region[a], np.arange(len(sizes) + 1))
+    for rows in _alike(sizes, cells):
         where = np.concatenate([np.arange(seg_first[r], seg_first[r + 1]) for r in rows])
         place = np.repeat(np.arange(len(rows)), seg_first[rows + 1] - seg_first[rows])
         yield rows, sizes[rows], place, a[where] - tokens.first[rows][place], b[where] - a[where], where
-        lo = hi
 
 
 NEVER = -1e9
@@ -275,36 +284,53 @@ def loss_and_gradient(weights: np.ndarray, tokens: Tokens, a, b, x, gold: np.nda
     return loss / n + PENALTY / 2 * (weights**2).sum(), moved.T @ x / n + PENALTY * weights
 
 
-def best_spans(weights: np.ndarray, tokens: Tokens) -> list[list[Span]]:
-    """Best segmentation of each region, as spans of its text."""
+def best_spans(weights: np.ndarray, tokens: Tokens, cells: int = 1 << 13) -> list[list[Span]]:
+    """Best segmentation of each region, as spans of its text.
+
+    Regions of similar size are walked side by side, a few tokens at a time: candidates and their features are held for the ``cells``
+    tokens at hand only, the scores of the last ``MOST_TOKENS`` ones are carried on, and what stays is one size and kind per token.
+    """
     out: list[list[Span]] = [[] for _ in range(len(tokens.first) - 1)]
-    a, b = tokens.segments()
-    if not len(a):
-        return out
-    score = span_features(tokens, a, b) @ weights.T
-    kind = score.argmax(1)
-    top = score[np.arange(len(a)), kind]
-    for rows, sizes, place, at, size, where in _grids(tokens, a, b):
-        steps = int(sizes.max())
-        grid = np.full((len(rows), steps, MOST_TOKENS), NEVER)
-        grid[place, at, size] = top[where]
-        number = np.full((len(rows), steps, MOST_TOKENS), -1)
-        number[place, at, size] = where
-        best = np.zeros((len(rows), steps + 1))
-        taken = np.zeros((len(rows), steps + 1), np.int64)
-        for t in range(1, steps + 1):
-            back = np.arange(min(t, MOST_TOKENS))
-            ways = np.concatenate([best[:, t - 1 : t], best[:, t - 1 - back] + grid[:, t - 1 - back, back]], axis=1)
-            taken[:, t] = ways.argmax(1)
-            best[:, t] = ways.max(1)
+    carry = MOST_TOKENS - 1
+    for rows in _alike(np.diff(tokens.first), cells):
+        sizes, first = tokens.first[rows + 1] - tokens.first[rows], tokens.first[rows]
+        steps, stride = int(sizes.max()), max(1, cells // len(rows))
+        grid = np.full((len(rows), carry + stride, MOST_TOKENS), NEVER)  # scores by first token, the carried ones before the new
+        sort = np.zeros(grid.shape, np.int8)
+        best = np.zeros((len(rows), carry + stride + 1))
+        taken, kinds = np.zeros((2, len(rows), steps + 1), np.int8)
+        for low in range(0, steps, stride):
+            n = min(stride, steps - low)
+            if low:
+                for x, end in ((grid, carry + stride), (sort, carry + stride), (best, carry + stride + 1)):
+                    x[:, : x.shape[1] - stride] = x[:, stride:end].copy()
+                grid[:, carry:] = NEVER
+            place = np.repeat(np.arange(len(rows)), np.clip(sizes - low, 0, n))
+            at = np.arange(len(place)) - np.searchsorted(place, place)
+            begin = first[place] + low + at
+            order = np.argsort(begin)
+            a, b = tokens.segments(among=begin[order])
+            if len(a):
+                score = span_features(tokens, a, b) @ weights.T
+                kind = score.argmax(1)
+                k = order[np.searchsorted(begin[order], a)]
+                grid[place[k], carry + at[k], b - a] = score[np.arange(len(a)), kind]
+                sort[place[k], carry + at[k], b - a] = kind
+            for t in range(1, n + 1):
+                back = np.arange(min(low + t, MOST_TOKENS))
+                since = carry + t - 1 - back
+                ways = np.concatenate([best[:, carry + t - 1 : carry + t], best[:, since] + grid[:, since, back]], axis=1)
+                size = ways.argmax(1)
+                best[:, carry + t] = ways.max(1)
+                taken[:, low + t] = size
+                kinds[:, low + t] = sort[np.arange(len(rows)), carry + t - np.maximum(size, 1), np.maximum(size, 1) - 1]
         for r, region in enumerate(rows):
             t, found = int(sizes[r]), []
             while t > 0:
                 k = int(taken[r, t])
                 if k:
-                    g = number[r, t - k, k - 1]
-                    s = tokens.shift[region]
-                    found.append((KINDS[kind[g]], int(tokens.start[a[g]]) + s, int(tokens.end[b[g]]) + s))
+                    s, e = tokens.start[first[r] + t - k], tokens.end[first[r] + t - 1]
+                    found.append((KINDS[kinds[r, t]], int(s) + tokens.shift[region], int(e) + tokens.shift[region]))
                 t -= max(k, 1)
             out[region] = found[::-1]
     return out

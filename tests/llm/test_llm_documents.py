@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -168,6 +169,11 @@ def test_pieces_are_those_of_the_tokenizer(spark):
     texts += ["".join(rng.choice("abc  '\n1.é漢") for _ in range(60)) for _ in range(200)]
     for t in texts:
         assert encode(t) == tokenizer.encode(t, add_special_tokens=False).ids, t
+    runs = [" " * 1000, "\n" * 1500, " \n\t\u3000\xa0" * 300, "\u2028" * 999 + "\x85\u200a"]
+    texts = [f"{a}{run}{b}" for run in runs for a in ("", "x", "x.", "<|endoftext|>") for b in ("", "y", "'s", "<|endoftext|>z", "\x1cq")]
+    texts += [f"a{' ' * 1200} b\n{chr(10) * 1100}c  {' ' * 2000}", "x" + " " * 2_000_000 + "y", "\n" * 2_000_000, "ab" * 1_000_000]
+    for t in texts:
+        assert encode(t) == tokenizer.encode(t, add_special_tokens=False).ids, t[:9]
     rows = odd_rows() + [(50 + i, " ".join(words(rng, rng.randrange(0, 900)))) for i in range(60)]
     got = swap_packing.pack_documents(documents(spark, rows), group_pieces=16, with_ids=True).collect()
     wanted = collections.Counter()
@@ -435,9 +441,22 @@ def test_quality_on_planted_junk(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.predicted}
     nothing = line_crf.train_on(docs, marks.limit(0))
     assert {r.score for r in line_crf.score_documents(docs, nothing).collect()} == {0.5}
+    assert line_crf.keep_good(docs, nothing).count() == 244  # nothing is known against any of them
+    assert line_crf.train_on(docs.limit(0), marks).weights.any() == False  # noqa: E712
     assert line_crf.score_documents(docs.limit(0), model).count() == 0
 
 
+def test_quality_labels_of_other_documents(spark):
+    """Labels of ids that are not among the documents, and rows that repeat an id, leave the sample whole and bounded."""
+    rows = [(i, f"Line {i} is plain.\nAnd one more." if i % 2 else f"BUY {i} NOW!!!\nCLICK $$$") for i in range(120)]
+    marks = spark.createDataFrame([(i, i % 2) for i in range(120)] + [(i, i % 2) for i in range(10_000, 14_000)], "doc_id long, quality int")
+    plain = line_crf.train_on(documents(spark, rows), marks.where("doc_id < 120"), sample_documents=100)
+    other = line_crf.train_on(documents(spark, rows + rows[:40] * 5), marks, sample_documents=100)
+    assert plain.weights.any() and all(np.array_equal(a, b) for a, b in zip(plain, other))
+    assert {r.doc_id % 2 for r in line_crf.keep_good(documents(spark, rows), other).collect()} == {1}
+    assert not line_crf.train_on(documents(spark, rows), marks, sample_lines=0).weights.any()
+
+
 # ---------------------------------------------------------------- personal data
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -513,6 +532,23 @@ def test_best_segmentation_like_enumeration(weights):
     assert [(s, e) for _, s, e in pii_semicrf.best_spans(weights, tokens)[0]] == [(s + shift, e + shift) for s, e in best(0)[1]]
 
 
+def test_long_regions_in_bounded_memory(weights):
+    """A region is walked a few tokens at a time: the stride changes nothing, and a table of numbers stays small."""
+    rng = random.Random(13)
+    texts = [" ".join(pii_semicrf.made_up(rng, ["alpha"])[0] for _ in range(n)) for n in (1, 1, 2, 9, 40)] + ["12 345 6789 0.5 " * 90]
+    tokens = pii_semicrf.Tokens([(t, a, b) for t in texts for a, b in pii_semicrf.regions(t)])
+    whole = pii_semicrf.best_spans(weights, tokens, 1 << 20)
+    assert any(whole) and all(pii_semicrf.best_spans(weights, tokens, cells) == whole for cells in (9, 32, 500))
+    tracemalloc.start()
+    pii_semicrf.find_spans(["12 345 6789 0.5 " * 4000], weights)
+    small = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    pii_semicrf.find_spans(["12 345 6789 0.5 " * 12000], weights)
+    large = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert large < 100e6 and large - small < 128_000 * 150  # under 150 bytes a character, where all candidates took 2700
+
+
 def test_personal_data_on_made_up_lines(spark, weights):
     rng = random.Random(11)
     right = found = wanted = 0
