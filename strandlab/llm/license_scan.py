@@ -131,8 +131,12 @@ def scan_text(text: str, machine) -> tuple[int, list[tuple[int, str, str]], list
     joined = f" {b' '.join(words).decode()} "
     places = []
     tagged = False
+    seen = word = 0  # blanks are counted on from the last place; a longer phrase may begin before it
     for end, (size, kind, label) in machine.iter(joined):
-        places.append((joined.count(" ", 0, end - size), kind, label))
+        start = end - size
+        word += joined.count(" ", seen, start) - joined.count(" ", start, seen)
+        seen = start
+        places.append((word, kind, label))
         tagged |= kind == "tag"
     expressions = []
     if tagged:

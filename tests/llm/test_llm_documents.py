@@ -255,6 +255,16 @@ def test_licence_places_like_brute_force(spark):
     assert got[200].n_base == 3
 
 
+def test_places_in_a_text_of_many_notices():
+    """Word numbers stay right where phrases overlap, and the time grows with the text (two million words)."""
+    machine = license_scan.automaton({"b c": ("base", "x"), "a b c d": ("base", "y"), "c": ("base", "z")})
+    text = "a b c d q c  B c\n" * 250_000
+    n, places, _ = license_scan.scan_text(text, machine)
+    wanted = [(8 * k + w, "base", x) for k in range(3) for w, x in ((0, "y"), (1, "x"), (2, "z"), (5, "z"), (6, "x"), (7, "z"))]
+    assert n == 2_000_000 and len(places) == 1_500_000 and sorted(places[:18]) == sorted(wanted)
+    assert max(w for w, _, _ in places) == n - 1
+
+
 def test_licence_expressions(spark):
     parse = license_scan.to_postfix
     assert parse("MIT OR Apache-2.0 AND ISC") == ["MIT", "Apache-2.0", "ISC", "and", "or"]
