@@ -249,3 +249,32 @@ def test_intervals_stay_inside(spark):
     assert sum(r["dataset_name"] == "a" for r in rows) == 33
     for r in rows:
         assert 0 <= r["start"] and r["start"] + r["len"] <= r["d"] and r["len"] >= 2
+
+
+@pytest.mark.parametrize("clusters", [4, 100])
+def test_tile_sums_of_odd_vectors(clusters):
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(50, 3)), rng.normal(size=(40, 3))
+    x[3], x[5, 0], x[7, 1], x[9], x[11] = np.nan, np.inf, 1e200, x[10], x[10] + 1e-9
+    y[0], y[1], y[4, 0], y[6, 1] = x[10], x[10] + 1e-7, np.inf, -np.inf
+    x[20:], y[20:] = x[20:] + 1e6, y[20:] + 1e6  # far from the origin and from the others
+    sides = [neighbours.Side(v, rng.integers(0, clusters, (len(v), 2))) for v in (x, y)]
+    for a, b in (sides, (sides[0], sides[0])):
+        with np.errstate(all="ignore"):
+            dist = np.sqrt(((a.x[:, None] - b.x[None]) ** 2).sum(axis=2))
+            found = neighbours._tile_sums(a, b)
+        for sums, near, far in zip(found, (dist, dist.T), (b, a)):
+            for k, (names, member) in enumerate(far.members):
+                wanted = np.stack([near[:, member == c].sum(axis=1) for c in range(len(names))], axis=1)
+                np.testing.assert_allclose(sums[k], wanted, rtol=1e-9)
+
+
+def test_tiles_measure_each_distance_once(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    a, b = (neighbours.Side(rng.normal(size=(n, 4)), np.zeros((n, 1), int)) for n in (70, 90))
+    measured, distances = [], neighbours._distances
+    monkeypatch.setattr(neighbours, "CHUNK", 32)
+    monkeypatch.setattr(neighbours, "_distances", lambda *args: measured.append(distances(*args).size) or distances(*args))
+    both = neighbours._tile_sums(a, b)
+    assert [s[0].shape for s in both] == [(70, 1), (90, 1)] and sum(measured) == 70 * 90
+    assert both[0][0].sum() == pytest.approx(both[1][0].sum())
