@@ -139,7 +139,7 @@ def distance_sums_of_labelings(
     """
     lines = F.greatest(F.ceil(F.col("n") * F.col("d") * 8 / tile_bytes), F.ceil(F.col("n") / LINE_ROWS))
     if tile_rows:
-        lines = F.greatest(lines, F.ceil(F.col("n") / tile_rows))
+        lines = F.greatest(lines, F.least(F.ceil(F.col("n") / tile_rows), F.lit(FINE_LINES)))
     counted = dataset_sizes(df, key).select(key, F.greatest(lines, F.lit(1)).cast("int").alias("_lines"))
     rows = df.select(key, SERIES_ID, F.col(labelings).cast("array<bigint>").alias("clusters"), SERIES)
     rows = join_small(rows, counted, key)

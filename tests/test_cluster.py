@@ -278,3 +278,16 @@ def test_tiles_measure_each_distance_once(spark, monkeypatch):
     both = neighbours._tile_sums(a, b)
     assert [s[0].shape for s in both] == [(70, 1), (90, 1)] and sum(measured) == 70 * 90
     assert both[0][0].sum() == pytest.approx(both[1][0].sum())
+
+
+def test_rows_are_sent_to_few_lines_however_short_these_are_asked_for(spark, monkeypatch):
+    """Every row goes to each line, so the rows sent are the lines."""
+    x, y = blobs(n=61)
+    df = series_rows(spark, x, y).withColumn("cluster", F.col("label"))
+    sent = []
+    real = neighbours.join_small
+    monkeypatch.setattr(neighbours, "join_small", lambda df, small, *a, **k: sent.extend(r["_lines"] for r in small.collect()) or real(df, small, *a, **k))
+    fine = neighbours.distance_sums(df, tile_rows=1).orderBy("series_id", "other").collect()
+    whole = neighbours.distance_sums(df).orderBy("series_id", "other").collect()
+    assert sent == [neighbours.FINE_LINES, 1]
+    assert [r["total"] for r in fine] == pytest.approx([r["total"] for r in whole])
