@@ -225,8 +225,11 @@ def _update(keys: tuple, state: pa.Table, sums: pa.Table) -> pa.Table:
 
 def _fit_large(rows: DataFrame, large: DataFrame, features, state_bytes: int, key: str) -> DataFrame:
     """Machines of data sets of many blocks, in rounds over all that still move."""
-    # rows of a data set lie together, so that a task meets few data sets
-    points = join_small(rows.select(key, SERIES_ID, LABEL, SERIES, "gamma"), large.select(key), key).drop(SERIES_ID).sortWithinPartitions(key)
+    # a task sends its sums of every machine of the data sets it meets, in every round: as many tasks as run at once, each with a range
+    # of the data sets, so that what is shuffled depends on the machines and not on the rows
+    points = join_small(rows.select(key, SERIES_ID, LABEL, SERIES, "gamma"), large.select(key), key)
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    points = points.repartitionByRange(tasks, key, F.xxhash64(SERIES_ID)).drop(SERIES_ID).sortWithinPartitions(key)
     points = materialise(points, "margin-rows")
     machines = large.select(key, "width", "cs", F.posexplode("classes").alias("class", "label")).select("*", F.explode("cs").alias("c"))
     zeros = F.array_repeat(F.lit(0.0), F.col("width"))

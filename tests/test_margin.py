@@ -125,3 +125,21 @@ def test_empty_table(spark):
     rows = table(spark).where("false")
     grid = rows.select("dataset_name").withColumn("c", F.lit(1.0))
     assert margin.fit_margin(classify.prepared(rows, rows), rows, grid).collect() == []
+
+
+def test_a_task_of_a_round_meets_few_data_sets(spark, monkeypatch):
+    """Sums are sent per task and data set, so these pairs bound what a round shuffles."""
+    rows = table(spark).repartition(16)
+    grid = rows.select("dataset_name").distinct().withColumn("c", F.lit(1.0))
+    pairs, real = [], margin.materialise
+
+    def written(df, name, *args):
+        if name == "margin-rows":
+            pairs.extend(df.select(F.spark_partition_id().alias("task"), "dataset_name").distinct().collect())
+        return real(df, name, *args)
+
+    monkeypatch.setattr(margin, "materialise", written)
+    machines = margin.fit_margin(classify.prepared(rows, rows), rows, grid, margin.Linear(), block_bytes=0).collect()
+    tasks = spark.sparkContext.defaultParallelism
+    assert len(machines) == 4 and {r["dataset_name"] for r in pairs} == {"a", "b", "c", "one"}
+    assert len(pairs) <= tasks + 4 - 1 and len({r["task"] for r in pairs}) > 4
