@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 from strandlab.functions import arrays
 from strandlab.functions.keys import key_bucket, order_key, unit_uniform
 from strandlab.functions.scalars import closest_power_of_2
-from strandlab.operators import metrics
+from strandlab.operators import metrics, screen
 from strandlab.operators.blocks import BLOCK_BYTES, matrix
 from strandlab.operators.joining import join_small
-from strandlab.operators.lloyd import block_sums, squared_distances
+from strandlab.operators.lloyd import block_sums
 from strandlab.operators.lloyd import fit_rounds as _fit_rounds
 from strandlab.operators.seeding import SEEDINGS
 from strandlab.operators.neighbours import nearest_centre
@@ -37,6 +37,8 @@ TOLERANCE = 1e-4
 SEED = 42
 DECOMPOSER_SEEDS = (1, 3, 5, 7, 9)
 
+RANGES_PER_GROUP = 4
+
 _RESULT = f"{DATASET} string, restart int, inertia double, rounds int, centres array<array<double>>"
 
 
@@ -115,9 +117,9 @@ def settings_of(df: DataFrame, tol: float, key: str = DATASET) -> DataFrame:
 
 
 def _fit_small(
-    df: DataFrame, small: DataFrame, restarts: int, seed: int, max_iter: int, tasks: int, key: str, seeding: str
+    df: DataFrame, small: DataFrame, n_small: int, restarts: int, seed: int, max_iter: int, tasks: int, key: str, seeding: str
 ) -> DataFrame:
-    """Cluster data sets of at most one block; ``tasks`` tasks share the restarts of one data set."""
+    """Cluster the ``n_small`` data sets of at most one block; ``tasks`` tasks share the restarts of one data set."""
     rows = join_small(df.select(key, SERIES_ID, SERIES), small.select(key, "k", "tol"), key, written=True)
     copied = rows.withColumn("_task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
     start = SEEDINGS[seeding]
@@ -126,17 +128,11 @@ def _fit_small(
         table = table.sort_by(SERIES_ID)
         x, ids = matrix(table), table[SERIES_ID].to_numpy()
         k, tol = table["k"][0].as_py(), table["tol"][0].as_py()
-        out = []
-        for restart in range(keys[1].as_py(), restarts, tasks):
-            centres, rounds = start(x, ids, k, seed, restart), 0
-            for rounds in range(1, max_iter + 1):
-                n, means, _ = block_sums(x, centres)
-                moved = np.where(n[:, None] > 0, means, centres)
-                shift = float(((moved - centres) ** 2).sum())
-                centres = moved
-                if shift <= tol:
-                    break
-            out.append((restart, float(block_sums(x, centres)[2].sum()), rounds, centres.tolist()))
+        own, side, out = range(keys[1].as_py(), restarts, tasks), screen.side_by_side(k, len(x)), []
+        for lo in range(0, len(own), side):
+            starts = np.stack([start(x, ids, k, seed, restart) for restart in own[lo : lo + side]])
+            for restart, centres, rounds in zip(own[lo : lo + side], *screen.fit(x, starts, tol, max_iter)):
+                out.append((restart, float(block_sums(x, centres)[2].sum()), int(rounds), centres.tolist()))
         return pa.table({
             key: pa.array([keys[0].as_py()] * len(out), pa.string()),
             "restart": pa.array([o[0] for o in out], pa.int32()),
@@ -145,7 +141,9 @@ def _fit_small(
             "centres": pa.array([o[3] for o in out], pa.list_(pa.list_(pa.float64()))),
         })
 
-    return copied.groupBy(key, "_task").applyInArrow(fit, _RESULT)
+    # ranges of rows and not hashes, so that groups of many rows do not meet in one task
+    parts = min(RANGES_PER_GROUP * tasks * n_small, 2 * RANGES_PER_GROUP * df.sparkSession.sparkContext.defaultParallelism)
+    return copied.repartitionByRange(max(1, parts), key, "_task").groupBy(key, "_task").applyInArrow(fit, _RESULT)
 
 
 def kmeans(
@@ -176,7 +174,7 @@ def kmeans(
     if n_small:
         if tasks is None:
             tasks = min(restarts, max(1, -(-2 * df.sparkSession.sparkContext.defaultParallelism // n_small)))
-        fitted = _fit_small(df, small, restarts, seed, max_iter, tasks, key, seeding)
+        fitted = _fit_small(df, small, n_small, restarts, seed, max_iter, tasks, key, seeding)
     if not large.isEmpty():
         rounds = _fit_rounds(df, large, restarts, seed, max_iter, block_bytes, key, seeding, state_bytes)
         fitted = rounds if fitted is None else fitted.unionByName(rounds)

@@ -50,6 +50,9 @@ def winners(ids: np.ndarray, weight: np.ndarray, seed: int, restart: int, pick:
     """Rows of the least keys among those with weight, at most ``most``, and their keys."""
     rows = np.flatnonzero(weight > 0)
     keys = race_keys(ids[rows], weight[rows], seed, restart, pick)
+    if len(rows) > most:  # only the least keys are ordered, ties of the last one with them
+        least = np.flatnonzero(~(keys > np.partition(keys, most - 1)[most - 1]))
+        rows, keys = rows[least], keys[least]
     order = np.lexsort((ids[rows], keys))[:most]
     return rows[order], keys[order]
 
