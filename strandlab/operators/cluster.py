@@ -1,9 +1,9 @@
 """k-means over many data sets and many restarts at once.
 
-A data set that fits in one block is clustered where it lies, as many restarts
-side by side. A larger one is clustered in rounds, see ``rounds``: the centres
-go to every task once, and only sums are shuffled. Both ways use the same start
-points and the same update.
+A data set that a task can hold is clustered where it lies, as many restarts
+side by side; tasks share its restarts. A larger one is clustered in rounds, see
+``lloyd``: the centres go to every task once, and only sums are shuffled. Both
+ways use the same start points and the same update.
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ from strandlab.functions.scalars import closest_power_of_2
 from strandlab.operators import metrics, screen
 from strandlab.operators.blocks import BLOCK_BYTES, matrix
 from strandlab.operators.joining import join_small
-from strandlab.operators.lloyd import block_sums
+from strandlab.operators.lloyd import GAP_NUMBERS, block_sums
 from strandlab.operators.lloyd import fit_rounds as _fit_rounds
-from strandlab.operators.seeding import SEEDINGS
+from strandlab.operators.seeding import SEEDINGS, chunks
 from strandlab.operators.neighbours import nearest_centre
 from strandlab.operators.ordering import number_rows
 from strandlab.operators.prep import DATASET, LABEL, SERIES, SERIES_ID
@@ -38,6 +38,8 @@ SEED = 42
 DECOMPOSER_SEEDS = (1, 3, 5, 7, 9)
 
 RANGES_PER_GROUP = 4
+WHOLE_BYTES = 128 << 20  # of a data set that is clustered where it lies, where the centres of a restart have few numbers
+TASK_PRODUCTS = 1 << 31  # products of a row's numbers with those of the centres, in one round of the restarts of a task
 
 _RESULT = f"{DATASET} string, restart int, inertia double, rounds int, centres array<array<double>>"
 
@@ -117,22 +119,32 @@ def settings_of(df: DataFrame, tol: float, key: str = DATASET) -> DataFrame:
 
 
 def _fit_small(
-    df: DataFrame, small: DataFrame, n_small: int, restarts: int, seed: int, max_iter: int, tasks: int, key: str, seeding: str
+    df: DataFrame, small: DataFrame, restarts: int, seed: int, max_iter: int, tasks: int | None, key: str, seeding: str
 ) -> DataFrame:
-    """Cluster the ``n_small`` data sets of at most one block; ``tasks`` tasks share the restarts of one data set."""
-    rows = join_small(df.select(key, SERIES_ID, SERIES), small.select(key, "k", "tol"), key, written=True)
-    copied = rows.withColumn("_task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+    """Cluster the data sets that a task can hold; ``tasks`` tasks share the restarts of one data set."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if tasks is None:
+        for_cores = F.lit(-(-2 * cores // small.count()))
+        for_work = F.ceil(restarts * F.col("n") * F.col("d") * F.col("k") / TASK_PRODUCTS)
+        share = F.least(F.lit(restarts), F.greatest(for_cores, for_work)).cast("int")
+    else:
+        share = F.lit(tasks)
+    small = small.withColumn("_tasks", share)
+    groups = small.agg(F.sum("_tasks")).first()[0]
+    rows = join_small(df.select(key, SERIES_ID, SERIES), small.select(key, "k", "tol", "_tasks"), key, written=True)
+    copied = rows.withColumn("_task", F.explode(F.sequence(F.lit(0), F.col("_tasks") - 1)))
     start = SEEDINGS[seeding]
 
     def fit(keys: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by(SERIES_ID)
         x, ids = matrix(table), table[SERIES_ID].to_numpy()
-        k, tol = table["k"][0].as_py(), table["tol"][0].as_py()
+        k, tol, tasks = (table[c][0].as_py() for c in ("k", "tol", "_tasks"))
         own, side, out = range(keys[1].as_py(), restarts, tasks), screen.side_by_side(k, len(x)), []
         for lo in range(0, len(own), side):
             starts = np.stack([start(x, ids, k, seed, restart) for restart in own[lo : lo + side]])
             for restart, centres, rounds in zip(own[lo : lo + side], *screen.fit(x, starts, tol, max_iter)):
-                out.append((restart, float(block_sums(x, centres)[2].sum()), int(rounds), centres.tolist()))
+                inertia = sum(float(block_sums(x[a:b], centres)[2].sum()) for a, b in chunks(x))
+                out.append((restart, inertia, int(rounds), centres.tolist()))
         return pa.table({
             key: pa.array([keys[0].as_py()] * len(out), pa.string()),
             "restart": pa.array([o[0] for o in out], pa.int32()),
@@ -142,7 +154,7 @@ def _fit_small(
         })
 
     # ranges of rows and not hashes, so that groups of many rows do not meet in one task
-    parts = min(RANGES_PER_GROUP * tasks * n_small, 2 * RANGES_PER_GROUP * df.sparkSession.sparkContext.defaultParallelism)
+    parts = min(RANGES_PER_GROUP * groups, 2 * RANGES_PER_GROUP * cores)
     return copied.repartitionByRange(max(1, parts), key, "_task").groupBy(key, "_task").applyInArrow(fit, _RESULT)
 
 
@@ -152,7 +164,7 @@ def kmeans(
     seed: int = SEED,
     max_iter: int = MAX_ROUNDS,
     tol: float = TOLERANCE,
-    block_bytes: int = BLOCK_BYTES,
+    block_bytes: int | None = None,
     tasks: int | None = None,
     key: str = DATASET,
     seeding: str = "oversampled",
@@ -161,22 +173,24 @@ def kmeans(
     """All restarts of all data sets: ``inertia``, ``rounds`` and ``centres`` per data set and restart.
 
     The number of clusters is the number of labels of the data set. A small
-    data set is copied to several tasks only while there are fewer data sets
-    than cores; the result does not depend on ``tasks``. ``seeding`` is
+    data set, of at most ``block_bytes`` or else ``WHOLE_BYTES`` (one block
+    where centres are wide enough for gaps, see ``lloyd``), is copied to
+    several tasks only while there are fewer data sets than cores, or where its
+    restarts are too much work for one; the result does not depend on
+    ``tasks``. ``seeding`` is
     ``oversampled``, which reads a large data set a fixed number of times, or
     ``one_by_one``, which reads it once per start point.
     """
     settings = materialise(settings_of(df, tol, key), "kmeans-settings", 1)
-    fits_in_block = F.col("n") * F.col("d") * 8 <= block_bytes
-    small, large = settings.where(fits_in_block), settings.where(~fits_in_block)
+    is_wide = F.col("k") * F.col("d") >= GAP_NUMBERS
+    most = F.lit(block_bytes) if block_bytes is not None else F.when(is_wide, BLOCK_BYTES).otherwise(WHOLE_BYTES)
+    fits_in_task = F.col("n") * F.col("d") * 8 <= most
+    small, large = settings.where(fits_in_task), settings.where(~fits_in_task)
     fitted = None
-    n_small = small.count()
-    if n_small:
-        if tasks is None:
-            tasks = min(restarts, max(1, -(-2 * df.sparkSession.sparkContext.defaultParallelism // n_small)))
-        fitted = _fit_small(df, small, n_small, restarts, seed, max_iter, tasks, key, seeding)
+    if not small.isEmpty():
+        fitted = _fit_small(df, small, restarts, seed, max_iter, tasks, key, seeding)
     if not large.isEmpty():
-        rounds = _fit_rounds(df, large, restarts, seed, max_iter, block_bytes, key, seeding, state_bytes)
+        rounds = _fit_rounds(df, large, restarts, seed, max_iter, block_bytes or BLOCK_BYTES, key, seeding, state_bytes)
         fitted = rounds if fitted is None else fitted.unionByName(rounds)
     if fitted is None:
         return df.sparkSession.createDataFrame([], _RESULT)

@@ -8,8 +8,12 @@ keys win, so tasks can draw apart and their winners be compared.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
+from strandlab.operators.blocks import BLOCK_BYTES
+
 ROUNDS = 4
 PER_ROUND = 2  # candidates of a round per centre wanted
 FINAL_PICK = 100  # numbers of the picks among the candidates start here
@@ -32,6 +36,17 @@ def squared_distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum(d2, 0.0)
 
 
+def chunks(x: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of one block each, so that their distances to many centres can be held."""
+    step = max(1, BLOCK_BYTES // max(1, 8 * x.shape[1]))
+    return ((lo, min(lo + step, len(x))) for lo in range(0, max(1, len(x)), step))
+
+
+def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distance of every row to the nearest of ``c``."""
+    return np.concatenate([squared_distances(x[lo:hi], c).min(axis=1) for lo, hi in chunks(x)])
+
+
 def race_keys(ids: np.ndarray, weight: np.ndarray, seed: int, restart: int, pick: int) -> np.ndarray:
     """Keys of a draw; rows without weight come last."""
     u = uniform(ids, seed, restart, pick)
@@ -59,7 +74,8 @@ def winners(ids: np.ndarray, weight: np.ndarray, seed: int, restart: int, pick:
 
 def weights_of(x: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     """Rows nearest to each candidate, the first one on a tie."""
-    return np.bincount(squared_distances(x, candidates).argmin(axis=1), minlength=len(candidates)).astype("float64")
+    owners = (squared_distances(x[lo:hi], candidates).argmin(axis=1) for lo, hi in chunks(x))
+    return sum(np.bincount(owner, minlength=len(candidates)) for owner in owners).astype("float64")
 
 
 def draw_among(candidates: np.ndarray, ids: np.ndarray, counts: np.ndarray, k: int, seed: int, restart: int) -> np.ndarray:
@@ -76,13 +92,13 @@ def draw_among(candidates: np.ndarray, ids: np.ndarray, counts: np.ndarray, k: i
 def oversampled(x: np.ndarray, ids: np.ndarray, k: int, seed: int, restart: int) -> np.ndarray:
     """Start centres of a data set that lies here as a whole."""
     chosen = winners(ids, np.ones(len(x)), seed, restart, 0, 1)[0]
-    near = squared_distances(x, x[chosen]).min(axis=1)
+    near = nearest(x, x[chosen])
     for turn in range(1, ROUNDS + 1):
         new = winners(ids, near, seed, restart, turn, PER_ROUND * k)[0]
         if not len(new):
             break
         chosen = np.concatenate([chosen, new])
-        near = np.minimum(near, squared_distances(x, x[new]).min(axis=1))
+        near = np.minimum(near, nearest(x, x[new]))
     chosen = chosen[np.argsort(ids[chosen], kind="stable")]
     return draw_among(x[chosen], ids[chosen], weights_of(x, x[chosen]), k, seed, restart)
 
@@ -92,7 +108,7 @@ def one_by_one(x: np.ndarray, ids: np.ndarray, k: int, seed: int, restart: int)
     weight, picks = np.ones(len(x)), []
     for pick in range(k):
         picks.append(race(ids, weight, seed, restart, pick)[0])
-        d2 = squared_distances(x, x[picks[-1:]])[:, 0]
+        d2 = nearest(x, x[picks[-1:]])
         weight = d2 if pick == 0 else np.minimum(weight, d2)
     return x[picks].copy()
 

@@ -7,7 +7,7 @@ import pytest
 from conftest import series_rows
 from pyspark.sql import functions as F
 
-from strandlab.operators import cluster, lloyd, seeding
+from strandlab.operators import blocks, cluster, lloyd, seeding
 from strandlab.operators.task_state import Sent
 from strandlab.session import shared_folder
 
@@ -145,3 +145,44 @@ def test_more_restarts_than_tasks_hold(spark):
     x, y = blobs(n=60)
     df = series_rows(spark, x, y)
     assert by_restart(cluster.kmeans(df, restarts=5, block_bytes=600, state_bytes=1)).keys() == {("d", r) for r in range(5)}
+
+
+def test_data_sets_beyond_a_block_need_no_rounds(spark, monkeypatch):
+    def no_rounds(*args):
+        raise AssertionError("a data set that a task can hold went through rounds")
+
+    monkeypatch.setattr(cluster, "_fit_rounds", no_rounds)
+    rng = np.random.default_rng(5)
+    y = np.arange(4400) % 2
+    x = rng.normal(size=(4400, 500)) + 3 * y[:, None]
+    assert x.nbytes > blocks.BLOCK_BYTES
+    fits = cluster.kmeans(series_rows(spark, x, y), restarts=1, max_iter=2).collect()
+    assert len(fits) == 1
+    truth = np.stack([x[y == c].mean(axis=0) for c in (0, 1)])
+    found = np.array(sorted(fits[0]["centres"]))
+    assert np.allclose(found, truth[truth[:, 0].argsort()])
+
+
+def test_restarts_of_much_work_are_shared(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    y = np.arange(90) % 3
+    df = series_rows(spark, rng.normal(size=(90, 5)) + y[:, None], y)
+    alone = by_restart(cluster.kmeans(df, restarts=6, tasks=1))
+    monkeypatch.setattr(cluster, "TASK_PRODUCTS", 2 * 90 * 5 * 3)
+    monkeypatch.setattr(type(spark.sparkContext), "defaultParallelism", 1)
+    shared = by_restart(cluster.kmeans(df, restarts=6))
+    assert shared.keys() == alone.keys() and len(alone) == 6
+    for at, a in alone.items():
+        assert a["rounds"] == shared[at]["rounds"] and a["inertia"] == pytest.approx(shared[at]["inertia"])
+
+
+def test_start_points_by_chunks_of_rows(monkeypatch):
+    rng = np.random.default_rng(7)
+    x, ids = rng.normal(size=(400, 6)), np.arange(400)
+    whole = {how: start(x, ids, 5, 1, 2) for how, start in seeding.SEEDINGS.items()}
+    weights = seeding.weights_of(x, x[:7])
+    monkeypatch.setattr(seeding, "BLOCK_BYTES", 33 * 6 * 8)
+    assert len(list(seeding.chunks(x))) == 13
+    assert np.array_equal(seeding.weights_of(x, x[:7]), weights) and weights.sum() == 400
+    for how, start in seeding.SEEDINGS.items():
+        assert np.array_equal(start(x, ids, 5, 1, 2), whole[how])
