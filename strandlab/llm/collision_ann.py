@@ -13,6 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlab.operators.task_state import STATE_BYTES, Sent, in_turns
 from strandlab.session import materialise
 
 NEIGHBOURS = 10
@@ -22,6 +23,7 @@ THRESHOLD = 0.62  # share of the windows a vector must lie in; 0.725 are expecte
 STEP = 1.1
 BLOCK_VECTORS = 4096
 CHUNK_QUERIES = 256
+TASK_PAIRS = 1 << 28  # pairs of query and vector from which the blocks are dealt to more tasks than shuffle partitions
 SCALE_SAMPLE = 16
 
 
@@ -135,29 +137,64 @@ def _pack_batches(most: int):
     return run
 
 
-def _search_batches(k: int):
+class Asked:
+    """A chunk of queries of one length, and the nearest of what the blocks so far have answered."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        self.ids, self.vectors = ids, vectors
+        self.best = [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)
+
+    def meet(self, block: Block, k: int) -> None:
+        for q, found in enumerate(block.search(self.ids, self.vectors, k)):
+            ids, distance = (np.concatenate(x) for x in zip(self.best[q], found))
+            order = np.lexsort((ids, distance))[:k]
+            self.best[q] = ids[order], distance[order]
+
+    def answers(self) -> pa.RecordBatch:
+        owner = np.repeat(self.ids, [len(ids) for ids, _ in self.best])
+        columns = owner, np.concatenate([b[0] for b in self.best]), np.concatenate([b[1] for b in self.best])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["query_id", "vec_id", "score"])
+
+
+def _asked(packed: pa.Table) -> dict[int, list[Asked]]:
+    """All queries by the length of their vectors, in even chunks however they were packed."""
+    out, dims = {}, packed["dim"].to_numpy()
+    for dim in np.unique(dims).tolist():
+        rows = packed.filter(pa.array(dims == dim))
+        ids = np.frombuffer(b"".join(rows["ids"].to_pylist()), np.int64)
+        vectors = np.frombuffer(b"".join(rows["vectors"].to_pylist())).reshape(-1, dim)
+        out[dim] = [Asked(ids[lo : lo + CHUNK_QUERIES], vectors[lo : lo + CHUNK_QUERIES]) for lo in range(0, len(ids), CHUNK_QUERIES)]
+    return out
+
+
+def _search_batches(sent: Sent, k: int):
+    """The nearest of a task's blocks for every query."""
+
     def run(batches):
-        held, block = None, None
+        asked = None
         for batch in batches:
             for r in range(batch.num_rows):
                 row = {name: batch.column(i)[r].as_py() for i, name in enumerate(batch.schema.names)}
-                if held != (row["part"], row["dim"]):
-                    held = (row["part"], row["dim"])
+                asked = _asked(sent()) if asked is None else asked
+                if row["dim"] in asked:
                     block = Block(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"]).reshape(-1, row["dim"]))
-                queries = np.frombuffer(row["q_ids"], np.int64)
-                answers = block.search(queries, np.frombuffer(row["q_vectors"]).reshape(-1, row["dim"]), k)
-                out = [np.full(len(ids), q, np.int64) for q, (ids, _) in zip(queries, answers)], [a[0] for a in answers], [a[1] for a in answers]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["query_id", "vec_id", "score"])
+                    for chunk in asked[row["dim"]]:
+                        chunk.meet(block, k)
+        for chunks in (asked or {}).values():
+            for chunk in chunks:
+                yield chunk.answers()
 
     return run
 
 
 def nearest(
-    vectors: DataFrame, queries: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", neighbours: int = NEIGHBOURS
-) -> DataFrame:
+    vectors: DataFrame, queries: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", neighbours: int = NEIGHBOURS,
+    state_bytes: int = STATE_BYTES,
+) -> DataFrame:
     """``query_id, rank, vec_id, score``: the nearest rows of ``vectors`` found for each row of ``queries``, by Euclidean distance.
 
-    All rows are indexed, block by block where they lie. Null or empty vectors, those with a null or non-finite number and zero
+    All rows are indexed, block by block where they lie. The queries are sent to every task once, with room for their answers in turns of
+    ``state_bytes``; a task answers with the nearest of all its blocks. Null or empty vectors, those with a null or non-finite number and zero
     vectors take no part, nor do rows with a null id; vectors are compared with those of their own length. A query's own row (equal id) is
     no neighbour. Ties go to the smaller id. Where fewer candidates exist, all are returned. Extra columns are ignored.
     """
@@ -167,13 +204,19 @@ def nearest(
         return materialise(rows.mapInArrow(_pack_batches(most), PACKED), name)
 
     index = packed(vectors, BLOCK_VECTORS, "blocks")
-    chunks = packed(queries.select(id_column, vector_column).coalesce(8), CHUNK_QUERIES, "query-chunks")
-    # every chunk of queries goes to every slot of blocks
-    slots = max(index.count(), 1)
-    placed = index.withColumn("slot", F.pmod(F.xxhash64("part"), F.lit(slots)).cast("int"))
-    sent = chunks.select("dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
-    met = sent.join(placed, ["slot", "dim"]).select("part", "dim", "ids", "vectors", "q_ids", "q_vectors")
-    found = met.mapInArrow(_search_batches(neighbours), "query_id long, vec_id long, score double")
+    chunks = packed(queries.select(id_column, vector_column), CHUNK_QUERIES, "query-chunks")
+    blocks, indexed = index.agg(F.count(F.lit(1)), F.sum(F.octet_length("ids"))).first()
+    spread = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def search(rows: DataFrame, sent: Sent) -> DataFrame:
+        asked = rows.agg(F.sum(F.octet_length("ids"))).first()[0]
+        pairs = (asked or 0) // 8 * (indexed or 0) // 8
+        tasks = max(1, min(blocks, max(spread, pairs // TASK_PAIRS)))
+        return index.repartitionByRange(tasks, "part").mapInArrow(_search_batches(sent, neighbours), "query_id long, vec_id long, score double")
+
+    # a query takes its vector, its answers and the two arrays that hold them
+    held = F.octet_length("vectors") / 8 + F.octet_length("ids") / 8 * (2 * neighbours + 32)
+    found = in_turns(chunks, ["part", "dim"], held, search, state_bytes)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= neighbours)
     return best.select("query_id", "rank", "vec_id", "score")

@@ -148,6 +148,34 @@ def test_neighbours_recall_and_edges(spark):
     assert collision_ann.nearest(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_queries_are_not_copied_per_block(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(1200)] + [(2000 + i, [float(i), 1.0]) for i in range(30)]
+    rows += [(0, rows[0][1]), (100, rng.normal(size=16).tolist())]  # repeated ids of queries
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    chosen = vectors.where("vec_id % 10 = 0")
+
+    def answers(**settings):
+        return sorted(map(tuple, collision_ann.nearest(vectors, chosen, **settings).collect()))
+
+    whole = answers()
+    monkeypatch.setattr(collision_ann, "BLOCK_VECTORS", 8)
+    spark.conf.set("spark.sql.maxBroadcastTableSize", 256 << 10)  # the queries are 16 KB, with a copy for each block some MB
+    try:
+        got = answers(neighbours=5)
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert len(got) == 5 * len({q for q, *_ in got}) == 5 * 123
+    by_query = {}
+    for q, rank, v, score in whole:
+        by_query.setdefault(q, {})[rank] = score
+    near = [(score, by_query[q][rank]) for q, rank, _, score in got]
+    assert sum(a <= b + 1e-9 for a, b in near) / len(near) >= 0.9
+    monkeypatch.setattr(collision_ann, "TASK_PAIRS", 50)
+    for size in (1 << 16, 1 << 12):  # a few turns, and many
+        assert answers(neighbours=5, state_bytes=size) == got
+
+
 # ---------------------------------------------------------------- pipeline
 
 
